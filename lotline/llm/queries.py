@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, langid, media, packing, quality, sharding, simhash, suffix, topk
+from . import bpe, langid, lm, media, packing, quality, sharding, simhash, suffix, topk
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -54,6 +54,11 @@ def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix.find_repeats(table(spark, sf_dir, "documents"), ["doc_id"], "doc_id", length=400)
 
 
+def op7_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return lm.lm_scores(docs, crc_rest(7) != 2)
+
+
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = langid.train(docs.where(crc_rest(4) != 2), "text", "lang")
@@ -88,7 +93,7 @@ SELECT doc_id, CAST(slot AS INTEGER) AS slot, CAST(list_extract({table.tolist()}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality_classifier, op2_best_fit_packing, op3_byte_bpe, op4_exact_topk, op5_simhash_dedup, op6_suffix_dedup, op8_language_id, op9_media_columns, op10_sharding)}
+    return {f.__name__: f for f in (op1_quality_classifier, op2_best_fit_packing, op3_byte_bpe, op4_exact_topk, op5_simhash_dedup, op6_suffix_dedup, op7_lm_scoring, op8_language_id, op9_media_columns, op10_sharding)}
 
 
 def oracle_sql() -> dict[str, str]:
