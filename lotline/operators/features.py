@@ -93,8 +93,8 @@ def candle_features(moments: DataFrame, candles: DataFrame, interval: int = 60)
     inside = F.col("close_epoch") >= start
     closes = lambda s: F.array_sort(F.collect_list(F.when(F.col("close_epoch") > t - s, F.struct("close_epoch", F.col("close").cast("double").alias("c")))))
     agg = seen.groupBy("event_epoch", "market_start").agg(F.max(F.when(inside, F.col("high"))).alias("__high"), F.min(F.when(inside, F.col("low"))).alias("__low"), *[closes(s).alias(f"__v{s}") for s in (30, 60, 120)])
-    same = rows["event_epoch"].eqNullSafe(agg["event_epoch"]) & rows["market_start"].eqNullSafe(agg["market_start"])
-    rows = rows.join(agg, same, "left").drop(agg["event_epoch"], agg["market_start"])
+    agg = agg.withColumnsRenamed({"event_epoch": "__e", "market_start": "__m"})
+    rows = rows.join(agg, (F.col("event_epoch") == F.col("__e")) & F.col("market_start").eqNullSafe(F.col("__m")), "left")
     now = F.col("reference_price")
 
     def vol(s: int) -> Column:
@@ -118,7 +118,7 @@ def with_candles(rows: DataFrame, candles: DataFrame, epoch: str = "formed_at_ep
     """rows (with slug and an epoch column) + btc columns."""
     rows = rows.withColumn("__start", S.market_start(F.col("slug")))
     found = candle_features(rows.select(F.col(epoch).alias("event_epoch"), F.col("__start").alias("market_start")), candles, interval)
-    return rows.join(found, (rows[epoch] == found["event_epoch"]) & rows["__start"].eqNullSafe(found["market_start"]), "left").drop("event_epoch", "market_start", "__start")
+    return rows.join(found, (F.col(epoch) == F.col("event_epoch")) & F.col("__start").eqNullSafe(F.col("market_start")), "left").drop("event_epoch", "market_start", "__start")
 
 
 # ---------------------------------------------------------------- panels
@@ -129,7 +129,7 @@ def pre_event_panel(buys: DataFrame, candles: DataFrame | None, window: Column)
     pairs = fifo_pairs(buys)
     states = fill_states(buys).select("market_id", F.col("seq").alias("completing_seq"), "max_prior_fill_sequence", "elapsed_seconds", "seconds_remaining", *INVENTORY)
     rows = pairs.drop("elapsed_seconds").join(states, ["market_id", "completing_seq"])
-    # fragments of one fill see what earlier fragments paired? no: the state is taken once, before the fill
+    # the state is taken once, before the fill, for all fragments of it
     rows = rows.withColumn("window_id", window).withColumn("favorable", F.col("pair_cost") < 1).withColumnRenamed("lag_seconds", "lag_seconds_label_only").withColumnRenamed("formed_at_epoch", "prediction_time_epoch").withColumnRenamed("completing_seq", "prediction_fill_sequence").withColumnRenamed("event_index", "target_event_index")
     return with_candles(rows, candles, "prediction_time_epoch") if candles is not None else rows
 
