@@ -14,14 +14,14 @@ from lotline.functions import scalars as S
 
 PAIR = "market_id string, slug string, completing_seq int, lot_seq int, event_index int, paired_shares decimal(18,8), pair_cost decimal(12,8), lag_seconds bigint, formed_at_epoch bigint, elapsed_seconds bigint, completing_trade_id string, transaction_hash string"
 #: Orders within a second: as in the ledger, or by price up or down.
-TIE_BREAKS = {"canonical": ["seq"], "price_asc": ["price", "seq"], "price_desc": [F.desc("price"), "seq"]}
+TIE_BREAKS = {"canonical": ("seq",), "price_asc": ("price", "seq"), "price_desc": ("-price", "seq")}
 
 
 def with_tie_break(buys: DataFrame, tie_break: str = "canonical") -> DataFrame:
     """seq renumbered within each market by (epoch, tie break)."""
     if tie_break == "canonical":
         return buys
-    return buys.withColumn("seq", F.row_number().over(Window.partitionBy("market_id").orderBy("epoch", *TIE_BREAKS[tie_break])))
+    return buys.withColumn("seq", F.row_number().over(Window.partitionBy("market_id").orderBy("epoch", *[F.expr(x) for x in TIE_BREAKS[tie_break]])))
 
 
 def _finish(pairs: DataFrame) -> DataFrame:
