@@ -83,8 +83,10 @@ def adpcm_encode(samples: np.ndarray, block_bytes: int) -> bytes:
     x = x.reshape(n, per)
     raw = np.zeros((n, block_bytes), np.uint8)
     raw[:, :2] = x[:, :1].astype("<i2").view(np.uint8)
-    value, index = x[:, 0].copy(), np.zeros(n, np.int32)
     steps, moves = np.array(STEPS, np.int32), np.array(STEP_INDEX, np.int32)
+    # a block starts with the step that its first change asks for
+    value, index = x[:, 0].copy(), np.minimum(np.searchsorted(steps, np.abs(x[:, 1] - x[:, 0])), 88).astype(np.int32)
+    raw[:, 2] = index
     for k in range(per - 1):
         step, gap = steps[index], x[:, k + 1] - value
         size, rest, delta = np.zeros(n, np.int32), np.abs(gap), step >> 3
