@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, IS_SPACE, PAD, Texts, map_texts, materialise, xxh64
+from .common import IS_SPACE, LOWER, PAD, Texts, map_texts, materialise, mix, xxh64
 
 #: Widths of the six bit blocks of a fingerprint.
 BLOCKS = (11, 11, 11, 11, 10, 10)
@@ -93,17 +93,25 @@ def bucket_keys(fp: Column) -> Column:
     return F.array(*keys)
 
 
+def hamming(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Differing bits of paired fingerprints, each a row of 64-bit words."""
+    return np.bitwise_count(a ^ b).sum(axis=-1, dtype=np.int16)
+
+
 def pivot_table(fp: np.ndarray, pivots: np.ndarray) -> np.ndarray:
     """Hamming distance of each fingerprint to each pivot."""
-    return np.bitwise_count(fp[:, None] ^ pivots[None, :])
+    return np.stack([hamming(fp, p) for p in pivots], axis=1)
 
 
-def reference_fingerprints(n: int = PIVOTS) -> np.ndarray:
-    return np.random.default_rng(64).integers(0, 1 << 64, n, dtype=np.uint64)
+def reference_fingerprints(n: int = PIVOTS, words: int = 1) -> np.ndarray:
+    return np.random.default_rng(64).integers(0, 1 << 64, (n, words), dtype=np.uint64)
 
 
 def linked_pairs(key: np.ndarray, fp: np.ndarray, pivots: np.ndarray, max_bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """Index pairs of a spanning part of the links between rows of one key; rows must be sorted by key."""
+    """Index pairs that join exactly what the links between rows of one key join; rows must be sorted by key.
+
+    fp: a row of 64-bit words for each fingerprint.
+    """
     none = np.zeros(0, np.int64)
     left, right = [none], [none]
     cuts = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
@@ -113,26 +121,27 @@ def linked_pairs(key: np.ndarray, fp: np.ndarray, pivots: np.ndarray, max_bits:
     if len(at):
         column = pivot_table(fp[at], pivots[:1])[:, 0]
         order = np.lexsort((column, key[at]))
-        at, column = at[order], column[order].astype(np.int16)
+        at, column = at[order], column[order]
         k, f = key[at], fp[at]
+        table = pivot_table(f, pivots) if max_bits < 16 else np.zeros((len(at), 1), np.int16)  # a wide radius discards next to nothing
         alive, lag = np.arange(len(at) - 1), 1
         while len(alive):
             alive = alive[alive + lag < len(at)]
             near = (k[alive + lag] == k[alive]) & (column[alive + lag] - column[alive] <= max_bits)
             alive = alive[near]
             a, b = alive, alive + lag
-            for p in range(1, len(pivots)):
+            for p in range(1, table.shape[1]):
                 if not len(a):
                     break
-                ok = np.abs(np.bitwise_count(f[a] ^ pivots[p]).astype(np.int16) - np.bitwise_count(f[b] ^ pivots[p])) <= max_bits
+                ok = np.abs(table[a, p] - table[b, p]) <= max_bits
                 a, b = a[ok], b[ok]
-            ok = np.bitwise_count(f[a] ^ f[b]) <= max_bits
+            ok = hamming(f[a], f[b]) <= max_bits
             left.append(at[a[ok]])
             right.append(at[b[ok]])
             lag += 1
     for g in np.flatnonzero(sizes > SWEEP):
         open_ = np.arange(cuts[g], cuts[g] + sizes[g])
-        table = pivot_table(fp[open_], pivots).astype(np.int8)
+        table = pivot_table(fp[open_], pivots)
         while len(open_):  # each round empties one component of the bucket
             todo, open_, table = [(open_[0], table[0])], open_[1:], table[1:]
             while todo and len(open_):
@@ -140,7 +149,7 @@ def linked_pairs(key: np.ndarray, fp: np.ndarray, pivots: np.ndarray, max_bits:
                 ok = np.arange(len(open_))
                 for p in range(0, len(pivots), 4):
                     ok = ok[(np.abs(table[ok, p : p + 4] - row[p : p + 4]) <= max_bits).all(axis=1)]
-                ok = ok[np.bitwise_count(fp[open_[ok]] ^ fp[x]) <= max_bits]
+                ok = ok[hamming(fp[open_[ok]], fp[x]) <= max_bits]
                 if len(ok):
                     left.append(np.full(len(ok), x))
                     right.append(open_[ok])
@@ -174,28 +183,33 @@ def links(nodes: DataFrame, max_bits: int = 4, pivots: int = PIVOTS) -> DataFram
     """(u, v), u > v: links that join exactly the components of all fingerprints within max_bits <= 4 bits."""
     if max_bits > 4:
         raise ValueError("two of six blocks are sure to agree only up to four differing bits")
-    dealt = nodes.select(F.explode(bucket_keys(F.col("fp"))).alias("key"), "fp")
-    n = dealt.sparkSession.conf.get("spark.sql.shuffle.partitions")
-    dealt = dealt.repartition(int(n), "key").sortWithinPartitions("key")
-    table = reference_fingerprints(pivots)
+    dealt = nodes.select(F.explode(bucket_keys(F.col("fp"))).alias("key"), F.col("fp").alias("node"), "fp")
+    words_of = lambda column: column.to_numpy().view(np.uint64)[:, None]
+    return _links(dealt, words_of, reference_fingerprints(pivots), max_bits)
+
+
+def _links(dealt: DataFrame, words_of, pivots: np.ndarray, max_bits: int) -> DataFrame:
+    """(u, v) of rows (key, node, fingerprint): each task searches its buckets, a few whole ones at a time."""
+    n = int(dealt.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = dealt.repartition(n, "key").sortWithinPartitions("key")
+    width = pivots.shape[1]
 
     def run(batches):
-        held_key, held_fp = np.zeros(0, np.int64), np.zeros(0, np.uint64)
+        held = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros((0, width), np.uint64)]
 
-        def out(key, fp):
-            a, b = linked_pairs(key, fp, table, max_bits)
-            u, v = spanning_forest(fp[a].view(np.int64), fp[b].view(np.int64))
+        def out(key, node, fp):
+            a, b = linked_pairs(key, fp, pivots, max_bits)
+            u, v = spanning_forest(node[a], node[b])
             return pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], ["u", "v"])
 
         for batch in batches:
-            held_key = np.concatenate((held_key, batch.column(0).to_numpy()))
-            held_fp = np.concatenate((held_fp, batch.column(1).to_numpy().view(np.uint64)))
-            if len(held_key) >= 200_000 and held_key[0] != held_key[-1]:
-                cut = int(np.searchsorted(held_key, held_key[-1]))  # the last bucket may go on
-                yield out(held_key[:cut], held_fp[:cut])
-                held_key, held_fp = held_key[cut:], held_fp[cut:]
-        if len(held_key):
-            yield out(held_key, held_fp)
+            held = [np.concatenate((x, y)) for x, y in zip(held, (batch.column(0).to_numpy(), batch.column(1).to_numpy(), words_of(batch.column(2))), strict=True)]
+            if len(held[0]) >= 100_000 and held[0][0] != held[0][-1]:
+                cut = int(np.searchsorted(held[0], held[0][-1]))  # the last bucket may go on
+                yield out(*(x[:cut] for x in held))
+                held = [x[cut:] for x in held]
+        if len(held[0]):
+            yield out(*held)
 
     return dealt.mapInArrow(run, "u bigint, v bigint")
 
@@ -235,16 +249,82 @@ def simhash_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     return prints.join(named, "fp").select(id_col, "fp", "component_id")
 
 
+# ---------------------------------------------------------------- similarity of 0.8 or more
+
+#: Words of a wide fingerprint, and the differing bits up to which wide fingerprints link. Shingle sets with a
+#: similarity of 0.8 differ in 15 % of the bits, 39 of 256 with a deviation of 6.
+WIDE, WIDE_BITS = 4, 44
+#: Bits of a band at least; more with more nodes, so that chance meetings stay in proportion.
+BAND_BITS = 16
+#: Share of pairs with a similarity of 0.8 that agree in some band.
+BAND_RECALL = 0.97
+
+
+def band_plan(nodes: int) -> tuple[int, int]:
+    """Bits in a band and number of bands for so many nodes."""
+    bits = max(BAND_BITS, int(nodes).bit_length() - 3)
+    return bits, int(np.ceil(np.log(1 - BAND_RECALL) / np.log(1 - 0.848**bits)))
+
+
+def wide_fingerprints(df: DataFrame, id_col: str, text_col: str, words_per_shingle: int) -> DataFrame:
+    """(id, fp binary): four SimHashes of independent hashes of the same shingles, 256 bits."""
+    id_type = dict(df.dtypes)[id_col]
+
+    def run(rows, texts):
+        h, bounds = shingle_hashes(texts, words_per_shingle)
+        words = []
+        with np.errstate(over="ignore"):
+            for k in range(WIDE):
+                words.append(majority_bits(mix(h + np.uint64(k)) if k else h, bounds))
+        return rows.column(0), [x.tobytes() for x in np.stack(words, axis=1).astype("<u8")]
+
+    return map_texts(df, [id_col], text_col, run, f"`{id_col}` {id_type}, fp binary")
+
+
+def _wide_words(column: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), "<u8").reshape(-1, WIDE)
+
+
+def wide_links(nodes: DataFrame, count: int) -> DataFrame:
+    """(u, v) between nodes (node bigint, fp binary) whose wide fingerprints differ in at most WIDE_BITS bits and agree in a band."""
+    bits, bands = band_plan(count)
+    rng = np.random.default_rng(256)
+    chosen = [np.sort(rng.choice(64 * WIDE, bits, replace=False)) for _ in range(bands)]
+
+    def deal(batches):
+        for batch in (whole.slice(at, 1000) for whole in batches for at in range(0, whole.num_rows, 1000)):
+            flat = np.unpackbits(_wide_words(batch.column(1)).copy().view(np.uint8).reshape(-1, 8 * WIDE), axis=1)
+            for k, own in enumerate(chosen):
+                key = (np.int64(k) << 40) | (flat[:, own].astype(np.int64) << np.arange(bits)).sum(axis=1)
+                yield pa.RecordBatch.from_arrays([pa.array(key), batch.column(0), batch.column(1)], ["key", "node", "fp"])
+
+    dealt = nodes.select("node", "fp").mapInArrow(deal, "key bigint, node bigint, fp binary")
+    return _links(dealt, _wide_words, reference_fingerprints(2, WIDE), WIDE_BITS)
+
+
+def similar_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words_per_shingle: int = 5) -> DataFrame:
+    """(id, component_id): components of documents whose shingles have a similarity of about 0.8 or more, by wide fingerprints.
+
+    The same rules for nulls, repeated rows and empty tables as simhash_components. Nodes are named by a 64-bit hash of their fingerprint.
+    """
+    prints = materialise(wide_fingerprints(df, id_col, text_col, words_per_shingle).withColumn("node", F.xxhash64("fp")), "wide")
+    nodes = materialise(prints.groupBy("node", "fp").agg(F.min(id_col).alias("low")), "widenodes")
+    roots = components(wide_links(nodes, nodes.count())).select(F.col("u").alias("node"), F.col("v").alias("root"))
+    named = nodes.select("node", "low").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    names = named.groupBy("root").agg(F.min("low").alias("component_id"))
+    return prints.select(id_col, "node").join(named.select("node", "root").join(names, "root").select("node", "component_id").distinct(), "node").select(id_col, "component_id")
+
+
 def hex16(fp: Column) -> Column:
     return F.lpad(F.lower(F.hex(fp)), 16, "0")
 
 
-def keep_one_per_component(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+def keep_one_per_component(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", find=None, **options) -> DataFrame:
     """One row of df for each component: the one whose id names it, with all its columns.
 
     Rows that repeat an id count as one document. Where no row of a component has an id, one row without id stays.
     """
-    found = materialise(simhash_components(df, id_col, text_col, **options), "components")
+    found = materialise((find or simhash_components)(df, id_col, text_col, **options), "components")
     kept = found.where(F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias("__kept"))
     out = df.join(kept, df[id_col].eqNullSafe(kept["__kept"]), "left_semi")
     repeated = found.groupBy(id_col).count().where("count > 1").limit(1).count() > 0

@@ -111,10 +111,10 @@ def test_no_link_is_lost_in_dense_and_sparse_buckets(spark, monkeypatch):
     nodes = spark.createDataFrame([(p - 2**64 if p >= 2**63 else p,) for p in prints], "fp bigint")
     for sweep in (256, 2):
         monkeypatch.setattr(simhash, "SWEEP", sweep)
-        fp = np.array(prints, np.uint64)
+        fp = np.array(prints, np.uint64)[:, None]
         key = np.zeros(len(fp), np.int64)
         a, b = simhash.linked_pairs(key, fp, simhash.reference_fingerprints(), 4)
-        assert all(int(np.bitwise_count(fp[i] ^ fp[j])) <= 4 for i, j in zip(a, b))
+        assert (simhash.hamming(fp[a], fp[b]) <= 4).all()
         left = list(range(len(prints)))
         for i, j in zip(a.tolist(), b.tolist()):
             lo, hi = sorted((left[i], left[j]))
@@ -136,6 +136,29 @@ def test_simhash_without_rows_and_with_null_ids(spark):
     assert sorted(r["doc_id"] for r in kept.collect()) == [5, 7]
 
 
+def test_copies_with_a_similarity_of_0_8_meet(spark):
+    rng = random.Random(9)
+    rows = []
+    for k in range(60):
+        w = [word(rng, "abcdefghijklm") for _ in range(rng.randrange(120, 400))]
+        near = list(w)
+        for j in rng.sample(range(len(w)), max(1, len(w) // 80)):
+            near[j] = word(rng, "xyz")
+        rows += [(3 * k, " ".join(w)), (3 * k + 1, " ".join(near)), (3 * k + 2, " ".join(word(rng, "abcdefghijklm") for _ in range(200)))]
+    rows += [(1000, None), (1001, ""), (1002, rows[0][1]), (None, rows[0][1])]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+
+    def shingles(t):
+        w = re.findall(WORD, lower(t))
+        return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))}
+
+    got = {r["doc_id"]: r["component_id"] for r in simhash.similar_components(df).collect()}
+    alike = [k for k in range(60) if len(shingles(rows[3 * k][1]) & shingles(rows[3 * k + 1][1])) / len(shingles(rows[3 * k][1]) | shingles(rows[3 * k + 1][1])) >= 0.8]
+    assert len(alike) > 40 and sum(got[3 * k + 1] == 3 * k for k in alike) >= 0.95 * len(alike)
+    assert all(got[3 * k + 2] == 3 * k + 2 for k in range(60)) and got[1002] == 0 and got[1001] == 1000 and got[None] == 0
+    assert simhash.similar_components(df.where("false")).count() == 0
+
+
 # ---------------------------------------------------------------- repeated passages
 
 
