@@ -24,12 +24,17 @@ def classify_markets(fills: DataFrame, complete: DataFrame | None = None) -> Dat
 
 
 def global_sequence(rows: DataFrame, order: list[str], name: str = "fill_sequence_number", partitions: int | None = None) -> DataFrame:
-    """A contiguous number from 1 over the whole table without one task that holds it: ranges are numbered in parallel and shifted by the sizes before them."""
+    """A contiguous number from 1 over the whole table without one task that holds it: ranges of the first order
+    column (a timestamp) are numbered in parallel and shifted by the sizes before them.
+
+    The borders are fixed once as literals, so both passes cut the table alike.
+    """
     n = partitions or int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ranged = rows.repartitionByRange(n, *order).withColumn("__range", F.spark_partition_id())
-    sizes = ranged.groupBy("__range").count()
+    key = F.unix_micros(order[0])
+    borders = sorted(set(rows.agg(F.percentile_approx(key, F.array(*[F.lit(i / n) for i in range(1, n)]), 1000)).first()[0] or [])) if n > 1 else []
+    ranged = rows.withColumn("__range", F.size(F.filter(F.lit(borders).cast("array<bigint>"), lambda b: b <= key)) if borders else F.lit(0))
     before = Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)  # a row a range
-    shifts = sizes.select("__range", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("__before"))
+    shifts = ranged.groupBy("__range").count().select("__range", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("__before"))
     number = F.row_number().over(Window.partitionBy("__range").orderBy(*order))
     return ranged.withColumn("__n", number).join(F.broadcast(shifts), "__range").withColumn(name, (F.col("__n") + F.col("__before")).cast("bigint")).drop("__n", "__range", "__before")
 

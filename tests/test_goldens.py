@@ -93,6 +93,14 @@ def test_global_sequence_is_contiguous(spark):
     assert [r["fill_sequence_number"] for r in out] == list(range(1, 81))
 
 
+def test_global_sequence_over_many_ranges(spark):
+    rows = spark.range(5000).select(F.timestamp_seconds(F.col("id") * 7919 % 1000).alias("timestamp"), F.col("id").cast("string").alias("source_trade_id"))
+    got = ledger.global_sequence(rows, ["timestamp", "source_trade_id"], partitions=16).collect()
+    want = sorted(got, key=lambda r: (r["timestamp"], r["source_trade_id"]))
+    assert [r["fill_sequence_number"] for r in want] == list(range(1, 5001))
+    assert ledger.global_sequence(rows.where("false"), ["timestamp", "source_trade_id"]).count() == 0
+
+
 def test_pre_event_state_is_strictly_before(spark):
     buys = led(spark, [("UP", "BUY", ".40", "5", 0), ("DOWN", "BUY", ".50", "5", 1)])
     row = features.pre_event_panel(buys, None, F.lit("w")).first()
