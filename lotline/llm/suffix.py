@@ -31,9 +31,9 @@ ANCHOR = 32
 #: Bits of a position within a chunk; the other 40 bits of a word hold the hash.
 _POSITION = 24
 #: Anchors with more distinct segments than this are dealt again, by bands of so many passages.
-CROWD, BANDS = 1500, (48, 6, 1)
+CROWD, BANDS = 600, (48, 6, 1)
 #: Bytes of text for which anchors are found at a time, and bytes of segments whose suffixes are sorted at a time.
-CHUNK, SORTED = 1 << 20, 1 << 20
+CHUNK, SORTED = 1 << 20, 3 << 17
 
 
 # ---------------------------------------------------------------- anchors
@@ -377,7 +377,7 @@ def _banded(band: int, length: int):
     """Cuts segments into bands of passages; the new key is the hash of the bytes that all passages of the band share."""
 
     def run(batches):
-        for batch in batches:
+        for batch in (whole.slice(at, 500) for whole in batches for at in range(0, whole.num_rows, 500)):
             out: list[list] = [[] for _ in range(8)]
             for r in batch.to_pylist():
                 body, rel = r["body"], r["rel"]
