@@ -66,6 +66,7 @@ def drop_materialised(df: DataFrame) -> None:
         folder = spark._jvm.org.apache.hadoop.fs.Path(file).getParent()
         if "/lotline/" in str(folder.toString()):
             folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+    spark._jvm.System.gc()  # lets Spark's cleaner delete the shuffle files of frames that are gone
 
 
 # ---------------------------------------------------------------- texts as bytes

@@ -326,6 +326,7 @@ def keep_one_per_component(df: DataFrame, id_col: str = "doc_id", text_col: str
     """
     found = materialise((find or simhash_components)(df, id_col, text_col, **options), "components")
     kept = found.where(F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias("__kept"))
-    out = df.join(kept, df[id_col].eqNullSafe(kept["__kept"]), "left_semi")
+    # a shuffle at every size: what is kept grows with the table, so it is never broadcast
+    out = df.join(kept.hint("merge"), df[id_col].eqNullSafe(kept["__kept"]), "left_semi")
     repeated = found.groupBy(id_col).count().where("count > 1").limit(1).count() > 0
     return out.dropDuplicates([id_col]) if repeated else out

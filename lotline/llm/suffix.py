@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_texts, materialise, mix, rotl, texts_of, words8
+from .common import drop_materialised, map_texts, materialise, mix, rotl, texts_of, words8
 
 ANCHOR = 32
 #: Bits of a position within a chunk; the other 40 bits of a word hold the hash.
@@ -324,6 +324,8 @@ def find_repeats(df: DataFrame, columns: list[str], order_col: str, text_col: st
 
     schema = f"{passed}, h binary, {digest}, wait boolean, text string, spans binary, todo array<struct<k bigint, s bigint, at bigint, rel int, full boolean, body binary>>, o {order_type}"
     marked = materialise(joined.mapInArrow(mark, schema), "marked")
+    drop_materialised(found)
+    drop_materialised(each)
     done = marked.where(~F.col("wait")).select(*[F.col(f"`{c}`") for c in columns], *out_names)
     bodies = marked.where("wait").select("h", "o", F.explode("todo").alias("x")).select("h", "o", "x.*")
     bodies = materialise(bodies.dropDuplicates(["k", "s"]), "bodies")  # equal texts wait with the same bodies
