@@ -34,6 +34,8 @@ _POSITION = 24
 CROWD, BANDS = 600, (48, 6, 1)
 #: Bytes of text for which anchors are found at a time, and bytes of segments whose suffixes are sorted at a time.
 CHUNK, SORTED = 1 << 20, 3 << 17
+#: Passages whose anchors are found at once, so that a very long text takes no more memory than a chunk; within _POSITION bits.
+STEP = 1 << 20
 
 
 # ---------------------------------------------------------------- anchors
@@ -69,7 +71,7 @@ def segments(data: np.ndarray, offsets: np.ndarray, length: int) -> tuple[np.nda
     if not len(fit):
         none = np.zeros(0, np.int64)
         return none, none, none, none, none.view(np.uint64), none.view(np.uint64)
-    step = (1 << _POSITION) - 2 * length
+    step = min(STEP, (1 << _POSITION) - 2 * length)
     out_first, out_last, out_anchor, out_key = [], [], [], []
     for base in range(0, total, step):  # more than one step only for a very long text
         span = min(total, base + step + length - 1) - base

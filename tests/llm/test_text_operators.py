@@ -355,3 +355,18 @@ def test_top_k_with_few_or_no_vectors(spark):
     assert len(topk.top_k(df, lambda i: i % 10 == 0).collect()) == 4
     assert topk.top_k(df.where("false"), lambda i: i % 10 == 0).count() == 0
     assert topk.top_k(df.where("vec_id = 3"), lambda i: i % 10 == 0).count() == 0
+
+
+def test_anchors_of_a_very_long_text_are_found_in_steps(monkeypatch):
+    rng = np.random.default_rng(7)
+    text = rng.integers(97, 101, 9000).astype(np.uint8)
+    offsets = np.array([0, 50, 9000])
+    data = np.concatenate((text, np.zeros(64, np.uint8)))
+    whole = suffix.segments(data, offsets, 400)
+    monkeypatch.setattr(suffix, "STEP", 1300)
+    own, first, last, anchor, key, _ = suffix.segments(data, offsets, 400)
+    assert (own == 1).all() and len(first) > len(whole[1])
+    covered = np.concatenate([np.arange(a, b + 1) for a, b in zip(first, last, strict=True)])
+    assert (covered == np.arange(50, 9000 - 399)).all()
+    by_start = {p: (c, k) for a, b, c, k in zip(*(x.tolist() for x in whole[1:5]), strict=True) for p in range(a, b + 1)}
+    assert all(by_start[a] == (c, k) == by_start[b] for a, b, c, k in zip(first.tolist(), last.tolist(), anchor.tolist(), key.tolist(), strict=True))
