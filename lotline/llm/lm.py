@@ -3,16 +3,19 @@
 1. One pass turns runs of texts into blocks: the sorted hashes of a block's distinct words with their
    training counts, and its documents as indices into them. Blocks are written to the shared folder.
 2. Counts of all words are added up in shards of the hash space and sent back to the blocks that hold
-   the words, so no task and not the driver holds the vocabulary, which grows with the corpus.
-3. The tree's contexts and their followers are the word sequences that make up at least `p_min` of the
-   training tokens, so there are at most (depth + 1) / p_min of them whatever the size of the corpus:
-   they reach the driver and are broadcast. A longer context is retained if its next-word
-   distribution diverges enough from that of its longest proper suffix.
+   the words, so no task and not the driver holds the vocabulary, which grows with the corpus. Words
+   seen at least `min_count` times get a number.
+3. The tree grows level by level in the same way. A block sends its distinct (context, word) to shards,
+   which add up the counts of the whole corpus, decide which contexts are retained (those whose next-word
+   distribution diverges enough from that of their longest proper suffix) and send counts, numbers and
+   back-off factors back. A sequence seen at least `min_count` times is a context of the next level.
+   Nothing is bounded relative to the corpus, and no task holds the tree.
 4. Each block scores its documents: the longest retained suffix of the words before gives the state;
    a follower's probability is discounted, what is left goes to the state of the suffix, and at the
    root to the smoothed word frequency.
 
-Words are told apart by 64-bit hashes.
+Contexts seen over HOT times are dealt to several shards; their sums, one row a context and shard, meet at the
+driver. There are at most 2 / HOT of the training tokens of such rows. Words are told apart by 64-bit hashes.
 """
 
 from __future__ import annotations
@@ -25,34 +28,33 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, lookup, map_texts, materialise, mix, unique_counts, xxh64
+from .common import LOWER, drop_materialised, lookup, map_texts, materialise, mix, unique_counts, xxh64
 
-#: Share of the training tokens from which a word sequence can be a context or a follower.
-P_MIN = 2e-5
+#: Times a word sequence must be seen in training to be a context or a follower, whatever the size of the corpus.
+MIN_COUNT = 2
 #: Longest context in words.
 DEPTH = 2
 #: A context is retained if count * KL divergence from its suffix (nats) is at least this.
 DIVERGENCE = 3.0
 #: Taken off each follower's count.
 DISCOUNT = 0.5
-#: Bytes of text in a block, and blocks' words that one counting shard handles.
+#: Bytes of text in a block, and blocks' words or sequences that one counting shard handles.
 BLOCK, SHARD = 4 << 20, 1_500_000
+#: Contexts seen this often are dealt to one more shard for each time.
+HOT = 500_000
 #: Hash of the end of a text, which counts as a token.
 END = np.uint64(0x5BF0_3635_DEC0_DE01)
 
 
 def _pack(x: np.ndarray) -> bytes:
-    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(x).tobytes())
+    planes = np.ascontiguousarray(x).view(np.uint8).reshape(-1, x.itemsize).T  # first bytes, second bytes, ...: high ones are mostly 0
+    return zstandard.ZstdCompressor(level=1).compress(planes.tobytes())
 
 
 def _unpack(x: bytes, dtype) -> np.ndarray:
-    return np.frombuffer(zstandard.ZstdDecompressor().decompress(x), dtype)
-
-
-def pair_hash(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Hash of a sequence's hash followed by one more word's."""
-    with np.errstate(over="ignore"):
-        return mix(a * np.uint64(0x9E3779B97F4A7C15) + b + np.uint64(0x1234567))
+    size = np.dtype(dtype).itemsize
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(x), np.uint8).reshape(size, -1)
+    return np.ascontiguousarray(planes.T).reshape(-1).view(dtype)
 
 
 def token_hashes(texts) -> tuple[np.ndarray, np.ndarray]:
@@ -67,23 +69,8 @@ def token_hashes(texts) -> tuple[np.ndarray, np.ndarray]:
     return out, bounds
 
 
-def history(tokens: np.ndarray, bounds: np.ndarray, depth: int) -> list[np.ndarray]:
-    """For k = 1 .. depth the hash of the k tokens before each, oldest first; 0 where the text has fewer."""
-    place = np.arange(len(tokens)) - np.repeat(bounds[:-1], np.diff(bounds))
-    out = []
-    for k in range(1, depth + 1):
-        h = np.zeros(len(tokens), np.uint64)
-        i = np.flatnonzero(place >= k)
-        x = tokens[i - k]
-        for j in range(k - 1, 0, -1):
-            x = pair_hash(x, tokens[i - j])
-        h[i] = x
-        out.append(h)
-    return out
-
-
 def blocks(df: DataFrame, id_col: str, text_col: str, training: Column) -> DataFrame:
-    """(block, words, counts, n_words, n_train, ids, held, sizes, tokens): see the module's text."""
+    """(block, words, counts, n_words, n_train, n_tokens, ids, held, sizes, tokens): see the module's text."""
     id_type = dict(df.dtypes)[id_col]
     rows = df.select(F.col(id_col), F.coalesce(training, F.lit(False)).alias("__train"), F.col(text_col))
 
@@ -94,30 +81,9 @@ def blocks(df: DataFrame, id_col: str, text_col: str, training: Column) -> DataF
         counts = np.bincount(index[np.repeat(train, np.diff(bounds))], minlength=len(words))
         block = uuid.uuid4().bytes  # equal blocks stay apart; the name is fixed once the table is written
         one = lambda x, t: pa.array([x], t)
-        return one(block, pa.binary()), one(_pack(words), pa.binary()), one(_pack(counts.astype(np.uint32)), pa.binary()), one(len(words), pa.int64()), one(int(counts.sum()), pa.int64()), pa.array([rows.column(0).to_pylist()], pa.list_(rows.column(0).type)), one(np.packbits(~train).tobytes(), pa.binary()), one(np.diff(bounds).astype("<i8").tobytes(), pa.binary()), one(_pack(index.astype(np.uint32)), pa.binary())
-
-    return map_texts(rows, [id_col, "__train"], text_col, run, f"block binary, words binary, counts binary, n_words bigint, n_train bigint, ids array<{id_type}>, held binary, sizes binary, tokens binary", BLOCK)
+        return one(block, pa.binary()), one(_pack(words), pa.binary()), one(_pack(counts.astype(np.uint32)), pa.binary()), one(len(words), pa.int64()), one(int(counts.sum()), pa.int64()), one(len(tokens), pa.int64()), pa.array([rows.column(0).to_pylist()], pa.list_(rows.column(0).type)), one(np.packbits(~train).tobytes(), pa.binary()), one(np.diff(bounds).astype("<i8").tobytes(), pa.binary()), one(_pack(index.astype(np.uint32)), pa.binary())
 
-
-def _add_up(rows: DataFrame, n: int) -> DataFrame:
-    """(part, keys, counts) with any number of rows a part becomes one row a part, counts of equal keys added."""
-
-    def run(batches):
-        held: dict[int, list] = {}
-        for batch in batches:
-            for part, keys, counts in zip(*(batch.column(c).to_pylist() for c in ("part", "keys", "counts")), strict=True):
-                own = held.setdefault(part, [[], [], 0])
-                own[0].append(_unpack(keys, np.uint64))
-                own[1].append(_unpack(counts, np.int64))
-                own[2] += len(own[0][-1])
-                if own[2] > 1 << 20:
-                    k, c = unique_counts(np.concatenate(own[0]), np.concatenate(own[1]))
-                    held[part] = [[k], [c], 0]
-        for part, (keys, counts, _) in held.items():
-            k, c = unique_counts(np.concatenate(keys), np.concatenate(counts))
-            yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([_pack(k)], pa.binary()), pa.array([_pack(c)], pa.binary())], ["part", "keys", "counts"])
-
-    return rows.repartition(n, "part").mapInArrow(run, "part int, keys binary, counts binary")
+    return map_texts(rows, [id_col, "__train"], text_col, run, f"block binary, words binary, counts binary, n_words bigint, n_train bigint, n_tokens bigint, ids array<{id_type}>, held binary, sizes binary, tokens binary", BLOCK)
 
 
 def by_part(keys: np.ndarray, parts: int) -> np.ndarray:
@@ -126,118 +92,191 @@ def by_part(keys: np.ndarray, parts: int) -> np.ndarray:
     return np.append(np.searchsorted(keys, np.array(edges, np.uint64)), len(keys))
 
 
-def sequences(table: DataFrame, words: np.ndarray, before: list[np.ndarray], least: int, parts: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(context, word, count) of all training sequences of len(before) + 1 words with count >= least.
-
-    Every part of such a sequence is as frequent, so only sequences of frequent words (`words`) behind frequent
-    contexts (`before`, one array of hashes for each length) are counted, and at most 1 / p_min rows are returned.
-    """
-    k = len(before)
-    shared = table.sparkSession.sparkContext.broadcast((words, before[-1]))
-
-    def count(batches):
-        frequent, contexts = shared.value
-        for batch in batches:
-            for w, held, sizes, index in zip(*(batch.column(c).to_pylist() for c in ("words", "held", "sizes", "tokens")), strict=True):
-                w = _unpack(w, np.uint64)
-                sizes = np.frombuffer(sizes, "<i8")
-                bounds = np.concatenate(([0], np.cumsum(sizes)))
-                train = ~np.unpackbits(np.frombuffer(held, np.uint8), count=len(sizes)).astype(bool)
-                index = _unpack(index, np.uint32)
-                tokens = w[index]
-                ok = lookup(frequent, w)[1][index] & np.repeat(train, sizes)
-                past = history(tokens, bounds, k)[-1]
-                i = np.flatnonzero(ok & (past != 0))
-                at, there = lookup(contexts, past[i])
-                i, at = i[there], at[there]
-                # a context and a word are places in two short lists, so a sequence is one exact key
-                key = at.astype(np.uint64) << np.uint64(32) | lookup(frequent, w)[0][index[i]].astype(np.uint64)
-                keys, n = unique_counts(key)
-                part = mix(keys) % np.uint64(parts)
-                order = np.argsort(part, kind="stable")
-                cuts = np.searchsorted(part[order], np.arange(parts + 1))
-                some = [p for p in range(parts) if cuts[p + 1] > cuts[p]]
-                yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array([_pack(keys[order[cuts[p] : cuts[p + 1]]]) for p in some], pa.binary()), pa.array([_pack(n[order[cuts[p] : cuts[p + 1]]].astype(np.int64)) for p in some], pa.binary())], ["part", "keys", "counts"])
-
-    def keep(batches):
-        for batch in batches:
-            for keys, counts in zip(batch.column("keys").to_pylist(), batch.column("counts").to_pylist(), strict=True):
-                keys, counts = _unpack(keys, np.uint64), _unpack(counts, np.int64)
-                ok = counts >= least
-                yield pa.RecordBatch.from_arrays([pa.array([keys[ok].astype("<u8").tobytes()], pa.binary()), pa.array([counts[ok].astype("<i8").tobytes()], pa.binary())], ["keys", "counts"])
-
-    counted = table.select("words", "held", "sizes", "tokens").mapInArrow(count, "part int, keys binary, counts binary")
-    rows = _add_up(counted, parts).mapInArrow(keep, "keys binary, counts binary").collect()  # at most 1 / p_min sequences
-    keys = np.concatenate([np.zeros(0, np.uint64), *(np.frombuffer(bytes(r["keys"]), "<u8") for r in rows)])
-    counts = np.concatenate([np.zeros(0, np.int64), *(np.frombuffer(bytes(r["counts"]), "<i8") for r in rows)])
-    order = np.argsort(keys)
-    keys, counts = keys[order], counts[order]
-    return before[-1][(keys >> np.uint64(32)).astype(np.int64)], words[(keys & np.uint64(0xFFFFFFFF)).astype(np.int64)], counts
+def runs(*keys: np.ndarray) -> np.ndarray:
+    """True where sorted rows differ from the row before."""
+    new = np.ones(len(keys[0]), bool)
+    if len(new):
+        new[1:] = np.logical_or.reduce([k[1:] != k[:-1] for k in keys])
+    return new
 
 
-class SuffixTree:
-    """Retained contexts by length, their followers, and the mass each leaves to its suffix's state.
+class Asked:
+    """What a block asks of one level: its distinct (context, word), sorted by shard, context and word.
 
-    contexts[k]: sorted hashes of the retained contexts of k + 1 words; backoff[k]: for each the factor on the
-    probability under the suffix's state; followers[k]: sorted hashes of (context, word); logs[k]: their log10 probabilities.
+    A word that can't be a frequent follower is 0; its row still asks for the context.
     """
 
-    def __init__(self):
-        self.contexts, self.backoff, self.followers, self.logs = [], [], [], []
-
-    def grow(self, context, suffix, word, count, total_of, base_log, divergence: float) -> None:
-        """Adds the contexts of the next length: rows (context, its suffix's hash, word, count), and totals of contexts."""
-        order = np.lexsort((word, context))
-        context, suffix, word, count = context[order], suffix[order], word[order], count[order]
-        first = np.flatnonzero(np.concatenate(([True], context[1:] != context[:-1]))) if len(context) else np.zeros(0, np.int64)
-        sizes = np.diff(np.append(first, len(context)))
-        total = np.repeat(total_of(context[first]), sizes).astype(float)
-        p = (count - DISCOUNT) / total
-        under = self.log_probability([np.zeros(len(word), np.uint64)] * (len(self.contexts) - 1) + [suffix] if self.contexts else [], word, base_log(word))
-        parent = 10.0**under
-        segment = lambda x: np.add.reduceat(x, first) if len(first) else np.zeros(0)
-        kept, kept_parent = segment(p), segment(parent)
-        left = np.maximum(1e-9, 1 - kept)
-        factor = left / np.maximum(1e-9, 1 - np.minimum(kept_parent, 1 - 1e-9))
-        gain = segment(count * np.log(np.maximum(p, 1e-300) / parent)) + (total[first] - segment(count.astype(float))) * np.log(factor) if len(first) else np.zeros(0)
-        retained = gain >= divergence
-        rows = np.repeat(retained, sizes)
-        self.contexts.append(context[first][retained])
-        self.backoff.append(np.log10(factor[retained]))
-        pair = pair_hash(context[rows], word[rows])
-        order = np.argsort(pair)
-        self.followers.append(pair[order])
-        self.logs.append(np.log10(p[rows])[order])
-
-    def log_probability(self, past: list[np.ndarray], word: np.ndarray, base: np.ndarray) -> np.ndarray:
-        """log10 probability of each word under its longest retained context, by the states of ever longer ones."""
-        out = base.copy()
-        for k in range(min(len(past), len(self.contexts))):
-            at, there = lookup(self.contexts[k], past[k])
-            i = np.flatnonzero(there & (past[k] != 0))
-            out[i] += self.backoff[k][at[i]]
-            pair, known = lookup(self.followers[k], pair_hash(past[k][i], word[i]))
-            out[i[known]] = self.logs[k][pair[known]]
-        return out
+    def __init__(self, context, total, word, can, parts: int, often: int):
+        self.at = np.flatnonzero(context)  # tokens that have a context
+        c, w = context[self.at], np.where(can, word, np.uint64(0))[self.at]
+        order = np.lexsort((w, c))
+        new = runs(c[order], w[order])
+        inverse = np.empty(len(order), np.int64)
+        inverse[order] = np.cumsum(new) - 1
+        some = order[new]
+        c, w, t, first = c[some], w[some], total[self.at][some], self.at[some]
+        splits = (1 + t // often).astype(np.uint64)
+        with np.errstate(over="ignore"):
+            part = mix(c * np.uint64(0x9E3779B97F4A7C15) + mix(w) % splits) % np.uint64(parts)
+        order = np.argsort(part, kind="stable")
+        rank = np.empty(len(order), np.int64)
+        rank[order] = np.arange(len(order))
+        self.row = rank[inverse]  # of each token in `at`
+        self.context, self.word, self.total, self.first, self.part, self.split = c[order], w[order], t[order], first[order], part[order], splits[order] > 1
+        self.new = runs(self.part, self.context)
+
+
+def replay(batch, i: int, scale: float, levels: list) -> tuple:
+    """A block's tokens after the levels that are known: log10 probabilities, and the state from which the next level asks.
+
+    levels: (number of shards, count from which a context is split, split contexts, their factors) of each.
+    """
+    get = lambda name: batch.column(name)[i].as_py()
+    sizes, index = np.frombuffer(get("sizes"), "<i8"), _unpack(get("tokens"), np.uint32)
+    back = get("back0")
+    c = np.concatenate([_unpack(x["n"], np.int64) for x in back])
+    word = np.concatenate([_unpack(x["id"], np.uint64) for x in back])[index]
+    bounds = np.concatenate(([0], np.cumsum(sizes)))
+    base = (np.log10(c + 1) - scale)[index]
+    own, gram, count = base.copy(), word, c[index]
+
+    def before():
+        context, total = np.zeros(len(gram), np.uint64), np.zeros(len(gram), np.int64)
+        context[1:], total[1:] = gram[:-1], count[:-1]
+        context[bounds[:-1]] = 0
+        return context, total
+
+    for k, (parts, often, hot, factors) in enumerate(levels):
+        context, total = before()
+        ask = Asked(context, total, word, gram > 0, parts, often)
+        gram, count = np.zeros(len(word), np.uint64), np.zeros(len(word), np.int64)
+        if len(ask.at):
+            back = get(f"back{k + 1}")
+            n, number, f = (np.concatenate([_unpack(x[name], t) for x in back]) for name, t in (("n", np.int64), ("id", np.uint64), ("f", np.float64)))
+            f = f[np.cumsum(ask.new) - 1]
+            if len(hot):
+                at, there = lookup(hot, ask.context)
+                f = np.where(ask.split, np.where(there, factors[at], np.nan), f)
+            gram[ask.at], count[ask.at] = number[ask.row], n[ask.row]
+            f, n = f[ask.row], n[ask.row]
+            p = np.log10(np.maximum(n - DISCOUNT, DISCOUNT) / total[ask.at])
+            own[ask.at] = np.where(np.isnan(f), own[ask.at], np.where(n > 0, p, own[ask.at] + f))
+    return sizes, index, bounds, c, base, own, word, gram, *before()
+
+
+def factors_of(total, seen, kept, kept_parent, gain, divergence: float) -> np.ndarray:
+    """log10 of the factor on the probability under the suffix's state, NaN for contexts that aren't retained."""
+    factor = np.maximum(1e-9, 1 - kept) / np.maximum(1e-9, 1 - np.minimum(kept_parent, 1 - 1e-9))
+    return np.where((seen > 0) & (gain + (total - seen) * np.log(factor) >= divergence), np.log10(factor), np.nan)
+
+
+ASKED = "part int, block binary, contexts binary, totals binary, sizes binary, words binary, counts binary, parents binary"
+
+
+def _ask(table: DataFrame, scale: float, levels: list, parts: int, often: int) -> DataFrame:
+    """Rows of what each block asks each shard of the next level; parents: log10 probabilities under the suffix's state, at the first level the counts that give them."""
 
+    def run(batches):
+        for batch in batches:
+            for i in range(batch.num_rows):
+                sizes, index, _, c, _, own, word, gram, context, total = replay(batch, i, scale, levels)
+                train = ~np.unpackbits(np.frombuffer(batch.column("held")[i].as_py(), np.uint8), count=len(sizes)).astype(bool)
+                ask = Asked(context, total, word, gram > 0, parts, often)
+                counts = np.bincount(ask.row[np.repeat(train, sizes)[ask.at]], minlength=len(ask.word)).astype(np.uint32)
+                parents = np.where(ask.word > 0, own[ask.first], 0.0) if levels else c[index][ask.first].astype(np.int64)
+                head = np.flatnonzero(ask.new)
+                length = np.diff(np.append(head, len(ask.word))).astype(np.uint32)
+                some, cuts = np.unique(ask.part, return_index=True)
+                cuts = np.append(cuts, len(ask.part))
+                at = np.searchsorted(head, cuts)
+                block = batch.column("block")[i].as_py()
+                heads = lambda x: pa.array([_pack(x[a:b]) for a, b in zip(at[:-1], at[1:])], pa.binary())
+                each = lambda x: pa.array([_pack(x[a:b]) for a, b in zip(cuts[:-1], cuts[1:])], pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array([block] * len(some), pa.binary()), heads(ask.context[head]), heads(ask.total[head]), heads(length), each(ask.word), each(counts), each(parents)], [x.split()[0] for x in ASKED.split(", ")])
+
+    return table.select("block", "held", "sizes", "tokens", *[f"back{k}" for k in range(len(levels) + 1)]).mapInArrow(run, ASKED)
+
+
+def _answer(asked: DataFrame, scale: float | None, parts: int, hot_from: int, least: int, divergence: float) -> DataFrame:
+    """(part, block, n, id, f, hot): counts of at least `least` (else 0) and numbers of the sequences, factors of the contexts; sums of hot ones."""
 
-def lm_scores(df: DataFrame, training: Column, id_col: str = "doc_id", text_col: str = "text", p_min: float = P_MIN, depth: int = DEPTH, divergence: float = DIVERGENCE) -> DataFrame:
+    def run(batches):
+        held: dict[int, list] = {}
+        for batch in batches:
+            for row in batch.to_pylist():
+                held.setdefault(row["part"], []).append(row)
+        for part in list(held):
+            rows = held.pop(part)
+            read = lambda name, t: [_unpack(r[name], t) for r in rows]  # noqa: B023, E731
+            lengths = read("sizes", np.uint32)
+            own = np.concatenate(read("contexts", np.uint64))  # a row for each block's context
+            length = np.concatenate(lengths)
+            context, total = np.repeat(own, length), np.repeat(np.concatenate(read("totals", np.int64)), length)
+            word, n, parent = np.concatenate(read("words", np.uint64)), np.concatenate(read("counts", np.uint32)), np.concatenate(read("parents", np.float64 if scale is None else np.int64))
+            parent = parent if scale is None else np.log10(parent + 1) - scale
+            order = np.lexsort((word, context))
+            context, word = context[order], word[order]
+            first = np.flatnonzero(runs(context, word))
+            where = np.empty(len(order), np.int32)
+            where[order] = np.repeat(np.arange(len(first), dtype=np.int32), np.diff(np.append(first, len(order))))
+            sums = np.add.reduceat(n[order].astype(np.int64), first)
+            context, word, total, parent = context[first], word[first], total[order][first], 10.0 ** parent[order][first]
+            often = (sums >= least) & (word > 0)
+            sums = np.where(often, sums, 0)
+            number = np.where(often, (np.cumsum(often) - 1) * parts + part + 1, 0).astype(np.uint64)
+            p = np.where(often, (sums - DISCOUNT) / np.maximum(total, 1), 0.0)
+            gain = np.where(often, sums * np.log(np.maximum(p, 1e-300) / parent), 0.0)
+            head = np.flatnonzero(runs(context))
+            add = lambda x: np.add.reduceat(x, head)  # noqa: B023, E731
+            seen, kept, kept_parent, gain = add(sums), add(p), add(np.where(often, parent, 0.0)), add(gain)
+            names, total = context[head], total[head]
+            split = total >= hot_from
+            f = np.where(split, np.nan, factors_of(total, seen, kept, kept_parent, gain, divergence))
+            hot = np.stack([x[split].astype(np.float64) for x in (total, seen, kept, kept_parent, gain)])
+            hot = names[split].astype("<u8").tobytes() + hot.astype("<f8").tobytes()
+            at = np.cumsum([0, *(int(x.sum()) for x in lengths)])
+            to = np.cumsum([0, *(len(x) for x in lengths)])
+            for i, r in enumerate(rows):
+                here = where[at[i] : at[i + 1]]
+                mine = f[np.searchsorted(names, own[to[i] : to[i + 1]])]
+                yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([r["block"]], pa.binary()), pa.array([_pack(sums[here])], pa.binary()), pa.array([_pack(number[here])], pa.binary()), pa.array([_pack(mine)], pa.binary()), pa.array([b"" if i else hot], pa.binary())], ["part", "block", "n", "id", "f", "hot"])
+
+    return asked.repartition(parts, "part").mapInArrow(run, "part int, block binary, n binary, id binary, f binary, hot binary")
+
+
+def hot_factors(answers: DataFrame, divergence: float) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted contexts that several shards hold, and their factors."""
+    names, sums = [np.zeros(0, np.uint64)], [np.zeros((5, 0))]
+    for row in answers.where(F.octet_length("hot") > 0).select("hot").toLocalIterator():
+        hot = bytes(row["hot"])
+        n = len(hot) // 48
+        names.append(np.frombuffer(hot[: 8 * n], "<u8"))
+        sums.append(np.frombuffer(hot[8 * n :], "<f8").reshape(5, n))
+    names, sums = np.concatenate(names), np.concatenate(sums, axis=1)
+    keys = unique_counts(names)[0]
+    total = np.zeros(len(keys))
+    total[np.searchsorted(keys, names)] = sums[0]  # the same in every shard
+    return keys, factors_of(total, *(unique_counts(names, x)[1] for x in sums[1:]), divergence)
+
+
+def lm_scores(df: DataFrame, training: Column, id_col: str = "doc_id", text_col: str = "text", p_min: float = 0.0, depth: int = DEPTH, divergence: float = DIVERGENCE, min_count: int = MIN_COUNT) -> DataFrame:
     """(id, held_out, n_tokens, n_known, train_tokens, base_score, score) for every row; `training` says which rows are learned from.
 
     base_score: sum over tokens of log10((c + 1) / (N + V + 1)); score: log10 probability under the tree.
+    Sequences seen min_count times or more are learned; only a caller's p_min raises that to a share of the tokens.
     Null texts count as empty, their one token is the end; a null condition counts as not training; repeated
     rows are learned from and scored each; without training rows every token has probability 1. Columns
     other than the two named are neither read nor kept.
     """
-    if not 1 <= depth <= 2:
-        raise ValueError("contexts have one or two words")
+    if depth < 1 or min_count < 1:
+        raise ValueError("contexts have a word at least, and sequences are seen")
     spark = df.sparkSession
     id_type = dict(df.dtypes)[id_col]
     table = materialise(blocks(df, id_col, text_col, training), "blocks")
-    total = table.agg(F.sum("n_train"), F.sum("n_words")).first()
-    n_train, entries = total[0] or 0, total[1] or 0
+    total = table.agg(F.sum("n_train"), F.sum("n_words"), F.sum("n_tokens")).first()
+    n_train, entries, n_tokens = (x or 0 for x in total)
     parts = max(1, -(-entries // SHARD))
-    least = max(2, int(np.ceil(p_min * n_train)))
+    least = max(min_count, int(np.ceil(p_min * n_train)))
 
     def deal(batches):
         for batch in batches:
@@ -258,56 +297,48 @@ def lm_scores(df: DataFrame, training: Column, id_col: str = "doc_id", text_col:
             counts = [_unpack(r[2], np.uint32).astype(np.int64) for r in rows]
             keys, sums = unique_counts(np.concatenate(words), np.concatenate(counts))
             often = sums >= least
+            number = np.where(often, (np.cumsum(often) - 1) * parts + part + 1, 0).astype(np.uint64)
             v = int((sums > 0).sum())
             for i, (row, w) in enumerate(zip(rows, words, strict=True)):
-                c = sums[np.searchsorted(keys, w)]
-                yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([row[0]], pa.binary()), pa.array([_pack(c)], pa.binary()), pa.array([v if not i else 0], pa.int64()), pa.array([keys[often].astype("<u8").tobytes() if not i else b""], pa.binary()), pa.array([sums[often].astype("<i8").tobytes() if not i else b""], pa.binary())], ["part", "block", "c", "v", "often", "n_often"])
+                at = np.searchsorted(keys, w)
+                yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([row[0]], pa.binary()), pa.array([_pack(sums[at])], pa.binary()), pa.array([_pack(number[at])], pa.binary()), pa.array([v if not i else 0], pa.int64())], ["part", "block", "n", "id", "v"])
 
     dealt = table.select("block", "words", "counts").mapInArrow(deal, "part int, block binary, words binary, counts binary")
-    counted = materialise(dealt.repartition(parts, "part").mapInArrow(count, "part int, block binary, c binary, v bigint, often binary, n_often binary"), "counts")
+    counted = materialise(dealt.repartition(parts, "part").mapInArrow(count, "part int, block binary, n binary, id binary, v bigint"), "counts")
     v = counted.agg(F.sum("v")).first()[0] or 0
-    # words with at least p_min of the tokens: at most 1 / p_min
-    often = counted.where(F.octet_length("often") > 0).select("often", "n_often").collect()
-    words = np.concatenate([np.zeros(0, np.uint64), *(np.frombuffer(bytes(r["often"]), "<u8") for r in often)])
-    word_counts = np.concatenate([np.zeros(0, np.int64), *(np.frombuffer(bytes(r["n_often"]), "<i8") for r in often)])
-    order = np.argsort(words)
-    words, word_counts = words[order], word_counts[order]
     scale = np.log10(n_train + v + 1)
-    base_log = lambda w: np.log10(word_counts[lookup(words, w)[0]] + 1) - scale  # noqa: E731  of frequent words
-    tree = SuffixTree()
-    inner = words[words != END]
-    if n_train and len(inner):
-        many = max(1, table.count() // 8)
-        a, b, n = sequences(table, words, [inner], least, many)
-        tree.grow(a, np.zeros(len(a), np.uint64), b, n, lambda c: word_counts[lookup(words, c)[0]], base_log, divergence)
-        on = b != END
-        pairs, pair_counts, last = pair_hash(a[on], b[on]), n[on], b[on]
-        if depth == 2 and len(pairs):
-            order = np.argsort(pairs)
-            pairs, pair_counts, last = pairs[order], pair_counts[order], last[order]
-            c, d, n = sequences(table, words, [inner, pairs], least, many)
-            suffix = last[lookup(pairs, c)[0]]
-            tree.grow(c, suffix, d, n, lambda x: pair_counts[lookup(pairs, x)[0]], base_log, divergence)
-    model = spark.sparkContext.broadcast(tree)
-    back = counted.groupBy("block").agg(F.array_sort(F.collect_list(F.struct("part", "c"))).alias("x")).select("block", "x.c")
-    joined = table.select("block", "words", "ids", "held", "sizes", "tokens").join(back, "block")
+
+    def joined(table, answers, k, *names):
+        back = answers.groupBy("block").agg(F.array_sort(F.collect_list(F.struct("part", *names))).alias(f"back{k}"))
+        return table.join(back.hint("merge"), "block", "left")
+
+    def moved(new, name, *old):
+        out = materialise(new, name)
+        del new  # or its shuffle files stay
+        for x in old:
+            drop_materialised(x)
+        return out
+
+    table = moved(joined(table.select("block", "ids", "held", "sizes", "tokens"), counted, 0, "n", "id"), "level", table, counted)
+    levels: list = []
+    shards = max(1, -(-n_tokens // SHARD))
+    for k in range(1, depth + 1 if n_train else 1):
+        answers = materialise(_answer(_ask(table, scale, levels, shards, HOT), None if levels else scale, shards, HOT, least, divergence), "answers")
+        spark._jvm.System.gc()  # lets the cleaner delete what was asked
+        levels = [*levels, (shards, HOT, *hot_factors(answers, divergence))]
+        table = moved(joined(table, answers, k, "n", "id", "f"), "level", table, answers) if k < depth else joined(table, answers, k, "n", "id", "f")
+    known = spark.sparkContext.broadcast(levels)
 
     def score(batches):
-        tree = model.value
         for batch in batches:
             for i in range(batch.num_rows):
-                w, held, sizes, index = (batch.column(c)[i].as_py() for c in ("words", "held", "sizes", "tokens"))
-                w, index, sizes = _unpack(w, np.uint64), _unpack(index, np.uint32), np.frombuffer(sizes, "<i8")
-                c = np.concatenate([_unpack(x, np.int64) for x in batch.column("c")[i].as_py()])
-                bounds = np.concatenate(([0], np.cumsum(sizes)))
-                base = (np.log10(c + 1) - scale)[index]
-                tokens = w[index]
-                own = tree.log_probability(history(tokens, bounds, len(tree.contexts)), tokens, base)
-                sums = lambda x: np.add.reduceat(x, bounds[:-1])  # noqa: E731  every text has its end
+                sizes, index, bounds, c, base, own, *_ = replay(batch, i, scale, known.value)
+                held = np.unpackbits(np.frombuffer(batch.column("held")[i].as_py(), np.uint8), count=len(sizes)).astype(bool)
+                sums = lambda x: np.add.reduceat(x, bounds[:-1])  # noqa: B023, E731  every text has its end
                 ids = batch.column("ids").slice(i, 1).flatten()
                 yield pa.RecordBatch.from_arrays(
-                    [ids, pa.array(np.unpackbits(np.frombuffer(held, np.uint8), count=len(sizes)).astype(bool)), pa.array(sizes), pa.array(sums((c > 0)[index].astype(np.int64))), pa.array(np.full(len(sizes), n_train)), pa.array(sums(base)), pa.array(sums(own))],
+                    [ids, pa.array(held), pa.array(sizes), pa.array(sums((c > 0)[index].astype(np.int64))), pa.array(np.full(len(sizes), n_train)), pa.array(sums(base)), pa.array(sums(own))],
                     [id_col, "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
                 )
 
-    return joined.mapInArrow(score, f"`{id_col}` {id_type}, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double")
+    return table.mapInArrow(score, f"`{id_col}` {id_type}, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double")

@@ -251,6 +251,54 @@ def test_language_model_without_training_rows_or_rows(spark):
     assert lm.lm_scores(df.where("false"), F.lit(True)).count() == 0
 
 
+def brute_scores(texts, train, depth, least=2, discount=0.5, divergence=3.0):
+    """log10 probabilities by plain counters over all contexts of up to `depth` words."""
+    tokens = [re.findall(WORD, lower(t)) + [None] for t in texts]
+    grams = [collections.Counter(tuple(w[i - k : i + 1]) for w, t in zip(tokens, train) if t for i in range(k, len(w))) for k in range(depth + 1)]
+    n, v = sum(grams[0].values()), len(grams[0])
+    factor = {}
+
+    def log_p(past, w):
+        if not past:
+            return math.log10((grams[0][(w,)] + 1) / (n + v + 1))
+        if past not in factor:
+            return log_p(past[1:], w)
+        c = grams[len(past)][(*past, w)]
+        return math.log10((c - discount) / grams[len(past) - 1][past]) if c >= least else log_p(past[1:], w) + factor[past]
+
+    for k in range(1, depth + 1):
+        after = collections.defaultdict(list)
+        for g, c in grams[k].items():
+            if c >= least:
+                after[g[:-1]].append((g[-1], c))
+        new = {}
+        for past, followers in after.items():
+            total = grams[k - 1][past]
+            p = [((c - discount) / total, 10 ** log_p(past[1:], w), c) for w, c in followers]
+            f = max(1e-9, 1 - sum(x for x, _, _ in p)) / max(1e-9, 1 - min(sum(y for _, y, _ in p), 1 - 1e-9))
+            if sum(c * math.log(x / y) for x, y, c in p) + (total - sum(c for _, _, c in p)) * math.log(f) >= divergence:
+                new[past] = math.log10(f)
+        factor |= new
+    return [sum(log_p(tuple(w[max(0, i - depth) : i]), w[i]) for i in range(len(w))) for w in tokens]
+
+
+@pytest.mark.parametrize("depth, hot", [(2, 500_000), (2, 7), (3, 500_000)])
+def test_tree_of_the_whole_corpus_equals_plain_counters(spark, monkeypatch, depth, hot):
+    """Sequences seen twice are learned however large the corpus is, in many blocks and shards, and with split contexts."""
+    monkeypatch.setattr(lm, "HOT", hot)
+    monkeypatch.setattr(lm, "BLOCK", 60_000)
+    monkeypatch.setattr(lm, "SHARD", 30_000)
+    rows, df = corpus(spark, 11, 120)
+    rng = random.Random(5)
+    rare = " ".join(word(rng, "qrstuv") for _ in range(60))
+    rows += [(1000, rare, "x"), (1001, rare, "x"), *((2000 + i, " ".join(word(rng, "fghijk") for _ in range(2000)), "x") for i in range(60))]
+    df = spark.createDataFrame(rows, df.schema)
+    want = brute_scores([t for _, t, _ in rows], [i % 5 != 2 for i, _, _ in rows], depth)
+    out = {r["doc_id"]: r for r in lm.lm_scores(df, F.col("doc_id") % 5 != 2, depth=depth).collect()}
+    assert len(out) == len(rows) and all(out[i]["score"] == pytest.approx(x, rel=1e-9) for (i, _, _), x in zip(rows, want, strict=True))
+    assert out[1000]["score"] > 0.5 * out[1000]["base_score"]  # 61 tokens in a corpus of over 100,000
+
+
 # ---------------------------------------------------------------- tokens
 
 
