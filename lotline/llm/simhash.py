@@ -320,13 +320,15 @@ def hex16(fp: Column) -> Column:
 
 
 def keep_one_per_component(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", find=None, **options) -> DataFrame:
-    """One row of df for each component: the one whose id names it, with all its columns.
+    """One row of df for each component, with all its columns: one with the smallest id there, or without id where no row has one.
 
-    Rows that repeat an id count as one document. Where no row of a component has an id, one row without id stays.
+    Rows are told apart by id and text (its MD5), so an id that repeats, or is missing, in several components stays in each.
     """
-    found = materialise((find or simhash_components)(df, id_col, text_col, **options), "components")
-    kept = found.where(F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias("__kept"))
+    row = F.struct(F.col(id_col).isNull().alias("no_id"), F.col(id_col).alias("id"), F.unhex(F.md5(F.coalesce(F.col(text_col).cast("string"), F.lit("")))).alias("text"))
+    df = df.withColumn("__row", row)
+    found = materialise((find or simhash_components)(df, "__row", text_col, **options), "components")
+    kept = found.where(F.col("__row").eqNullSafe(F.col("component_id"))).select(F.col("__row").alias("__kept"))
     # a shuffle at every size: what is kept grows with the table, so it is never broadcast
-    out = df.join(kept.hint("merge"), df[id_col].eqNullSafe(kept["__kept"]), "left_semi")
-    repeated = found.groupBy(id_col).count().where("count > 1").limit(1).count() > 0
-    return out.dropDuplicates([id_col]) if repeated else out
+    out = df.join(kept.hint("merge"), df["__row"].eqNullSafe(kept["__kept"]), "left_semi")
+    repeated = kept.groupBy("__kept").count().where("count > 1").limit(1).count() > 0
+    return (out.dropDuplicates(["__row"]) if repeated else out).drop("__row")

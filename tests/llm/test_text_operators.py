@@ -136,6 +136,16 @@ def test_simhash_without_rows_and_with_null_ids(spark):
     assert sorted(r["doc_id"] for r in kept.collect()) == [5, 7]
 
 
+@pytest.mark.parametrize("find", [simhash.simhash_components, simhash.similar_components])
+def test_one_row_stays_of_each_component_whatever_its_ids(spark, find):
+    texts = [" ".join(word(random.Random(k), "abcdefghijklm") + str(j) for j in range(80)) for k in range(5)]
+    rows = [(None, texts[0]), (None, texts[0]), (None, texts[1]), (3, texts[2]), (3, texts[2]), (3, texts[3]), (9, texts[3]), (None, texts[4]), (9, texts[4])]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    kept = simhash.keep_one_per_component(df, find=find)
+    assert kept.columns == df.columns
+    assert sorted(map(str, kept.collect())) == sorted(map(str, spark.createDataFrame([(None, texts[0]), (None, texts[1]), (3, texts[2]), (3, texts[3]), (9, texts[4])], df.schema).collect()))
+
+
 def test_copies_with_a_similarity_of_0_8_meet(spark):
     rng = random.Random(9)
     rows = []
