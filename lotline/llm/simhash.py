@@ -254,16 +254,9 @@ def simhash_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
 #: Words of a wide fingerprint, and the differing bits up to which wide fingerprints link. Shingle sets with a
 #: similarity of 0.8 differ in 15 % of the bits, 39 of 256 with a deviation of 6.
 WIDE, WIDE_BITS = 4, 44
-#: Bits of a band at least; more with more nodes, so that chance meetings stay in proportion.
-BAND_BITS = 16
-#: Share of pairs with a similarity of 0.8 that agree in some band.
-BAND_RECALL = 0.97
-
-
-def band_plan(nodes: int) -> tuple[int, int]:
-    """Bits in a band and number of bands for so many nodes."""
-    bits = max(BAND_BITS, int(nodes).bit_length() - 3)
-    return bits, int(np.ceil(np.log(1 - BAND_RECALL) / np.log(1 - 0.848**bits)))
+#: Bits of a band and number of bands, the same at every size: pairs that differ in WIDE_BITS bits, the most that
+#: link, agree in some band with a probability of 0.97. Buckets that get crowded are searched exactly.
+BAND_BITS, BANDS = 16, 71
 
 
 def wide_fingerprints(df: DataFrame, id_col: str, text_col: str, words_per_shingle: int) -> DataFrame:
@@ -285,17 +278,16 @@ def _wide_words(column: pa.Array) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), "<u8").reshape(-1, WIDE)
 
 
-def wide_links(nodes: DataFrame, count: int) -> DataFrame:
+def wide_links(nodes: DataFrame) -> DataFrame:
     """(u, v) between nodes (node bigint, fp binary) whose wide fingerprints differ in at most WIDE_BITS bits and agree in a band."""
-    bits, bands = band_plan(count)
     rng = np.random.default_rng(256)
-    chosen = [np.sort(rng.choice(64 * WIDE, bits, replace=False)) for _ in range(bands)]
+    chosen = [np.sort(rng.choice(64 * WIDE, BAND_BITS, replace=False)) for _ in range(BANDS)]
 
     def deal(batches):
         for batch in (whole.slice(at, 1000) for whole in batches for at in range(0, whole.num_rows, 1000)):
             flat = np.unpackbits(_wide_words(batch.column(1)).copy().view(np.uint8).reshape(-1, 8 * WIDE), axis=1)
             for k, own in enumerate(chosen):
-                key = (np.int64(k) << 40) | (flat[:, own].astype(np.int64) << np.arange(bits)).sum(axis=1)
+                key = (np.int64(k) << 40) | (flat[:, own].astype(np.int64) << np.arange(BAND_BITS)).sum(axis=1)
                 yield pa.RecordBatch.from_arrays([pa.array(key), batch.column(0), batch.column(1)], ["key", "node", "fp"])
 
     dealt = nodes.select("node", "fp").mapInArrow(deal, "key bigint, node bigint, fp binary")
@@ -309,7 +301,7 @@ def similar_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     """
     prints = materialise(wide_fingerprints(df, id_col, text_col, words_per_shingle).withColumn("node", F.xxhash64("fp")), "wide")
     nodes = materialise(prints.groupBy("node", "fp").agg(F.min(id_col).alias("low")), "widenodes")
-    roots = components(wide_links(nodes, nodes.count())).select(F.col("u").alias("node"), F.col("v").alias("root"))
+    roots = components(wide_links(nodes)).select(F.col("u").alias("node"), F.col("v").alias("root"))
     named = nodes.select("node", "low").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     names = named.groupBy("root").agg(F.min("low").alias("component_id"))
     return prints.select(id_col, "node").join(named.select("node", "root").join(names, "root").select("node", "component_id").distinct(), "node").select(id_col, "component_id")

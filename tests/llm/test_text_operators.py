@@ -146,6 +146,19 @@ def test_one_row_stays_of_each_component_whatever_its_ids(spark, find):
     assert sorted(map(str, kept.collect())) == sorted(map(str, spark.createDataFrame([(None, texts[0]), (None, texts[1]), (3, texts[2]), (3, texts[3]), (9, texts[4])], df.schema).collect()))
 
 
+def test_pairs_at_the_radius_meet_by_bands_of_one_plan(spark):
+    """The links of nodes depend on the nodes only, and pairs WIDE_BITS apart are found with the stated probability."""
+    rng = np.random.default_rng(4)
+    rows = []
+    for k in range(400):
+        one = rng.integers(0, 2, 256, dtype=np.uint8)
+        two = one.copy()
+        two[rng.choice(256, simhash.WIDE_BITS, replace=False)] ^= 1
+        rows += [(2 * k, bytearray(np.packbits(one).tobytes())), (2 * k + 1, bytearray(np.packbits(two).tobytes()))]
+    met = {(r["u"], r["v"]) for r in simhash.wide_links(spark.createDataFrame(rows, "node bigint, fp binary")).collect()}
+    assert met <= {(2 * k + 1, 2 * k) for k in range(400)} and len(met) >= 0.94 * 400
+
+
 def test_copies_with_a_similarity_of_0_8_meet(spark):
     rng = random.Random(9)
     rows = []
