@@ -99,8 +99,8 @@ def train(rows: DataFrame, features: tuple[str, ...], kind: str = "linear", weig
         a = DecisionTreeRegressor(**columns, maxDepth=3, minInstancesPerNode=100, maxBins=256)
         b = DecisionTreeClassifier(**binary, maxDepth=3, minInstancesPerNode=100, maxBins=256)
     elif kind == "boosted":
-        a = GBTRegressor(**columns, maxDepth=3, maxIter=30, stepSize=0.15, minInstancesPerNode=100, maxBins=256, seed=1)
-        b = GBTClassifier(**{k: v for k, v in binary.items() if k != "probabilityCol"}, maxDepth=3, maxIter=30, stepSize=0.15, minInstancesPerNode=100, maxBins=256, seed=1)
+        a = GBTRegressor(**columns, maxDepth=3, maxIter=100, stepSize=0.05, minInstancesPerNode=100, maxBins=256, seed=1)
+        b = GBTClassifier(**{k: v for k, v in binary.items() if k != "probabilityCol"}, maxDepth=3, maxIter=100, stepSize=0.05, minInstancesPerNode=100, maxBins=256, seed=1)
     else:
         raise ValueError(f"kind is one of {KINDS}")
     if one_class:

@@ -161,6 +161,19 @@ def test_held_out_rows_are_never_trained_on(spark):
     assert seen.where("window_id = t").count() == 0
 
 
+def test_boosted_trees_have_all_rounds(spark, monkeypatch):
+    asked = []
+
+    def one_round(kind):
+        return lambda **options: asked.append((options["maxIter"], options["stepSize"])) or kind(**{**options, "maxIter": 1})
+
+    monkeypatch.setattr(models, "GBTRegressor", one_round(models.GBTRegressor))
+    monkeypatch.setattr(models, "GBTClassifier", one_round(models.GBTClassifier))
+    rows = spark.createDataFrame([(float(i), 1.0 + 0.001 * i, i < 200, 1.0) for i in range(400)], "a double, pair_cost double, favorable boolean, paired_shares double")
+    models.train(rows, ("a",), "boosted")
+    assert asked == [(100, 0.05)] * 2
+
+
 def test_ridge_equals_its_closed_form_and_freezing_fails_closed(spark, tmp_path):
     import numpy as np
 
