@@ -42,20 +42,34 @@ LOWER[65:91] += 32
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or where unset a temporary one."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or where unset, in local mode only, a temporary one."""
     sc = spark.sparkContext
     root = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not root:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         root = "file://" + tempfile.mkdtemp(prefix="lotline-")
         sc.setCheckpointDir(root)
     return root
 
 
+#: Makes Spark delete the shuffle files of a query when it has ended.
+_SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Writes df as Parquet below the shared folder and reads it back: cuts lineage and survives lost executors."""
+    """Writes df as Parquet below the shared folder and reads it back: cuts lineage and survives lost executors.
+
+    Nothing reads the query's shuffle files once the table is written, so they go at once.
+    """
     spark = df.sparkSession
     path = f"{scratch_root(spark)}/lotline/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    before = spark.conf.get(_SHUFFLE_CLEANUP, "false")
+    spark.conf.set(_SHUFFLE_CLEANUP, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(_SHUFFLE_CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -66,7 +80,6 @@ def drop_materialised(df: DataFrame) -> None:
         folder = spark._jvm.org.apache.hadoop.fs.Path(file).getParent()
         if "/lotline/" in str(folder.toString()):
             folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
-    spark._jvm.System.gc()  # lets Spark's cleaner delete the shuffle files of frames that are gone
 
 
 # ---------------------------------------------------------------- texts as bytes

@@ -4,23 +4,25 @@
    training counts, and its documents as indices into them. Blocks are written to the shared folder.
 2. Counts of all words are added up in shards of the hash space and sent back to the blocks that hold
    the words, so no task and not the driver holds the vocabulary, which grows with the corpus. Words
-   seen at least `min_count` times get a number.
-3. The tree grows level by level in the same way. A block sends its distinct (context, word) to shards,
-   which add up the counts of the whole corpus, decide which contexts are retained (those whose next-word
-   distribution diverges enough from that of their longest proper suffix) and send counts, numbers and
-   back-off factors back. A sequence seen at least `min_count` times is a context of the next level.
-   Nothing is bounded relative to the corpus, and no task holds the tree.
-4. Each block scores its documents: the longest retained suffix of the words before gives the state;
-   a follower's probability is discounted, what is left goes to the state of the suffix, and at the
-   root to the smoothed word frequency.
-
-Contexts seen over HOT times are dealt to several shards; their sums, one row a context and shard, meet at the
-driver. There are at most 2 / HOT of the training tokens of such rows. Words are told apart by 64-bit hashes.
+   seen at least `min_count` times get a number, small for frequent words.
+3. The tree is dealt out by subtrees: a block sends its distinct windows (context words from the last one
+   back, then the word itself) to the shard of the last context word. There all contexts that end with
+   this word meet, whatever their length, so one shuffle gives all their counts; the shard decides level
+   by level which contexts are retained (those whose next-word distribution diverges enough from that of
+   their longest retained proper suffix) and sends back counts and back-off factors of each window.
+4. A context seen more than `hot` times is too much for one shard. Before step 3 its followers are dealt to
+   several shards and added up (one row of sums a context and shard meets at the driver, at most 2 / hot of the
+   tokens), and so are the words before it; its longer contexts then are subtrees of their own, or hot again.
+5. Each block adds up the log probabilities of its documents.
+
+A sequence seen at least `min_count` times in training is a context or a follower, whatever the size of the corpus.
+Words are told apart by 64-bit hashes.
 """
 
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -33,18 +35,20 @@ from .common import LOWER, drop_materialised, lookup, map_texts, materialise, mi
 #: Times a word sequence must be seen in training to be a context or a follower, whatever the size of the corpus.
 MIN_COUNT = 2
 #: Longest context in words.
-DEPTH = 2
+DEPTH = 4
 #: A context is retained if count * KL divergence from its suffix (nats) is at least this.
 DIVERGENCE = 3.0
 #: Taken off each follower's count.
 DISCOUNT = 0.5
-#: Bytes of text in a block, and blocks' words or sequences that one counting shard handles.
-BLOCK, SHARD = 4 << 20, 1_500_000
-#: Contexts seen this often are dealt to one more shard for each time.
-HOT = 500_000
+#: Bytes of text in a block; windows that one shard handles.
+BLOCK, SHARD = 4 << 20, 700_000
+#: Windows of one context above which its subtree is split.
+HOT = 1_500_000
 #: Hash of the end of a text, which counts as a token.
 END = np.uint64(0x5BF0_3635_DEC0_DE01)
 
+_ODD = np.uint64(0x9E3779B97F4A7C15)
+
 
 def _pack(x: np.ndarray) -> bytes:
     planes = np.ascontiguousarray(x).view(np.uint8).reshape(-1, x.itemsize).T  # first bytes, second bytes, ...: high ones are mostly 0
@@ -57,6 +61,10 @@ def _unpack(x: bytes, dtype) -> np.ndarray:
     return np.ascontiguousarray(planes.T).reshape(-1).view(dtype)
 
 
+def _join(parts: list[bytes], dtype) -> np.ndarray:
+    return np.concatenate([_unpack(x, dtype) for x in parts]) if parts else np.zeros(0, dtype)
+
+
 def token_hashes(texts) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all tokens, each text's words and its end, and the bounds of each text's."""
     starts, ends, first = texts.words()
@@ -86,12 +94,63 @@ def blocks(df: DataFrame, id_col: str, text_col: str, training: Column) -> DataF
     return map_texts(rows, [id_col, "__train"], text_col, run, f"block binary, words binary, counts binary, n_words bigint, n_train bigint, n_tokens bigint, ids array<{id_type}>, held binary, sizes binary, tokens binary", BLOCK)
 
 
+# ---------------------------------------------------------------- words
+
+
 def by_part(keys: np.ndarray, parts: int) -> np.ndarray:
     """Bounds of the slices of sorted hashes that go to each of `parts` equal ranges of the hash space."""
     edges = [min((1 << 64) - 1, (i << 64) // parts) for i in range(parts)]
     return np.append(np.searchsorted(keys, np.array(edges, np.uint64)), len(keys))
 
 
+def each_part(batches) -> Iterator[tuple[int, list[dict]]]:
+    """The rows of one part after the other, of batches sorted by part."""
+    held: list[dict] = []
+    for batch in batches:
+        for row in batch.to_pylist():
+            if held and held[0]["part"] != row["part"]:
+                yield held[0]["part"], held
+                held = []
+            held.append(row)
+    if held:
+        yield held[0]["part"], held
+
+
+def dealt(df: DataFrame, parts: int) -> DataFrame:
+    return df.repartition(parts, "part").sortWithinPartitions("part")
+
+
+def word_counts(table: DataFrame, parts: int, least: int) -> DataFrame:
+    """(part, block, n, id, v): training counts and numbers of each block's words; v: distinct training words of the part, once."""
+
+    def deal(batches):
+        for batch in batches:
+            for block, words, counts in zip(*(batch.column(c).to_pylist() for c in ("block", "words", "counts")), strict=True):
+                words, counts = _unpack(words, np.uint64), _unpack(counts, np.uint32)
+                cuts = by_part(words, parts)
+                some = [p for p in range(parts) if cuts[p + 1] > cuts[p]]
+                yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array([block] * len(some), pa.binary()), pa.array([_pack(words[cuts[p] : cuts[p + 1]]) for p in some], pa.binary()), pa.array([_pack(counts[cuts[p] : cuts[p + 1]]) for p in some], pa.binary())], ["part", "block", "words", "counts"])
+
+    def count(batches):
+        for part, rows in each_part(batches):
+            words = [_unpack(r["words"], np.uint64) for r in rows]
+            counts = [_unpack(r["counts"], np.uint32).astype(np.int64) for r in rows]
+            keys, sums = unique_counts(np.concatenate(words), np.concatenate(counts))
+            rank = np.empty(len(keys), np.int64)
+            rank[np.lexsort((keys, -sums))] = np.arange(len(keys))  # frequent words get small numbers, which pack well
+            number = np.where(sums >= least, rank * parts + part + 1, 0).astype(np.uint64)
+            v = int((sums > 0).sum())
+            for i, (row, w) in enumerate(zip(rows, words, strict=True)):
+                at = np.searchsorted(keys, w)
+                yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([row["block"]], pa.binary()), pa.array([_pack(sums[at])], pa.binary()), pa.array([_pack(number[at])], pa.binary()), pa.array([v if not i else 0], pa.int64())], ["part", "block", "n", "id", "v"])
+
+    slices = table.select("block", "words", "counts").mapInArrow(deal, "part int, block binary, words binary, counts binary")
+    return dealt(slices, parts).mapInArrow(count, "part int, block binary, n binary, id binary, v bigint")
+
+
+# ---------------------------------------------------------------- what a block asks
+
+
 def runs(*keys: np.ndarray) -> np.ndarray:
     """True where sorted rows differ from the row before."""
     new = np.ones(len(keys[0]), bool)
@@ -100,68 +159,101 @@ def runs(*keys: np.ndarray) -> np.ndarray:
     return new
 
 
-class Asked:
-    """What a block asks of one level: its distinct (context, word), sorted by shard, context and word.
-
-    A word that can't be a frequent follower is 0; its row still asks for the context.
-    """
+class Rows:
+    """The distinct rows of some columns, by part and then by the columns, and the row of each token in `at`."""
+
+    def __init__(self, at: np.ndarray, part: np.ndarray, columns: list[np.ndarray]):
+        order = np.lexsort((*columns[::-1], part))
+        new = runs(part[order], *(x[order] for x in columns))
+        self.at, self.pick = at, order[new]
+        self.row = np.empty(len(at), np.int64)
+        self.row[order] = np.cumsum(new) - 1
+        self.columns = [x[self.pick] for x in columns]
+        self.parts, cuts = np.unique(part[self.pick], return_index=True)
+        self.cuts = np.append(cuts, len(self.pick))
+
+    def slices(self, x: np.ndarray) -> list[bytes]:
+        return [_pack(x[a:b]) for a, b in zip(self.cuts[:-1], self.cuts[1:], strict=True)]
+
+    def counts(self, train: np.ndarray) -> np.ndarray:
+        """Training tokens of each row."""
+        return np.bincount(self.row[train[self.at]], minlength=len(self.pick)).astype(np.uint32)
+
+
+class Block:
+    """The tokens of a block: their words, log10 probabilities so far, and the context that is looked at next (level 0: none)."""
+
+    def __init__(self, batch, i: int, scale: float):
+        get = lambda name: batch.column(name)[i].as_py()
+        self.sizes, index = np.frombuffer(get("sizes"), "<i8"), _unpack(get("tokens"), np.uint32)
+        self.bounds = np.concatenate(([0], np.cumsum(self.sizes)))
+        c = _join([x["n"] for x in get("back0")], np.int64)
+        self.count, self.word = c[index], _join([x["id"] for x in get("back0")], np.uint64)[index]
+        self.base = (np.log10(c + 1) - scale)[index]
+        self.own = self.base.copy()
+        self.context, self.total = self.before(self.word, 1), self.before(self.count, 1)
+        self.level = (self.context > 0).astype(np.int8)
+        self.train = np.repeat(~np.unpackbits(np.frombuffer(get("held"), np.uint8), count=len(self.sizes)).astype(bool), self.sizes)
+
+    def before(self, x: np.ndarray, k: int) -> np.ndarray:
+        """The value k tokens before each token, 0 before the start of its text."""
+        out = np.zeros_like(x)
+        out[k:] = x[:-k]
+        for j in range(k):
+            at = self.bounds[:-1] + j
+            out[at[at < self.bounds[1:]]] = 0
+        return out
 
-    def __init__(self, context, total, word, can, parts: int, often: int):
-        self.at = np.flatnonzero(context)  # tokens that have a context
-        c, w = context[self.at], np.where(can, word, np.uint64(0))[self.at]
-        order = np.lexsort((w, c))
-        new = runs(c[order], w[order])
-        inverse = np.empty(len(order), np.int64)
-        inverse[order] = np.cumsum(new) - 1
-        some = order[new]
-        c, w, t, first = c[some], w[some], total[self.at][some], self.at[some]
-        splits = (1 + t // often).astype(np.uint64)
+    def hot(self, r: int, often: float, parts: int, depth: int) -> tuple[Rows, Rows]:
+        """What is asked of contexts of r words that are seen too often for one shard: their followers, and the words before them."""
+        at = np.flatnonzero((self.level == r) & (self.total > often))
+        context, word = self.context[at], self.word[at]
+        left = self.before(self.word, r + 1)[at] if r < depth else np.zeros(len(at), np.uint64)
+        some = left > 0
         with np.errstate(over="ignore"):
-            part = mix(c * np.uint64(0x9E3779B97F4A7C15) + mix(w) % splits) % np.uint64(parts)
-        order = np.argsort(part, kind="stable")
-        rank = np.empty(len(order), np.int64)
-        rank[order] = np.arange(len(order))
-        self.row = rank[inverse]  # of each token in `at`
-        self.context, self.word, self.total, self.first, self.part, self.split = c[order], w[order], t[order], first[order], part[order], splits[order] > 1
-        self.new = runs(self.part, self.context)
-
-
-def replay(batch, i: int, scale: float, levels: list) -> tuple:
-    """A block's tokens after the levels that are known: log10 probabilities, and the state from which the next level asks.
-
-    levels: (number of shards, count from which a context is split, split contexts, their factors) of each.
-    """
-    get = lambda name: batch.column(name)[i].as_py()
-    sizes, index = np.frombuffer(get("sizes"), "<i8"), _unpack(get("tokens"), np.uint32)
-    back = get("back0")
-    c = np.concatenate([_unpack(x["n"], np.int64) for x in back])
-    word = np.concatenate([_unpack(x["id"], np.uint64) for x in back])[index]
-    bounds = np.concatenate(([0], np.cumsum(sizes)))
-    base = (np.log10(c + 1) - scale)[index]
-    own, gram, count = base.copy(), word, c[index]
-
-    def before():
-        context, total = np.zeros(len(gram), np.uint64), np.zeros(len(gram), np.int64)
-        context[1:], total[1:] = gram[:-1], count[:-1]
-        context[bounds[:-1]] = 0
-        return context, total
-
-    for k, (parts, often, hot, factors) in enumerate(levels):
-        context, total = before()
-        ask = Asked(context, total, word, gram > 0, parts, often)
-        gram, count = np.zeros(len(word), np.uint64), np.zeros(len(word), np.int64)
-        if len(ask.at):
-            back = get(f"back{k + 1}")
-            n, number, f = (np.concatenate([_unpack(x[name], t) for x in back]) for name, t in (("n", np.int64), ("id", np.uint64), ("f", np.float64)))
-            f = f[np.cumsum(ask.new) - 1]
-            if len(hot):
-                at, there = lookup(hot, ask.context)
-                f = np.where(ask.split, np.where(there, factors[at], np.nan), f)
-            gram[ask.at], count[ask.at] = number[ask.row], n[ask.row]
-            f, n = f[ask.row], n[ask.row]
-            p = np.log10(np.maximum(n - DISCOUNT, DISCOUNT) / total[ask.at])
-            own[ask.at] = np.where(np.isnan(f), own[ask.at], np.where(n > 0, p, own[ask.at] + f))
-    return sizes, index, bounds, c, base, own, word, gram, *before()
+            split = mix(word) % (1 + self.total[at] / max(often, 1)).astype(np.uint64)
+            follow = Rows(at, mix(context * _ODD + split) % np.uint64(parts), [context, word])
+            extend = Rows(at[some], mix(context[some] * _ODD ^ mix(left[some])) % np.uint64(parts), [context[some], left[some]])
+        return follow, extend
+
+    def after_hot(self, r: int, often: float, parts: int, depth: int, back: list, hot: np.ndarray, factors: np.ndarray) -> None:
+        follow, extend = self.hot(r, often, parts, depth)
+        if not len(follow.at):
+            return
+        n = _join([x["n"] for x in back if x["kind"] == 0], np.int64)[follow.row]
+        at, there = lookup(hot, self.context[follow.at])
+        f = np.where(there, factors[at] if len(factors) else np.nan, np.nan)
+        p = np.log10(np.maximum(n - DISCOUNT, DISCOUNT) / self.total[follow.at])
+        self.own[follow.at] = np.where(np.isnan(f), self.own[follow.at], np.where(n > 0, p, self.own[follow.at] + f))
+        self.level[follow.at] = 0
+        if len(extend.at):
+            self.total[extend.at] = _join([x["n"] for x in back if x["kind"] == 1], np.int64)[extend.row]
+            self.context[extend.at] = _join([x["id"] for x in back if x["kind"] == 1], np.uint64)[extend.row]
+            self.level[extend.at] = np.where(self.context[extend.at] > 0, r + 1, 0)
+
+    def subtrees(self, parts: int, depth: int) -> Iterator[tuple[int, Rows]]:
+        """For each length of the contexts looked at next, the windows: context, the words before it, the word itself."""
+        for r in np.unique(self.level[self.level > 0]).tolist():
+            at = np.flatnonzero(self.level == r)
+            columns, alive = [self.context[at]], np.ones(len(at), bool)
+            for k in range(r + 1, depth + 1):
+                x = np.where(alive, self.before(self.word, k)[at], 0)
+                alive = x > 0
+                columns.append(x)
+            with np.errstate(over="ignore"):
+                part = mix(columns[0] * _ODD + np.uint64(r)) % np.uint64(parts)
+            yield r, Rows(at, part, [*columns, self.word[at]])
+
+
+def replay(batch, i: int, scale: float, levels: list, parts: int, depth: int) -> Block:
+    """A block after the hot levels that are known: the count from which a context is hot, the hot contexts and their factors of each."""
+    block = Block(batch, i, scale)
+    for k, (often, hot, factors) in enumerate(levels):
+        block.after_hot(k + 1, often, parts, depth, batch.column(f"back{k + 1}")[i].as_py() or [], hot, factors)
+    return block
+
+
+# ---------------------------------------------------------------- what shards answer
 
 
 def factors_of(total, seen, kept, kept_parent, gain, divergence: float) -> np.ndarray:
@@ -170,85 +262,109 @@ def factors_of(total, seen, kept, kept_parent, gain, divergence: float) -> np.nd
     return np.where((seen > 0) & (gain + (total - seen) * np.log(factor) >= divergence), np.log10(factor), np.nan)
 
 
-ASKED = "part int, block binary, contexts binary, totals binary, sizes binary, words binary, counts binary, parents binary"
+def follower_sums(context: np.ndarray, n: np.ndarray, total: np.ndarray, parent: np.ndarray, often: np.ndarray, size: int) -> tuple:
+    """(seen, kept, kept_parent, gain) of each of `size` contexts over pairs of context and follower; `often`: those that count."""
+    q = np.where(often, (n - DISCOUNT) / np.maximum(total, 1), 0.0)
+    gain = np.where(often, n * np.log(np.maximum(q, 1e-300) / parent), 0.0)
+    return q, tuple(np.bincount(context, weights=x, minlength=size) for x in (np.where(often, n, 0), q, np.where(often, parent, 0.0), gain))
 
 
-def _ask(table: DataFrame, scale: float, levels: list, parts: int, often: int) -> DataFrame:
-    """Rows of what each block asks each shard of the next level; parents: log10 probabilities under the suffix's state, at the first level the counts that give them."""
+def subtree(context: np.ndarray, deeper: list[np.ndarray], word: np.ndarray, count: np.ndarray, parent: np.ndarray, least: int, divergence: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(n, total, f) of each window: its log10 probability is log10((n - DISCOUNT) / total) + f, with `parent` in place of the quotient where n is 0.
 
-    def run(batches):
+    deeper: the words before `context`, 0 where there is none; word: 0 if it can't be a frequent follower; count: training tokens;
+    parent: the probability without contexts that begin with `context`.
+    """
+    wide = int(max([word.max(initial=0), *(x.max(initial=0) for x in deeper)])) + 1
+    word, p = word.astype(np.int64), parent.astype(np.float64)
+    found_n, found_total, found_f = np.zeros(len(word), np.int64), np.zeros(len(word), np.int64), np.zeros(len(word))
+    live = np.arange(len(word))
+    ids = np.unique(context, return_inverse=True)[1]
+    for k in range(len(deeper) + 1):
+        n_contexts = int(ids.max(initial=-1)) + 1
+        total = np.bincount(ids, weights=count[live], minlength=n_contexts)
+        pairs, first, inverse = np.unique(ids * wide + word[live], return_index=True, return_inverse=True)
+        n = np.bincount(inverse, weights=count[live], minlength=len(pairs))
+        own = pairs // wide
+        often = (n >= least) & (pairs % wide > 0)
+        q, sums = follower_sums(own, n, total[own], p[live[first]], often, n_contexts)
+        f = factors_of(total, *sums, divergence)[ids]
+        kept = ~np.isnan(f)
+        hit, miss = kept & often[inverse], kept & ~often[inverse]
+        at = live[hit]
+        found_n[at], found_total[at], found_f[at], p[at] = n[inverse[hit]], total[ids[hit]], 0, q[inverse[hit]]
+        found_f[live[miss]] += f[miss]
+        p[live[miss]] *= 10 ** f[miss]
+        if k < len(deeper):
+            following = deeper[k][live].astype(np.int64)
+            ok = (following > 0) & (total[ids] >= least)
+            live = live[ok]
+            if not len(live):
+                break
+            ids = np.unique(ids[ok] * wide + following[ok], return_inverse=True)[1]
+    return found_n, found_total, found_f
+
+
+ASKED = "part int, block binary, kind int, columns array<binary>, counts binary, parents binary"
+
+
+def _rows_of(part, block, kind, columns, counts, parents):
+    n = len(part)
+    return pa.RecordBatch.from_arrays([pa.array(part.astype(np.int32)), pa.array([block] * n, pa.binary()), pa.array([kind] * n, pa.int32()), pa.array([list(x) for x in zip(*columns, strict=True)], pa.list_(pa.binary())), pa.array(counts, pa.binary()), pa.array(parents, pa.binary())], [x.split()[0] for x in ASKED.split(", ")])
+
+
+def _hot_answers(table: DataFrame, r: int, scale: float, levels: list, often: float, parts: int, depth: int, least: int) -> DataFrame:
+    """(part, block, kind, n, id, top, sums) of contexts of r words above `often`; kind 0: counts of followers, 1: counts and numbers of words before."""
+
+    def ask(batches):
         for batch in batches:
             for i in range(batch.num_rows):
-                sizes, index, _, c, _, own, word, gram, context, total = replay(batch, i, scale, levels)
-                train = ~np.unpackbits(np.frombuffer(batch.column("held")[i].as_py(), np.uint8), count=len(sizes)).astype(bool)
-                ask = Asked(context, total, word, gram > 0, parts, often)
-                counts = np.bincount(ask.row[np.repeat(train, sizes)[ask.at]], minlength=len(ask.word)).astype(np.uint32)
-                parents = np.where(ask.word > 0, own[ask.first], 0.0) if levels else c[index][ask.first].astype(np.int64)
-                head = np.flatnonzero(ask.new)
-                length = np.diff(np.append(head, len(ask.word))).astype(np.uint32)
-                some, cuts = np.unique(ask.part, return_index=True)
-                cuts = np.append(cuts, len(ask.part))
-                at = np.searchsorted(head, cuts)
-                block = batch.column("block")[i].as_py()
-                heads = lambda x: pa.array([_pack(x[a:b]) for a, b in zip(at[:-1], at[1:])], pa.binary())
-                each = lambda x: pa.array([_pack(x[a:b]) for a, b in zip(cuts[:-1], cuts[1:])], pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array([block] * len(some), pa.binary()), heads(ask.context[head]), heads(ask.total[head]), heads(length), each(ask.word), each(counts), each(parents)], [x.split()[0] for x in ASKED.split(", ")])
-
-    return table.select("block", "held", "sizes", "tokens", *[f"back{k}" for k in range(len(levels) + 1)]).mapInArrow(run, ASKED)
-
-
-def _answer(asked: DataFrame, scale: float | None, parts: int, hot_from: int, least: int, divergence: float) -> DataFrame:
-    """(part, block, n, id, f, hot): counts of at least `least` (else 0) and numbers of the sequences, factors of the contexts; sums of hot ones."""
-
-    def run(batches):
-        held: dict[int, list] = {}
-        for batch in batches:
-            for row in batch.to_pylist():
-                held.setdefault(row["part"], []).append(row)
-        for part in list(held):
-            rows = held.pop(part)
-            read = lambda name, t: [_unpack(r[name], t) for r in rows]  # noqa: B023, E731
-            lengths = read("sizes", np.uint32)
-            own = np.concatenate(read("contexts", np.uint64))  # a row for each block's context
-            length = np.concatenate(lengths)
-            context, total = np.repeat(own, length), np.repeat(np.concatenate(read("totals", np.int64)), length)
-            word, n, parent = np.concatenate(read("words", np.uint64)), np.concatenate(read("counts", np.uint32)), np.concatenate(read("parents", np.float64 if scale is None else np.int64))
-            parent = parent if scale is None else np.log10(parent + 1) - scale
-            order = np.lexsort((word, context))
-            context, word = context[order], word[order]
-            first = np.flatnonzero(runs(context, word))
-            where = np.empty(len(order), np.int32)
-            where[order] = np.repeat(np.arange(len(first), dtype=np.int32), np.diff(np.append(first, len(order))))
-            sums = np.add.reduceat(n[order].astype(np.int64), first)
-            context, word, total, parent = context[first], word[first], total[order][first], 10.0 ** parent[order][first]
-            often = (sums >= least) & (word > 0)
-            sums = np.where(often, sums, 0)
-            number = np.where(often, (np.cumsum(often) - 1) * parts + part + 1, 0).astype(np.uint64)
-            p = np.where(often, (sums - DISCOUNT) / np.maximum(total, 1), 0.0)
-            gain = np.where(often, sums * np.log(np.maximum(p, 1e-300) / parent), 0.0)
-            head = np.flatnonzero(runs(context))
-            add = lambda x: np.add.reduceat(x, head)  # noqa: B023, E731
-            seen, kept, kept_parent, gain = add(sums), add(p), add(np.where(often, parent, 0.0)), add(gain)
-            names, total = context[head], total[head]
-            split = total >= hot_from
-            f = np.where(split, np.nan, factors_of(total, seen, kept, kept_parent, gain, divergence))
-            hot = np.stack([x[split].astype(np.float64) for x in (total, seen, kept, kept_parent, gain)])
-            hot = names[split].astype("<u8").tobytes() + hot.astype("<f8").tobytes()
-            at = np.cumsum([0, *(int(x.sum()) for x in lengths)])
-            to = np.cumsum([0, *(len(x) for x in lengths)])
-            for i, r in enumerate(rows):
-                here = where[at[i] : at[i + 1]]
-                mine = f[np.searchsorted(names, own[to[i] : to[i + 1]])]
-                yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([r["block"]], pa.binary()), pa.array([_pack(sums[here])], pa.binary()), pa.array([_pack(number[here])], pa.binary()), pa.array([_pack(mine)], pa.binary()), pa.array([b"" if i else hot], pa.binary())], ["part", "block", "n", "id", "f", "hot"])
-
-    return asked.repartition(parts, "part").mapInArrow(run, "part int, block binary, n binary, id binary, f binary, hot binary")
+                block, name = replay(batch, i, scale, levels, parts, depth), batch.column("block")[i].as_py()
+                for kind, rows in enumerate(block.hot(r, often, parts, depth)):
+                    if len(rows.at):
+                        extra = (block.total, block.own) if kind == 0 else ()
+                        columns = [rows.slices(x) for x in (*rows.columns, *(x[rows.at][rows.pick] for x in extra))]
+                        yield _rows_of(rows.parts, name, kind, columns, rows.slices(rows.counts(block.train)), [b""] * len(rows.parts))
+
+    def answer(batches):
+        for part, rows in each_part(batches):
+            for kind in (0, 1):
+                mine = [x for x in rows if x["kind"] == kind]
+                if not mine:
+                    continue
+                context, other = (_join([x["columns"][j] for x in mine], np.uint64) for j in (0, 1))
+                count = _join([x["counts"] for x in mine], np.uint32)
+                order = np.lexsort((other, context))
+                first = np.flatnonzero(runs(context[order], other[order]))
+                where = np.empty(len(order), np.int64)
+                where[order] = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(order))))
+                n = np.add.reduceat(count[order].astype(np.int64), first)
+                head = order[first]
+                sums, number = b"", np.zeros(len(n), np.uint64)
+                if kind == 0:
+                    total, parent = _join([x["columns"][2] for x in mine], np.int64)[head], 10.0 ** _join([x["columns"][3] for x in mine], np.float64)[head]
+                    n = np.where((n >= least) & (other[head] > 0), n, 0)
+                    names, at = np.unique(context[head], return_inverse=True)
+                    by_name = np.zeros(len(names))
+                    by_name[at] = total
+                    stats = np.stack([by_name, *follower_sums(at, n, total, parent, n > 0, len(names))[1]])
+                    sums = names.astype("<u8").tobytes() + stats.astype("<f8").tobytes()
+                else:
+                    number = np.where(n >= least, np.arange(len(n)) * parts + part + 1, 0).astype(np.uint64)
+                cuts = np.cumsum([0, *(len(_unpack(x["counts"], np.uint32)) for x in mine)])
+                for i, x in enumerate(mine):
+                    here = where[cuts[i] : cuts[i + 1]]
+                    yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([x["block"]], pa.binary()), pa.array([kind], pa.int32()), pa.array([_pack(n[here])], pa.binary()), pa.array([_pack(number[here])], pa.binary()), pa.array([int(n.max(initial=0)) if kind and not i else 0], pa.int64()), pa.array([b"" if i else sums], pa.binary())], ["part", "block", "kind", "n", "id", "top", "sums"])
+
+    asked = table.drop("ids").mapInArrow(ask, ASKED)
+    return dealt(asked, parts).mapInArrow(answer, "part int, block binary, kind int, n binary, id binary, top bigint, sums binary")
 
 
 def hot_factors(answers: DataFrame, divergence: float) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted contexts that several shards hold, and their factors."""
+    """Sorted hot contexts and their factors, from the sums of the shards that hold them."""
     names, sums = [np.zeros(0, np.uint64)], [np.zeros((5, 0))]
-    for row in answers.where(F.octet_length("hot") > 0).select("hot").toLocalIterator():
-        hot = bytes(row["hot"])
+    for row in answers.where(F.octet_length("sums") > 0).select("sums").toLocalIterator():
+        hot = bytes(row["sums"])
         n = len(hot) // 48
         names.append(np.frombuffer(hot[: 8 * n], "<u8"))
         sums.append(np.frombuffer(hot[8 * n :], "<f8").reshape(5, n))
@@ -259,14 +375,48 @@ def hot_factors(answers: DataFrame, divergence: float) -> tuple[np.ndarray, np.n
     return keys, factors_of(total, *(unique_counts(names, x)[1] for x in sums[1:]), divergence)
 
 
-def lm_scores(df: DataFrame, training: Column, id_col: str = "doc_id", text_col: str = "text", p_min: float = 0.0, depth: int = DEPTH, divergence: float = DIVERGENCE, min_count: int = MIN_COUNT) -> DataFrame:
+def _subtree_answers(table: DataFrame, scale: float, levels: list, parts: int, hot_parts: int, depth: int, least: int, divergence: float) -> DataFrame:
+    """(kind, part, block, n, total, f) of each window that a block asked for, see subtree(). kind: length of the context."""
+
+    def ask(batches):
+        for batch in batches:
+            for i in range(batch.num_rows):
+                block = replay(batch, i, scale, levels, hot_parts, depth)
+                for r, rows in block.subtrees(parts, depth):
+                    pick = rows.at[rows.pick]
+                    # a probability is the word's count at the first level, which packs better
+                    parents = block.count[pick].astype(np.uint64) if r == 1 else block.own[pick]
+                    contexts = np.diff(rows.columns[0].astype(np.int64), prepend=0)
+                    contexts[rows.cuts[:-1]] = rows.columns[0][rows.cuts[:-1]].astype(np.int64)
+                    yield _rows_of(rows.parts, batch.column("block")[i].as_py(), r, [rows.slices(x) for x in (contexts, *rows.columns[1:])], rows.slices(rows.counts(block.train)), rows.slices(parents))
+
+    def answer(batches):
+        for part, rows in each_part(batches):
+            for r in sorted({x["kind"] for x in rows}):
+                mine = [x for x in rows if x["kind"] == r]
+                contexts = [np.cumsum(_unpack(x["columns"][0], np.int64)) for x in mine]
+                others = [_join([x["columns"][j] for x in mine], np.uint64) for j in range(1, len(mine[0]["columns"]))]
+                parents = _join([x["parents"] for x in mine], np.uint64 if r == 1 else np.float64)
+                parents = 10.0 ** (np.log10(parents + 1) - scale if r == 1 else parents)
+                found = subtree(np.concatenate(contexts), others[:-1], others[-1], _join([x["counts"] for x in mine], np.uint32), parents, least, divergence)
+                at = np.cumsum([0, *map(len, contexts)])
+                for i, x in enumerate(mine):
+                    yield pa.RecordBatch.from_arrays([pa.array([r], pa.int32()), pa.array([part], pa.int32()), pa.array([x["block"]], pa.binary()), *(pa.array([_pack(y[at[i] : at[i + 1]])], pa.binary()) for y in found)], ["kind", "part", "block", "n", "total", "f"])
+
+    asked = table.drop("ids").mapInArrow(ask, ASKED)
+    return dealt(asked, parts).mapInArrow(answer, "kind int, part int, block binary, n binary, total binary, f binary")
+
+
+# ---------------------------------------------------------------- the operator
+
+
+def lm_scores(df: DataFrame, training: Column, id_col: str = "doc_id", text_col: str = "text", depth: int = DEPTH, divergence: float = DIVERGENCE, min_count: int = MIN_COUNT) -> DataFrame:
     """(id, held_out, n_tokens, n_known, train_tokens, base_score, score) for every row; `training` says which rows are learned from.
 
     base_score: sum over tokens of log10((c + 1) / (N + V + 1)); score: log10 probability under the tree.
-    Sequences seen min_count times or more are learned; only a caller's p_min raises that to a share of the tokens.
     Null texts count as empty, their one token is the end; a null condition counts as not training; repeated
-    rows are learned from and scored each; without training rows every token has probability 1. Columns
-    other than the two named are neither read nor kept.
+    rows are learned from and scored each; without training rows every token has probability 1; an empty table
+    gives no rows; very long texts are blocks of their own. Columns other than the two named are neither read nor kept.
     """
     if depth < 1 or min_count < 1:
         raise ValueError("contexts have a word at least, and sequences are seen")
@@ -275,69 +425,50 @@ def lm_scores(df: DataFrame, training: Column, id_col: str = "doc_id", text_col:
     table = materialise(blocks(df, id_col, text_col, training), "blocks")
     total = table.agg(F.sum("n_train"), F.sum("n_words"), F.sum("n_tokens")).first()
     n_train, entries, n_tokens = (x or 0 for x in total)
-    parts = max(1, -(-entries // SHARD))
-    least = max(min_count, int(np.ceil(p_min * n_train)))
-
-    def deal(batches):
-        for batch in batches:
-            for block, words, counts in zip(*(batch.column(c).to_pylist() for c in ("block", "words", "counts")), strict=True):
-                words, counts = _unpack(words, np.uint64), _unpack(counts, np.uint32)
-                cuts = by_part(words, parts)
-                some = [p for p in range(parts) if cuts[p + 1] > cuts[p]]
-                yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array([block] * len(some), pa.binary()), pa.array([_pack(words[cuts[p] : cuts[p + 1]]) for p in some], pa.binary()), pa.array([_pack(counts[cuts[p] : cuts[p + 1]]) for p in some], pa.binary())], ["part", "block", "words", "counts"])
-
-    def count(batches):
-        held: dict[int, list] = {}
-        for batch in batches:
-            for part, *row in zip(*(batch.column(c).to_pylist() for c in ("part", "block", "words", "counts")), strict=True):
-                held.setdefault(part, []).append(row)
-        for part in list(held):
-            rows = held.pop(part)
-            words = [_unpack(r[1], np.uint64) for r in rows]
-            counts = [_unpack(r[2], np.uint32).astype(np.int64) for r in rows]
-            keys, sums = unique_counts(np.concatenate(words), np.concatenate(counts))
-            often = sums >= least
-            number = np.where(often, (np.cumsum(often) - 1) * parts + part + 1, 0).astype(np.uint64)
-            v = int((sums > 0).sum())
-            for i, (row, w) in enumerate(zip(rows, words, strict=True)):
-                at = np.searchsorted(keys, w)
-                yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([row[0]], pa.binary()), pa.array([_pack(sums[at])], pa.binary()), pa.array([_pack(number[at])], pa.binary()), pa.array([v if not i else 0], pa.int64())], ["part", "block", "n", "id", "v"])
-
-    dealt = table.select("block", "words", "counts").mapInArrow(deal, "part int, block binary, words binary, counts binary")
-    counted = materialise(dealt.repartition(parts, "part").mapInArrow(count, "part int, block binary, n binary, id binary, v bigint"), "counts")
-    v = counted.agg(F.sum("v")).first()[0] or 0
-    scale = np.log10(n_train + v + 1)
+    counted = materialise(word_counts(table, max(1, -(-entries // SHARD)), min_count), "counts")
+    scale = np.log10(n_train + (counted.agg(F.sum("v")).first()[0] or 0) + 1)
 
     def joined(table, answers, k, *names):
-        back = answers.groupBy("block").agg(F.array_sort(F.collect_list(F.struct("part", *names))).alias(f"back{k}"))
+        back = answers.groupBy("block").agg(F.array_sort(F.collect_list(F.struct(*names))).alias(f"back{k}"))
         return table.join(back.hint("merge"), "block", "left")
 
-    def moved(new, name, *old):
-        out = materialise(new, name)
-        del new  # or its shuffle files stay
+    def moved(new, *old):
+        out = materialise(new, "level")
         for x in old:
             drop_materialised(x)
         return out
 
-    table = moved(joined(table.select("block", "ids", "held", "sizes", "tokens"), counted, 0, "n", "id"), "level", table, counted)
+    table = moved(joined(table.select("block", "ids", "held", "sizes", "tokens"), counted, 0, "part", "n", "id"), table, counted)
     levels: list = []
-    shards = max(1, -(-n_tokens // SHARD))
-    for k in range(1, depth + 1 if n_train else 1):
-        answers = materialise(_answer(_ask(table, scale, levels, shards, HOT), None if levels else scale, shards, HOT, least, divergence), "answers")
-        spark._jvm.System.gc()  # lets the cleaner delete what was asked
-        levels = [*levels, (shards, HOT, *hot_factors(answers, divergence))]
-        table = moved(joined(table, answers, k, "n", "id", "f"), "level", table, answers) if k < depth else joined(table, answers, k, "n", "id", "f")
+    often, parts = HOT * n_train / max(1, n_tokens), max(1, -(-n_tokens // SHARD))  # windows of rows that aren't learned from meet as well
+    for r in range(1, depth + 1 if n_train else 1):
+        answers = materialise(_hot_answers(table, r, scale, levels, often, parts, depth, min_count), "hot")
+        top = answers.agg(F.max("top")).first()[0]
+        if top is None:  # no hot context is left
+            drop_materialised(answers)
+            break
+        levels = [*levels, (often, *hot_factors(answers, divergence))]
+        table = moved(joined(table, answers, r, "kind", "part", "n", "id"), table, answers)
+        if top <= often:
+            break
+    final = len(levels) + 1
+    if n_train:
+        answers = materialise(_subtree_answers(table, scale, levels, parts, parts, depth, min_count, divergence), "answers")
+        table = joined(table, answers, final, "kind", "part", "n", "total", "f")
     known = spark.sparkContext.broadcast(levels)
 
     def score(batches):
         for batch in batches:
             for i in range(batch.num_rows):
-                sizes, index, bounds, c, base, own, *_ = replay(batch, i, scale, known.value)
-                held = np.unpackbits(np.frombuffer(batch.column("held")[i].as_py(), np.uint8), count=len(sizes)).astype(bool)
-                sums = lambda x: np.add.reduceat(x, bounds[:-1])  # noqa: B023, E731  every text has its end
-                ids = batch.column("ids").slice(i, 1).flatten()
+                block = replay(batch, i, scale, known.value, parts, depth)
+                back = (batch.column(f"back{final}")[i].as_py() or []) if n_train else []
+                for r, rows in block.subtrees(parts, depth) if back else ():
+                    n, total, f = (_join([x[name] for x in back if x["kind"] == r], t)[rows.row] for name, t in (("n", np.int64), ("total", np.int64), ("f", np.float64)))
+                    block.own[rows.at] = np.where(n > 0, np.log10(np.maximum(n - DISCOUNT, DISCOUNT) / np.maximum(total, 1)), block.own[rows.at]) + f
+                sums = lambda x: np.add.reduceat(x, block.bounds[:-1])  # noqa: B023, E731  every text has its end
+                held = ~block.train[block.bounds[:-1]]
                 yield pa.RecordBatch.from_arrays(
-                    [ids, pa.array(held), pa.array(sizes), pa.array(sums((c > 0)[index].astype(np.int64))), pa.array(np.full(len(sizes), n_train)), pa.array(sums(base)), pa.array(sums(own))],
+                    [batch.column("ids").slice(i, 1).flatten(), pa.array(held), pa.array(block.sizes), pa.array(sums((block.count > 0).astype(np.int64))), pa.array(np.full(len(held), n_train)), pa.array(sums(block.base)), pa.array(sums(block.own))],
                     [id_col, "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
                 )
 

@@ -241,7 +241,7 @@ def test_longest_previous_factors():
 
 def test_base_score_is_exact_and_the_tree_is_a_distribution(spark):
     rows, df = corpus(spark, 7, 200)
-    out = {r["doc_id"]: r for r in lm.lm_scores(df, crc_rest(7) != 2, p_min=1e-3).collect()}
+    out = {r["doc_id"]: r for r in lm.lm_scores(df, crc_rest(7) != 2).collect()}
     tokens = {i: re.findall(WORD, lower(t)) + [None] for i, t, _ in rows}
     c = collections.Counter()
     for i, w in tokens.items():
@@ -262,8 +262,8 @@ def test_probabilities_of_a_state_sum_to_one(spark):
     text = "a b a b a b a c . " * 40
     vocabulary = ["a", "b", "c", "."]
     docs = spark.createDataFrame([(0, text), *((i + 1, f"{x} {y}") for i, (x, y) in enumerate((x, y) for x in vocabulary for y in [*vocabulary, "zz"]))], "doc_id bigint, text string")
-    out = {r["doc_id"]: r["score"] for r in lm.lm_scores(docs, F.col("doc_id") == 0, p_min=1e-3, depth=1).collect()}
-    ends = {r["doc_id"]: r["score"] for r in lm.lm_scores(docs.unionByName(spark.createDataFrame([(100 + i, x) for i, x in enumerate(vocabulary)], "doc_id bigint, text string")), F.col("doc_id") == 0, p_min=1e-3, depth=1).collect()}
+    out = {r["doc_id"]: r["score"] for r in lm.lm_scores(docs, F.col("doc_id") == 0, depth=1).collect()}
+    ends = {r["doc_id"]: r["score"] for r in lm.lm_scores(docs.unionByName(spark.createDataFrame([(100 + i, x) for i, x in enumerate(vocabulary)], "doc_id bigint, text string")), F.col("doc_id") == 0, depth=1).collect()}
     assert all(math.isfinite(x) for x in [*out.values(), *ends.values()])
     assert ends[100] < 0 and out[2] > out[5]  # after "a", "b" is likelier than an unknown word
 
@@ -305,7 +305,7 @@ def brute_scores(texts, train, depth, least=2, discount=0.5, divergence=3.0):
     return [sum(log_p(tuple(w[max(0, i - depth) : i]), w[i]) for i in range(len(w))) for w in tokens]
 
 
-@pytest.mark.parametrize("depth, hot", [(2, 500_000), (2, 7), (3, 500_000)])
+@pytest.mark.parametrize("depth, hot", [(2, 500_000), (4, 500_000), (1, 7), (4, 7), (5, 60)])
 def test_tree_of_the_whole_corpus_equals_plain_counters(spark, monkeypatch, depth, hot):
     """Sequences seen twice are learned however large the corpus is, in many blocks and shards, and with split contexts."""
     monkeypatch.setattr(lm, "HOT", hot)
