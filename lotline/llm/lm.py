@@ -13,7 +13,7 @@
 4. A context seen more than `hot` times is too much for one shard. Before step 3 its followers are dealt to
    several shards and added up (one row of sums a context and shard meets at the driver, at most 2 / hot of the
    tokens), and so are the words before it; its longer contexts then are subtrees of their own, or hot again.
-5. Each block adds up the log probabilities of its documents.
+5. The scores of a block's documents are added up.
 
 A sequence seen at least `min_count` times in training is a context or a follower, whatever the size of the corpus.
 Words are told apart by 64-bit hashes.
@@ -23,6 +23,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -41,9 +42,13 @@ DIVERGENCE = 3.0
 #: Taken off each follower's count.
 DISCOUNT = 0.5
 #: Bytes of text in a block; windows that one shard handles.
-BLOCK, SHARD = 4 << 20, 700_000
-#: Windows of one context above which its subtree is split.
-HOT = 1_500_000
+BLOCK, SHARD = 4 << 20, 600_000
+#: Windows of one context above which its subtree is split (more than a shard's share), and windows of whole contexts that are worked on at a time.
+HOT, CHUNK = SHARD, 250_000
+#: Changes of scores travel as whole multiples of this.
+GRAIN = 2.0**-34
+#: The shards are asked in so many turns, which bounds the disk that questions take.
+WAVES = 2
 #: Hash of the end of a text, which counts as a token.
 END = np.uint64(0x5BF0_3635_DEC0_DE01)
 
@@ -51,14 +56,25 @@ _ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
 def _pack(x: np.ndarray) -> bytes:
-    planes = np.ascontiguousarray(x).view(np.uint8).reshape(-1, x.itemsize).T  # first bytes, second bytes, ...: high ones are mostly 0
-    return zstandard.ZstdCompressor(level=1).compress(planes.tobytes())
+    """Numbers as compressed planes of bytes: first bytes, second bytes, ...; whole numbers take no more bytes than the largest needs."""
+    kind = 0 if x.dtype.kind == "f" else 1
+    if kind:
+        if x.dtype.kind == "i":
+            kind = 2 if len(x) and x.min() < 0 else 1
+            x = (x << 1 ^ x >> 63).view(np.uint64) if kind == 2 else x
+        bits = int(x.max(initial=0)).bit_length()
+        x = x.astype(np.uint8 if bits <= 8 else np.uint16 if bits <= 16 else np.uint32 if bits <= 32 else np.uint64)
+    planes = np.ascontiguousarray(x).view(np.uint8).reshape(-1, x.itemsize).T
+    return bytes((kind, x.itemsize)) + zstandard.ZstdCompressor(level=1).compress(planes.tobytes())
 
 
 def _unpack(x: bytes, dtype) -> np.ndarray:
-    size = np.dtype(dtype).itemsize
-    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(x), np.uint8).reshape(size, -1)
-    return np.ascontiguousarray(planes.T).reshape(-1).view(dtype)
+    kind, size = x[:2]
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(x[2:]), np.uint8).reshape(size, -1)
+    out = np.ascontiguousarray(planes.T).reshape(-1).view(f"<u{size}" if kind else f"<f{size}")
+    if kind == 2:
+        out = (out.astype(np.uint64) >> np.uint64(1)).view(np.int64) ^ -(out & 1).astype(np.int64)
+    return out.astype(dtype, copy=False)
 
 
 def _join(parts: list[bytes], dtype) -> np.ndarray:
@@ -160,12 +176,36 @@ def runs(*keys: np.ndarray) -> np.ndarray:
 
 
 class Rows:
-    """The distinct rows of some columns, by part and then by the columns, and the row of each token in `at`."""
+    """The distinct rows of some columns, grouped by part and first column, and the row of each token in `at`.
 
-    def __init__(self, at: np.ndarray, part: np.ndarray, columns: list[np.ndarray]):
-        order = np.lexsort((*columns[::-1], part))
-        new = runs(part[order], *(x[order] for x in columns))
-        self.at, self.pick = at, order[new]
+    Rows are in the order of a 64-bit key of part, first column and a hash of all, and of the columns where that is equal.
+    """
+
+    def __init__(self, at: np.ndarray, part: np.ndarray, parts: int, columns: list[np.ndarray]):
+        wide = np.uint64((parts - 1).bit_length())
+        h = np.zeros(len(at), np.uint64)
+        with np.errstate(over="ignore"):
+            for x in columns:
+                h = (h ^ x) * _ODD
+                h ^= h >> np.uint64(29)
+            h = mix(h)
+        # part in the top bits, 24 bits of the first column, and what is left of the hash
+        key = h >> (wide + np.uint64(24)) | (columns[0] & np.uint64((1 << 24) - 1)) << (np.uint64(40) - wide)
+        if wide:
+            key |= part << (np.uint64(64) - wide)
+        order = np.argsort(key)
+        key, sorted_ = key[order], [x[order] for x in columns]
+        new = runs(key, *sorted_)
+        same = np.zeros(len(key), bool)
+        same[1:] = key[1:] == key[:-1]
+        if (clash := same & new).any():  # equal keys of different rows
+            group = np.cumsum(~same) - 1
+            bad = np.zeros(group[-1] + 1, bool)
+            bad[group[clash]] = True
+            here = bad[group]
+            order[here] = order[here][np.lexsort((*(x[here] for x in sorted_[::-1]), key[here]))]
+            new = runs(key, *(x[order] for x in columns))
+        self.at, self.order, self.pick = at, order, order[new]
         self.row = np.empty(len(at), np.int64)
         self.row[order] = np.cumsum(new) - 1
         self.columns = [x[self.pick] for x in columns]
@@ -212,8 +252,8 @@ class Block:
         some = left > 0
         with np.errstate(over="ignore"):
             split = mix(word) % (1 + self.total[at] / max(often, 1)).astype(np.uint64)
-            follow = Rows(at, mix(context * _ODD + split) % np.uint64(parts), [context, word])
-            extend = Rows(at[some], mix(context[some] * _ODD ^ mix(left[some])) % np.uint64(parts), [context[some], left[some]])
+            follow = Rows(at, mix(context * _ODD + split) % np.uint64(parts), parts, [context, word])
+            extend = Rows(at[some], mix(context[some] * _ODD ^ mix(left[some])) % np.uint64(parts), parts, [context[some], left[some]])
         return follow, extend
 
     def after_hot(self, r: int, often: float, parts: int, depth: int, back: list, hot: np.ndarray, factors: np.ndarray) -> None:
@@ -231,18 +271,23 @@ class Block:
             self.context[extend.at] = _join([x["id"] for x in back if x["kind"] == 1], np.uint64)[extend.row]
             self.level[extend.at] = np.where(self.context[extend.at] > 0, r + 1, 0)
 
-    def subtrees(self, parts: int, depth: int) -> Iterator[tuple[int, Rows]]:
-        """For each length of the contexts looked at next, the windows: context, the words before it, the word itself."""
-        for r in np.unique(self.level[self.level > 0]).tolist():
+    def subtrees(self, parts: int, depth: int, wave: int | None = None) -> Iterator[tuple[int, Rows]]:
+        """For each length of the contexts looked at next, the windows (of one wave's parts): context, the words before it, the word itself."""
+        for r in range(1, depth + 1):
             at = np.flatnonzero(self.level == r)
+            with np.errstate(over="ignore"):
+                part = mix(self.context[at] * _ODD + np.uint64(r)) % np.uint64(parts)
+            if wave is not None:
+                mine = part % np.uint64(WAVES) == wave
+                at, part = at[mine], part[mine]
+            if not len(at):
+                continue
             columns, alive = [self.context[at]], np.ones(len(at), bool)
             for k in range(r + 1, depth + 1):
-                x = np.where(alive, self.before(self.word, k)[at], 0)
+                x = np.where(alive, self.before(self.word, k)[at], np.uint64(0))
                 alive = x > 0
                 columns.append(x)
-            with np.errstate(over="ignore"):
-                part = mix(columns[0] * _ODD + np.uint64(r)) % np.uint64(parts)
-            yield r, Rows(at, part, [*columns, self.word[at]])
+            yield r, Rows(at, part, parts, [*columns, self.word[at]])
 
 
 def replay(batch, i: int, scale: float, levels: list, parts: int, depth: int) -> Block:
@@ -269,6 +314,16 @@ def follower_sums(context: np.ndarray, n: np.ndarray, total: np.ndarray, parent:
     return q, tuple(np.bincount(context, weights=x, minlength=size) for x in (np.where(often, n, 0), q, np.where(often, parent, 0.0), gain))
 
 
+def grouped(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The sorted distinct keys, an index of each, and which of them each key is."""
+    order = np.argsort(keys)
+    new = runs(keys[order])
+    inverse = np.empty(len(keys), np.int64)
+    inverse[order] = np.cumsum(new) - 1
+    first = order[new]
+    return keys[first], first, inverse
+
+
 def subtree(context: np.ndarray, deeper: list[np.ndarray], word: np.ndarray, count: np.ndarray, parent: np.ndarray, least: int, divergence: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(n, total, f) of each window: its log10 probability is log10((n - DISCOUNT) / total) + f, with `parent` in place of the quotient where n is 0.
 
@@ -279,11 +334,11 @@ def subtree(context: np.ndarray, deeper: list[np.ndarray], word: np.ndarray, cou
     word, p = word.astype(np.int64), parent.astype(np.float64)
     found_n, found_total, found_f = np.zeros(len(word), np.int64), np.zeros(len(word), np.int64), np.zeros(len(word))
     live = np.arange(len(word))
-    ids = np.unique(context, return_inverse=True)[1]
+    ids = grouped(context)[2]
     for k in range(len(deeper) + 1):
         n_contexts = int(ids.max(initial=-1)) + 1
         total = np.bincount(ids, weights=count[live], minlength=n_contexts)
-        pairs, first, inverse = np.unique(ids * wide + word[live], return_index=True, return_inverse=True)
+        pairs, first, inverse = grouped(ids * wide + word[live])
         n = np.bincount(inverse, weights=count[live], minlength=len(pairs))
         own = pairs // wide
         often = (n >= least) & (pairs % wide > 0)
@@ -301,7 +356,7 @@ def subtree(context: np.ndarray, deeper: list[np.ndarray], word: np.ndarray, cou
             live = live[ok]
             if not len(live):
                 break
-            ids = np.unique(ids[ok] * wide + following[ok], return_inverse=True)[1]
+            ids = grouped(ids[ok] * wide + following[ok])[2]
     return found_n, found_total, found_f
 
 
@@ -334,12 +389,8 @@ def _hot_answers(table: DataFrame, r: int, scale: float, levels: list, often: fl
                     continue
                 context, other = (_join([x["columns"][j] for x in mine], np.uint64) for j in (0, 1))
                 count = _join([x["counts"] for x in mine], np.uint32)
-                order = np.lexsort((other, context))
-                first = np.flatnonzero(runs(context[order], other[order]))
-                where = np.empty(len(order), np.int64)
-                where[order] = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(order))))
-                n = np.add.reduceat(count[order].astype(np.int64), first)
-                head = order[first]
+                head, where = grouped(grouped(context)[2] * (int(other.max()) + 1) + other.astype(np.int64))[1:]
+                n = np.bincount(where, weights=count).astype(np.int64)
                 sums, number = b"", np.zeros(len(n), np.uint64)
                 if kind == 0:
                     total, parent = _join([x["columns"][2] for x in mine], np.int64)[head], 10.0 ** _join([x["columns"][3] for x in mine], np.float64)[head]
@@ -375,36 +426,52 @@ def hot_factors(answers: DataFrame, divergence: float) -> tuple[np.ndarray, np.n
     return keys, factors_of(total, *(unique_counts(names, x)[1] for x in sums[1:]), divergence)
 
 
-def _subtree_answers(table: DataFrame, scale: float, levels: list, parts: int, hot_parts: int, depth: int, least: int, divergence: float) -> DataFrame:
-    """(kind, part, block, n, total, f) of each window that a block asked for, see subtree(). kind: length of the context."""
+def _changes(table: DataFrame, scale: float, levels: list, parts: int, wave: int, depth: int, least: int, divergence: float) -> DataFrame:
+    """(block, docs, changes): by what the windows of a shard change the log10 probability of each of a block's documents."""
 
     def ask(batches):
         for batch in batches:
             for i in range(batch.num_rows):
-                block = replay(batch, i, scale, levels, hot_parts, depth)
-                for r, rows in block.subtrees(parts, depth):
+                block = replay(batch, i, scale, levels, parts, depth)
+                doc = np.repeat(np.arange(len(block.sizes)), block.sizes)
+                for r, rows in block.subtrees(parts, depth, wave):
                     pick = rows.at[rows.pick]
                     # a probability is the word's count at the first level, which packs better
                     parents = block.count[pick].astype(np.uint64) if r == 1 else block.own[pick]
                     contexts = np.diff(rows.columns[0].astype(np.int64), prepend=0)
                     contexts[rows.cuts[:-1]] = rows.columns[0][rows.cuts[:-1]].astype(np.int64)
-                    yield _rows_of(rows.parts, batch.column("block")[i].as_py(), r, [rows.slices(x) for x in (contexts, *rows.columns[1:])], rows.slices(rows.counts(block.train)), rows.slices(parents))
+                    times = np.bincount(rows.row, minlength=len(rows.pick))
+                    owners, ends = doc[rows.at[rows.order]], np.concatenate(([0], np.cumsum(times)))[rows.cuts]
+                    owners = [_pack(owners[a:b]) for a, b in zip(ends[:-1], ends[1:], strict=True)]
+                    yield _rows_of(rows.parts, batch.column("block")[i].as_py(), r, [rows.slices(x) for x in (contexts, *rows.columns[1:], times)] + [owners], rows.slices(rows.counts(block.train)), rows.slices(parents))
 
     def answer(batches):
-        for part, rows in each_part(batches):
+        for _, rows in each_part(batches):
             for r in sorted({x["kind"] for x in rows}):
                 mine = [x for x in rows if x["kind"] == r]
                 contexts = [np.cumsum(_unpack(x["columns"][0], np.int64)) for x in mine]
-                others = [_join([x["columns"][j] for x in mine], np.uint64) for j in range(1, len(mine[0]["columns"]))]
+                *deeper, word = (_join([x["columns"][j] for x in mine], np.uint64) for j in range(1, len(mine[0]["columns"]) - 2))
                 parents = _join([x["parents"] for x in mine], np.uint64 if r == 1 else np.float64)
-                parents = 10.0 ** (np.log10(parents + 1) - scale if r == 1 else parents)
-                found = subtree(np.concatenate(contexts), others[:-1], others[-1], _join([x["counts"] for x in mine], np.uint32), parents, least, divergence)
+                parents = np.log10(parents + 1) - scale if r == 1 else parents
                 at = np.cumsum([0, *map(len, contexts)])
+                contexts, counts = np.concatenate(contexts), _join([x["counts"] for x in mine], np.uint32)
+                order, change = np.argsort(contexts), np.empty(len(contexts))
+                head = np.flatnonzero(runs(contexts[order]))
+                cuts = head[np.unique(np.searchsorted(head, np.arange(0, len(order), CHUNK)).clip(max=len(head) - 1))]
+                for a, b in zip(cuts, np.append(cuts[1:], len(order)), strict=True):
+                    here = order[a:b]
+                    n, total, f = subtree(contexts[here], [x[here] for x in deeper], word[here], counts[here], 10.0 ** parents[here], least, divergence)
+                    change[here] = np.where(n > 0, np.log10(np.maximum(n - DISCOUNT, DISCOUNT) / np.maximum(total, 1)) - parents[here], 0.0) + f
                 for i, x in enumerate(mine):
-                    yield pa.RecordBatch.from_arrays([pa.array([r], pa.int32()), pa.array([part], pa.int32()), pa.array([x["block"]], pa.binary()), *(pa.array([_pack(y[at[i] : at[i + 1]])], pa.binary()) for y in found)], ["kind", "part", "block", "n", "total", "f"])
+                    docs = _unpack(x["columns"][-1], np.int64)
+                    each = np.repeat(change[at[i] : at[i + 1]], _unpack(x["columns"][-2], np.int64))
+                    own, _, inverse = grouped(docs)
+                    sums = np.round(np.bincount(inverse, weights=each) / GRAIN).astype(np.int64)
+                    some = np.flatnonzero(sums)
+                    yield pa.RecordBatch.from_arrays([pa.array([x["block"]], pa.binary()), pa.array([_pack(own[some])], pa.binary()), pa.array([_pack(sums[some])], pa.binary())], ["block", "docs", "changes"])
 
     asked = table.drop("ids").mapInArrow(ask, ASKED)
-    return dealt(asked, parts).mapInArrow(answer, "kind int, part int, block binary, n binary, total binary, f binary")
+    return dealt(asked, parts).mapInArrow(answer, "block binary, docs binary, changes binary")
 
 
 # ---------------------------------------------------------------- the operator
@@ -451,25 +518,42 @@ def lm_scores(df: DataFrame, training: Column, id_col: str = "doc_id", text_col:
         table = moved(joined(table, answers, r, "kind", "part", "n", "id"), table, answers)
         if top <= often:
             break
-    final = len(levels) + 1
-    if n_train:
-        answers = materialise(_subtree_answers(table, scale, levels, parts, parts, depth, min_count, divergence), "answers")
-        table = joined(table, answers, final, "kind", "part", "n", "total", "f")
     known = spark.sparkContext.broadcast(levels)
 
-    def score(batches):
+    def documents(batches):
         for batch in batches:
             for i in range(batch.num_rows):
                 block = replay(batch, i, scale, known.value, parts, depth)
-                back = (batch.column(f"back{final}")[i].as_py() or []) if n_train else []
-                for r, rows in block.subtrees(parts, depth) if back else ():
-                    n, total, f = (_join([x[name] for x in back if x["kind"] == r], t)[rows.row] for name, t in (("n", np.int64), ("total", np.int64), ("f", np.float64)))
-                    block.own[rows.at] = np.where(n > 0, np.log10(np.maximum(n - DISCOUNT, DISCOUNT) / np.maximum(total, 1)), block.own[rows.at]) + f
                 sums = lambda x: np.add.reduceat(x, block.bounds[:-1])  # noqa: B023, E731  every text has its end
-                held = ~block.train[block.bounds[:-1]]
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column("ids").slice(i, 1).flatten(), pa.array(held), pa.array(block.sizes), pa.array(sums((block.count > 0).astype(np.int64))), pa.array(np.full(len(held), n_train)), pa.array(sums(block.base)), pa.array(sums(block.own))],
-                    [id_col, "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
-                )
+                columns = (~block.train[block.bounds[:-1]], block.sizes, sums((block.count > 0).astype(np.int64)), sums(block.base), sums(block.own))
+                yield pa.RecordBatch.from_arrays([batch.column("block").slice(i, 1), batch.column("ids").slice(i, 1), *(pa.array([x]) for x in columns)], ["block", "ids", "held_out", "n_tokens", "n_known", "base_score", "own"])
+
+    names, types = ["ids", "held_out", "n_tokens", "n_known", "base_score", "own"], f"ids array<{id_type}>, held_out array<boolean>, n_tokens array<bigint>, n_known array<bigint>, base_score array<double>, own array<double>"
+    docs = materialise(table.mapInArrow(documents, f"block binary, {types}"), "scored").select("*", *[F.lit(None).cast("binary").alias(x) for x in ("docs", "changes")])
+    if n_train:
+        waves = [materialise(_changes(table, scale, levels, parts, w, depth, min_count, divergence), "changes") for w in range(WAVES)]
+        empty = [F.lit(None).cast(t).alias(n) for n, t in (x.split() for x in types.split(", "))]
+        docs = reduce(DataFrame.unionByName, [docs, *(x.select("block", *empty, "docs", "changes") for x in waves)])
+    drop_materialised(table)
+    # a block's documents come first, then their changes, row by row
+    together = docs.repartition(max(1, -(-n_tokens // (10 * SHARD))), "block").sortWithinPartitions("block", F.col("ids").isNull())
+
+    def score(batches):
+        block = None
+
+        def out():
+            ids, held, sizes, n_known, base = (batch.column(x).slice(i, 1).flatten() for x in names[:-1])
+            return [ids, held, sizes, n_known, pa.array(np.full(len(ids), n_train)), base]
+
+        for batch in batches:
+            for i in range(batch.num_rows):
+                if batch.column("ids")[i].is_valid:
+                    if block:
+                        yield pa.RecordBatch.from_arrays([*block, pa.array(own)], [id_col, "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
+                    block, own = out(), batch.column("own").slice(i, 1).flatten().to_numpy().copy()
+                else:
+                    own[_unpack(batch.column("docs")[i].as_py(), np.int64)] += _unpack(batch.column("changes")[i].as_py(), np.int64) * GRAIN
+        if block:
+            yield pa.RecordBatch.from_arrays([*block, pa.array(own)], [id_col, "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
-    return table.mapInArrow(score, f"`{id_col}` {id_type}, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double")
+    return together.mapInArrow(score, f"`{id_col}` {id_type}, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double")

@@ -311,6 +311,7 @@ def test_tree_of_the_whole_corpus_equals_plain_counters(spark, monkeypatch, dept
     monkeypatch.setattr(lm, "HOT", hot)
     monkeypatch.setattr(lm, "BLOCK", 60_000)
     monkeypatch.setattr(lm, "SHARD", 30_000)
+    monkeypatch.setattr(lm, "CHUNK", 900)
     rows, df = corpus(spark, 11, 120)
     rng = random.Random(5)
     rare = " ".join(word(rng, "qrstuv") for _ in range(60))
