@@ -255,10 +255,10 @@ def assign(pieces: DataFrame, length_col: str = "length", order_cols: tuple[str,
 
 @lru_cache(maxsize=2)
 def tokenizer(path: str):
-    """Byte-level BPE with the vocabulary of a tokenizers file. One for each worker process.
+    """Byte-level BPE with the vocabulary and the added tokens of a tokenizers file. One for each worker process.
 
     tiktoken's encoder runs the same merges over the same ids several times faster than the library
-    that wrote the file; tests hold the two against each other.
+    that wrote the file; tests hold the two against each other. Like there, the string of an added token is that token.
     """
     import json
 
@@ -266,12 +266,16 @@ def tokenizer(path: str):
     from public_tokenizers import PATTERN
 
     with open(path, encoding="utf-8") as file:
-        vocab = json.load(file)["model"]["vocab"]
+        whole = json.load(file)
+    added = whole["added_tokens"]
+    if whole["normalizer"] or any(x[flag] for x in added for flag in ("single_word", "lstrip", "rstrip", "normalized")):
+        raise ValueError("normalizers and added tokens that take in what is around them aren't supported")
+    added = {x["content"]: x["id"] for x in added}
     # the file spells bytes as printable characters: the printable ones as they are, the others from 256 on
     plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
     spelled = {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in set(plain))}
-    ranks = {bytes(spelled[c] for c in token): i for token, i in vocab.items() if all(c in spelled for c in token)}
-    return tiktoken.Encoding("file", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+    ranks = {bytes(spelled[c] for c in token): i for token, i in whole["model"]["vocab"].items() if token not in added and all(c in spelled for c in token)}
+    return tiktoken.Encoding("file", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens=added)
 
 
 def cut(n: int, capacity: int = CAPACITY) -> list[tuple[int, int]]:
@@ -288,7 +292,7 @@ def pieces_of(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str =
         encode = tokenizer(path)
         row, out = [], []
         for i in range(texts.n):
-            ids = np.append(encode.encode_to_numpy(bytes(texts.bytes_of(i)).decode("utf-8", "replace"), disallowed_special=()).astype("<u4"), np.uint32(end_id)).astype("<u4")
+            ids = np.append(encode.encode_to_numpy(bytes(texts.bytes_of(i)).decode("utf-8", "replace"), allowed_special="all").astype("<u4"), np.uint32(end_id)).astype("<u4")
             for k, (start, n) in enumerate(cut(len(ids), capacity)):
                 row.append(i)
                 out.append((k, start, n, zlib.crc32(ids[start : start + n].tobytes())))

@@ -354,9 +354,8 @@ def test_bpe_equals_the_library(spark, paths):
 def test_packing_places_every_token_once(spark, paths):
     tokenizers = pytest.importorskip("tokenizers")
     t = tokenizers.Tokenizer.from_file(paths[2])
-    t.encode_special_tokens = True
     rng = random.Random(1)
-    texts = [*NASTY, None, *(" ".join(word(rng) for _ in range(rng.randrange(900))) for _ in range(60))]
+    texts = [*NASTY, "<|endoftext|>", "a  <|endoftext|><|endoftext|>\n b", " <|endoftext", None, *(" ".join(word(rng) for _ in range(rng.randrange(900))) for _ in range(60))]
     df = spark.createDataFrame(list(enumerate(texts)) + [(None, "a"), (None, "a")], "doc_id bigint, text string")
     rows = packing.pack(df, paths[2]).collect()
     by = collections.defaultdict(list)
@@ -368,6 +367,7 @@ def test_packing_places_every_token_once(spark, paths):
         assert [r["start"] for r in own] == list(np.cumsum([0, *(r["length"] for r in own)])[:-1]) and sum(r["length"] for r in own) == len(ids)
         assert all(r["length"] == 1024 for r in own[1:])
         assert all(r["ids_crc32"] == zlib.crc32(ids[r["start"] : r["start"] + r["length"]].tobytes()) for r in own)
+    assert t.encode("<|endoftext|>", add_special_tokens=False).ids == [50256]
     assert len(by[None]) == 2
     bins = collections.defaultdict(list)
     for r in rows:
