@@ -1,8 +1,9 @@
 """Language identification: multinomial naive Bayes over hashed character n-grams.
 
-Training is one distributed count: each task adds up its documents' n-grams as a dense
+Training is a distributed count: each task adds up its documents' n-grams as a dense
 buckets x languages matrix, so the shuffle carries fixed-size rows per task, and the
-log-probability matrix has a fixed size (buckets x languages) and is broadcast.
+log-probability matrix is broadcast. Languages are taken SLICE at a time in training and
+in scoring, so a task's matrix has a fixed size however many there are.
 """
 
 from __future__ import annotations
@@ -13,16 +14,16 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, Texts, map_texts, texts_of, words8
+from .common import LOWER, Texts, map_texts, materialise, texts_of, words8
 
 #: Hash buckets of the model.
 BUCKETS = 1 << 15
 #: Lengths in bytes of the n-grams (UTF-8; within and across words).
 SIZES = (2, 3, 4)
-#: Evidence of at most so many n-grams counts in a score; without it every long text scores 1.
+#: Evidence of at most so many n-grams counts in a score (not in the choice of the language); without it every long text scores 1.
 EVIDENCE = 200
-#: At most so many languages, the most frequent ones, so the matrix has a size bound.
-MAX_LANGUAGES = 200
+#: Languages whose matrix a task holds at a time.
+SLICE = 200
 _LETTER = regex.compile(r"\p{L}")
 _ASCII_LETTER = np.zeros(256, bool)
 _ASCII_LETTER[65:91] = _ASCII_LETTER[97:123] = True
@@ -54,18 +55,24 @@ def has_letter(texts: Texts) -> np.ndarray:
     return out
 
 
-def train(df: DataFrame, text_col: str, label_col: str, buckets: int = BUCKETS, sizes: tuple[int, ...] = SIZES, max_languages: int = MAX_LANGUAGES) -> dict:
-    """The model {labels, weights[buckets, labels], prior[labels]}, learned from all rows with a text and a label.
+def train(df: DataFrame, text_col: str, label_col: str, buckets: int = BUCKETS, sizes: tuple[int, ...] = SIZES) -> dict:
+    """The model {labels, weights[buckets, SLICE labels] of each slice, prior[labels]}, learned from all rows with a text and a label.
 
-    No usable row gives a model without labels. Only the fixed-size matrix reaches the driver.
+    Every label is learned, repeated rows count each, and empty texts count in the prior only. No usable row, as in
+    an empty table, gives a model without labels. What reaches the driver is the labels and one matrix row for each.
     """
     rows = df.where(F.col(text_col).isNotNull() & F.col(label_col).isNotNull()).select(F.col(label_col).cast("string").alias("__label"), F.col(text_col).cast("string").alias("__text"))
-    ranked = rows.groupBy("__label").count().orderBy(F.desc("count"), "__label").limit(max_languages).collect()
-    labels = sorted(r["__label"] for r in ranked)
-    if not labels:
-        return {"labels": [], "weights": np.zeros((buckets, 0), np.float32), "prior": np.zeros(0)}
+    docs = {r["__label"]: r["count"] for r in rows.groupBy("__label").count().collect()}
+    labels = sorted(docs)
+    parts = [labels[i : i + SLICE] for i in range(0, len(labels), SLICE)]
+    weights = [_weights(rows if len(parts) == 1 else rows.where(F.col("__label").between(x[0], x[-1])), x, buckets, sizes) for x in parts]
+    n = np.array([docs[x] for x in labels], float)
+    return {"labels": labels, "weights": weights, "prior": np.log(n / n.sum()) if labels else n, "buckets": buckets, "sizes": sizes}
+
+
+def _weights(rows: DataFrame, labels: list[str], buckets: int, sizes: tuple[int, ...]) -> np.ndarray:
+    """Log probabilities of the buckets under each of the labels, smoothed by half a count."""
     index = {x: i for i, x in enumerate(labels)}
-    docs = {r["__label"]: r["count"] for r in ranked}
 
     def count(batches):
         total = np.zeros((len(labels), buckets), np.int64)
@@ -93,50 +100,72 @@ def train(df: DataFrame, text_col: str, label_col: str, buckets: int = BUCKETS,
             yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([at], pa.int32()), pa.array([counts.tobytes()], pa.binary())], ["label", "at", "counts"])
 
     schema = "label int, at int, counts binary"
-    parts = rows.mapInArrow(count, schema).repartition("label", "at").mapInArrow(add, schema).collect()
     total = np.zeros((len(labels), buckets))
-    for r in parts:
+    for r in rows.mapInArrow(count, schema).repartition("label", "at").mapInArrow(add, schema).collect():
         new = np.frombuffer(bytes(r["counts"]), np.int64)
         total[r["label"], r["at"] : r["at"] + len(new)] += new
-    weights = np.log((total + 0.5) / (total.sum(axis=1, keepdims=True) + 0.5 * buckets)).T
-    n = np.array([docs[x] for x in labels], float)
-    return {"labels": labels, "weights": np.ascontiguousarray(weights, np.float32), "prior": np.log(n / n.sum()), "buckets": buckets, "sizes": sizes}
+    return np.ascontiguousarray(np.log((total + 0.5) / (total.sum(axis=1, keepdims=True) + 0.5 * buckets)).T, np.float32)
 
 
-def posteriors(texts: Texts, model: dict, evidence: int = EVIDENCE) -> np.ndarray:
-    """Probability of each language for each text; texts without n-grams get the prior."""
-    logits = np.zeros((texts.n, len(model["labels"])))
-    n = np.zeros(texts.n, np.int64)
-    for bucket, bounds in ngram_buckets(texts, model["buckets"], model["sizes"]):
+def log_likelihoods(texts: Texts, weights: np.ndarray, buckets: int, sizes: tuple[int, ...]) -> tuple[np.ndarray, np.ndarray]:
+    """The sum of each text's n-gram log probabilities under each label, and its number of n-grams."""
+    out, n = np.zeros((texts.n, weights.shape[1])), np.zeros(texts.n, np.int64)
+    for bucket, bounds in ngram_buckets(texts, buckets, sizes):
         full = np.flatnonzero(np.diff(bounds))
         if len(full):
-            logits[full] += np.add.reduceat(model["weights"][bucket], bounds[full], axis=0, dtype=np.float64)
+            out[full] += np.add.reduceat(weights[bucket], bounds[full], axis=0, dtype=np.float64)
         n += np.diff(bounds)
-    logits *= np.minimum(1, evidence / np.maximum(1, n))[:, None]
-    logits += model["prior"]
-    logits -= logits.max(axis=1, keepdims=True)
-    p = np.exp(logits)
-    return p / p.sum(axis=1, keepdims=True)
+    return out, n
 
 
 def predict(df: DataFrame, model: dict, columns: list[str], text_col: str = "text", evidence: int = EVIDENCE) -> DataFrame:
-    """columns + (lang_pred, score): the likeliest language and its probability.
+    """columns + (lang_pred, score): the language of the highest posterior, and its probability.
 
-    Null texts, texts without a letter and any text under a model without labels get `und` with score 0;
-    ties go to the label that sorts first. Columns not named are neither read nor kept.
+    The score is the posterior with the evidence of all n-grams scaled down to that of `evidence` of them; the choice is not.
+    Null texts, texts without a letter and any text under a model without labels get `und` with score 0; very short texts
+    lean on the prior; ties go to the label that sorts first; repeated rows stay; an empty table gives no rows.
+    Columns not named are neither read nor kept, whatever their names.
     """
-    shared = df.sparkSession.sparkContext.broadcast(model)
     types = dict(df.dtypes)
-
-    def run(rows, texts):
-        model = shared.value
-        names = np.array([*model["labels"], "und"], object)
-        best, score = np.full(texts.n, len(names) - 1), np.zeros(texts.n)
-        ok = np.flatnonzero(has_letter(texts)) if model["labels"] else []
-        if len(ok):
-            p = posteriors(texts, model, evidence)
-            best[ok], score[ok] = p.argmax(axis=1)[ok], p.max(axis=1)[ok]
-        return *(rows.column(i) for i in range(len(columns))), list(names[best]), score
-
-    schema = ", ".join(f"`{c}` {types[c]}" for c in columns) + ", lang_pred string, score double"
-    return map_texts(df, columns, text_col, run, schema, 1 << 20)
+    passed = ", ".join(f"`{c}` {types[c]}" for c in columns)
+    if not model["labels"]:
+        return df.select(*[F.col(f"`{c}`") for c in columns], F.lit("und").alias("lang_pred"), F.lit(0.0).alias("score"))
+    # the best label so far, its posterior, its scaled posterior, and the logarithm of the sum of all scaled ones
+    state = ["__label", "__best", "__own", "__all"]
+    kinds = "`__label` string, `__best` double, `__own` double, `__all` double"
+    now = df.select(*[F.col(f"`{c}`") for c in columns], F.col(f"`{text_col}`").cast("string").alias("__t"), F.lit(None).cast("string").alias("__label"), *[F.lit(float("-inf")).alias(x) for x in state[1:]])
+
+    def scored(k: int, last: bool):
+        labels, prior = np.array(model["labels"][k * SLICE : (k + 1) * SLICE], object), model["prior"][k * SLICE : (k + 1) * SLICE]
+        shared = df.sparkSession.sparkContext.broadcast(model["weights"][k])
+
+        def run(rows, texts):
+            label, best, own, whole = (np.array(rows.column(len(columns) + j).to_pylist(), object if j == 0 else float) for j in range(4))
+            ok = np.flatnonzero(has_letter(texts))
+            if len(ok):
+                found, n = log_likelihoods(texts, shared.value, model_buckets, model_sizes)
+                found, n = found[ok], n[ok]
+                logits, scaled = found + prior, found * np.minimum(1, evidence / np.maximum(1, n))[:, None] + prior
+                at = logits.argmax(axis=1)
+                top = logits[np.arange(len(ok)), at]
+                better = top > best[ok]
+                whole[ok] = np.logaddexp(whole[ok], np.logaddexp.reduce(scaled, axis=1))
+                to = ok[better]
+                label[to], best[to], own[to] = labels[at[better]], top[better], scaled[np.arange(len(ok)), at][better]
+            out = [rows.column(i) for i in range(len(columns))]
+            if not last:
+                return [*out, pa.array([bytes(texts.bytes_of(i)).decode("utf-8", "replace") for i in range(texts.n)]), list(label), best, own, whole]
+            none = label == None  # noqa: E711
+            label[none] = "und"
+            return [*out, list(label), np.where(none, 0.0, np.exp(np.minimum(0, own - np.where(none, 0, whole))))]
+
+        return run
+
+    model_buckets, model_sizes = model["buckets"], model["sizes"]
+    slices = len(model["weights"])
+    for k in range(slices):
+        last = k == slices - 1
+        now = map_texts(now, [*columns, *state], "__t", scored(k, last), f"{passed}, lang_pred string, score double" if last else f"{passed}, `__t` string, {kinds}", 1 << 20)
+        if not last:
+            now = materialise(now, "languages")
+    return now

@@ -10,10 +10,10 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Texts, map_texts, texts_of, unique_counts, words8, xxh64
+from .common import Texts, drop_materialised, map_texts, materialise, texts_of, unique_counts, words8, xxh64
 
 #: Hash buckets for words and n-grams together.
 BUCKETS = 1 << 17
@@ -23,8 +23,8 @@ SIZES = (3, 4, 5)
 DIM, EPOCHS, RATE, BATCH = 10, 8, 0.5, 16
 #: At most so many labelled rows of each class are learned from, by the order of a hash of their id.
 SAMPLE_PER_CLASS = 700
-#: Of one document at most so many distinct buckets, the most frequent, take part in training (all in scoring).
-TRAIN_BUCKETS = 4000
+#: Distinct buckets of all sampled documents together, whole documents in the order of the hash of their id; bounds the driver's memory.
+SAMPLE_BUCKETS = 20_000_000
 
 
 def features(texts: Texts, buckets: int = BUCKETS):
@@ -50,26 +50,23 @@ def features(texts: Texts, buckets: int = BUCKETS):
         yield bucket[inside], np.concatenate(([0], np.cumsum(np.maximum(0, lengths - n + 1))))
 
 
-def bags(df: DataFrame, label_col: str, text_col: str, buckets: int = BUCKETS) -> DataFrame:
-    """(label, id, count, total): each row's distinct buckets and their counts as packed arrays."""
+def bags(df: DataFrame, label_col: str, text_col: str, hash_col: str, buckets: int = BUCKETS) -> DataFrame:
+    """(label, h, ids, counts, n, total): each row's distinct buckets and their counts as packed arrays, and how many these are."""
 
     def run(batches):
         for batch in batches:
-            labels = batch.column(0)
             for texts in texts_of(batch.column(1), 1 << 20):
                 parts = list(features(texts, buckets))
                 ids, counts, totals = [], [], []
                 for i in range(texts.n):
                     own, n = unique_counts(np.concatenate([b[c[i] : c[i + 1]] for b, c in parts]))
                     totals.append(int(n.sum()))
-                    if len(own) > TRAIN_BUCKETS:
-                        top = np.sort(np.argsort(-n, kind="stable")[:TRAIN_BUCKETS])
-                        own, n = own[top], n[top]
                     ids.append(own.astype(np.int32).tobytes())
                     counts.append(n.astype(np.float32).tobytes())
-                yield pa.RecordBatch.from_arrays([labels.slice(texts.first, texts.n), pa.array(ids, pa.binary()), pa.array(counts, pa.binary()), pa.array(totals, pa.int64())], ["label", "ids", "counts", "total"])
+                head = [batch.column(i).slice(texts.first, texts.n) for i in (0, 2)]
+                yield pa.RecordBatch.from_arrays([*head, pa.array(ids, pa.binary()), pa.array(counts, pa.binary()), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(totals, pa.int64())], ["label", "h", "ids", "counts", "n", "total"])
 
-    return df.select(F.col(label_col).cast("int").alias("label"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "label int, ids binary, counts binary, total bigint")
+    return df.select(F.col(label_col).cast("int").alias("label"), F.col(text_col).cast("string").alias("text"), F.col(hash_col).alias("h")).mapInArrow(run, "label int, h bigint, ids binary, counts binary, n bigint, total bigint")
 
 
 def fit(rows: list[tuple[int, np.ndarray, np.ndarray]], log_odds_shift: float, buckets: int = BUCKETS, dim: int = DIM, epochs: int = EPOCHS, rate: float = RATE, seed: int = 1) -> dict:
@@ -117,20 +114,25 @@ def fit(rows: list[tuple[int, np.ndarray, np.ndarray]], log_odds_shift: float, b
 def train(labelled: DataFrame, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample_per_class: int = SAMPLE_PER_CLASS) -> dict:
     """Learns from `labelled` (id, label 0/1) joined with `docs`; labels null or other than 0/1 and ids null are skipped.
 
-    The sample: for each class the sample_per_class ids with the smallest hash, so at most
-    2 * sample_per_class rows reach the driver; class shares are counted over all labels.
+    The sample: for each class the sample_per_class ids with the smallest hash, as far as their documents have SAMPLE_BUCKETS
+    distinct buckets together; whole documents, so at most 2 * sample_per_class rows and that many buckets reach the driver.
+    Class shares are counted over all labels. An id that repeats in docs gives a row each; labels that repeat or
+    contradict each other count each; null and empty texts have no buckets; empty tables give a model that scores 0.5.
     """
     labels = labelled.where(F.col(id_col).isNotNull() & F.col(label_col).isin(0, 1)).select(F.col(id_col).alias("__id"), F.col(label_col).cast("int").alias("__label"))
     n = {r["__label"]: r["count"] for r in labels.groupBy("__label").count().collect()}
     hashed = labels.withColumn("__h", F.xxhash64("__id"))
     picked = [hashed.where(F.col("__label") == c).orderBy("__h", "__id").limit(sample_per_class) for c in (0, 1)]
-    picked = picked[0].unionByName(picked[1]).select("__id", "__label").collect()  # at most 2 * sample_per_class ids
-    chosen = docs.sparkSession.createDataFrame([tuple(r) for r in picked], labels.select("__id", "__label").schema)
+    picked = picked[0].unionByName(picked[1]).collect()  # at most 2 * sample_per_class ids
+    chosen = docs.sparkSession.createDataFrame([tuple(r) for r in picked], hashed.schema)
     sample = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text")).join(F.broadcast(chosen), "__id")
+    found = materialise(bags(sample, "__label", "__text", "__h"), "bags")
+    order = Window.orderBy("h", "n").rowsBetween(Window.unboundedPreceding, 0)  # over the bounded sample
     rows = []
-    for r in bags(sample, "__label", "__text").collect():
+    for r in found.withColumn("sum", F.sum("n").over(order)).where(F.col("sum") <= SAMPLE_BUCKETS).collect():
         counts = np.frombuffer(bytes(r["counts"]), np.float32)
         rows.append((r["label"], np.frombuffer(bytes(r["ids"]), np.int32), counts / max(1, r["total"])))
+    drop_materialised(found)
     rows.sort(key=lambda r: (r[0], len(r[1]), r[1].tobytes()))  # the order of tasks plays no part
     taken = [sum(r[0] == c for r in rows) for c in (0, 1)]
     shift = np.log(n[1] / n[0]) - np.log(taken[1] / taken[0]) if all(taken) and len(n) == 2 else 0.0
@@ -150,7 +152,8 @@ def scores(texts: Texts, model: dict) -> np.ndarray:
 
 
 def score(df: DataFrame, model: dict, columns: list[str], text_col: str = "text") -> DataFrame:
-    """columns + score (double): a row for each row of df, null and empty texts included. Other columns are not kept."""
+    """columns + score (double): a row for each row of df; null and empty texts get the model's bias alone, repeated rows and
+    equal texts equal scores; an empty table gives no rows. Columns not named are neither read nor kept, whatever their names."""
     shared = df.sparkSession.sparkContext.broadcast(model)  # a fixed number of buckets
     types = dict(df.dtypes)
 

@@ -41,6 +41,83 @@ def test_language_on_held_out_rows(spark):
     assert np.mean([r["lang"] == r["lang_pred"] for r in rows]) > 0.95 and out.count() == 1000
 
 
+def grams(text, sizes=(2, 3, 4), buckets=1 << 15):
+    b = bytes(x + 32 if 65 <= x <= 90 else x for x in text.encode())
+    for n in sizes:
+        for i in range(len(b) - n + 1):
+            h = (int.from_bytes(b[i : i + n], "little") * 0x9E3779B97F4A7C15 + n) % 2**64
+            yield ((h ^ (h >> 29)) * 0xBF58476D1CE4E5B9 % 2**64 >> 40) % buckets
+
+
+@pytest.mark.parametrize("slice_", [200, 2])
+def test_language_equals_plain_counters(spark, monkeypatch, slice_):
+    """Naive Bayes by dictionaries, with more labels than a slice, ties, rare labels, short and long texts."""
+    monkeypatch.setattr(langid, "SLICE", slice_)
+    rng = random.Random(3)
+    alphabets = {"aa": "abcde", "bb": "cdefg", "cc": "efgéi", "dd": "abcde", "rare": "xyz"}
+    text = lambda a, n: " ".join("".join(rng.choice(alphabets[a]) for _ in range(rng.randrange(1, 7))) for _ in range(n))
+    rows = [(i, text(a, rng.randrange(1, 60)), a) for i, a in enumerate([*["aa", "bb", "cc", "dd"] * 12, "rare"])]
+    rows += [(100, text("bb", 4000), "bb"), (101, None, "aa"), (102, "", "cc"), (103, "Abc", None), (104, rows[0][1], "aa"), (105, "1 2", "bb")]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, lang string").withColumn("score", F.lit("clash"))
+    model = langid.train(df, "text", "lang")
+    used = [(t, a) for _, t, a in rows if t is not None and a is not None]
+    labels = sorted({a for _, a in used})
+    count = {a: np.zeros(1 << 15) for a in labels}
+    for t, a in used:
+        for g in grams(t):
+            count[a][g] += 1
+    weight = {a: np.log((c + 0.5) / (c.sum() + 0.5 * len(c))) for a, c in count.items()}
+    prior = {a: np.log(sum(x == a for _, x in used) / len(used)) for a in labels}
+    got = {r["doc_id"]: r for r in langid.predict(df, model, ["doc_id"]).collect()}
+    assert len(got) == len(rows)
+    for i, t, _ in rows:
+        if not t or not any(c.isalpha() for c in t):
+            assert (got[i]["lang_pred"], got[i]["score"]) == ("und", 0.0)
+            continue
+        g = list(grams(t))
+        own = {a: sum(weight[a][x] for x in g) for a in labels}
+        best = max(labels, key=lambda a: own[a] + prior[a])
+        scaled = {a: own[a] * min(1, langid.EVIDENCE / max(1, len(g))) + prior[a] for a in labels}
+        assert got[i]["lang_pred"] == best
+        assert got[i]["score"] == pytest.approx(1 / sum(np.exp(x - scaled[best]) for x in scaled.values()), rel=1e-3)
+
+
+def test_quality_scores_equal_a_plain_sum(spark):
+    """The folded model against words, repeats and n-grams taken one by one."""
+    import re
+
+    import xxhash
+
+    rng = np.random.default_rng(5)
+    model = {"delta": rng.normal(size=quality.BUCKETS).astype(np.float32) * 30, "bias": 0.3}
+    texts = [None, "", " ", "a a b", "é é x  yz", "ab" * 700, " ".join(["aa", "bb", "cc"][k] for k in rng.integers(0, 3, 400))]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").withColumn("score", F.lit(1))
+    got = {r["doc_id"]: r["score"] for r in quality.score(df, model, ["doc_id"]).collect()}
+    for i, t in enumerate(texts):
+        b = (t or "").encode()
+        words = re.findall(rb"[^\x20\x09-\x0d]+", b)
+        ids = [xxhash.xxh64_intdigest(w, 7) % quality.BUCKETS for w in words] + [int(k > 0 and w == words[k - 1]) for k, w in enumerate(words)]
+        for n in quality.SIZES:
+            for k in range(len(b) - n + 1):
+                g = (int.from_bytes(b[k : k + n], "little") * 0x9E3779B97F4A7C15 + n) % 2**64
+                ids.append(((g ^ (g >> 31)) * 0x94D049BB133111EB % 2**64 >> 36) % quality.BUCKETS)
+        z = sum(float(model["delta"][x]) for x in ids) / max(1, len(ids)) + 0.3
+        assert got[i] == pytest.approx(1 / (1 + np.exp(-z)), rel=1e-6)
+
+
+def test_quality_sample_takes_whole_documents_up_to_its_bound(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, " ".join(f"w{i}x{k}" for k in range(50 + i)), "x") for i in range(40)], "doc_id bigint, text string, ids string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id bigint, quality int")
+    seen = []
+    monkeypatch.setattr(quality, "fit", lambda rows, shift: seen.append(rows) or {"delta": np.zeros(4, np.float32), "bias": 0.0})
+    quality.train(labels, docs)
+    whole = sum(len(r[1]) for r in seen[0])
+    monkeypatch.setattr(quality, "SAMPLE_BUCKETS", whole // 2)
+    quality.train(labels, docs)
+    assert len(seen[0]) == 40 and 10 < len(seen[1]) < 40 and sum(len(r[1]) for r in seen[1]) <= whole // 2
+    assert all(abs(sum(r[2]) - 1) < 1e-3 for r in seen[1])
+
+
 def test_language_edges(spark):
     data = spark.createDataFrame([("the cat and the dog", "en"), ("der Hund und die Katze", "de"), (None, "fr"), ("x", None)], "text string, lang string")
     model = langid.train(data, "text", "lang")
