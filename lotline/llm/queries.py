@@ -51,7 +51,7 @@ def op5_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return suffix.find_repeats(table(spark, sf_dir, "documents"), ["doc_id"], "doc_id", length=400)
+    return suffix.find_repeats(table(spark, sf_dir, "documents"), ["doc_id"], "doc_id", length=400, want_text=True).withColumnRenamed("kept", "text")
 
 
 def op7_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -232,15 +232,16 @@ def text_hash(text_col: str):
     return F.unhex(F.substring(F.sha2(F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary"), 256), 1, 32))
 
 
-def find_repeats(df: DataFrame, columns: list[str], order_col: str, text_col: str = "text", length: int = 400, keep_first: bool = False, want_text: bool = False) -> DataFrame:
+def find_repeats(df: DataFrame, columns: list[str], order_col: str, text_col: str = "text", length: int = 400, keep_first: bool = False, want_text: bool = False, whole_characters: bool = False) -> DataFrame:
     """columns + (n_bytes, n_removed, n_spans, kept_sha256[, kept]) for every row of df.
 
     Without keep_first every byte is removed that is covered by a passage that also starts anywhere else.
     With keep_first passages stay where they are met first, in the order of order_col, then of a hash of the text,
     then of position; of equal texts the row with the smallest order_col stays.
     Null texts count as empty; texts shorter than `length` stay whole; repeated rows count as separate texts;
-    an empty table gives no rows. Columns not named are neither read nor kept. kept is text, so its cuts are
-    moved to character borders (a character cut by a border stays).
+    an empty table gives no rows. Columns not named are neither read nor kept, whatever their names. kept is what remains as text:
+    with whole_characters cuts are moved to character borders (a character cut by a border stays), else what is left of
+    a character that a cut goes through becomes U+FFFD there; kept_sha256 is always of the bytes.
     """
     types = dict(df.dtypes)
     order_type = types[order_col]
@@ -274,7 +275,7 @@ def find_repeats(df: DataFrame, columns: list[str], order_col: str, text_col: st
     digest = "n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string" + (", kept string" if want_text else "")
 
     def result(text: memoryview, spans) -> tuple:
-        runs = cover(spans, text, want_text)
+        runs = cover(spans, text, whole_characters)
         kept = without(text, runs)
         return (len(text), sum(b - a for a, b in runs), len(runs), hashlib.sha256(kept).hexdigest(), *((kept.decode("utf-8", "replace"),) if want_text else ()))
 

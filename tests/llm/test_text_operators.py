@@ -213,10 +213,28 @@ def test_repeated_passages_equal_brute_force(spark, monkeypatch, crowd, keep_fir
     assert got == brute_repeats(rows, 64, keep_first) and sum(r[2] for r in got)
 
 
+def test_kept_text_is_what_the_digest_says(spark):
+    rows, df = corpus(spark, 4)
+    out = suffix.find_repeats(df, ["doc_id"], "doc_id", length=64, want_text=True).collect()
+    whole = [r for r in out if "\ufffd" not in r["kept"]]
+    assert len(out) == len(rows) and len(whole) > 0.7 * len(rows)
+    assert all(hashlib.sha256(r["kept"].encode()).hexdigest() == r["kept_sha256"] for r in whole)
+    assert all(r["kept"] == (dict((i, t) for i, t, _ in rows)[r["doc_id"]] or "") for r in out if not r["n_removed"])
+
+
+def test_periodic_long_texts(spark):
+    """One long period, two texts that share it, and a very long text without repeats."""
+    rng = random.Random(2)
+    rows = [(0, "ab" * 40_000, "x"), (1, "x" + "ab" * 300 + "y", "x"), (2, "".join(rng.choice("cdefgh") for _ in range(60_000)), "x"), (3, "abc" * 21, "x")]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, kept string")
+    got = {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"]) for r in suffix.find_repeats(df, ["doc_id"], "doc_id", length=64).collect()}
+    assert got == {0: (80_000, 80_000, 1), 1: (602, 600, 1), 2: (60_000, 0, 0), 3: (63, 0, 0)}
+
+
 def test_kept_text_is_whole_characters(spark):
     a, b = "é" * 90, "x" + "é" * 90
     df = spark.createDataFrame([(1, a, "k"), (2, b, "k"), (3, None, "k")], "doc_id bigint, text string, n_bytes string")
-    out = {r["doc_id"]: r for r in suffix.find_repeats(df, ["doc_id"], "doc_id", length=65, keep_first=True, want_text=True).collect()}
+    out = {r["doc_id"]: r for r in suffix.find_repeats(df, ["doc_id"], "doc_id", length=65, keep_first=True, want_text=True, whole_characters=True).collect()}
     assert "�" not in "".join(r["kept"] for r in out.values()) and out[3]["kept"] == ""
     assert set(out[2]["kept"]) <= {"x", "é"} and len(out[2]["kept"]) < 10
     assert suffix.find_repeats(df.where("false"), ["doc_id"], "doc_id").count() == 0
@@ -422,6 +440,22 @@ def test_top_k_equals_brute_force(spark, monkeypatch, wild):
     assert got == sorted(want)
 
 
+def test_top_k_with_repeated_ids(spark, monkeypatch):
+    """As the registered SQL has it: every row is a candidate, and an id's queries are ranked together."""
+    monkeypatch.setattr(topk, "CANDIDATES", 30)
+    monkeypatch.setattr(topk, "RUN", 7)
+    rng = np.random.default_rng(8)
+    rows = [(int(rng.integers(0, 60)), [float(v) for v in np.float32(rng.normal(size=6))]) for _ in range(200)]
+    rows += rows[:40]
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<float>")
+    v = [(i, [math.floor(1024 * y) for y in e]) for i, e in rows]
+    want = []
+    for q in sorted({i for i, _ in v if i % 10 == 0}):
+        best = sorted((-sum(a * b for a, b in zip(e, f)), c) for i, e in v if i == q for c, f in v if c != q)[:10]
+        want += [(q, k + 1, c, -s) for k, (s, c) in enumerate(best)]
+    assert sorted(tuple(r) for r in topk.top_k(df, lambda i: i % 10 == 0).collect()) == want
+
+
 def test_top_k_with_few_or_no_vectors(spark):
     df = spark.createDataFrame([(0, [1.0]), (10, [-1.0]), (3, [0.0])], "vec_id bigint, embedding array<float>")
     assert len(topk.top_k(df, lambda i: i % 10 == 0).collect()) == 4
