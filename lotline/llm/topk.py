@@ -4,7 +4,8 @@ Vectors are processed by descending length in blocks. A query's k-th best score
 longest vectors is a bound that all later candidates must reach. A later block is read for a block of
 queries only if its longest vector can reach that bound; inside, vectors are rotated by an SVD basis
 that puts most of the energy into the leading coordinates, and a partial sum plus the
-Cauchy-Schwarz bound of the residuals discards candidates before exact products are taken.
+Cauchy-Schwarz bound of the residuals discards candidates before exact products are taken. The bound
+rises with every run of candidates, longest first.
 """
 
 from __future__ import annotations
@@ -17,7 +18,9 @@ from pyspark.sql import functions as F
 from .common import materialise
 
 #: Vectors in a block of candidates and of queries.
-CANDIDATES, QUERIES = 8192, 512
+CANDIDATES, QUERIES = 4096, 512
+#: Candidates of a block that are compared at once.
+RUN = 1024
 #: The rotation is fitted to at most so many vectors, those with the smallest hash of their id.
 SVD_SAMPLE = 2000
 #: Leading coordinates of the partial sums, as a share of all.
@@ -29,7 +32,7 @@ SLACK = 1e-9
 def scaled(df: DataFrame, id_col: str, vector_col: str, scale: float) -> DataFrame:
     """(id, v binary, norm): floor(scale * x) as packed doubles. Null vectors, null or non-finite components and null ids are left out.
 
-    Of rows that repeat an id the one with the smallest bytes stays, so that an id names one vector.
+    Rows that repeat an id all stay.
     """
     id_type = dict(df.dtypes)[id_col]
 
@@ -48,8 +51,7 @@ def scaled(df: DataFrame, id_col: str, vector_col: str, scale: float) -> DataFra
                     norm.append(float(np.sqrt((x * x).sum())))
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(keep, pa.int64())), pa.array(out, pa.binary()), pa.array(norm, pa.float64())], ["id", "v", "norm"])
 
-    packed = df.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(vector_col).cast("array<double>")).mapInArrow(run, f"id {id_type}, v binary, norm double")
-    return packed.groupBy("id").agg(F.min(F.struct("v", "norm")).alias("x")).select("id", "x.v", "x.norm")
+    return df.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(vector_col).cast("array<double>")).mapInArrow(run, f"id {id_type}, v binary, norm double")
 
 
 def unpack(values: list[bytes], width: int) -> np.ndarray:
@@ -61,12 +63,12 @@ def unpack(values: list[bytes], width: int) -> np.ndarray:
     return out
 
 
-def exact(q: np.ndarray, x: np.ndarray) -> np.ndarray:
-    """Integer inner products of paired rows, held to the range of a long; doubles are exact up to 2**53."""
-    if not len(q) or np.abs(q).max() * np.abs(x).max() * q.shape[1] < 2.0**53:
-        return (q * x).sum(axis=1).astype(np.int64)
+def products(q: np.ndarray, c: np.ndarray) -> np.ndarray:
+    """Integer inner products of all rows with all rows, held to the range of a long."""
+    if not len(q) or not len(c) or np.abs(q).max() * np.abs(c).max() * q.shape[1] < 2.0**53:
+        return (q @ c.T).astype(np.int64)  # every partial sum is a whole number that a double holds exactly
     low, high = -(2**63), 2**63 - 1
-    return np.array([min(high, max(low, sum(int(a) * int(b) for a, b in zip(u, v, strict=True)))) for u, v in zip(q, x, strict=True)], np.int64)
+    return np.array([[min(high, max(low, sum(int(a) * int(b) for a, b in zip(u, v, strict=True)))) for v in c] for u in q], np.int64).reshape(len(q), len(c))
 
 
 def best_of(query: np.ndarray, ids: np.ndarray, scores: np.ndarray, k: int) -> np.ndarray:
@@ -83,26 +85,30 @@ def match(q_ids, q, bound, c_ids, c, k: int, rotation: np.ndarray) -> tuple[np.n
     lead = max(1, int(round(LEAD * q.shape[1])))
     q_norm, c_norm = np.sqrt((q * q).sum(axis=1)), np.sqrt((c * c).sum(axis=1))
     slack = SLACK * (q_norm.max(initial=0) * c_norm.max(initial=0) + 1)
-    found_q, found_c = [], []
-    live = np.flatnonzero(q_norm * c_norm.max(initial=0) + slack >= bound)
-    if len(live) and len(c):
-        a, b = q[live] @ rotation, c @ rotation
-        rest_a = np.sqrt(np.maximum(0, (a[:, lead:] ** 2).sum(axis=1)))
-        rest_b = np.sqrt(np.maximum(0, (b[:, lead:] ** 2).sum(axis=1)))
-        for at in range(0, len(c), 2048):
-            upper = a[:, :lead] @ b[at : at + 2048, :lead].T + rest_a[:, None] * rest_b[None, at : at + 2048] + slack
-            i, j = np.nonzero(upper >= bound[live][:, None])
-            found_q.append(live[i])
-            found_c.append(j + at)
-    i, j = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (found_q, found_c))
-    own = q_ids[i] != c_ids[j]
-    i, j = i[own], j[own]
-    scores = np.empty(len(i), np.int64)
-    for at in range(0, len(i), 1 << 16):
-        part = slice(at, at + (1 << 16))
-        scores[part] = exact(q[i[part]], c[j[part]])
-    top = best_of(i, c_ids[j], scores, k)
-    return i[top], j[top], scores[top]
+    a, b = q @ rotation, c @ rotation
+    rest_a, rest_b = (np.sqrt(np.maximum(0, (x[:, lead:] ** 2).sum(axis=1))) for x in (a, b))
+    bound = np.array(bound, float)
+    i, j, scores = (np.zeros(0, np.int64) for _ in range(3))
+    for at in range(0, len(c), RUN):
+        run = slice(at, at + RUN)
+        live = np.flatnonzero(q_norm * c_norm[run].max() + slack >= bound)
+        if not len(live):
+            continue
+        may = a[live, :lead] @ b[run, :lead].T + rest_a[live, None] * rest_b[None, run] + slack >= bound[live, None]
+        rows, columns = np.flatnonzero(may.any(axis=1)), np.flatnonzero(may.any(axis=0))
+        found = products(q[live[rows]], c[run][columns])
+        other = q_ids[live[rows], None] != c_ids[run][None, columns]
+        # what is below the k-th of a query's row here can't be among its best
+        least = np.maximum(bound[live[rows]], np.partition(np.where(other, found, np.iinfo(np.int64).min), -k, axis=1)[:, -k]) if len(columns) >= k and len(rows) else bound[live[rows]]
+        x, y = np.nonzero(other & (found >= least[:, None]))
+        i, j, scores = np.append(i, live[rows[x]]), np.append(j, columns[y] + at), np.append(scores, found[x, y])
+        top = best_of(i, c_ids[j], scores, k)
+        i, j, scores = i[top], j[top], scores[top]
+        full = np.flatnonzero(np.bincount(i, minlength=len(q)) >= k)
+        kth = np.full(len(q), np.iinfo(np.int64).max)
+        np.minimum.at(kth, i, scores)
+        bound[full] = np.maximum(bound[full], kth[full])
+    return i, j, scores
 
 
 def blocks(vectors: DataFrame, size: int) -> DataFrame:
@@ -146,8 +152,11 @@ def top_k(df: DataFrame, is_query, k: int = 10, id_col: str = "vec_id", vector_c
     """(query_id, rank, id, score): for each row where is_query holds its k best other rows, exactly.
 
     The score is the integer inner product of floor(scale * x). Ties go to the smaller id. A query with
-    fewer other rows than k gets them all; without queries or candidates there are no rows. Vectors of
-    different lengths are padded with zeros. Columns other than the two named are neither read nor kept.
+    fewer other rows than k gets them all; without queries or candidates (as in an empty table) there are no rows.
+    Rows that repeat an id are candidates each, but not of queries with their id; queries that repeat an id
+    are ranked together, as in the SQL. Null ids are neither queries nor candidates, and vectors that are null
+    or hold null or non-finite components take no part. Vectors of different lengths are padded with zeros;
+    very long ones are like any other. Columns other than the two named are neither read nor kept.
     """
     spark = df.sparkSession
     vectors = materialise(scaled(df, id_col, vector_col, scale), "vectors")
