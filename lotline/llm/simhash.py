@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import IS_SPACE, LOWER, PAD, Texts, map_texts, materialise, mix, xxh64
+from .common import IS_SPACE, LOWER, PAD, Texts, drop_materialised, map_texts, materialise, mix, segment_sums, xxh64
 
 #: Widths of the six bit blocks of a fingerprint.
 BLOCKS = (11, 11, 11, 11, 10, 10)
@@ -123,7 +123,7 @@ def linked_pairs(key: np.ndarray, fp: np.ndarray, pivots: np.ndarray, max_bits:
         order = np.lexsort((column, key[at]))
         at, column = at[order], column[order]
         k, f = key[at], fp[at]
-        table = pivot_table(f, pivots) if max_bits < 16 else np.zeros((len(at), 1), np.int16)  # a wide radius discards next to nothing
+        table = pivot_table(f, pivots)
         alive, lag = np.arange(len(at) - 1), 1
         while len(alive):
             alive = alive[alive + lag < len(at)]
@@ -179,6 +179,46 @@ def spanning_forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return nodes[moved], nodes[root[moved]]
 
 
+def nearest_forest(a: np.ndarray, b: np.ndarray, distance: np.ndarray) -> np.ndarray:
+    """Which of the links (a, b) make a forest of smallest distances that joins what all of them join."""
+    nodes, flat = np.unique(np.concatenate((a, b)), return_inverse=True)
+    x, y = flat[: len(a)], flat[len(a) :]
+    weight = distance.astype(np.int64) * len(a) + np.arange(len(a))
+    root, live, chosen = np.arange(len(nodes)), np.arange(len(a)), [np.zeros(0, np.int64)]
+    while len(live := live[root[x[live]] != root[y[live]]]):
+        best = np.full(len(nodes), np.iinfo(np.int64).max)
+        np.minimum.at(best, root[x[live]], weight[live])
+        np.minimum.at(best, root[y[live]], weight[live])
+        pick = np.unique(best[best < np.iinfo(np.int64).max]) % len(a)
+        chosen.append(pick)
+        while (root[x[pick]] != root[y[pick]]).any():
+            low = np.minimum(root[x[pick]], root[y[pick]])
+            np.minimum.at(root, root[x[pick]], low)
+            np.minimum.at(root, root[y[pick]], low)
+            while (root != root[root]).any():
+                root = root[root]
+    return np.concatenate(chosen)
+
+
+def nearest_links(key: np.ndarray, fp: np.ndarray, pivots: np.ndarray, max_bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs within max_bits bits of one key that make a forest of smallest distances; rows must be sorted by key.
+
+    Buckets over SWEEP are searched with a radius that grows, so that near pairs are met before far ones.
+    """
+    cuts = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+    sizes = np.diff(np.append(cuts, len(key)))
+    large = np.repeat(sizes > SWEEP, sizes)
+    left, right = [], []
+    for some, radii in ((np.flatnonzero(~large), [max_bits]), (np.flatnonzero(large), range(max_bits % 10, max_bits + 1, 10))):
+        for radius in radii if len(some) else ():
+            a, b = linked_pairs(key[some], fp[some], pivots, radius)
+            left.append(some[a])
+            right.append(some[b])
+    a, b = np.concatenate(left), np.concatenate(right)
+    forest = nearest_forest(a, b, hamming(fp[a], fp[b]))
+    return a[forest], b[forest]
+
+
 def links(nodes: DataFrame, max_bits: int = 4, pivots: int = PIVOTS) -> DataFrame:
     """(u, v), u > v: links that join exactly the components of all fingerprints within max_bits <= 4 bits."""
     if max_bits > 4:
@@ -188,8 +228,11 @@ def links(nodes: DataFrame, max_bits: int = 4, pivots: int = PIVOTS) -> DataFram
     return _links(dealt, words_of, reference_fingerprints(pivots), max_bits)
 
 
-def _links(dealt: DataFrame, words_of, pivots: np.ndarray, max_bits: int) -> DataFrame:
-    """(u, v) of rows (key, node, fingerprint): each task searches its buckets, a few whole ones at a time."""
+def _links(dealt: DataFrame, words_of, pivots: np.ndarray, max_bits: int, real: bool = False) -> DataFrame:
+    """(u, v), u > v, of rows (key, node, fingerprint): each task searches its buckets, a few whole ones at a time.
+
+    With `real` each row is a pair within max_bits bits, and near pairs go before far ones; else it names a node and its bucket's root.
+    """
     n = int(dealt.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = dealt.repartition(n, "key").sortWithinPartitions("key")
     width = pivots.shape[1]
@@ -198,8 +241,12 @@ def _links(dealt: DataFrame, words_of, pivots: np.ndarray, max_bits: int) -> Dat
         held = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros((0, width), np.uint64)]
 
         def out(key, node, fp):
-            a, b = linked_pairs(key, fp, pivots, max_bits)
-            u, v = spanning_forest(node[a], node[b])
+            if real:
+                a, b = nearest_links(key, fp, pivots, max_bits)
+                u, v = np.maximum(node[a], node[b]), np.minimum(node[a], node[b])
+            else:
+                a, b = linked_pairs(key, fp, pivots, max_bits)
+                u, v = spanning_forest(node[a], node[b])
             return pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], ["u", "v"])
 
         for batch in batches:
@@ -251,27 +298,35 @@ def simhash_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
 # ---------------------------------------------------------------- similarity of 0.8 or more
 
-#: Words of a wide fingerprint, and the differing bits up to which wide fingerprints link. Shingle sets with a
-#: similarity of 0.8 differ in 15 % of the bits, 39 of 256 with a deviation of 6.
-WIDE, WIDE_BITS = 4, 44
-#: Bits of a band and number of bands, the same at every size: pairs that differ in WIDE_BITS bits, the most that
-#: link, agree in some band with a probability of 0.97. Buckets that get crowded are searched exactly.
+#: Words of a wide fingerprint, the differing bits up to which bands are laid out, and those up to which shingle sets are
+#: compared. Sets with a similarity of 0.8 differ in 15 % of the bits, 39 of 256 with a deviation of 6.
+WIDE, WIDE_BITS, RADIUS = 4, 44, 60
+#: Bits of a band and number of bands, the same at every size: pairs that differ in WIDE_BITS bits
+#: agree in some band with a probability of 0.97. Buckets that get crowded are searched exactly.
 BAND_BITS, BANDS = 16, 71
 
 
 def wide_fingerprints(df: DataFrame, id_col: str, text_col: str, words_per_shingle: int) -> DataFrame:
-    """(id, fp binary): four SimHashes of independent hashes of the same shingles, 256 bits."""
+    """(id, node, fp binary, n, shingles): a hash of the set of a text's shingles, four SimHashes of independent hashes of
+    them (256 bits), how many they are, and 32 bits of each."""
     id_type = dict(df.dtypes)[id_col]
 
     def run(rows, texts):
         h, bounds = shingle_hashes(texts, words_per_shingle)
-        words = []
+        owner = np.repeat(np.arange(texts.n), np.diff(bounds))
+        order = np.lexsort((h, owner))
+        h, owner = h[order], owner[order]
+        new = np.ones(len(h), bool)
+        new[1:] = (h[1:] != h[:-1]) | (owner[1:] != owner[:-1])
+        h, n = h[new], np.bincount(owner[new], minlength=texts.n)
+        bounds = np.concatenate(([0], np.cumsum(n)))
         with np.errstate(over="ignore"):
-            for k in range(WIDE):
-                words.append(majority_bits(mix(h + np.uint64(k)) if k else h, bounds))
-        return rows.column(0), [x.tobytes() for x in np.stack(words, axis=1).astype("<u8")]
+            node = mix(segment_sums(mix(h ^ np.uint64(0x5851F42D4C957F2D)), bounds) + n.astype(np.uint64))
+            words = [majority_bits(mix(h + np.uint64(k)) if k else h, bounds) for k in range(WIDE)]
+        shingles = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(h.astype(np.uint32).view(np.int32)))
+        return rows.column(0), node.view(np.int64), [x.tobytes() for x in np.stack(words, axis=1).astype("<u8")], n, shingles
 
-    return map_texts(df, [id_col], text_col, run, f"`{id_col}` {id_type}, fp binary")
+    return map_texts(df, [id_col], text_col, run, f"`{id_col}` {id_type}, node bigint, fp binary, n bigint, shingles array<int>")
 
 
 def _wide_words(column: pa.Array) -> np.ndarray:
@@ -279,7 +334,10 @@ def _wide_words(column: pa.Array) -> np.ndarray:
 
 
 def wide_links(nodes: DataFrame) -> DataFrame:
-    """(u, v) between nodes (node bigint, fp binary) whose wide fingerprints differ in at most WIDE_BITS bits and agree in a band."""
+    """(u, v) between nodes (node bigint, fp binary) whose wide fingerprints differ in at most RADIUS bits and agree in a band.
+
+    Of each bucket a forest of smallest distances is given, not all pairs.
+    """
     rng = np.random.default_rng(256)
     chosen = [np.sort(rng.choice(64 * WIDE, BAND_BITS, replace=False)) for _ in range(BANDS)]
 
@@ -291,20 +349,34 @@ def wide_links(nodes: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(key), batch.column(0), batch.column(1)], ["key", "node", "fp"])
 
     dealt = nodes.select("node", "fp").mapInArrow(deal, "key bigint, node bigint, fp binary")
-    return _links(dealt, _wide_words, reference_fingerprints(2, WIDE), WIDE_BITS)
+    return _links(dealt, _wide_words, reference_fingerprints(2, WIDE), RADIUS, real=True)
+
+
+def alike(edges: DataFrame, sets: DataFrame) -> DataFrame:
+    """The edges (u, v) between sets (node, n, shingles) with a similarity of 0.8 or more: common / all >= 4 / 5."""
+    one, two = (sets.select(F.col("node").alias(x), F.col("n").alias(f"n_{x}"), F.col("shingles").alias(f"s_{x}")) for x in "uv")
+    both = edges.join(two.hint("merge"), "v").join(one.hint("merge"), "u")
+    return both.where(9 * F.size(F.array_intersect("s_u", "s_v")) >= 4 * (F.col("n_u") + F.col("n_v"))).select("u", "v")
 
 
 def similar_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words_per_shingle: int = 5) -> DataFrame:
-    """(id, component_id): components of documents whose shingles have a similarity of about 0.8 or more, by wide fingerprints.
+    """(id, component_id): components of documents whose sets of shingles have a similarity of 0.8 or more.
 
-    The same rules for nulls, repeated rows and empty tables as simhash_components. Nodes are named by a 64-bit hash of their fingerprint.
+    Candidates are pairs of near wide fingerprints, and each is compared by its sets before it links (by 32 bits of each shingle).
+    The same rules for nulls, repeated rows and empty tables as simhash_components. Nodes are distinct sets of shingles, named by 64 bits.
     """
-    prints = materialise(wide_fingerprints(df, id_col, text_col, words_per_shingle).withColumn("node", F.xxhash64("fp")), "wide")
-    nodes = materialise(prints.groupBy("node", "fp").agg(F.min(id_col).alias("low")), "widenodes")
-    roots = components(wide_links(nodes)).select(F.col("u").alias("node"), F.col("v").alias("root"))
-    named = nodes.select("node", "low").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    names = named.groupBy("root").agg(F.min("low").alias("component_id"))
-    return prints.select(id_col, "node").join(named.select("node", "root").join(names, "root").select("node", "component_id").distinct(), "node").select(id_col, "component_id")
+    prints = materialise(wide_fingerprints(df, id_col, text_col, words_per_shingle), "wide")
+    nodes = materialise(prints.groupBy("node").agg(F.first("fp").alias("fp"), F.min(id_col).alias("low")), "widenodes")
+    edges = materialise(wide_links(nodes).distinct(), "candidates")
+    ends = edges.select(F.explode(F.array("u", "v")).alias("node")).distinct()
+    # copies of a set collapse before the shuffle, so none is met more than once a task
+    sets = materialise(prints.select("node", "n", "shingles").dropDuplicates(["node"]).join(ends, "node", "left_semi"), "sets")
+    named = materialise(prints.select(id_col, "node"), "named")
+    drop_materialised(prints)
+    roots = components(alike(edges, sets)).select(F.col("u").alias("node"), F.col("v").alias("root"))
+    rooted = nodes.select("node", "low").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    names = rooted.groupBy("root").agg(F.min("low").alias("component_id"))
+    return named.join(rooted.select("node", "root").join(names, "root").select("node", "component_id"), "node").select(id_col, "component_id")
 
 
 def hex16(fp: Column) -> Column:

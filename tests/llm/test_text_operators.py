@@ -182,6 +182,44 @@ def test_copies_with_a_similarity_of_0_8_meet(spark):
     assert simhash.similar_components(df.where("false")).count() == 0
 
 
+def test_links_of_similar_texts_equal_brute_force(spark, monkeypatch):
+    """Near copies on both sides of 0.8, in groups, chains and crowded buckets; nothing below 0.8 links, next to nothing above is lost."""
+    rng = random.Random(12)
+    texts = []
+    for k in range(60):
+        w = [word(rng, "abcdefghijklm") for _ in range(rng.randrange(60, 300))]
+        for _ in range(rng.randrange(1, 8)):
+            texts.append(" ".join(w))
+            for j in rng.sample(range(len(w)), max(1, len(w) // rng.choice([25, 40, 60, 100]))):
+                w[j] = word(rng, "xyz")
+    texts += ["a b", "a b", "A  b", "a c", None, "", texts[0] + " end", " ".join(["same line of words here now"] * 50)]
+
+    def shingles(t):
+        w = re.findall(WORD, lower(t))
+        return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+
+    sets, root = [shingles(t) for t in texts], list(range(len(texts)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets[:i]):
+            if len(a & b) >= 0.8 * len(a | b):
+                x, y = sorted((find(i), find(j)))
+                root[y] = x
+    want = [find(i) for i in range(len(texts))]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").withColumn("node", F.lit("clash"))
+    for sweep in (256, 2):
+        monkeypatch.setattr(simhash, "SWEEP", sweep)
+        got = {r["doc_id"]: r["component_id"] for r in simhash.similar_components(df).collect()}
+        apart = sum(got[i] != want[i] for i in range(len(texts)))
+        assert all(want[i] == want[got[i]] for i in range(len(texts))), "a link below 0.8"
+        assert 60 < len(set(want)) < len(texts) - 60 and apart <= 0.02 * len(texts)
+
+
 # ---------------------------------------------------------------- repeated passages
 
 
