@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import Texts, drop_materialised, map_texts, materialise, texts_of, unique_counts, words8, xxh64
@@ -127,9 +127,10 @@ def train(labelled: DataFrame, docs: DataFrame, id_col: str = "doc_id", text_col
     chosen = docs.sparkSession.createDataFrame([tuple(r) for r in picked], hashed.schema)
     sample = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text")).join(F.broadcast(chosen), "__id")
     found = materialise(bags(sample, "__label", "__text", "__h"), "bags")
-    order = Window.orderBy("h", "n").rowsBetween(Window.unboundedPreceding, 0)  # over the bounded sample
-    rows = []
-    for r in found.withColumn("sum", F.sum("n").over(order)).where(F.col("sum") <= SAMPLE_BUCKETS).collect():
+    sizes = sorted(tuple(r) for r in found.groupBy("h").agg(F.sum("n")).collect())  # a row for each id of the bounded sample
+    fit_in = np.cumsum([n for _, n in sizes]) <= SAMPLE_BUCKETS
+    rows, kept = [], found.where(F.col("h").isin([h for (h, _), ok in zip(sizes, fit_in, strict=True) if ok]))
+    for r in kept.toLocalIterator():
         counts = np.frombuffer(bytes(r["counts"]), np.float32)
         rows.append((r["label"], np.frombuffer(bytes(r["ids"]), np.int32), counts / max(1, r["total"])))
     drop_materialised(found)
