@@ -122,6 +122,16 @@ def elapsed_days(start: Column, end: Column) -> Column:
     return F.datediff(end, start) + 1
 
 
+def strict_int(json_text: Column) -> Column:
+    """A whole number out of a JSON value's text: true, "7" and 1.5 are none."""
+    return F.when(json_text.rlike("^-?[0-9]+$"), json_text.try_cast("bigint"))
+
+
+def one_of(c: Column, *allowed: str) -> Column:
+    """The value if it is one of the allowed ones, else null."""
+    return F.when(c.isin(*allowed), c)
+
+
 def nearest_rank(ordered: Column, p: float) -> Column:
     """Element of a sorted array at (n - 1) * p, the index rounded half up."""
     return F.get(ordered, F.floor((F.size(ordered) - 1) * F.lit(p) + F.lit(0.5)).cast("int"))

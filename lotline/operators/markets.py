@@ -44,6 +44,13 @@ def active_markets(metadata: DataFrame, epoch: int, as_of: int | None = None) ->
     return rows.where(F.col("eligible") & (F.col("market_start") <= epoch) & (F.col("market_start") + S.MARKET_SECONDS > epoch)).select("market_id", "market_start")
 
 
+def active_markets_at(metadata: DataFrame, ticks: DataFrame, as_of: int | None = None) -> DataFrame:
+    """(market_id, market_start, tick) of the markets that run at each tick; starts are multiples of a market's length, so slots meet by equality."""
+    rows = latest(metadata, ["market_id"], "sequence", as_of).where("eligible").select("market_id", "market_start")
+    slot = ticks.select("tick", (F.floor(F.col("tick") / S.MARKET_SECONDS) * S.MARKET_SECONDS).alias("market_start"))
+    return rows.join(slot, "market_start").select("market_id", "market_start", "tick")
+
+
 def metadata_gate(fills: DataFrame, metadata: DataFrame) -> DataFrame:
     """Fills with the side of their token; admitted if their market has exactly one eligible lookup record."""
     one = metadata.groupBy("market_id").agg(F.count("*").alias("lookups"), F.first("eligible").alias("eligible"), F.first("token_sides").alias("token_sides"))
@@ -51,3 +58,15 @@ def metadata_gate(fills: DataFrame, metadata: DataFrame) -> DataFrame:
     ok = (F.coalesce("lookups", F.lit(0)) == 1) & F.coalesce("eligible", F.lit(False))
     token = side_of_token(F.col("token_sides"), F.col("asset_id"))
     return rows.withColumn("admitted", ok).withColumn("token_side", F.when(ok, token)).withColumn("side_disagrees", ok & token.isNotNull() & (token != F.col("oside"))).drop("lookups", "eligible", "token_sides")
+
+
+def admit(raw: DataFrame, metadata: DataFrame, account: str | None = None) -> DataFrame:
+    """Polled fills as the engine takes them: the first row of each id, admitted by the gate, with the token's side in place of the text's.
+
+    `side_disagrees` says where the two differ. A fill of another account than the polled one is an error.
+    """
+    if account is not None:
+        raw = raw.withColumn("account", F.when(F.col("account") == account, F.col("account")).otherwise(F.raise_error(F.lit("a fill of another account"))))
+    first = raw.dropDuplicates(["source_trade_id"])
+    rows = metadata_gate(first, metadata)
+    return rows.withColumn("oside", F.when(F.col("admitted"), F.coalesce("token_side", "oside"))).drop("token_side")

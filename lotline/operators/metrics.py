@@ -74,6 +74,28 @@ def distribution(rows: DataFrame, value: Column, by: list[str] | None = None) ->
     return found.select(*(by or []), F.size("x").cast("bigint").alias("n"), "mean", S.median_of(F.col("x")).alias("median"), *[v.alias(k) for k, v in p.items()], F.get("x", F.lit(0)).alias("least"), F.get("x", F.size("x") - 1).alias("most"))
 
 
+def latency_summary(rows: DataFrame, value: str, by: list[str]) -> DataFrame:
+    """(by, n, median, p95) of whole numbers: the mean of the two middle values, and the value at rank ceil(0.95 n).
+
+    Values are counted before they are ordered, so a task sees each distinct value of its group once.
+    """
+    counts = rows.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("__n"))
+    upto = F.sum("__n").over(Window.partitionBy(*by).orderBy(value))
+    counts = counts.withColumn("__to", upto).withColumn("__all", F.sum("__n").over(Window.partitionBy(*by)))
+    at = lambda rank: F.min(F.when(F.col("__to") >= rank, F.col(value)))
+    n = F.col("__all")
+    out = counts.groupBy(*by).agg(F.max(n).alias("n"), at(F.floor((n + 1) / 2)).alias("__a"), at(F.floor(n / 2) + 1).alias("__b"), at(F.ceil(n * 0.95)).alias("p95"))
+    return out.select(*by, "n", ((F.col("__a") + F.col("__b")) / 2.0).alias("median"), "p95")
+
+
+def primary_buckets(events: DataFrame, windows: DataFrame, latency: str = "61-120s", band: str = "middle_100_199") -> DataFrame:
+    """A row for each window and primary bucket, with its quantity and cost; a window without a report of it is incomplete."""
+    rows = events.select("window_id", "paired_shares", "pair_cost", F.explode(F.array(S.latency_bucket(F.col("lag_seconds")), S.market_time_band(F.col("elapsed_seconds")))).alias("bucket"))
+    found = rows.where(F.col("bucket").isin(latency, band)).groupBy("window_id", "bucket").agg(F.sum("paired_shares").alias("paired_shares"), weighted_mean(F.col("pair_cost"), F.col("paired_shares")).alias("weighted_cost"))
+    every = windows.select("window_id").distinct().withColumn("bucket", F.explode(F.array(F.lit(latency), F.lit(band))))
+    return every.join(found, ["window_id", "bucket"], "left").withColumn("complete", F.col("weighted_cost").isNotNull()).fillna(0, ["paired_shares"])
+
+
 def transaction_pairs(buys: DataFrame) -> DataFrame:
     """FIFO pairs whose two fills share a transaction."""
     return fifo_pairs(buys.where("transaction_hash IS NOT NULL"), by=("transaction_hash", "market_id"))

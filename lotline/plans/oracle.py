@@ -205,7 +205,7 @@ SELECT rp.market_id, completing_seq, event_index, c < 1 AS favorable, c <= 0.98
     "log_monitor": "WITH" + LOG + ", n AS (SELECT max(created_ms) + 12000 AS now FROM lg), g AS (SELECT run_id, created_ms, created_ms - lag(created_ms) OVER (PARTITION BY run_id ORDER BY sequence) AS gap FROM lg), s AS (SELECT run_id, count(*) AS events, any_value(now) - max(created_ms) AS age_ms, max(gap) FILTER (gap >= 0 AND created_ms >= now - 900000) AS largest_gap_ms FROM g, n GROUP BY run_id) SELECT *, CASE WHEN age_ms > 60000 OR coalesce(largest_gap_ms, 0) > 60000 THEN 'critical' WHEN age_ms > 10000 OR coalesce(largest_gap_ms, 0) > 15000 THEN 'degraded' ELSE 'healthy' END AS status FROM s",
     "candle_revisions": "WITH" + EV + ", r AS (SELECT ec // 60 * 60 AS open_epoch, event_id AS sequence, sha256((ec // 60 * 60) || '|' || (k // 25)) AS fingerprint FROM ev), c AS (SELECT *, lag(fingerprint) OVER (PARTITION BY open_epoch ORDER BY sequence) AS b FROM r) SELECT open_epoch, sequence, fingerprint, lag(sequence) OVER (PARTITION BY open_epoch ORDER BY sequence) AS supersedes_sequence FROM c WHERE b IS NULL OR b <> fingerprint",
     "market_metadata_classify": "WITH" + LOOKUP + " SELECT market_id, reason_code IS NULL AS eligible, reason_code, market_start, CASE WHEN reason_code IS NULL THEN CAST(1 AS BIGINT) ELSE 0 END AS up_token_found FROM lc",
-    "active_markets": "WITH" + LOOKUP + ", t AS (SELECT min(market_start) + 17 + 300 * k AS tick FROM lc, (SELECT unnest(range(6)) AS k) GROUP BY k) SELECT market_id, market_start, tick FROM lc JOIN t ON market_start <= tick AND tick < market_start + 300 WHERE reason_code IS NULL",
+    "active_markets": "WITH" + LOOKUP + ", t AS (SELECT DISTINCT d * 300 + 17 AS tick FROM ev) SELECT market_id, market_start, tick FROM lc JOIN t ON market_start <= tick AND tick < market_start + 300 WHERE reason_code IS NULL",
     "tick_features": "WITH" + LED + """,
 tk AS (SELECT market_id, min(ec) + 120 AS tick FROM led GROUP BY market_id),
 x AS (SELECT tk.tick, led.* FROM tk JOIN led USING (market_id) WHERE side = 'BUY'),

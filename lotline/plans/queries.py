@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lotline.functions import scalars as S
-from lotline.operators import binding, claims, evaluation, features, inventory, ledger, markets, matching, metrics, normalize, windows
+from lotline.operators import binding, claims, evaluation, features, inventory, ledger, live, markets, matching, metrics, normalize, windows
 from lotline.sources import adapter, eventlog
 from lotline.streaming import state
 
@@ -539,19 +539,15 @@ def market_metadata_classify(spark, sf_dir):
 @query
 def active_markets(spark, sf_dir):
     meta = markets.classify_lookup(_lookups(spark, sf_dir))
-    ticks = meta.agg(F.min("market_start").alias("t")).first()["t"]
-    parts = None
-    for k in range(0, 6):
-        part = markets.active_markets(meta, ticks + k * 300 + 17).withColumn("tick", F.lit(ticks + k * 300 + 17))
-        parts = part if parts is None else parts.unionByName(part)
-    return parts
+    ticks = adapter.events(spark, sf_dir).select((F.col("day") * 300 + 17).alias("tick")).distinct()
+    return markets.active_markets_at(meta, ticks)
 
 
 @query
 def tick_features(spark, sf_dir):
     b = the_ledger(spark, sf_dir)
     ticks = b.groupBy("market_id").agg((F.min("epoch") + 120).alias("tick"))
-    out = state.feature_ticks(ticks, b).select("market_id", "tick", *QUANTITIES, *[F.col(c).cast("bigint").alias(c) for c in COUNTS])
+    out = live.tick_states(ticks, b, as_of=False).select("market_id", "tick", *QUANTITIES, *[F.col(c).cast("bigint").alias(c) for c in COUNTS])
     return rounded(out, *QUANTITIES)
 
 
@@ -572,30 +568,28 @@ def online_pairs(spark, sf_dir):
 # ---------------------------------------------------------------- models
 
 
-def _model_rows(spark, sf_dir) -> DataFrame:
-    out = features.pre_event_panel(buys(spark, sf_dir), adapter.candles(spark, sf_dir), window_of(F.col("market_id")))
-    return out.withColumn("held", (F.substring("market_id", 2, 20).cast("bigint") % 5 == 4)).persist()  # trained on and scored several times
-
-
-def _model_eval(spark, sf_dir, kind: str) -> DataFrame:
+def _model_eval(spark, sf_dir, kind: str, discovery: bool = False) -> DataFrame:
     from lotline.operators import models
 
-    rows = _model_rows(spark, sf_dir)
-    model = models.train(rows.where("NOT held"), features.PRE_EVENT_FEATURES, kind)
-    scored = model.score(rows.where("held"))
-    return metrics.regression_metrics(scored, ["window_id"]).join(metrics.classification_metrics(scored, ["window_id"]), "window_id")
+    rows = features.pre_event_panel(buys(spark, sf_dir), adapter.candles(spark, sf_dir), window_of(F.col("market_id")))
+    rows = rows.select("window_id", "pair_cost", "favorable", "paired_shares", *features.PRE_EVENT_FEATURES)
+    names = sorted(r[0] for r in rows.select("window_id").distinct().collect()) if discovery else []
+    return evaluation.held_out_metrics(rows, lambda train: models.train(train, features.PRE_EVENT_FEATURES, kind), names[::2] or None)
 
 
 @query
 def ridge_eval(spark, sf_dir):
+    """Every window by a model of the others."""
     return _model_eval(spark, sf_dir, "linear")
 
 
 @query
 def tree_eval(spark, sf_dir):
+    """Every window by a model of the others."""
     return _model_eval(spark, sf_dir, "tree")
 
 
 @query
 def gbt_eval(spark, sf_dir):
-    return _model_eval(spark, sf_dir, "boosted")
+    """Every second window, the external ones, by one model of the rest."""
+    return _model_eval(spark, sf_dir, "boosted", discovery=True)

@@ -102,6 +102,14 @@ def upsert_fills(target: DataFrame, new: DataFrame, key: str = "source_trade_id"
     return first.join(target.select(key), key, "left_anti")
 
 
+def upsert_counts(target: DataFrame, new: DataFrame, key: str = "source_trade_id") -> DataFrame:
+    """One row: how many rows of `new` an upsert inserts (the first of each key that the target lacks) and skips."""
+    seen = target.select(key).distinct().withColumn("__seen", F.lit(True))
+    each = new.groupBy(key).agg(F.count("*").alias("n")).join(seen, key, "left")
+    inserted = F.count_if(F.col("__seen").isNull())
+    return each.agg(inserted.alias("inserted"), (F.coalesce(F.sum("n"), F.lit(0)) - inserted).alias("skipped"))
+
+
 def parse_candle_pages(pages: DataFrame, interval: int = 60) -> DataFrame:
     """Candles from (page_no, value): rows are [time, low, high, open, close, volume]; of an epoch the last page wins."""
     rows = pages.select("page_no", F.explode(F.from_json("value", "array<array<string>>")).alias("r"))

@@ -1,4 +1,4 @@
-"""The online state of one market: inventory, unpaired lots, pairs, quarantine.
+"""The online state of one market: inventory, unpaired lots, pairs, quarantine. Feature ticks are in operators/live.py.
 
 One pure function advances a state by fills in arrival order; the batch form and the stream both use it.
 """
@@ -127,37 +127,3 @@ def replay_differences(recorded: DataFrame, fills: DataFrame) -> DataFrame:
     from lotline.operators.binding import same_rows
 
     return same_rows(recorded, apply_batch(fills))
-
-
-def feature_ticks(ticks: DataFrame, fills: DataFrame) -> DataFrame:
-    """(market_id, tick, ...) state of all applied BUYs for each tick of a market: inventory counts every fill, trailing windows end at the tick.
-
-    Fills of a market meet its ticks by an equality join; callers pass the ticks of active markets only.
-    """
-    b = fills.where("side = 'BUY'").select("market_id", "epoch", "oside", "shares", "source_trade_id")
-    rows = ticks.join(b, "market_id", "left")
-    side = lambda s, c: F.when(F.col("oside") == s, c)
-    inside = lambda s: (F.col("epoch") >= F.col("tick") - s) & (F.col("epoch") <= F.col("tick"))
-    recent = F.array_sort(F.collect_list(F.when(inside(60), F.struct("epoch", "source_trade_id", "oside"))))
-    agg = [F.coalesce(F.sum(side(s, F.col("shares"))), F.lit(0)).alias(n) for s, n in (("UP", "up_inventory"), ("DOWN", "down_inventory"))]
-    agg += [F.count_if(inside(s)).alias(f"fill_count_{s}s") for s in (15, 30, 60)] + [F.coalesce(F.sum(F.when(inside(s), F.col("shares"))), F.lit(0)).alias(f"fill_qty_{s}s") for s in (15, 30, 60)]
-    agg += [F.max(side(s, F.col("epoch"))).alias(f"__t{s}") for s in ("UP", "DOWN")] + [F.count_if(F.col("epoch") == F.col("tick")).alias("same_second_fill_count"), recent.alias("__recent")]
-    out = rows.groupBy("market_id", "tick").agg(*agg)
-    sides = F.col("__recent.oside")
-    switches = F.when(F.size(sides) > 1, F.aggregate(F.sequence(F.lit(1), F.size(sides) - 1), F.lit(0), lambda a, i: a + (F.get(sides, i) != F.get(sides, i - 1)).cast("int"))).otherwise(0)
-    since = lambda c: F.when(c.isNotNull(), F.greatest(F.lit(0).cast("bigint"), F.col("tick") - c))
-    up, down = F.col("up_inventory"), F.col("down_inventory")
-    return out.select("market_id", "tick", up, down, F.least(up, down).alias("paired_inventory"), F.abs(up - down).alias("residual_inventory"), F.try_divide((up - down).cast("double"), (up + down).cast("double")).alias("inventory_imbalance"), since(F.col("__tUP")).alias("seconds_since_last_up_fill"), since(F.col("__tDOWN")).alias("seconds_since_last_down_fill"), *[f"fill_{k}_{s}s" for k in ("count", "qty") for s in (15, 30, 60)], switches.alias("side_switches_60s"), F.least(up, down).alias("cumulative_paired_quantity"), "same_second_fill_count")
-
-
-#: Reasons why a tick gives no snapshot, in the order they are checked.
-TICK_REASONS = ("market_metadata_missing", "market_ineligible", "market_not_started", "market_ended", "market_quarantined", "target_source_unhealthy", "target_source_stale", "candle_missing", "candle_stale")
-
-
-def tick_reason(*, metadata, eligible, start, tick, quarantined, healthy, source_age, candle_age, source_limit: int = 5, candle_limit: int = 120):
-    """The first reason that applies, else null."""
-    checks = (metadata.isNull(), ~eligible, tick < start, tick >= start + 300, quarantined, ~healthy, source_age > source_limit, candle_age.isNull(), candle_age > candle_limit)
-    out = F.lit(None).cast("string")
-    for reason, check in reversed(list(zip(TICK_REASONS, checks, strict=True))):
-        out = F.when(F.coalesce(check, F.lit(False)), reason).otherwise(out)
-    return out
