@@ -27,7 +27,7 @@ def _held(up: Column, down: Column) -> dict[str, Column]:
 
 def fill_states(buys: DataFrame) -> DataFrame:
     """State strictly before each fill (columns of the pre-event panel)."""
-    rows = buys.repartition("market_id")
+    rows = buys
     order = Window.partitionBy("market_id").orderBy("seq")
     before = order.rowsBetween(Window.unboundedPreceding, -1)
     second = Window.partitionBy("market_id", "epoch")
@@ -136,7 +136,7 @@ def pre_event_panel(buys: DataFrame, candles: DataFrame | None, window: Column)
 
 def second_states(buys: DataFrame) -> DataFrame:
     """State at the end of each second of a market, the whole second included."""
-    rows = buys.repartition("market_id")
+    rows = buys
     order = Window.partitionBy("market_id").orderBy("seq")
     rows = rows.withColumn("__change", (F.lag("oside").over(order) != F.col("oside")).cast("int"))
     rows = rows.withColumn("__switches", F.coalesce(F.sum("__change").over(order.rowsBetween(Window.unboundedPreceding, 0)), F.lit(0)))

@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lotline.functions import scalars as S
 
 
+def exclusion(known: Column, outcomes: Column, pair: Column) -> Column:
+    """Why a market is not eligible, null if it is. The codes are fixed values."""
+    return F.when(~known, "unresolved_history_completeness").when(outcomes != 2, F.concat(F.lit("expected_2_outcomes_found_"), outcomes.cast("string"))).when(~pair, "ambiguous_non_complementary_outcomes")
+
+
 def classify_markets(fills: DataFrame, complete: DataFrame | None = None) -> DataFrame:
     """(market_id, eligible, reason): two outcomes that complement each other, in a market whose history is complete.
 
@@ -18,8 +23,7 @@ def classify_markets(fills: DataFrame, complete: DataFrame | None = None) -> Dat
         found = found.withColumn("known", F.lit(True))
     else:
         found = found.join(complete.select("market_id").distinct().withColumn("known", F.lit(True)), "market_id", "left").withColumn("known", F.coalesce("known", F.lit(False)))
-    pair = F.coalesce("up", F.lit(False)) & F.coalesce("down", F.lit(False))
-    reason = F.when(~F.col("known"), "unresolved_history_completeness").when(F.col("n") != 2, F.concat(F.lit("expected_2_outcomes_found_"), F.col("n").cast("string"))).when(~pair, "ambiguous_non_complementary_outcomes")
+    reason = exclusion(F.col("known"), F.col("n"), F.coalesce("up", F.lit(False)) & F.coalesce("down", F.lit(False)))
     return found.select("market_id", reason.isNull().alias("eligible"), reason.alias("reason"))
 
 
@@ -44,17 +48,25 @@ def canonical_ledger(fills: DataFrame, complete: DataFrame | None = None, number
 
     numbered adds the global fill sequence, which only reports need; everything else orders within markets.
     """
-    rows = fills.withColumn("epoch", F.unix_seconds("timestamp")).withColumn("oside", S.outcome_side(F.col("outcome"))).withColumn("notional", F.col("price") * F.col("shares"))
-    rows = rows.withColumn("seq", F.row_number().over(Window.partitionBy("market_id").orderBy("timestamp", "source_trade_id")))
-    rows = rows.join(classify_markets(fills, complete).withColumnsRenamed({"eligible": "eligible_binary_market", "reason": "market_exclusion_reason"}), "market_id")
+    rows = fills.where("market_id IS NOT NULL").withColumn("epoch", F.unix_seconds("timestamp")).withColumn("oside", S.outcome_side(F.col("outcome"))).withColumn("notional", F.col("price") * F.col("shares"))
+    # order and eligibility are windows over one shuffle by market; a market has a handful of outcomes
+    market = Window.partitionBy("market_id")
+    rows = rows.withColumn("seq", F.row_number().over(market.orderBy("timestamp", "source_trade_id")))
+    rows = rows.withColumn("__n", F.size(F.collect_set("outcome").over(market))).withColumn("__pair", F.coalesce(F.max(F.col("oside") == "UP").over(market), F.lit(False)) & F.coalesce(F.max(F.col("oside") == "DOWN").over(market), F.lit(False)))
+    if complete is None:
+        rows = rows.withColumn("__known", F.lit(True))
+    else:
+        rows = rows.join(complete.select("market_id").distinct().withColumn("__known", F.lit(True)), "market_id", "left")
+    rows = rows.withColumn("market_exclusion_reason", exclusion(F.coalesce("__known", F.lit(False)), F.col("__n"), F.col("__pair")))
+    rows = rows.withColumn("eligible_binary_market", F.col("market_exclusion_reason").isNull()).drop("__n", "__pair", "__known")
     return global_sequence(rows, ["timestamp", "source_trade_id"]) if numbered else rows
 
 
 def buys_of_clean_markets(ledger: DataFrame) -> DataFrame:
-    """BUY fills with a side of eligible markets that have no SELL at all."""
+    """BUY fills with a side of eligible markets that have no SELL at all; the ledger's partitioning by market stays."""
     sided = ledger.where("eligible_binary_market AND oside IS NOT NULL")
-    sold = sided.where("side = 'SELL'").select("market_id").distinct()
-    return sided.where("side = 'BUY'").join(sold, "market_id", "left_anti")
+    sold = F.max(F.col("side") == "SELL").over(Window.partitionBy("market_id"))
+    return sided.withColumn("__sold", sold).where("side = 'BUY' AND NOT __sold").drop("__sold")
 
 
 def contained_markets(fills: DataFrame, start: int, end: int) -> DataFrame:

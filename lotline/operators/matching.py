@@ -35,7 +35,8 @@ def _finish(pairs: DataFrame) -> DataFrame:
 
 def fifo_pairs(buys: DataFrame, tie_break: str = "canonical", by: tuple[str, ...] = ("market_id",)) -> DataFrame:
     """One row for each pair of a completing fill and an earlier lot. `by`: what keeps its own queues (market, or transaction and market)."""
-    rows = with_tie_break(buys, tie_break).repartition(*by)  # the side is not part of the key, so the windows below reuse it
+    rows = with_tie_break(buys, tie_break)
+    rows = rows if by == ("market_id",) else rows.repartition(*by)  # a ledger is dealt by market already; the windows below keep it so
     fill = F.struct("seq", "price", "epoch", "slug", "source_trade_id", "transaction_hash")
     rows = rows.withColumn("hi", F.sum("shares").over(Window.partitionBy(*by, "oside").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)))
     points = rows.groupBy(*by, "hi").agg(F.max(F.when(F.col("oside") == "UP", fill)).alias("u"), F.max(F.when(F.col("oside") == "DOWN", fill)).alias("d"))
@@ -83,7 +84,7 @@ def weighted_average_pairs(buys: DataFrame) -> DataFrame:
     """A row whenever the smaller side's cumulative quantity rises; the cost is both sides' average after the fill."""
     w = Window.partitionBy("market_id").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
     side = lambda s, x: F.sum(F.when(F.col("oside") == s, x).otherwise(F.lit(0)))
-    rows = buys.repartition("market_id")
+    rows = buys
     for s in ("UP", "DOWN"):
         rows = rows.withColumn(f"q_{s}", side(s, F.col("shares")).over(w)).withColumn(f"v_{s}", side(s, F.col("shares") * F.col("price")).over(w)).withColumn(f"t_{s}", F.last(F.when(F.col("oside") == s, F.col("epoch")), ignorenulls=True).over(w))
     paired = F.least("q_UP", "q_DOWN")
