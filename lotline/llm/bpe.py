@@ -200,7 +200,8 @@ def vocabulary(path: str, pattern: str) -> Vocabulary:
 
 
 def encode_table(df: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, ids array<int>, decoded binary) for each row. Null texts count as empty; repeated rows stay; other columns go."""
+    """(id, ids array<int>, decoded binary) for each row. Null texts count as empty, which has no ids; repeated rows stay;
+    an empty table gives no rows; very long texts are encoded whole; other columns go, whatever their names."""
     id_type = dict(df.dtypes)[id_col]
 
     def run(rows, texts):
@@ -212,7 +213,8 @@ def encode_table(df: DataFrame, path: str, pattern: str, id_col: str = "doc_id",
 
 
 def encode_digest(df: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, n_tokens, ids_sha256, decoded_sha256) for each row, by the same encoding and decoding as encode_table."""
+    """(id, n_tokens, ids_sha256, decoded_sha256) for each row, by the same encoding and decoding as encode_table and with
+    its rules for nulls, repeated rows, empty tables and other columns; no ids have the hash of the empty string."""
     id_type = dict(df.dtypes)[id_col]
 
     def run(rows, texts):

@@ -73,7 +73,11 @@ def place(df: DataFrame, key_col: str = "doc_id", names: tuple[str, ...] | None
 
 
 def write_shards(df: DataFrame, path: str, key_col: str = "doc_id", names: tuple[str, ...] | None = None, slots: int = SLOTS, files_per_shard: int = 1) -> None:
-    """Writes the rows into one folder a shard; a shard's rows may go to several tasks, by their slot."""
+    """Writes the rows into one folder a shard; a shard's rows may go to several tasks, by their slot.
+
+    Rows with null or equal keys share a folder, repeated rows stay; an empty table writes none. Columns of df
+    named __slot or __shard are replaced, the latter becomes the folder's name.
+    """
     names = names or shard_names(SHARDS)
     placed = place(df, key_col, names, slots, "__slot", "__shard")
     part = F.pmod(F.col("__slot"), F.lit(files_per_shard))

@@ -168,6 +168,25 @@ def test_resampling():
     assert len(media.resample(x[:0])) == 0 and media.resample(x, 1, 2).tolist() == [0, -100]
 
 
+@pytest.mark.parametrize("up, down", [(1, 2), (2, 3), (1, 5)])
+def test_decimation_equals_a_plain_filter_and_damps_what_would_alias(up, down):
+    rng = np.random.default_rng(up)
+    x = rng.integers(-20000, 20000, 150).astype(np.int16)
+    taps = media.low_pass(up, down)
+    filled = np.zeros(len(x) * up, np.int64)
+    filled[::up] = x
+    half = len(taps) // 2
+    plain = [sum(int(taps[k]) * int(filled[i + half - k]) for k in range(len(taps)) if 0 <= i + half - k < len(filled)) >> 15 for i in range(0, len(x) * up, down)]
+    got = media.decimate(x, up, down)
+    assert got.tolist() == [max(-32768, min(32767, v)) for v in plain[: len(got)]] and len(got) == len(x) * up // down
+    t = np.arange(4000)
+    low = (10000 * np.sin(t * 0.2 * np.pi * up / down)).astype(np.int16)
+    high = (10000 * np.sin(t * min(0.98, 1.6 * up / down) * np.pi)).astype(np.int16)
+    middle = slice(len(t) * up // down // 4, len(t) * up // down // 2)
+    assert np.abs(media.decimate(low, up, down)[middle].astype(int)).max() > 9500 and np.abs(media.decimate(high, up, down)[middle].astype(int)).max() < 300
+    assert len(media.decimate(x[:0], up, down)) == 0
+
+
 def test_audio_digest_reads_back_what_it_stored(spark):
     for r in media.audio_digest(edges(spark)).collect():
         texts = [(t or "").encode() for i, t in EDGES if i == r["doc_id"]]
@@ -214,6 +233,29 @@ def test_sharding(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "s")).count() == len(EDGES)
 
 
+def test_pipeline_stages_on_edges_and_without_rows(spark):
+    import corpus_pipeline as p
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    long = docs.where("doc_id = 0").first()["text"]
+    rows = [(None, None, None, None, None), (None, long, "en", None, 1), (5, "", "en", "s", 0), (5, " \n", None, "s", 0), (6, long, "en", "s", 9), (6, long, "en", "s", 9), (7, (long + " ") * 40, "en", "s", 9)]
+    odd = docs.unionByName(spark.createDataFrame(rows, docs.schema)).withColumns({c: F.lit("clash") for c in ("score", "node", "fp", "k", "kept", "__text")})
+    for df in (odd, odd.where("false")):
+        for name, stage in p.STAGES[:-1]:
+            out = stage(spark, df, SF)
+            assert out.columns == docs.columns and 0 <= out.count() <= df.count(), name
+        packed = p.STAGES[-1][1](spark, df, SF)
+        assert packed.agg(F.countDistinct(F.struct("doc_id"))).first()[0] == df.agg(F.countDistinct(F.struct("doc_id"))).first()[0]
+
+
+def test_language_ties_go_to_the_first_label(spark):
+    data = spark.createDataFrame([("abc abc", "bb"), ("abc abc", "aa")], "text string, lang string")
+    got = langid.predict(data.withColumn("lang_pred", F.lit(1)), langid.train(data, "text", "lang"), ["lang"]).collect()
+    assert {r["lang_pred"] for r in got} == {"aa"} and all(abs(r["score"] - 0.5) < 1e-6 for r in got)
+    scores = quality.score(data, quality.train(spark.createDataFrame([("bb", 0), ("aa", 1)], "lang string, quality int"), data, id_col="lang"), ["lang"]).collect()
+    assert len({r["score"] for r in scores}) == 1
+
+
 def test_pipeline(spark):
     import corpus_pipeline as p
 

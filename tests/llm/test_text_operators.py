@@ -330,6 +330,18 @@ def test_language_model_without_training_rows_or_rows(spark):
     assert lm.lm_scores(df.where("false"), F.lit(True)).count() == 0
 
 
+def test_language_model_on_clashing_columns_and_a_very_long_text(spark, monkeypatch):
+    monkeypatch.setattr(lm, "BLOCK", 20_000)
+    rng = random.Random(6)
+    long = " ".join(word(rng) for _ in range(30_000))
+    rows = [(1, long), (2, "a b a b"), (2, "a b a b"), (None, "a b"), (4, "")]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").withColumns({c: F.lit("clash") for c in ("block", "score", "ids", "part", "__train")})
+    want = brute_scores([t for _, t in rows], [i is None or i != 4 for i, _ in rows], 4)
+    got = sorted((str(r["doc_id"]), r["n_tokens"], r["score"]) for r in lm.lm_scores(df, F.col("doc_id").isNull() | (F.col("doc_id") != 4)).collect())
+    expect = sorted((str(i), len(re.findall(WORD, t)) + 1, s) for (i, t), s in zip(rows, want, strict=True))
+    assert [g[:2] for g in got] == [e[:2] for e in expect] and all(a[2] == pytest.approx(b[2], rel=1e-9) for a, b in zip(got, expect, strict=True))
+
+
 def brute_scores(texts, train, depth, least=2, discount=0.5, divergence=3.0):
     """log10 probabilities by plain counters over all contexts of up to `depth` words."""
     tokens = [re.findall(WORD, lower(t)) + [None] for t in texts]
