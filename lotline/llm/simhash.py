@@ -275,7 +275,8 @@ def components(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
         large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v")))
-        edges = materialise(small.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
+        before, edges = edges, materialise(small.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
+        drop_materialised(before)
     raise RuntimeError("components did not settle")
 
 
@@ -374,6 +375,8 @@ def similar_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     named = materialise(prints.select(id_col, "node"), "named")
     drop_materialised(prints)
     roots = components(alike(edges, sets)).select(F.col("u").alias("node"), F.col("v").alias("root"))
+    drop_materialised(edges)
+    drop_materialised(sets)
     rooted = nodes.select("node", "low").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     names = rooted.groupBy("root").agg(F.min("low").alias("component_id"))
     return named.join(rooted.select("node", "root").join(names, "root").select("node", "component_id"), "node").select(id_col, "component_id")
