@@ -201,9 +201,9 @@ def nearest_forest(a: np.ndarray, b: np.ndarray, distance: np.ndarray) -> np.nda
 
 
 def nearest_links(key: np.ndarray, fp: np.ndarray, pivots: np.ndarray, max_bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs within max_bits bits of one key that make a forest of smallest distances; rows must be sorted by key.
+    """Pairs within max_bits bits of one key that make FORESTS disjoint forests of smallest distances; rows must be sorted by key.
 
-    Buckets over SWEEP are searched with a radius that grows, so that near pairs are met before far ones.
+    One forest joins what all pairs join; more of them leave ways round a pair that turns out not to link. Buckets over SWEEP are searched with a radius that grows, so that near pairs are met before far ones.
     """
     cuts = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
     sizes = np.diff(np.append(cuts, len(key)))
@@ -215,8 +215,15 @@ def nearest_links(key: np.ndarray, fp: np.ndarray, pivots: np.ndarray, max_bits:
             left.append(some[a])
             right.append(some[b])
     a, b = np.concatenate(left), np.concatenate(right)
-    forest = nearest_forest(a, b, hamming(fp[a], fp[b]))
-    return a[forest], b[forest]
+    _, once = np.unique(a * len(key) + b, return_index=True)  # a growing radius meets a pair again
+    a, b = a[once], b[once]
+    distance, rest, chosen = hamming(fp[a], fp[b]), np.arange(len(a)), []
+    for _ in range(FORESTS):
+        forest = nearest_forest(a[rest], b[rest], distance[rest])
+        chosen.append(rest[forest])
+        rest = np.delete(rest, forest)
+    chosen = np.concatenate(chosen)
+    return a[chosen], b[chosen]
 
 
 def links(nodes: DataFrame, max_bits: int = 4, pivots: int = PIVOTS) -> DataFrame:
@@ -302,6 +309,8 @@ def simhash_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
 #: Words of a wide fingerprint, the differing bits up to which bands are laid out, and those up to which shingle sets are
 #: compared. Sets with a similarity of 0.8 differ in 15 % of the bits, 39 of 256 with a deviation of 6.
 WIDE, WIDE_BITS, RADIUS = 4, 44, 60
+#: Forests of candidate pairs that are taken of each bucket: three hold all pairs of up to six texts.
+FORESTS = 3
 #: Bits of a band and number of bands, the same at every size: pairs that differ in WIDE_BITS bits
 #: agree in some band with a probability of 0.97. Buckets that get crowded are searched exactly.
 BAND_BITS, BANDS = 16, 71
@@ -337,7 +346,7 @@ def _wide_words(column: pa.Array) -> np.ndarray:
 def wide_links(nodes: DataFrame) -> DataFrame:
     """(u, v) between nodes (node bigint, fp binary) whose wide fingerprints differ in at most RADIUS bits and agree in a band.
 
-    Of each bucket a forest of smallest distances is given, not all pairs.
+    Of each bucket FORESTS forests of smallest distances are given, not all pairs.
     """
     rng = np.random.default_rng(256)
     chosen = [np.sort(rng.choice(64 * WIDE, BAND_BITS, replace=False)) for _ in range(BANDS)]
