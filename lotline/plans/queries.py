@@ -579,14 +579,14 @@ def _model_eval(spark, sf_dir, kind: str, discovery: bool = False) -> DataFrame:
 
 @query
 def ridge_eval(spark, sf_dir):
-    """Every window by a model of the others."""
-    return _model_eval(spark, sf_dir, "linear")
+    """Every second window, the external ones, by one model of the rest."""
+    return _model_eval(spark, sf_dir, "linear", discovery=True)
 
 
 @query
 def tree_eval(spark, sf_dir):
-    """Every window by a model of the others."""
-    return _model_eval(spark, sf_dir, "tree")
+    """Every second window, the external ones, by one model of the rest."""
+    return _model_eval(spark, sf_dir, "tree", discovery=True)
 
 
 @query
