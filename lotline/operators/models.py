@@ -85,16 +85,6 @@ def load_frozen(spark: SparkSession, folder: str, features: tuple[str, ...] | No
 
 def train(rows: DataFrame, features: tuple[str, ...], kind: str = "linear", weight: str = "paired_shares") -> CostModel:
     """Fits both parts on rows with pair_cost, favorable and a weight; missing inputs get the median."""
-    if kind not in KINDS:
-        raise ValueError(f"kind is one of {KINDS}")
-    rows = rows.select(*features, "pair_cost", "favorable", weight).persist()  # read several times here only
-    try:
-        return _train(rows, features, kind, weight)
-    finally:
-        rows.unpersist()
-
-
-def _train(rows: DataFrame, features: tuple[str, ...], kind: str, weight: str) -> CostModel:
     fill = medians(rows, features)
     x = imputed(rows, fill).select(*features, F.col("pair_cost").cast("double").alias("__y"), F.col("favorable").cast("double").alias("__b"), F.col(weight).cast("double").alias("__w"))
     columns = {"labelCol": "__y", "weightCol": "__w", "predictionCol": "__cost", "featuresCol": "__z"}
@@ -108,12 +98,18 @@ def _train(rows: DataFrame, features: tuple[str, ...], kind: str, weight: str) -
     elif kind == "tree":
         a = DecisionTreeRegressor(**columns, maxDepth=3, minInstancesPerNode=100, maxBins=256)
         b = DecisionTreeClassifier(**binary, maxDepth=3, minInstancesPerNode=100, maxBins=256)
-    else:
+    elif kind == "boosted":
         a = GBTRegressor(**columns, maxDepth=3, maxIter=100, stepSize=0.05, minInstancesPerNode=100, maxBins=256, seed=1)
         b = GBTClassifier(**{k: v for k, v in binary.items() if k != "probabilityCol"}, maxDepth=3, maxIter=100, stepSize=0.05, minInstancesPerNode=100, maxBins=256, seed=1)
+    else:
+        raise ValueError(f"kind is one of {KINDS}")
     if one_class:
         b = LogisticRegression(**binary, maxIter=1)
     scale = lambda: [VectorAssembler(inputCols=list(features), outputCol="__x"), StandardScaler(inputCol="__x", outputCol="__z", withMean=True, withStd=True)]
     if kind == "boosted" and not one_class:
         b.setProbabilityCol("__p")
-    return CostModel(tuple(features), fill, Pipeline(stages=[*scale(), a]).fit(x), Pipeline(stages=[*scale(), b]).fit(x))
+    x = x.persist()
+    try:
+        return CostModel(tuple(features), fill, Pipeline(stages=[*scale(), a]).fit(x), Pipeline(stages=[*scale(), b]).fit(x))
+    finally:
+        x.unpersist()
