@@ -30,6 +30,8 @@ BLOCKS = (11, 11, 11, 11, 10, 10)
 PIVOTS = 24
 #: Buckets up to this size are swept pair by pair; larger ones are searched breadth first.
 SWEEP = 256
+#: Rows of a bucket that one task holds; of larger ones it holds any two chunks of that size at a time.
+CROWD = 50_000
 _LANES = np.array([sum(((b >> k) & 1) << (8 * k) for k in range(8)) for b in range(256)], np.uint64)
 
 
@@ -219,46 +221,80 @@ def nearest_links(key: np.ndarray, fp: np.ndarray, pivots: np.ndarray, max_bits:
     return a[forest], b[forest]
 
 
-def links(nodes: DataFrame, max_bits: int = 4, pivots: int = PIVOTS) -> DataFrame:
+def links(nodes: DataFrame, max_bits: int = 4, pivots: int = PIVOTS, crowd: int = CROWD) -> DataFrame:
     """(u, v), u > v: links that join exactly the components of all fingerprints within max_bits <= 4 bits."""
     if max_bits > 4:
         raise ValueError("two of six blocks are sure to agree only up to four differing bits")
-    dealt = nodes.select(F.explode(bucket_keys(F.col("fp"))).alias("key"), F.col("fp").alias("node"), "fp")
-    words_of = lambda column: column.to_numpy().view(np.uint64)[:, None]
-    return _links(dealt, words_of, reference_fingerprints(pivots), max_bits)
+    dealt = nodes.select(F.explode(bucket_keys(F.col("fp"))).alias("key"), F.col("fp").alias("node"), F.unhex(F.lpad(F.hex("fp"), 16, "0")).alias("fp"))
+    return _links(dealt, ">u8", reference_fingerprints(pivots), max_bits, crowd=crowd)
 
 
-def _links(dealt: DataFrame, words_of, pivots: np.ndarray, max_bits: int, real: bool = False) -> DataFrame:
-    """(u, v), u > v, of rows (key, node, fingerprint): each task searches its buckets, a few whole ones at a time.
+def _links(dealt: DataFrame, words: str, pivots: np.ndarray, max_bits: int, real: bool = False, crowd: int = CROWD) -> DataFrame:
+    """(u, v), u > v, of rows (key, node, fp binary, of words in that byte order): each task searches its buckets, a few whole ones at a time.
 
     With `real` each row is a pair within max_bits bits, and near pairs go before far ones; else it names a node and its bucket's root.
+    A task holds no bucket of more than `crowd` rows: it hands such a bucket on in chunks, and any two chunks of it meet in a task of their own.
     """
+    found = materialise(_search(dealt, words, pivots, max_bits, real, crowd), "links")
+    chunks = found.where("key IS NOT NULL").groupBy("key").agg((F.max("chunk") + 1).alias("chunks"))
+    near = found.where("key IS NULL").select("u", "v")
+    if not chunks.limit(1).count():
+        return near
+    other = F.explode(F.expr("filter(sequence(0, chunks - 1), x -> x <> chunk)")).alias("other")
+    cells = found.join(chunks, "key").select("key", "chunk", F.col("u").alias("node"), "fp", other)
+    cells = cells.select(F.xxhash64("key", F.least("chunk", "other"), F.greatest("chunk", "other")).alias("key"), "node", "fp")
+    return near.unionByName(_search(cells, words, pivots, max_bits, real, None).select("u", "v"))
+
+
+def _search(dealt: DataFrame, words: str, pivots: np.ndarray, max_bits: int, real: bool, crowd: int | None) -> DataFrame:
+    """(u, v, key, chunk, fp): links (u, v), or the rows (key, u, fp) of buckets of more than `crowd` rows, in chunks of that many."""
     n = int(dealt.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = dealt.repartition(n, "key").sortWithinPartitions("key")
+    dealt = dealt.select("key", "node", "fp").repartition(n, "key").sortWithinPartitions("key")
     width = pivots.shape[1]
+    schema = pa.schema([("u", pa.int64()), ("v", pa.int64()), ("key", pa.int64()), ("chunk", pa.int32()), ("fp", pa.binary())])
+
+    def search(held):
+        key, node = held.column(0).to_numpy(), held.column(1).to_numpy()
+        fp = np.frombuffer(b"".join(held.column(2).to_pylist()), words).astype(np.uint64).reshape(-1, width)
+        if real:
+            a, b = nearest_links(key, fp, pivots, max_bits)
+            u, v = np.maximum(node[a], node[b]), np.minimum(node[a], node[b])
+        else:
+            a, b = linked_pairs(key, fp, pivots, max_bits)
+            u, v = spanning_forest(node[a], node[b])
+        return [pa.array(u, pa.int64()), pa.array(v, pa.int64()), *(pa.nulls(len(u), t) for t in schema.types[2:])]
+
+    def hand_on(held, passed):
+        chunk = (passed + np.arange(held.num_rows)) // crowd
+        return [held.column(1), pa.nulls(held.num_rows, pa.int64()), held.column(0), pa.array(chunk.astype(np.int32)), held.column(2).cast(pa.binary())]
 
     def run(batches):
-        held = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros((0, width), np.uint64)]
-
-        def out(key, node, fp):
-            if real:
-                a, b = nearest_links(key, fp, pivots, max_bits)
-                u, v = np.maximum(node[a], node[b]), np.minimum(node[a], node[b])
-            else:
-                a, b = linked_pairs(key, fp, pivots, max_bits)
-                u, v = spanning_forest(node[a], node[b])
-            return pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], ["u", "v"])
-
+        held, crowded, passed = None, None, 0
         for batch in batches:
-            held = [np.concatenate((x, y)) for x, y in zip(held, (batch.column(0).to_numpy(), batch.column(1).to_numpy(), words_of(batch.column(2))), strict=True)]
-            if len(held[0]) >= 100_000 and held[0][0] != held[0][-1]:
-                cut = int(np.searchsorted(held[0], held[0][-1]))  # the last bucket may go on
-                yield out(*(x[:cut] for x in held))
-                held = [x[cut:] for x in held]
-        if len(held[0]):
-            yield out(*held)
-
-    return dealt.mapInArrow(run, "u bigint, v bigint")
+            if not batch.num_rows:
+                continue
+            if crowded is not None:  # the rest of a bucket that is handed on
+                to = int(np.searchsorted(batch.column(0).to_numpy(), crowded, "right"))
+                if to:
+                    yield pa.RecordBatch.from_arrays(hand_on(batch.slice(0, to), passed), schema=schema)
+                    passed, batch = passed + to, batch.slice(to)
+                if not batch.num_rows:
+                    continue
+                crowded = None
+            held = batch if held is None else pa.Table.from_batches([held, batch]).combine_chunks().to_batches()[0]
+            key = held.column(0).to_numpy()
+            cut = int(np.searchsorted(key, key[-1]))  # the last bucket may go on
+            full = crowd is not None and held.num_rows - cut > crowd
+            if cut and (full or held.num_rows >= 100_000):
+                yield pa.RecordBatch.from_arrays(search(held.slice(0, cut)), schema=schema)
+                held = held.slice(cut)
+            if full:
+                yield pa.RecordBatch.from_arrays(hand_on(held, 0), schema=schema)
+                held, crowded, passed = None, key[-1], held.num_rows
+        if held is not None:
+            yield pa.RecordBatch.from_arrays(search(held), schema=schema)
+
+    return dealt.mapInArrow(run, "u bigint, v bigint, key bigint, chunk int, fp binary")
 
 
 def components(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
@@ -290,7 +326,9 @@ def simhash_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     """
     prints = materialise(fingerprints(df, id_col, text_col, words_per_shingle), "simhash")
     nodes = materialise(prints.groupBy("fp").agg(F.min(id_col).alias("low")), "nodes")
-    roots = components(links(nodes, max_bits)).select(F.col("u").alias("fp"), F.col("v").alias("root"))
+    between = links(nodes, max_bits)
+    roots = components(between).select(F.col("u").alias("fp"), F.col("v").alias("root"))
+    drop_materialised(between)
     named = nodes.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     names = named.groupBy("root").agg(F.min("low").alias("component_id"))
     named = named.select("fp", "root").join(names, "root").select("fp", "component_id")
@@ -334,7 +372,7 @@ def _wide_words(column: pa.Array) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), "<u8").reshape(-1, WIDE)
 
 
-def wide_links(nodes: DataFrame) -> DataFrame:
+def wide_links(nodes: DataFrame, crowd: int = CROWD) -> DataFrame:
     """(u, v) between nodes (node bigint, fp binary) whose wide fingerprints differ in at most RADIUS bits and agree in a band.
 
     Of each bucket a forest of smallest distances is given, not all pairs.
@@ -350,7 +388,7 @@ def wide_links(nodes: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(key), batch.column(0), batch.column(1)], ["key", "node", "fp"])
 
     dealt = nodes.select("node", "fp").mapInArrow(deal, "key bigint, node bigint, fp binary")
-    return _links(dealt, _wide_words, reference_fingerprints(2, WIDE), RADIUS, real=True)
+    return _links(dealt, "<u8", reference_fingerprints(2, WIDE), RADIUS, real=True, crowd=crowd)
 
 
 def alike(edges: DataFrame, sets: DataFrame) -> DataFrame:
@@ -368,7 +406,9 @@ def similar_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     """
     prints = materialise(wide_fingerprints(df, id_col, text_col, words_per_shingle), "wide")
     nodes = materialise(prints.groupBy("node").agg(F.first("fp").alias("fp"), F.min(id_col).alias("low")), "widenodes")
-    edges = materialise(wide_links(nodes).distinct(), "candidates")
+    near = wide_links(nodes)
+    edges = materialise(near.distinct(), "candidates")
+    drop_materialised(near)
     ends = edges.select(F.explode(F.array("u", "v")).alias("node")).distinct()
     # copies of a set collapse before the shuffle, so none is met more than once a task
     sets = materialise(prints.select("node", "n", "shingles").dropDuplicates(["node"]).join(ends, "node", "left_semi"), "sets")

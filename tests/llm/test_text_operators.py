@@ -128,6 +128,31 @@ def test_no_link_is_lost_in_dense_and_sparse_buckets(spark, monkeypatch):
     assert sorted(map(min, got.values())) == sorted(set(want)) and sorted(map(len, got.values())) == sorted(collections.Counter(want).values())
 
 
+def test_buckets_handed_on_in_chunks_give_the_same_components(spark, monkeypatch):
+    """Both radii: buckets beyond what a task holds, in batches smaller than a bucket, lose no link."""
+    rng = random.Random(5)
+    flip = lambda x, bits, most: x ^ sum(1 << b for b in rng.sample(range(bits), rng.randrange(most)))
+    narrow = sorted({flip(c, 64, 6) for c in [rng.getrandbits(64) for _ in range(6)] for _ in range(25)})
+    wide = sorted({flip(c, 256, 45) for c in [rng.getrandbits(256) for _ in range(4)] for _ in range(15)})
+    nodes = spark.createDataFrame([(p - 2**64 if p >= 2**63 else p,) for p in narrow], "fp bigint")
+    wide_nodes = spark.createDataFrame([(k, bytearray(p.to_bytes(32, "little"))) for k, p in enumerate(wide)], "node bigint, fp binary")
+    named = lambda edges: sorted(map(tuple, simhash.components(edges).collect()))
+    whole = named(simhash.links(nodes)), named(simhash.wide_links(wide_nodes))
+    assert len(whole[0]) > 20 and len(whole[1]) > 20
+    low = dict((u % 2**64, v % 2**64) for u, v in whole[0])
+    want = brute_components(list(range(len(narrow))), narrow, 4)
+    assert len({low.get(p, p) for p in narrow}) == len(set(want))
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2")
+    search, limits = simhash._search, []
+    monkeypatch.setattr(simhash, "_search", lambda *a: limits.append(a[-1]) or search(*a))
+    try:
+        got = named(simhash.links(nodes, crowd=4)), named(simhash.wide_links(wide_nodes, crowd=4))
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    assert got == whole and limits == [4, None, 4, None]
+
+
 def test_simhash_without_rows_and_with_null_ids(spark):
     empty = spark.createDataFrame([], "doc_id bigint, text string")
     assert simhash.simhash_components(empty).count() == 0
