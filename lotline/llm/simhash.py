@@ -341,8 +341,8 @@ def simhash_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
 #: compared. Sets with a similarity of 0.8 differ in 15 % of the bits, 39 of 256 with a deviation of 6.
 WIDE, WIDE_BITS, RADIUS = 4, 44, 60
 #: Bits of a band and number of bands, the same at every size: pairs that differ in WIDE_BITS bits
-#: agree in some band with a probability of 0.97. Buckets that get crowded are searched exactly.
-BAND_BITS, BANDS = 16, 71
+#: agree in some band with a probability of 0.993. Buckets that get crowded are searched exactly.
+BAND_BITS, BANDS = 16, 110
 
 
 def wide_fingerprints(df: DataFrame, id_col: str, text_col: str, words_per_shingle: int) -> DataFrame:
