@@ -235,7 +235,7 @@ def _links(dealt: DataFrame, words: str, pivots: np.ndarray, max_bits: int, real
     With `real` each row is a pair within max_bits bits, and near pairs go before far ones; else it names a node and its bucket's root.
     A task holds no bucket of more than `crowd` rows: it hands such a bucket on in chunks, and any two chunks of it meet in a task of their own.
     """
-    found = materialise(_search(dealt, words, pivots, max_bits, real, crowd), "links")
+    found = materialise(_search(dealt, words, pivots, max_bits, real, crowd).distinct(), "links")
     chunks = found.where("key IS NOT NULL").groupBy("key").agg((F.max("chunk") + 1).alias("chunks"))
     near = found.where("key IS NULL").select("u", "v")
     if not chunks.limit(1).count():
@@ -341,7 +341,7 @@ def simhash_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
 #: compared. Sets with a similarity of 0.8 differ in 15 % of the bits, 39 of 256 with a deviation of 6.
 WIDE, WIDE_BITS, RADIUS = 4, 44, 60
 #: Bits of a band and number of bands, the same at every size: pairs that differ in WIDE_BITS bits
-#: agree in some band with a probability of 0.97. Buckets that get crowded are searched exactly.
+#: agree in some band with a probability of 0.96. Buckets that get crowded are searched exactly.
 BAND_BITS, BANDS = 16, 71
 
 
