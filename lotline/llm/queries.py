@@ -1,4 +1,4 @@
-"""The queries op1 to op10 and their SQL."""
+"""The queries op1 to op13 and their SQL."""
 
 from __future__ import annotations
 
@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, langid, lm, media, packing, quality, sharding, simhash, suffix, topk
+from . import bpe, langid, lexical, lm, media, packing, quality, sharding, simhash, suffix, topk
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -75,6 +75,10 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "slot", "shard", F.octet_length(text).cast("bigint").alias("n_bytes"), F.md5(text).alias("text_md5"))
 
 
+def op11_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.rank_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), k=50)
+
+
 TOPK_SQL = """
 WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * CAST(x AS DOUBLE))) AS e FROM embeddings
            WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
@@ -84,6 +88,18 @@ r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, ve
 SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank <= 10"""
 
 
+SEARCH_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS words FROM documents),
+i AS (SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark),
+c AS (SELECT CAST(count(*) FILTER (len(words) > 0) AS BIGINT) AS n_docs, CAST(coalesce(sum(len(words)), 0) AS BIGINT) AS n_words FROM d),
+p AS (SELECT r, term, CAST(count(*) AS BIGINT) AS tf FROM (SELECT r, unnest(words) AS term FROM d) WHERE term IN (SELECT term FROM i) GROUP BY r, term),
+w AS (SELECT term, CAST(floor(1000 * ln((2 * n_docs + 2) / CAST(2 * count(*) + 1 AS DOUBLE))) AS BIGINT) AS w FROM p, c GROUP BY term, n_docs),
+s AS (SELECT i.item_id, d.doc_id, p.r, CAST(sum(w.w * ((1000000000 * p.tf) // (1000 * p.tf + 20 * (50 + (50 * len(d.words) * c.n_docs) // c.n_words)))) AS BIGINT) AS score
+      FROM i JOIN p USING (term) JOIN w USING (term) JOIN d USING (r), c GROUP BY i.item_id, d.doc_id, p.r),
+o AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id NULLS LAST) AS rank FROM s WHERE score > 0)
+SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM o WHERE rank <= 50"""
+
+
 def _sharding_sql() -> str:
     table = sharding.fill(sharding.shard_names(sharding.SHARDS))
     return f"""
@@ -93,8 +109,8 @@ SELECT doc_id, CAST(slot AS INTEGER) AS slot, CAST(list_extract({table.tolist()}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality_classifier, op2_best_fit_packing, op3_byte_bpe, op4_exact_topk, op5_simhash_dedup, op6_suffix_dedup, op7_lm_scoring, op8_language_id, op9_media_columns, op10_sharding)}
+    return {f.__name__: f for f in (op1_quality_classifier, op2_best_fit_packing, op3_byte_bpe, op4_exact_topk, op5_simhash_dedup, op6_suffix_dedup, op7_lm_scoring, op8_language_id, op9_media_columns, op10_sharding, op11_ranked_search)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_exact_topk": TOPK_SQL, "op10_sharding": _sharding_sql()}
+    return {"op4_exact_topk": TOPK_SQL, "op10_sharding": _sharding_sql(), "op11_ranked_search": SEARCH_SQL}
