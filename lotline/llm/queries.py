@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, langid, lexical, lm, media, packing, quality, sharding, simhash, suffix, topk
+from . import bpe, convtrie, langid, lexical, lm, media, packing, quality, sharding, simhash, suffix, topk
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -79,6 +79,10 @@ def op11_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexical.rank_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), k=50)
 
 
+def op13_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return convtrie.prefix_trie(table(spark, sf_dir, "conversations"))
+
+
 TOPK_SQL = """
 WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * CAST(x AS DOUBLE))) AS e FROM embeddings
            WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
@@ -100,6 +104,25 @@ o AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc
 SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM o WHERE rank <= 50"""
 
 
+TRIE_SQL = r"""
+WITH t AS (SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text, turn FROM conversations WHERE conv_id IS NOT NULL),
+c AS (SELECT conv_id, list({'role': role, 'text': text} ORDER BY turn NULLS FIRST, md5(md5(role) || md5(text))) AS own FROM t GROUP BY conv_id),
+h AS (SELECT *, xor(list_reduce(list_prepend(4294967295, list_transform(range(1, len(CAST(conv_id AS VARCHAR)) + 1), lambda i: CAST(ascii(substr(CAST(conv_id AS VARCHAR), CAST(i AS BIGINT), 1)) AS BIGINT))),
+        lambda a, b: list_reduce(list_prepend(xor(a, b), range(8)), lambda x, y: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END)), 4294967295) % 4 AS h FROM c),
+f AS (SELECT h.conv_id, list_concat(coalesce(list_slice(b.own, 1, h.h), []), list_slice(h.own, h.h + 1, len(h.own))) AS turns FROM h LEFT JOIN c b ON b.conv_id = h.conv_id - h.conv_id % 20),
+r AS (SELECT conv_id, d AS depth, d = len(turns) AS is_end, md5(CAST(to_json(list_slice(turns, 1, d)) AS VARCHAR)) AS k,
+             CASE WHEN d = 0 THEN 0 ELSE len(regexp_extract_all(turns[d].text, '[^\x20\x09-\x0D]+')) END AS words
+      FROM (SELECT conv_id, turns, unnest(range(0, len(turns) + 1)) AS d FROM f)),
+n AS (SELECT depth, k, min(conv_id) AS conv_id, count(*) AS n_convs, max(words) AS words,
+             sha256(coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (is_end), '')) AS ends_sha256 FROM r GROUP BY depth, k),
+u AS (SELECT n.*, p.conv_id AS parent_conv_id FROM n LEFT JOIN r ON r.conv_id = n.conv_id AND r.depth = n.depth - 1 LEFT JOIN n p ON p.depth = r.depth AND p.k = r.k),
+m AS (SELECT parent_conv_id, depth - 1 AS depth, count(*) AS n_children FROM u WHERE depth > 0 GROUP BY ALL),
+w AS (SELECT u.*, coalesce(m.n_children, 0) AS n_children FROM u LEFT JOIN m ON m.parent_conv_id = u.conv_id AND m.depth = u.depth),
+s AS (SELECT r.depth, r.k, sum((w.n_convs - 1) * w.words) AS saved_tokens, count(*) FILTER (w.n_children = 0) AS n_leaves
+      FROM w JOIN r ON r.conv_id = w.conv_id AND r.depth <= w.depth GROUP BY r.depth, r.k)
+SELECT w.conv_id, w.depth, w.parent_conv_id, w.n_convs, w.n_children, s.n_leaves, CAST(s.saved_tokens AS BIGINT) AS saved_tokens, w.ends_sha256 FROM w JOIN s USING (depth, k)"""
+
+
 def _sharding_sql() -> str:
     table = sharding.fill(sharding.shard_names(sharding.SHARDS))
     return f"""
@@ -109,8 +132,8 @@ SELECT doc_id, CAST(slot AS INTEGER) AS slot, CAST(list_extract({table.tolist()}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality_classifier, op2_best_fit_packing, op3_byte_bpe, op4_exact_topk, op5_simhash_dedup, op6_suffix_dedup, op7_lm_scoring, op8_language_id, op9_media_columns, op10_sharding, op11_ranked_search)}
+    return {f.__name__: f for f in (op1_quality_classifier, op2_best_fit_packing, op3_byte_bpe, op4_exact_topk, op5_simhash_dedup, op6_suffix_dedup, op7_lm_scoring, op8_language_id, op9_media_columns, op10_sharding, op11_ranked_search, op13_conversation_trie)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_exact_topk": TOPK_SQL, "op10_sharding": _sharding_sql(), "op11_ranked_search": SEARCH_SQL}
+    return {"op4_exact_topk": TOPK_SQL, "op10_sharding": _sharding_sql(), "op11_ranked_search": SEARCH_SQL, "op13_conversation_trie": TRIE_SQL}
