@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, convtrie, langid, lexical, lm, media, packing, quality, sharding, simhash, suffix, topk
+from . import bpe, convtrie, langid, lexical, lm, media, packing, quality, rules, sharding, simhash, suffix, topk
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -79,6 +79,11 @@ def op11_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexical.rank_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), k=50)
 
 
+def op12_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    return rules.apply_rules(docs, labels, holdout=crc_rest(5) >= 2, stratum=F.col("lang"))
+
+
 def op13_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return convtrie.prefix_trie(table(spark, sf_dir, "conversations"))
 
@@ -132,7 +137,7 @@ SELECT doc_id, CAST(slot AS INTEGER) AS slot, CAST(list_extract({table.tolist()}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality_classifier, op2_best_fit_packing, op3_byte_bpe, op4_exact_topk, op5_simhash_dedup, op6_suffix_dedup, op7_lm_scoring, op8_language_id, op9_media_columns, op10_sharding, op11_ranked_search, op13_conversation_trie)}
+    return {f.__name__: f for f in (op1_quality_classifier, op2_best_fit_packing, op3_byte_bpe, op4_exact_topk, op5_simhash_dedup, op6_suffix_dedup, op7_lm_scoring, op8_language_id, op9_media_columns, op10_sharding, op11_ranked_search, op12_quality_rules, op13_conversation_trie)}
 
 
 def oracle_sql() -> dict[str, str]:
