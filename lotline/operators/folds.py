@@ -53,11 +53,12 @@ def prepare(panel: DataFrame, features: tuple[str, ...], keys: tuple[str, ...] =
     windows: their order, where it must agree with another panel's; windows are few by nature, their names are collected.
     """
     ok = F.col("window_id").isNotNull() & F.col("pair_cost").isNotNull() & F.col("favorable").isNotNull() & (F.col("paired_shares") > 0)
-    names = windows or [r[0] for r in panel.where(ok).select("window_id").distinct().orderBy("window_id").collect()]
-    number = F.array_position(F.lit(names) if names else F.array(F.lit("")), F.col("window_id")).cast("int") - 1
     value: Callable[[str], Column] = lambda c: F.coalesce(F.col(c).cast("double"), F.lit(float("nan")))
-    rows = panel.where(ok).select(*[F.col(k).alias(f"key_{k}") for k in keys], number.alias("window"), F.col("pair_cost").cast("double").alias("y"), F.col("favorable").cast("int").cast("double").alias("b"), F.col("paired_shares").cast("double").alias("w"), F.array(*[value(c) for c in features]).alias("x"))
-    return Panel(written(rows, "panel"), names, tuple(features), tuple(keys))
+    rows = panel.where(ok).select(*[F.col(k).alias(f"key_{k}") for k in keys], "window_id", F.col("pair_cost").cast("double").alias("y"), F.col("favorable").cast("int").cast("double").alias("b"), F.col("paired_shares").cast("double").alias("w"), F.array(*[value(c) for c in features]).alias("x"))
+    rows = written(rows, "panel")
+    names = windows or [r[0] for r in rows.select("window_id").distinct().orderBy("window_id").collect()]
+    number = F.array_position(F.lit(names) if names else F.array(F.lit("")), F.col("window_id")).cast("int") - 1
+    return Panel(rows.withColumn("window", number).drop("window_id"), names, tuple(features), tuple(keys))
 
 
 def arrays(batch: pa.RecordBatch, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:

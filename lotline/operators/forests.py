@@ -27,8 +27,10 @@ from lotline.operators.folds import ALL, Panel, arrays, fold_medians
 from lotline.sources.scratch import removed, written
 
 BINS = 255
-#: Quantiles of each input and window from which the bins of a fold are made, and their accuracy.
-POINTS, ACCURACY = 1024, 10_000
+#: Weighted points that stand for the known values of an input in a window; as many distinct values are kept exactly.
+POINTS = 4096
+#: Summaries of an input and window that a task of the first merge sees, as a share of all: one of so many.
+SALTS = 32
 #: Training rows of a fold that one task holds (some 30 bytes each).
 LOCAL_ROWS = 1_000_000
 #: Rounds whose trees are evaluated anew in each pass before the sums are written.
@@ -172,31 +174,89 @@ def grow_local(bins: np.ndarray, target: np.ndarray, weight: np.ndarray, spec: S
 # ---------------------------------------------------------------- bins
 
 
+def condensed(values: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct values and their weights; more than POINTS are replaced by as many quantiles of equal weight."""
+    values, at = np.unique(values, return_inverse=True)
+    weights = np.bincount(at, weights, len(values))
+    if len(values) <= POINTS:
+        return values, weights
+    below, step = np.cumsum(weights), weights.sum() / POINTS
+    some, counts = np.unique(np.searchsorted(below, (np.arange(POINTS) + 0.5) * step), return_counts=True)
+    return values[some.clip(max=len(values) - 1)], counts * step
+
+
+def merged(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.RecordBatch]:
+    """Summaries (keys..., values, weights) added up by key as they stream in; what is held for a key stays below a few times POINTS."""
+    held: dict[tuple, list] = {}
+    for batch in batches:
+        for *key, values, weights in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            own = held.setdefault(tuple(key), [[], [], 0])
+            own[0].append(np.frombuffer(values, np.float64))
+            own[1].append(np.frombuffer(weights, np.float64))
+            own[2] += len(own[0][-1])
+            if own[2] > 4 * POINTS:
+                v, w = condensed(np.concatenate(own[0]), np.concatenate(own[1]))
+                own[:] = [v], [w], len(v)
+    yield from (summary(key, *condensed(np.concatenate(v), np.concatenate(w))) for key, (v, w, _) in held.items())
+
+
+def summary(key: tuple, values: np.ndarray, weights: np.ndarray) -> pa.RecordBatch:
+    names = ["window", "input", "salt"][: len(key)]
+    return pa.RecordBatch.from_arrays([*(pa.array([k], pa.int32()) for k in key), pa.array([values.tobytes()], pa.binary()), pa.array([weights.tobytes()], pa.binary())], [*names, "points", "weights"])
+
+
+def window_points(panel: Panel) -> dict[tuple[int, int], tuple[np.ndarray, np.ndarray]]:
+    """By window and input: points of its known values and the rows that each stands for."""
+    n = len(panel.features)
+
+    def run(batches):
+        def single():
+            for batch in batches:
+                window, _, _, _, x = arrays(batch, n)
+                for i in np.unique(window).tolist():
+                    for j in range(n):
+                        v = x[window == i, j]
+                        v = v[~np.isnan(v)] + 0.0
+                        if len(v):
+                            yield summary((i, j), *condensed(v, np.ones(len(v))))
+
+        for batch in merged(single(), 2):
+            key = batch.column(0)[0].as_py(), batch.column(1)[0].as_py()
+            yield summary((*key, salt(batch)), *(np.frombuffer(batch.column(k)[0].as_py(), np.float64) for k in (2, 3)))
+
+    def salt(batch):
+        from pyspark import TaskContext
+
+        return TaskContext.get().partitionId() % SALTS
+
+    first = panel.rows.select("window", "y", "b", "w", "x").mapInArrow(run, "window int, input int, salt int, points binary, weights binary")
+    some = first.repartition("window", "input", "salt").mapInArrow(lambda b: merged(b, 3), first.schema)
+    every = some.drop("salt").repartition("window", "input").mapInArrow(lambda b: merged(b, 2), "window int, input int, points binary, weights binary")
+    return {(r[0], r[1]): (np.frombuffer(bytes(r[2]), np.float64), np.frombuffer(bytes(r[3]), np.float64)) for r in every.toLocalIterator()}
+
+
 def fold_edges(panel: Panel, fill: dict[int, np.ndarray]) -> dict[int, list[np.ndarray]]:
     """The upper edges of all bins but the last, by fold and input.
 
-    Midpoints between the distinct values where a fold has at most BINS of them, else quantiles of the training rows, both from
-    POINTS quantiles of each window's known values (weighted by its rows) and the imputed value.
+    Midpoints between the distinct values where a fold has at most BINS of them, else quantiles of the training rows, from
+    at most POINTS points for each window and input, and the imputed value with the weight of the rows that don't know theirs.
     """
-    n = len(panel.features)
-    grid = [float(q) for q in np.linspace(0, 1, POINTS)]
-    known = lambda j: F.when(~F.isnan(F.get("x", F.lit(j))), F.get("x", F.lit(j)))
-    columns = [F.percentile_approx(known(j), F.lit(grid), F.lit(ACCURACY)).alias(f"q{j}") for j in range(n)] + [F.count(known(j)).alias(f"n{j}") for j in range(n)]
-    found = {r["window"]: r for r in panel.rows.groupBy("window").agg(F.count("*").alias("n"), *columns).collect()}
+    points = window_points(panel)
+    rows = {r["window"]: r["count"] for r in panel.rows.groupBy("window").count().collect()}
     out = {}
     for fold in panel.folds():
         out[fold] = []
-        for j in range(n):
-            use = [r for w, r in found.items() if w != fold]
-            values = np.concatenate([np.asarray(r[f"q{j}"], float) for r in use if r[f"n{j}"]] + [[fill[fold][j]]])
-            unknown = sum(r["n"] - r[f"n{j}"] for r in use)
-            weights = np.concatenate([np.full(POINTS, r[f"n{j}"] / POINTS) for r in use if r[f"n{j}"]] + [[float(unknown)]])
-            values, weights = values[weights > 0] + 0.0, weights[weights > 0]
-            distinct, place_ = np.unique(values, return_inverse=True)
+        use = [w for w in rows if w != fold]
+        for j in range(len(panel.features)):
+            own = [points[w, j] for w in use if (w, j) in points]
+            unknown = sum(rows[w] for w in use) - sum(float(w.sum()) for _, w in own)
+            values = np.concatenate([v for v, _ in own] + [[fill[fold][j]] * (unknown > 0.5)])
+            weights = np.concatenate([w for _, w in own] + [[unknown] * (unknown > 0.5)])
+            distinct, at = np.unique(values, return_inverse=True)
             if len(distinct) <= BINS:
                 out[fold].append((distinct[1:] + distinct[:-1]) / 2)
             else:
-                share = np.cumsum(np.bincount(place_, weights)) / weights.sum()
+                share = np.cumsum(np.bincount(at, weights)) / weights.sum()
                 out[fold].append(np.unique(distinct[np.searchsorted(share, np.arange(1, BINS) / BINS).clip(0, len(distinct) - 2)]))
     return out
 

@@ -8,8 +8,9 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lotline.functions import scalars as S
-from lotline.operators import binding, claims, evaluation, features, inventory, ledger, live, markets, matching, metrics, normalize, windows
+from lotline.operators import binding, claims, evaluation, features, folds, forests, inventory, ledger, live, markets, matching, metrics, normalize, permutation, windows
 from lotline.sources import adapter, eventlog
+from lotline.sources.scratch import written
 from lotline.streaming import state
 
 REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -569,29 +570,45 @@ def online_pairs(spark, sf_dir):
 
 
 def _model_rows(spark, sf_dir) -> DataFrame:
-    out = features.pre_event_panel(buys(spark, sf_dir), adapter.candles(spark, sf_dir), window_of(F.col("market_id")))
-    return out.withColumn("held", (F.substring("market_id", 2, 20).cast("bigint") % 5 == 4)).persist()  # trained on and scored several times
+    """Pairs with the state at the end of their second and reference candles: all inputs of the models."""
+    rows = features.regime_panel(buys(spark, sf_dir), adapter.candles(spark, sf_dir))
+    return rows.withColumn("window_id", window_of(F.col("market_id")))
+
 
+_SCORES = ("weighted_mae", "mae", "weighted_bias", "weighted_brier", "weighted_log_loss")
 
-def _model_eval(spark, sf_dir, kind: str) -> DataFrame:
-    from lotline.operators import models
 
-    rows = _model_rows(spark, sf_dir)
-    model = models.train(rows.where("NOT held"), features.PRE_EVENT_FEATURES, kind)
-    scored = model.score(rows.where("held"))
-    return metrics.regression_metrics(scored, ["window_id"]).join(metrics.classification_metrics(scored, ["window_id"]), "window_id")
+def _scores(panel: folds.Panel, models_: dict) -> DataFrame:
+    out = written(folds.fold_metrics(folds.scored(panel, models_)), "scores")
+    panel.close()
+    return rounded(out, "weight", *_SCORES)
 
 
 @query
 def ridge_eval(spark, sf_dir):
-    return _model_eval(spark, sf_dir, "linear")
+    """Ridge and logistic regression on the seven feature sets: each window by models of the others."""
+    panel = folds.prepare(_model_rows(spark, sf_dir), features.FEATURE_SETS["all"])
+    return _scores(panel, folds.linear_models(folds.fit_linear(panel, features.FEATURE_SETS)))
 
 
 @query
 def tree_eval(spark, sf_dir):
-    return _model_eval(spark, sf_dir, "tree")
+    """One tree on timing and inventory: each window by a tree of the others."""
+    panel = folds.prepare(_model_rows(spark, sf_dir), features.FEATURE_SETS["timing_inventory"])
+    return _scores(panel, forests.forest_models(forests.fit_forests(panel, {"tree_timing_inventory": forests.single_tree(panel.features)}, folds=list(range(len(panel.windows))))))
 
 
 @query
 def gbt_eval(spark, sf_dir):
-    return _model_eval(spark, sf_dir, "boosted")
+    """Boosted trees on three feature sets: each window by a model of the others."""
+    panel = folds.prepare(_model_rows(spark, sf_dir), features.FEATURE_SETS["all"])
+    specs = {f"hgb_{name}": forests.Spec(features.FEATURE_SETS[name]) for name in ("timing_inventory", "inventory", "all")}
+    return _scores(panel, forests.forest_models(forests.fit_forests(panel, specs, folds=list(range(len(panel.windows))))))
+
+
+@query
+def btc_permutation(spark, sf_dir):
+    """By how much the errors of boosted trees on all inputs grow when candle inputs are exchanged within the held-out window."""
+    groups = permutation.each_and_joint(features.BTC, "btc_joint")
+    out = permutation.held_out_permutations(_model_rows(spark, sf_dir), forests.Spec(features.FEATURE_SETS["all"]), groups, ["market_id", "completing_seq", "event_index"])
+    return rounded(out, "weighted_mae_delta", "weighted_brier_delta")

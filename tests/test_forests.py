@@ -84,7 +84,9 @@ def test_every_fold_equals_plain_trees(spark, monkeypatch, seed, local_rows):
     assert splits > 50
 
 
-def test_bins_of_many_values_hold_like_numbers_of_rows(spark):
+@pytest.mark.parametrize("points", [4096, 1024])
+def test_bins_of_many_values_hold_like_numbers_of_rows(spark, monkeypatch, points):
+    monkeypatch.setattr(forests, "POINTS", points)
     rows = [(f"k{i}", f"w{i % 2}", math.sin(i) * 1000, None, None, None, 1.0, True, 1.0) for i in range(8000)]
     p = folds.prepare(table(spark, rows), FEATURES)
     fill = folds.fold_medians(p)
