@@ -4,14 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lotline.functions import scalars as S
-from lotline.operators import binding, evaluation, features, inventory, ledger, live, markets, matching, metrics, models, windows
+from lotline.operators import binding, evaluation, features, inventory, ledger, live, markets, matching, metrics, models, replay, windows
 from lotline.plans import oracle as O
 from lotline.plans import queries as Q
 from lotline.sources import adapter, raw, sinks
+from lotline.sources.scratch import written
 from lotline.streaming import state
 
 REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -449,3 +450,94 @@ def replay_audit(spark, sf_dir):
     p = _named(spark, sf_dir)
     recorded = p.where("n % 23 <> 0").withColumn("probability", F.col("probability") + F.when(F.col("n") % 19 == 0, 1e-6).otherwise(0.0))
     return live.audit(recorded, p.where("n % 29 <> 0"), ["prediction_id"], ["predicted_pair_cost", "probability"])
+
+
+_ORDER = ("market_metadata", "btc_candle", "source_health", "state_quarantine", "normalized_fill", "state_application", "tick", "prediction", "pair_formation", "outcome_label", "score_binding")
+_MODELS = {"flow": lambda rows: rows.withColumn("predicted", 1 + F.col("fill_count_60s") / 100).withColumn("probability", 1 / (2 + F.col("fill_count_60s")))}
+
+
+def _recorded_log(spark, sf_dir) -> tuple[DataFrame, tuple[int, int]]:
+    """The log that a live run over the table would have left, with planted faults: a count of fills (every fifth market at one
+    tick), a predicted cost (every seventh market), labels (every fourth). Snapshots and bindings come from the batch operators."""
+    e, led = adapter.events(spark, sf_dir), Q.the_ledger(spark, sf_dir)
+    days = e.select("day").distinct().withColumn("market_id", F.concat(F.lit("m"), F.col("day").cast("string")))
+    number = F.substring("market_id", 2, 20).cast("bigint")
+    start = F.col("day") * 300
+    meta = days.select("market_id", (start - 30).alias("sequence"), (~(F.col("day") % 6).isin(1, 2)).alias("eligible"), start.alias("market_start"), F.lit(True).alias("active"), (F.col("day") % 11 == 5).alias("closed"))
+    stops = led.where((F.col("side") == "SELL") & (number % 12 == 3)).groupBy("market_id").agg(F.min("epoch").alias("sequence"))
+    candles, healthy = adapter.candles(spark, sf_dir), e.where("k % 3 = 0").select("epoch")
+    ticks = days.select("market_id", F.explode(F.array(*[start + o for o in _OFFSETS])).alias("tick"))
+    hour = days.agg(F.min("day")).first()[0] * 300 // 3600 % 24
+    built = live.build_ticks(ticks, meta, stops, healthy, candles, led, (hour, hour + 2))
+    proof = _provenance(ticks, led, candles)
+
+    def event(df: DataFrame, kind: str, second: str, key: Column, payload: Column, name: Column | None = None) -> DataFrame:
+        at = _ORDER.index("tick" if kind in ("feature_snapshot", "unscorable_tick") else kind)
+        place = (F.col(second) * 16 + at) * 10_000_000 + F.row_number().over(Window.partitionBy(F.col(second)).orderBy(key)) - 1
+        made = F.timestamp_millis(F.col(second) * 1000 + 500)
+        return df.select(F.lit("v1").alias("schema_version"), F.lit(kind).alias("event_type"), (F.concat(F.lit(f"{kind}:"), key.cast("string")) if name is None else name).alias("event_id"), F.lit("r").alias("run_id"), place.alias("sequence"), made.cast("string").alias("created_at"), F.to_json(payload, {"ignoreNullFields": "false"}).alias("payload"), F.lit(None).cast("string").alias("supersedes_event_id"))
+
+    key = F.concat_ws(":", "market_id", F.col("tick").cast("string"))
+    rows = built.join(proof, ["market_id", "tick"], "left").withColumn("as_of_sequence", (F.col("tick") * 16 + _ORDER.index("tick")) * 10_000_000 - 1)
+    planted = F.when((number % 5 == 1) & (F.col("tick") % 300 == 120), 1.0).otherwise(0.0)
+    values = {c: F.col(c).cast("double") + (planted if c == "fill_count_60s" else 0.0) for c in replay.FEATURES}
+    feature_map = F.map_from_arrays(F.array(*[F.lit(c) for c in values]), F.array(*values.values()))
+    shots = event(rows.where("scorable"), "feature_snapshot", "tick", key, F.struct("market_id", "tick", "as_of_sequence", F.lit(list(replay.FEATURES)).alias("feature_order"), feature_map.alias("features"), *replay.PROVENANCE))
+    others = event(rows.where("NOT scorable"), "unscorable_tick", "tick", key, F.struct("market_id", "tick", "as_of_sequence", "reason"))
+    count = values["fill_count_60s"]
+    out = F.struct((1 + count / 100 + F.when(number % 7 == 2, 1e-6).otherwise(0.0)).alias("predicted"), (1 / (2 + count)).alias("probability"))
+    made = rows.where("scorable")
+    predictions = event(made, "prediction", "tick", key, F.struct("market_id", F.concat(F.lit("feature_snapshot:"), key).alias("snapshot_event_id"), F.map_from_arrays(F.array(F.lit("flow")), F.array(out)).alias("outputs"), F.lit(True).alias("candidate"), F.lit(False).alias("reconstructed")))
+
+    pairs = matching.fifo_pairs(Q.buys(spark, sf_dir)).select("market_id", "completing_seq", "event_index", F.col("pair_cost").cast("double").alias("pair_cost"), F.col("paired_shares").cast("double").alias("paired_shares"), F.col("formed_at_epoch").cast("bigint").alias("second"))
+    pairs = pairs.withColumn("id", F.concat_ws(":", "market_id", F.col("completing_seq").cast("string"), F.col("event_index").cast("string")))
+    # a market has six ticks at most, so its pairs meet them by equality of the market
+    prior = pairs.join(made.select("market_id", "tick"), "market_id").where("tick < second").groupBy("id").agg(F.max("tick").alias("bound"))
+    pairs = pairs.join(prior, "id", "left")
+    bound = F.when(F.col("bound").isNotNull(), F.concat_ws(":", F.lit("prediction"), "market_id", F.col("bound").cast("string")))
+    own = F.concat(F.lit("pair_formation:"), F.col("id")).alias("pair_event_id")
+    favorable = (F.col("pair_cost") < 1) != (number % 4 == 3)
+    k = F.col("id")
+    parts = [
+        event(meta.withColumnRenamed("sequence", "second"), "market_metadata", "second", F.col("market_id"), F.struct("market_id", "eligible", "market_start", "active", "closed")),
+        event(candles.withColumn("second", F.col("open_epoch") + 60), "btc_candle", "second", F.col("open_epoch"), F.struct("open_epoch", *[F.col(c).cast("string").alias(c) for c in ("open", "high", "low", "close")])),
+        event(healthy.withColumnRenamed("epoch", "second").distinct(), "source_health", "second", F.col("second"), F.struct(F.lit("target").alias("source"), F.lit("poll_ok").alias("status"))),
+        event(stops.withColumnRenamed("sequence", "second"), "state_quarantine", "second", F.col("market_id"), F.struct("market_id")),
+        event(led, "normalized_fill", "epoch", F.col("source_trade_id"), F.struct("market_id", "source_trade_id", F.col("source_trade_id").alias("ingest_id"), "oside", "side", F.col("price").cast("string").alias("price"), F.col("shares").cast("string").alias("shares"), "epoch", F.col("epoch").alias("receive_epoch"))),
+        event(led, "state_application", "epoch", F.col("source_trade_id"), F.struct("market_id", F.concat(F.lit("normalized_fill:"), "source_trade_id").alias("fill_event_id"), F.lit("applied").alias("status"), F.lit(False).alias("quarantined"))),
+        shots, others, predictions,
+        event(pairs, "pair_formation", "second", k, F.struct("market_id", "pair_cost", "paired_shares", F.col("second").alias("formed_at_epoch"))),
+        event(pairs, "outcome_label", "second", k, F.struct(own, "pair_cost", favorable.alias("favorable"))),
+        event(pairs, "score_binding", "second", k, F.struct(own, bound.alias("prediction_event_id"), F.when(bound.isNotNull(), "bound_strictly_prior_score").otherwise("unbound_no_strictly_prior_score").alias("status"))),
+    ]
+    log = parts[0]
+    for part in parts[1:]:
+        log = log.unionByName(part)
+    return written(log, "log"), (hour, hour + 2)
+
+
+def _provenance(ticks: DataFrame, led: DataFrame, candles: DataFrame) -> DataFrame:
+    """What a snapshot records beside its features: six ticks a market meet its fills by equality of the market."""
+    seen = ticks.join(led.where("side = 'BUY'").select("market_id", "epoch", "source_trade_id"), "market_id").where("epoch <= tick")
+    last = F.max(F.struct("epoch", "source_trade_id"))
+    seen = seen.groupBy("market_id", "tick").agg(F.max("epoch").alias("max_source_epoch"), F.max("epoch").alias("max_receive_epoch"), F.count("*").alias("applied_buy_fill_count"), last.alias("x"))
+    seen = seen.withColumn("max_fill_key", F.concat_ws("|", F.col("x.epoch").cast("string"), "x.source_trade_id", "x.source_trade_id")).drop("x")
+    start = (F.substring("market_id", 2, 20).cast("bigint") * 300).alias("market_start")
+    known = features.candle_features(ticks.select(F.col("tick").alias("event_epoch"), start), candles).select(F.col("event_epoch").alias("tick"), "btc_reference_epoch", "btc_reference_price").distinct()
+    found = ticks.join(seen, ["market_id", "tick"], "left").join(known, "tick", "left")
+    return found.withColumn("applied_buy_fill_count", F.coalesce("applied_buy_fill_count", F.lit(0))).withColumn("btc_reference_price", F.col("btc_reference_price").cast("double"))
+
+
+@query("WITH base AS (" + ORACLES["feature_tick_results"] + """),
+ticks AS (SELECT *, CAST(substr(market_id, 2) AS BIGINT) AS d FROM base),
+ap AS (WITH""" + O.LED + """ SELECT count(*) AS n FROM led),
+pr AS (WITH""" + O.FIFO + """ SELECT count(*) AS n, count(*) FILTER (CAST(substr(market_id, 2) AS BIGINT) % 4 = 3) AS bad FROM pairs),
+k AS (SELECT 'application' AS kind, n AS events, 0 AS problems FROM ap UNION ALL SELECT 'pair', n, bad FROM pr
+      UNION ALL SELECT 'snapshot', count(*), count(*) FILTER (d % 5 = 1 AND tick % 300 = 120) FROM ticks WHERE scorable HAVING count(*) > 0
+      UNION ALL SELECT 'unscorable_tick', count(*), 0 FROM ticks WHERE NOT scorable HAVING count(*) > 0
+      UNION ALL SELECT 'prediction', count(*), count(*) FILTER (d % 7 = 2) FROM ticks WHERE scorable HAVING count(*) > 0)
+SELECT kind, events, CAST(problems AS BIGINT) AS problems, problems = 0 AS passed FROM k""")
+def log_replay(spark, sf_dir):
+    """A recorded log with planted faults, rebuilt from its events: how many of each kind, and how many differ."""
+    log, hours = _recorded_log(spark, sf_dir)
+    return replay.replay_summary(replay.replay(log, _MODELS, hours=hours))
