@@ -71,6 +71,24 @@ def candle_pages(spark, sf_dir):
     return rounded(raw.parse_candle_pages(pages), "open", "high", "low", "close")
 
 
+@query("WITH" + O.CANDLES + """, x AS (SELECT *, open_epoch // 60 % 11 AS n FROM cd),
+r AS (SELECT CASE n WHEN 1 THEN 'not_aligned' WHEN 2 THEN 'negative_value' WHEN 3 THEN 'high_below_low' WHEN 4 THEN 'short_row' WHEN 5 THEN 'not_a_number' END AS reason, CASE WHEN n NOT IN (1, 2, 3, 4, 5) THEN close END AS close FROM x UNION ALL SELECT 'short_row', NULL)
+SELECT coalesce(reason, 'accepted') AS reason, count(*) AS rows, round(CAST(sum(close) AS DOUBLE), 6) AS close_sum FROM r GROUP BY reason""")
+def candle_checks(spark, sf_dir):
+    """Candle rows of response pages by what sets them aside: some are planted as misaligned, negative, crossed, short or no number, and one page is no list."""
+    c = adapter.candles(spark, sf_dir).withColumn("n", F.floor(F.col("open_epoch") / 60) % 11)
+    text = lambda x: F.col(x).cast("string")
+    cells = F.array(
+        (F.col("open_epoch") + F.when(F.col("n") == 1, 7).otherwise(0)).cast("string"), F.when(F.col("n") == 2, F.lit("-0.5")).otherwise(text("low")), F.when(F.col("n") == 3, (F.col("low") - F.lit("0.00000001").cast("decimal(18,8)")).cast("string")).otherwise(text("high")),
+        text("open"), F.when(F.col("n") == 5, F.lit("abc")).otherwise(text("close")), F.lit("12345678901234.5"),
+    )
+    row = F.when(F.col("n") == 4, F.slice(cells, 1, 5)).otherwise(cells)
+    pages = c.groupBy(F.floor(F.col("open_epoch") / 14400).alias("page_no")).agg(F.to_json(F.collect_list(row)).alias("value"))
+    pages = pages.unionByName(spark.createDataFrame([(-1, "{}")], "page_no bigint, value string"))
+    out = raw.check_candle_rows(pages).groupBy(F.coalesce("reason", F.lit("accepted")).alias("reason")).agg(F.count("*").alias("rows"), F.sum(F.when(F.col("reason").isNull(), F.col("close"))).alias("close_sum"))
+    return rounded(out, "close_sum")
+
+
 _FORMS = ["12", "-3", "true", "1.5", '"7"', "null", "", "99999999999999999999"]
 
 
@@ -301,7 +319,11 @@ def operational_monitor(spark, sf_dir):
     return live.operational_monitor(log, log.agg(F.max("created_ms")).first()[0] + 12_000)
 
 
-@query("SELECT * FROM (VALUES ('run1', 'drift:commit'), ('run2', 'no_start_record')) AS v(run_id, problem) WHERE (SELECT count(*) FROM events) > 0")
+@query("WITH" + O.EV + """, l AS (SELECT d % 3 AS r, row_number() OVER (PARTITION BY d % 3 ORDER BY event_id) - 1 AS n, count(*) OVER (PARTITION BY d % 3) AS total FROM ev),
+s AS (SELECT 'run' || r AS run_id, CASE WHEN NOT (total - 1 = n AND r = 1) AND NOT (n % 211 = 5 AND r <> 0) THEN n END AS sequence, n = 0 AND r <> 2 AS is_start, CASE WHEN r = 1 THEN 'xyz' ELSE 'abc' END AS commit FROM l),
+e AS (SELECT run_id, count(*) FILTER (is_start) AS n, count(*) FILTER (is_start AND sequence = 0) AS z FROM s GROUP BY run_id)
+SELECT run_id, CASE WHEN n = 0 THEN 'no_start_record' WHEN n > 1 THEN 'several_start_records' ELSE 'start_not_at_sequence_zero' END AS problem FROM e WHERE n <> 1 OR z = 0
+UNION ALL SELECT run_id, 'drift:commit' FROM s WHERE is_start AND sequence = 0 AND commit <> 'abc'""")
 def run_start_check(spark, sf_dir):
     log = _monitored(spark, sf_dir).withColumn("settings", F.create_map(F.lit("commit"), F.when(F.col("run_id") == "run1", "xyz").otherwise("abc"), F.lit("hours"), F.lit("12-18")))
     return live.run_start_problems(log, {"commit": "abc", "hours": "12-18"})

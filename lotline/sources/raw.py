@@ -8,6 +8,7 @@ from __future__ import annotations
 import hashlib
 import json
 import os
+import time
 from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -118,6 +119,72 @@ def parse_candle_pages(pages: DataFrame, interval: int = 60) -> DataFrame:
     return last.select("open_epoch", "x.*", F.lit(interval).alias("interval_seconds"))
 
 
+#: Reasons that set a candle row aside, in the order in which they are checked.
+CANDLE_REASONS = ("short_row", "not_a_number", "not_aligned", "negative_value", "high_below_low")
+
+
+def check_candle_rows(pages: DataFrame, interval: int = 60) -> DataFrame:
+    """(page_no, row_no, open_epoch, open, high, low, close, volume, reason) of every row of the pages (page_no, value); reason is null for good rows.
+
+    Rows are [time, low, high, open, close, volume]. A page that is no list has one row without values, of reason `short_row`.
+    """
+    rows = pages.select("page_no", F.posexplode_outer(F.from_json("value", "array<string>")).alias("row_no", "row")).withColumn("c", F.from_json("row", "array<string>"))
+    number = lambda i: F.expr(f"try_cast(get(c, {i}) AS DECIMAL({28 if i == 5 else 18},8))")
+    names = {"low": 1, "high": 2, "open": 3, "close": 4, "volume": 5}
+    out = rows.select("page_no", "row_no", F.coalesce(F.size("c"), F.lit(-1)).alias("n"), F.expr("try_cast(get(c, 0) AS BIGINT)").alias("open_epoch"), *[number(i).alias(k) for k, i in names.items()])
+    unknown = F.col("open_epoch").isNull()
+    for k in names:
+        unknown = unknown | F.col(k).isNull()
+    checks = (F.col("n") < 6, unknown, F.pmod(F.col("open_epoch"), F.lit(interval)) != 0, F.least(*names) < 0, F.col("high") < F.col("low"))
+    reason = F.lit(None).cast("string")
+    for name, check in reversed(list(zip(CANDLE_REASONS, checks, strict=True))):
+        reason = F.when(check, name).otherwise(reason)
+    return out.select("page_no", "row_no", "open_epoch", "open", "high", "low", "close", "volume", reason.alias("reason"))
+
+
+def accepted_candles(checked: DataFrame, interval: int = 60) -> DataFrame:
+    """Candles of the good rows; of an epoch the last page, and in it the last row, wins."""
+    row = F.struct("open", "high", "low", "close")
+    last = checked.where("reason IS NULL").groupBy("open_epoch").agg(F.max_by(row, F.struct("page_no", "row_no")).alias("x"))
+    return last.select("open_epoch", "x.*", F.lit(interval).alias("interval_seconds"))
+
+
+def candle_provenance(pages: DataFrame, start: int, end: int, interval: int = 60) -> DataFrame:
+    """One row: what was asked for, what came, and a hash of the pages in their order, over the hashes of each."""
+    good = accepted_candles(check_candle_rows(pages, interval), interval)
+    came = good.agg(F.min("open_epoch").alias("first_epoch"), F.max("open_epoch").alias("last_epoch"), F.count("*").alias("candles"))
+    each = F.struct("page_no", F.sha2(F.coalesce("value", F.lit("")).cast("binary"), 256).alias("h"))
+    asked = pages.agg(F.count("*").alias("pages"), F.sha2(F.concat_ws("", F.transform(F.array_sort(F.collect_list(each)), lambda x: x["h"])).cast("binary"), 256).alias("pages_sha256"))
+    return asked.crossJoin(came).select(F.lit(start).cast("bigint").alias("start"), F.lit(end).cast("bigint").alias("end"), "pages", "pages_sha256", "first_epoch", "last_epoch", "candles")  # two single rows
+
+
+def retried(fetch, attempts: int = 5, busy: int = 429, sleep=time.sleep):
+    """fetch(params) -> (status, body), asked again while the source is busy: after 1, 2, 4 ... seconds, at most `attempts` times in all.
+
+    What comes last is returned; a status of 400 or more is an error.
+    """
+
+    def ask(params):
+        for attempt in range(attempts):
+            status, body = fetch(params)
+            if status != busy or attempt == attempts - 1:
+                break
+            sleep(float(2**attempt))
+        if status >= 400:
+            raise OSError(f"status {status} for {params}")
+        return body
+
+    return ask
+
+
+def collect_candles(spark: SparkSession, fetch, start: int, end: int, path: str, **options) -> DataFrame:
+    """Asks for the ranges from warm-up to end, keeps the pages as they came in `path`, and returns them (page_no, value)."""
+    ask = retried(fetch, **options)
+    pages = [(i, ask({"start": a, "end": b})) for i, (a, b) in enumerate(candle_requests(start, end))]
+    spark.createDataFrame(pages, "page_no bigint, value string").coalesce(1).write.mode("overwrite").json(path)
+    return spark.read.schema("page_no bigint, value string").json(path)
+
+
 def candle_requests(start: int, end: int, warm_up: int = 180, interval: int = 60, chunk: int = 240) -> list[tuple[int, int]]:
     """Half-open request ranges that cover start - warm_up to end."""
     step = interval * chunk
