@@ -15,6 +15,7 @@ from lotline.functions import scalars as S
 from lotline.operators.features import BTC, INVENTORY, TRAILS, candle_features
 from lotline.operators.markets import latest
 from lotline.operators.metrics import weighted_mean
+from lotline.operators.ranges import with_previous
 
 # ---------------------------------------------------------------- as-of values of the log
 
@@ -140,14 +141,12 @@ def operational_monitor(log: DataFrame, now_ms: int, limits: dict[str, tuple[int
     sequence is malformed unless it is the partial tail. `limits` names each source's seconds from which it degrades
     and from which it is critical. Sequences are compared with the record before, so a gap counts once.
     """
-    w = Window.partitionBy("run_id").orderBy("line")
-    known = Window.partitionBy("run_id", F.col("sequence").isNotNull()).orderBy("line")
     ok = F.col("sequence").isNotNull()
-    expected = F.coalesce(F.lag("sequence").over(known) + 1, F.lit(0).cast("bigint"))
     recent = F.col("created_ms") >= now_ms - gap_ms
-    in_window = Window.partitionBy("run_id", recent).orderBy("line")
-    gap = F.when(recent, F.col("created_ms") - F.lag("created_ms").over(in_window))
-    rows = log.withColumn("__wrong", ok & (F.col("sequence") != expected)).withColumn("__gap", F.when(gap >= 0, gap)).withColumn("__id", ok & ~F.col("event_id").eqNullSafe(F.concat_ws(":", "run_id", F.col("sequence").cast("string"))))
+    expected = F.coalesce("__expected", F.lit(0).cast("bigint"))
+    gap = F.when(recent, F.col("created_ms") - F.col("__recent"))
+    rows = with_previous(log, "run_id", "line", {"__expected": (F.col("sequence") + 1, ok), "__recent": (F.col("created_ms"), recent)})
+    rows = rows.withColumn("__wrong", ok & (F.col("sequence") != expected)).withColumn("__gap", F.when(gap >= 0, gap)).withColumn("__id", ok & ~F.col("event_id").eqNullSafe(F.concat_ws(":", "run_id", F.col("sequence").cast("string"))))
     rows = rows.withColumn("__start", F.col("event_type") == "evaluation_run_start").withColumn("__health", F.col("event_type") == "source_health")
     poll = lambda s: F.col("__health") & (F.col("source") == s)
     late = lambda s: F.max(F.when(poll(s) & (F.col("status") == "poll_ok"), F.col("created_ms")))

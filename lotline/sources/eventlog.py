@@ -8,6 +8,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from lotline.operators.ranges import with_previous
 from lotline.schemas import EVENT
 
 
@@ -64,9 +65,7 @@ def stream_log(spark: SparkSession, path: str, max_files: int = 100) -> DataFram
 
 def integrity(log: DataFrame, order: str = "line") -> DataFrame:
     """Lines that break the log's rules: a record missing, a sequence that does not follow the one before (it resumes from there), or a wrong id."""
-    w = Window.partitionBy("run_id").orderBy(order)
-    expected = F.coalesce(F.lag("sequence").over(w) + 1, F.lit(0).cast("bigint"))
-    rows = log.withColumn("expected", expected)
+    rows = with_previous(log, "run_id", order, {"expected": (F.col("sequence") + 1, F.lit(True))}).withColumn("expected", F.coalesce("expected", F.lit(0).cast("bigint")))
     reason = F.when(F.col("sequence").isNull(), "not_a_record").when(F.col("sequence") != F.col("expected"), "sequence_gap").when(F.col("event_id") != F.concat_ws(":", "run_id", F.col("sequence").cast("string")), "event_id_mismatch")
     return rows.withColumn("reason", reason).where("reason IS NOT NULL").select("run_id", order, "sequence", "expected", "reason")
 
@@ -82,10 +81,9 @@ def source_health(log: DataFrame) -> DataFrame:
 
 def monitor(log: DataFrame, now_ms: int, recent_ms: int = 900_000) -> DataFrame:
     """One row a run: age of the last event, the largest gap of the recent window, and a status ladder."""
-    w = Window.partitionBy("run_id").orderBy("sequence")
-    gap = F.col("created_ms") - F.lag("created_ms").over(w)
     recent = F.col("created_ms") >= now_ms - recent_ms
-    rows = log.withColumn("__gap", F.when((gap >= 0) & recent, gap))
+    gap = F.col("created_ms") - F.col("__before")
+    rows = with_previous(log, "run_id", "sequence", {"__before": (F.col("created_ms"), F.lit(True))}).withColumn("__gap", F.when((gap >= 0) & recent, gap))
     out = rows.groupBy("run_id").agg(F.count("*").alias("events"), (F.lit(now_ms) - F.max("created_ms")).alias("age_ms"), F.max("__gap").alias("largest_gap_ms"))
     worst = lambda a, b: (F.col("age_ms") > a) | (F.coalesce("largest_gap_ms", F.lit(0)) > b)
     return out.withColumn("status", F.when(worst(60_000, 60_000), "critical").when(worst(10_000, 15_000), "degraded").otherwise("healthy"))
