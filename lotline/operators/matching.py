@@ -16,6 +16,8 @@ PAIR = "market_id string, slug string, completing_seq int, lot_seq int, event_in
 #: Orders within a second: as in the ledger, or by price up or down.
 TIE_BREAKS = {"canonical": ("seq",), "price_asc": ("price", "seq"), "price_desc": ("-price", "seq")}
 
+#: Fills of a market that meet in a round of `lifo_pairs_by_levels`; a last round takes whole markets.
+LIFO_CHUNKS = (64, 4096)
 
 def with_tie_break(buys: DataFrame, tie_break: str = "canonical") -> DataFrame:
     """seq renumbered within each market by (epoch, tie break)."""
@@ -51,7 +53,7 @@ def fifo_pairs(buys: DataFrame, tie_break: str = "canonical", by: tuple[str, ...
 
 
 def lifo_pairs(buys: DataFrame) -> DataFrame:
-    """Last in, first out. The stack of a market is a fold over its fills, so each market is one group."""
+    """Last in, first out. The stack of a market is a fold over its fills, so each market is one group; `lifo_pairs_by_levels` shares a market among tasks."""
     out = "market_id string, completing_seq int, lot_seq int, event_index int, qty decimal(18,8)"
 
     def match(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -80,6 +82,61 @@ def lifo_pairs(buys: DataFrame) -> DataFrame:
     return _finish(both)
 
 
+def _meet(pieces: DataFrame) -> DataFrame:
+    """One round of `lifo_pairs_by_levels` inside each (market_id, chunk): (seq, away, completing_seq, lo, hi), open where completing_seq is null.
+
+    All ends of open pieces cut the levels of a chunk into cells. Levels are numbered, so a piece names its cells without a join.
+    The crossings of a cell take turns: one away from zero is completed by the next one. A first one towards zero and a
+    last one away stay open. The cells of two fills are neighbours, so they are one range of levels again. Pairs of earlier rounds pass.
+    """
+    of = Window.partitionBy("market_id", "chunk")
+    level = pieces.schema["lo"].dataType
+    null = lambda kind: F.lit(None).cast(kind)
+    end = lambda x, top: F.struct(x.alias("level"), top.alias("top"))
+    is_open = F.col("completing_seq").isNull()
+    ends = pieces.withColumn("e", F.explode(F.when(is_open, F.array(end(F.col("lo"), F.lit(False)), end(F.col("hi"), F.lit(True)))).otherwise(F.array(end(null(level), F.lit(False)))))).select("*", "e.*")
+    ends = ends.withColumn("at", F.dense_rank().over(of.orderBy("level"))).withColumn("up", F.lead("level").over(of.orderBy("level"))).withColumn("below", F.lag("at").over(of.orderBy("seq", "away", "level")))
+    row = lambda cell, seq, away, completing, lo, hi: F.struct(cell.alias("cell"), seq.alias("seq"), away.alias("away"), completing.alias("completing_seq"), lo.alias("lo"), hi.alias("hi"))
+    bounds = row(F.col("at"), null("int"), null("boolean"), null("int"), F.col("level"), F.col("up"))
+    passed = row(-F.col("seq"), F.col("seq"), F.col("away"), F.col("completing_seq"), F.col("lo"), F.col("hi"))
+    crossed = F.transform(F.sequence("below", F.col("at") - 1), lambda c: row(c, F.col("seq"), F.col("away"), null("int"), null(level), null(level)))
+    some = F.when(~is_open, F.array(passed)).when(F.col("top") & (F.col("up") > F.col("level")), F.array_append(crossed, bounds)).when(F.col("top"), crossed).when(F.col("up") > F.col("level"), F.array(bounds))
+    cells = ends.select("market_id", "chunk", F.explode(some).alias("x")).select("market_id", "chunk", "x.*")
+    turn = Window.partitionBy("market_id", "chunk", "cell").orderBy("seq")  # the bounds of a cell come first
+    before = turn.rowsBetween(Window.unboundedPreceding, 0)
+    own = F.col("cell") < 0
+    met = cells.select(
+        "market_id", "chunk", "seq", "away", F.when(own, F.col("completing_seq")).when(F.col("away"), F.lead("seq").over(turn)).alias("completing_seq"),
+        F.when(own, F.col("lo")).otherwise(F.first("lo").over(before)).alias("lo"), F.when(own, F.col("hi")).otherwise(F.first("hi").over(before)).alias("hi"), (own | F.col("away") | (F.row_number().over(turn) == 2)).alias("stays"),
+    ).where("seq IS NOT NULL AND stays")
+    return met.groupBy("market_id", "chunk", "seq", "away", "completing_seq").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+
+
+def lifo_pairs_by_levels(buys: DataFrame, chunks: tuple[int, ...] = LIFO_CHUNKS) -> DataFrame:
+    """Last in, first out without a fold or a Python worker, by level crossing: S = bought UP - bought DOWN, and a fill crosses the levels between S before and after it.
+
+    On each level a crossing away from zero is a lot and the next one, back, completes it. Fills meet in chunks of a market first;
+    what a chunk leaves open is a fall to its lowest level and a rise from it, so the next round sees few of its fills, and the last one, of
+    whole markets, the fewest. Chunks are dealt to tasks apart, so a large market is shared. A fill takes the youngest lots first.
+    """
+    by = Window.partitionBy("market_id").orderBy("seq")
+    step = F.when(F.col("oside") == "UP", F.col("shares")).otherwise(-F.col("shares"))
+    rows = buys.select("market_id", F.col("seq").cast("int").alias("seq"), F.row_number().over(by).alias("n"), step.alias("step"), F.sum(step).over(by.rowsBetween(Window.unboundedPreceding, 0)).alias("s"))
+    rows = rows.withColumn("was", (F.col("s") - F.col("step")).cast(rows.schema["s"].dataType))
+    zero = F.lit(0).cast(rows.schema["s"].dataType)
+    side = lambda away, bound: F.struct(away.alias("away"), bound(F.least("s", "was"), zero).alias("lo"), bound(F.greatest("s", "was"), zero).alias("hi"))
+    pieces = rows.select("market_id", "seq", "n", F.explode(F.array(side(F.col("s") > F.col("was"), F.greatest), side(F.col("s") < F.col("was"), F.least))).alias("p"))
+    pieces = pieces.select("market_id", "seq", "p.*", F.lit(None).cast("int").alias("completing_seq"), F.floor((F.col("n") - 1) / chunks[0]).alias("chunk")).where("lo < hi")
+    for size, larger in zip(chunks, (*chunks[1:], None), strict=True):
+        pieces = _meet(pieces).withColumn("chunk", F.floor(F.col("chunk") / (larger // size)) if larger else F.lit(0).cast("bigint"))
+    pairs = _meet(pieces).where("completing_seq IS NOT NULL").select("market_id", "completing_seq", F.col("seq").alias("lot_seq"), (F.col("hi") - F.col("lo")).alias("qty"))
+    pairs = pairs.withColumn("event_index", F.row_number().over(Window.partitionBy("market_id", "completing_seq").orderBy(F.desc("lot_seq"))) - 1)
+    fill = F.struct("seq", "price", "epoch", "slug", "source_trade_id", "transaction_hash")
+    fills = buys.select("market_id", "seq", fill.alias("f"))
+    both = pairs.join(fills.select("market_id", F.col("seq").alias("completing_seq"), F.col("f").alias("c")), ["market_id", "completing_seq"]).join(fills.select("market_id", F.col("seq").alias("lot_seq"), F.col("f").alias("l")), ["market_id", "lot_seq"])
+    return _finish(both)
+
+
 def weighted_average_pairs(buys: DataFrame) -> DataFrame:
     """A row whenever the smaller side's cumulative quantity rises; the cost is both sides' average after the fill."""
     w = Window.partitionBy("market_id").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)

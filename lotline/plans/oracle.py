@@ -151,6 +151,7 @@ SELECT market_id, oside, round(CAST(any_value(greatest(0, bb - used)) AS DOUBLE)
     "fifo_pairs_price_asc": _fifo_sql("price, id"),
     "fifo_pairs_price_desc": _fifo_sql("price DESC, id"),
     "lifo_pairs": "WITH" + BUYS + LIFO + " SELECT market_id, completing_seq, lot_seq, round(CAST(q AS DOUBLE), 6) AS paired_shares FROM lifo",
+    "lifo_pairs_by_levels": "WITH" + BUYS + LIFO + " SELECT market_id, completing_seq, lot_seq, round(CAST(q AS DOUBLE), 6) AS paired_shares FROM lifo",
     "wavg_pairs": "WITH" + BUYS + WAVG + " SELECT market_id, completing_seq, round(CAST(q AS DOUBLE), 6) AS paired_shares, round(c, 6) AS pair_cost, lag_seconds FROM wavg",
     "method_summary": "WITH" + METHODS + f" SELECT method, count(DISTINCT market_id) AS markets, count(*) AS events, {SUMMARY}, round(sum(CASE WHEN c < 1 THEN q ELSE 0 END) / sum(q), 6) AS below_one_share FROM m GROUP BY method",
     "chronological_summary": "WITH" + FIFO + " SELECT count(DISTINCT market_id) AS markets, count(*) AS events, round(sum(qd), 6) AS paired_shares, round(sum(c * qd) / sum(qd), 6) AS weighted_cost, round(sum(CASE WHEN c < 1 THEN qd ELSE 0 END) / sum(qd), 6) AS below_one_share, round(sum(CASE WHEN lag_seconds = 0 THEN qd ELSE 0 END) / sum(qd), 6) AS zero_lag_share, round(1 - sum(c * qd) / sum(qd), 6) AS gross_edge, (SELECT count(DISTINCT market_id) FROM led JOIN elig USING (market_id) WHERE eligible AND side = 'SELL') AS excluded_sell_markets FROM pairs",

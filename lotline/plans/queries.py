@@ -200,10 +200,19 @@ def fifo_pairs_price_desc(spark, sf_dir):
     return _pairs(matching.fifo_pairs(buys(spark, sf_dir), "price_desc"))
 
 
+def _lifo(pairs):
+    p = pairs.groupBy("market_id", "completing_seq", "lot_seq").agg(F.sum("paired_shares").alias("paired_shares"))
+    return p.select("market_id", F.col("completing_seq").cast("bigint").alias("completing_seq"), F.col("lot_seq").cast("bigint").alias("lot_seq"), r6("paired_shares").alias("paired_shares"))
+
+
 @query
 def lifo_pairs(spark, sf_dir):
-    p = matching.lifo_pairs(buys(spark, sf_dir)).groupBy("market_id", "completing_seq", "lot_seq").agg(F.sum("paired_shares").alias("paired_shares"))
-    return p.select("market_id", F.col("completing_seq").cast("bigint").alias("completing_seq"), F.col("lot_seq").cast("bigint").alias("lot_seq"), r6("paired_shares").alias("paired_shares"))
+    return _lifo(matching.lifo_pairs(buys(spark, sf_dir)))
+
+
+@query
+def lifo_pairs_by_levels(spark, sf_dir):
+    return _lifo(matching.lifo_pairs_by_levels(buys(spark, sf_dir)))
 
 
 @query

@@ -25,7 +25,7 @@ def plain(v):
     return repr(round(float(v), 5) + 0.0) if isinstance(v, (int, float, Decimal)) and not isinstance(v, bool) else str(v)
 
 
-@pytest.mark.parametrize("name", ["normalize_accept_reject", "canonical_ledger", "market_summary", "fifo_latency_buckets", "lifo_pairs", "wavg_pairs", "hypothesis_summary", "regime_panel", "btc_asof_features", "lowo_timing_bucket", "strict_prior_binding", "log_integrity", "candle_revisions", "online_pairs", "tick_features"])
+@pytest.mark.parametrize("name", ["normalize_accept_reject", "canonical_ledger", "market_summary", "fifo_latency_buckets", "lifo_pairs", "lifo_pairs_by_levels", "wavg_pairs", "hypothesis_summary", "regime_panel", "btc_asof_features", "lowo_timing_bucket", "strict_prior_binding", "log_integrity", "candle_revisions", "online_pairs", "tick_features"])
 def test_query_equals_sql(spark, name):
     con = duckdb.connect()
     for t in TABLES:

@@ -1,5 +1,6 @@
 """Hand-computed scenarios of the ledger, inventory, matching and features."""
 
+import random
 from decimal import Decimal
 
 import pytest
@@ -62,10 +63,21 @@ def test_fifo_lifo_and_weighted_average(spark):
     rows = led(spark, [("UP", "BUY", ".20", "1"), ("UP", "BUY", ".60", "1"), ("DOWN", "BUY", ".50", "1"), ("UP", "BUY", ".01", "10")])
     assert [r["pair_cost"] for r in matching.fifo_pairs(rows).collect()] == [Decimal("0.70")]
     assert [r["pair_cost"] for r in matching.lifo_pairs(rows).collect()] == [Decimal("1.10")]
+    assert [r["pair_cost"] for r in matching.lifo_pairs_by_levels(rows).collect()] == [Decimal("1.10")]
     events = matching.weighted_average_pairs(rows).collect()
     assert [round(r["pair_cost"], 12) for r in events] == [0.9]
 
 
+def test_lifo_by_levels_equals_the_fold(spark):
+    """Fills of few sizes, so that levels repeat and zero is often met; rounds of 3, 12 and all fills."""
+    rng = random.Random(5)
+    rows = led(spark, [(rng.choice(["UP", "DOWN"]), "BUY", f".{rng.randint(10, 90)}", str(rng.choice([1, 1, 2, 3, 5]))) for _ in range(150)])
+    fold = sorted(map(tuple, matching.lifo_pairs(rows).collect()), key=str)
+    for chunks in ((3, 12), (64, 4096), (1,)):
+        assert sorted(map(tuple, matching.lifo_pairs_by_levels(rows, chunks).collect()), key=str) == fold and fold
+    assert matching.lifo_pairs_by_levels(rows.where("false")).count() == 0
+
+
 def test_fifo_fragments(spark):
     rows = led(spark, [("UP", "BUY", ".40", "10"), ("DOWN", "BUY", ".55", "4"), ("DOWN", "BUY", ".50", "6")])
     got = matching.fifo_pairs(rows)
