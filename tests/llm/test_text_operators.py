@@ -7,13 +7,15 @@ import random
 import re
 import zlib
 
+import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
 
 from lotline.llm import bpe, common, lm, packing, simhash, suffix, topk
-from lotline.llm.queries import crc_rest
+from lotline.llm.queries import crc_rest, oracle_sql
 
 WORD = r"[^\x20\x09-\x0d]+"
 
@@ -503,7 +505,7 @@ def test_top_k_equals_brute_force(spark, monkeypatch, wild):
     x = rng.normal(size=(400, 12)) * rng.lognormal(0, 1.5, (400, 1)) * (2e3 if wild else 1)
     x[50:60] = x[40]
     rows = [(i, [float(v) for v in np.float32(r)], "q") for i, r in enumerate(x)]
-    bad = [(1000, None, "q"), (1001, [float("nan")] * 12, "q"), (1010, [None] * 12, "q"), (1020, [float("inf")] * 12, "q"), (None, [1.0] * 12, "q")]
+    bad = [(1000, None, "q"), (1001, [float("nan")] * 12, "q"), (1010, [None] * 12, "q"), (1020, [float("inf")] * 12, "q"), (None, None, "q")]
     df = spark.createDataFrame(rows + bad, "vec_id bigint, embedding array<float>, score string")
     v = {i: [math.floor(1024 * y) for y in e] for i, e, _ in rows}
     want = []
@@ -515,20 +517,26 @@ def test_top_k_equals_brute_force(spark, monkeypatch, wild):
     assert got == sorted(want)
 
 
-def test_top_k_with_repeated_ids(spark, monkeypatch):
-    """As the registered SQL has it: every row is a candidate, and an id's queries are ranked together."""
+def test_top_k_with_repeated_and_null_ids(spark, monkeypatch):
+    """Every row but the query's own is a candidate, and each row with a query's id is a query; by loops and by the registered SQL."""
     monkeypatch.setattr(topk, "CANDIDATES", 30)
     monkeypatch.setattr(topk, "RUN", 7)
     rng = np.random.default_rng(8)
-    rows = [(int(rng.integers(0, 60)), [float(v) for v in np.float32(rng.normal(size=6))]) for _ in range(200)]
+    rows = [(None if rng.random() < 0.1 else int(rng.integers(0, 60)), [float(v) for v in np.float32(rng.normal(size=6))]) for _ in range(200)]
     rows += rows[:40]
+    rows = [(None if i is None else i * 10, e) for i, e in rows]
     df = spark.createDataFrame(rows, "vec_id bigint, embedding array<float>")
     v = [(i, [math.floor(1024 * y) for y in e]) for i, e in rows]
     want = []
-    for q in sorted({i for i, _ in v if i % 10 == 0}):
-        best = sorted((-sum(a * b for a, b in zip(e, f)), c) for i, e in v if i == q for c, f in v if c != q)[:10]
-        want += [(q, k + 1, c, -s) for k, (s, c) in enumerate(best)]
-    assert sorted(tuple(r) for r in topk.top_k(df, lambda i: i % 10 == 0).collect()) == want
+    for at, (q, e) in enumerate(v):
+        if q is not None and q % 100 == 0:
+            best = sorted((-sum(a * b for a, b in zip(e, f)), c is None, c or 0) for n, (c, f) in enumerate(v) if n != at)[:10]
+            want += [(q, k + 1, None if none else c, -s) for k, (s, none, c) in enumerate(best)]
+    assert any(r[2] is None for r in want)
+    assert sorted(map(tuple, topk.top_k(df, lambda i: i % 100 == 0).collect()), key=str) == sorted(want, key=str)
+    con = duckdb.connect()
+    con.register("embeddings", pa.table({"vec_id": pa.array([r[0] for r in rows], pa.int64()), "embedding": pa.array([r[1] for r in rows], pa.list_(pa.float32()))}))
+    assert sorted(con.execute(oracle_sql()["op4_exact_topk"]).fetchall(), key=str) == sorted(want, key=str)
 
 
 def test_top_k_with_few_or_no_vectors(spark):
