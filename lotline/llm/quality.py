@@ -114,8 +114,8 @@ def fit(rows: list[tuple[int, np.ndarray, np.ndarray]], log_odds_shift: float, b
 def train(labelled: DataFrame, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample_per_class: int = SAMPLE_PER_CLASS) -> dict:
     """Learns from `labelled` (id, label 0/1) joined with `docs`; labels null or other than 0/1 and ids null are skipped.
 
-    The sample: for each class the sample_per_class ids with the smallest hash, as far as their documents have SAMPLE_BUCKETS
-    distinct buckets together; whole documents, so at most 2 * sample_per_class rows and that many buckets reach the driver.
+    The sample: for each class the sample_per_class ids with the smallest hash, without those whose documents
+    have more distinct buckets than are left of SAMPLE_BUCKETS (a much repeated id shuts out none after it); whole documents, so at most 2 * sample_per_class rows and that many buckets reach the driver.
     Class shares are counted over all labels. An id that repeats in docs gives a row each; labels that repeat or
     contradict each other count each; null and empty texts have no buckets; empty tables give a model that scores 0.5.
     """
@@ -128,8 +128,12 @@ def train(labelled: DataFrame, docs: DataFrame, id_col: str = "doc_id", text_col
     sample = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text")).join(F.broadcast(chosen), "__id")
     found = materialise(bags(sample, "__label", "__text", "__h"), "bags")
     sizes = sorted(tuple(r) for r in found.groupBy("h").agg(F.sum("n")).collect())  # a row for each id of the bounded sample
-    fit_in = np.cumsum([n for _, n in sizes]) <= SAMPLE_BUCKETS
-    rows, kept = [], found.where(F.col("h").isin([h for (h, _), ok in zip(sizes, fit_in, strict=True) if ok]))
+    taken_in, room = [], SAMPLE_BUCKETS
+    for h, n_buckets in sizes:
+        if n_buckets <= room:
+            taken_in.append(h)
+            room -= n_buckets
+    rows, kept = [], found.where(F.col("h").isin(taken_in))
     for r in kept.toLocalIterator():
         counts = np.frombuffer(bytes(r["counts"]), np.float32)
         rows.append((r["label"], np.frombuffer(bytes(r["ids"]), np.int32), counts / max(1, r["total"])))

@@ -118,6 +118,18 @@ def test_quality_sample_takes_whole_documents_up_to_its_bound(spark, monkeypatch
     assert all(abs(sum(r[2]) - 1) < 1e-3 for r in seen[1])
 
 
+def test_quality_sample_without_a_hot_id_keeps_the_rest(spark, monkeypatch):
+    docs = [(i, " ".join(f"w{i}x{k}" for k in range(50))) for i in range(20)]
+    first = spark.range(20).orderBy(F.xxhash64("id")).first()[0]  # the id that comes first is on very many rows
+    docs = spark.createDataFrame(docs + [docs[first]] * 300, "doc_id bigint, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(20)], "doc_id bigint, quality int")
+    seen = []
+    monkeypatch.setattr(quality, "fit", lambda rows, shift: seen.append(rows) or {"delta": np.zeros(4, np.float32), "bias": 0.0})
+    monkeypatch.setattr(quality, "SAMPLE_BUCKETS", 40_000)
+    quality.train(labels, docs)
+    assert len(seen[0]) == 19
+
+
 def test_language_edges(spark):
     data = spark.createDataFrame([("the cat and the dog", "en"), ("der Hund und die Katze", "de"), (None, "fr"), ("x", None)], "text string, lang string")
     model = langid.train(data, "text", "lang")
