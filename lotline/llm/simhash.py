@@ -249,7 +249,7 @@ def _links(dealt: DataFrame, words: str, pivots: np.ndarray, max_bits: int, real
 def _search(dealt: DataFrame, words: str, pivots: np.ndarray, max_bits: int, real: bool, crowd: int | None) -> DataFrame:
     """(u, v, key, chunk, fp): links (u, v), or the rows (key, u, fp) of buckets of more than `crowd` rows, in chunks of that many."""
     n = int(dealt.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = dealt.select("key", "node", "fp").repartition(n, "key").sortWithinPartitions("key")
+    dealt = dealt.select("key", "node", "fp").repartition(n, "key").sortWithinPartitions("key", "node")  # by node too, so that a task that runs again numbers chunks alike
     width = pivots.shape[1]
     schema = pa.schema([("u", pa.int64()), ("v", pa.int64()), ("key", pa.int64()), ("chunk", pa.int32()), ("fp", pa.binary())])
 
