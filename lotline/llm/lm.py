@@ -41,10 +41,15 @@ DEPTH = 4
 DIVERGENCE = 3.0
 #: Taken off each follower's count.
 DISCOUNT = 0.5
-#: Bytes of text in a block; windows that one shard handles.
-BLOCK, SHARD = 4 << 20, 600_000
-#: Windows of one context above which its subtree is split (more than a shard's share), and windows of whole contexts that are worked on at a time.
-HOT, CHUNK = SHARD, 250_000
+#: Bytes of text in a block; windows that one shard handles. Each block sends a slice to each shard, so the slices grow with the square of the
+#: text over the product of both: the larger they are, the later the work on slices outgrows the work on windows.
+BLOCK, SHARD = 8 << 20, 2_400_000
+#: Windows of one context above which its subtree is split, and windows of whole contexts that are worked on at a time.
+HOT, CHUNK = 600_000, 250_000
+#: Tokens whose documents one task adds up at the end.
+SUMMED = 6_000_000
+#: Answers of a shard to blocks in one batch.
+ANSWERS = 256
 #: Changes of scores travel as whole multiples of this.
 GRAIN = 2.0**-34
 #: The shards are asked in so many turns, which bounds the disk that questions take.
@@ -53,6 +58,8 @@ WAVES = 2
 END = np.uint64(0x5BF0_3635_DEC0_DE01)
 
 _ODD = np.uint64(0x9E3779B97F4A7C15)
+#: Made once for each worker: making one takes longer than a small slice itself.
+_SHRINK, _GROW = zstandard.ZstdCompressor(level=1), zstandard.ZstdDecompressor()
 
 
 def _pack(x: np.ndarray) -> bytes:
@@ -65,12 +72,12 @@ def _pack(x: np.ndarray) -> bytes:
         bits = int(x.max(initial=0)).bit_length()
         x = x.astype(np.uint8 if bits <= 8 else np.uint16 if bits <= 16 else np.uint32 if bits <= 32 else np.uint64)
     planes = np.ascontiguousarray(x).view(np.uint8).reshape(-1, x.itemsize).T
-    return bytes((kind, x.itemsize)) + zstandard.ZstdCompressor(level=1).compress(planes.tobytes())
+    return bytes((kind, x.itemsize)) + _SHRINK.compress(planes.tobytes())
 
 
 def _unpack(x: bytes, dtype) -> np.ndarray:
     kind, size = x[:2]
-    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(x[2:]), np.uint8).reshape(size, -1)
+    planes = np.frombuffer(_GROW.decompress(x[2:]), np.uint8).reshape(size, -1)
     out = np.ascontiguousarray(planes.T).reshape(-1).view(f"<u{size}" if kind else f"<f{size}")
     if kind == 2:
         out = (out.astype(np.uint64) >> np.uint64(1)).view(np.int64) ^ -(out & 1).astype(np.int64)
@@ -462,13 +469,16 @@ def _changes(table: DataFrame, scale: float, levels: list, parts: int, wave: int
                     here = order[a:b]
                     n, total, f = subtree(contexts[here], [x[here] for x in deeper], word[here], counts[here], 10.0 ** parents[here], least, divergence)
                     change[here] = np.where(n > 0, np.log10(np.maximum(n - DISCOUNT, DISCOUNT) / np.maximum(total, 1)) - parents[here], 0.0) + f
+                answers = []
                 for i, x in enumerate(mine):
                     docs = _unpack(x["columns"][-1], np.int64)
                     each = np.repeat(change[at[i] : at[i + 1]], _unpack(x["columns"][-2], np.int64))
                     own, _, inverse = grouped(docs)
                     sums = np.round(np.bincount(inverse, weights=each) / GRAIN).astype(np.int64)
                     some = np.flatnonzero(sums)
-                    yield pa.RecordBatch.from_arrays([pa.array([x["block"]], pa.binary()), pa.array([_pack(own[some])], pa.binary()), pa.array([_pack(sums[some])], pa.binary())], ["block", "docs", "changes"])
+                    answers.append((x["block"], _pack(own[some]), _pack(sums[some])))
+                for a in range(0, len(answers), ANSWERS):
+                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary()) for c in zip(*answers[a : a + ANSWERS], strict=True)], ["block", "docs", "changes"])
 
     asked = table.drop("ids").mapInArrow(ask, ASKED)
     return dealt(asked, parts).mapInArrow(answer, "block binary, docs binary, changes binary")
@@ -536,7 +546,7 @@ def lm_scores(df: DataFrame, training: Column, id_col: str = "doc_id", text_col:
         docs = reduce(DataFrame.unionByName, [docs, *(x.select("block", *empty, "docs", "changes") for x in waves)])
     drop_materialised(table)
     # a block's documents come first, then their changes, row by row
-    together = docs.repartition(max(1, -(-n_tokens // (10 * SHARD))), "block").sortWithinPartitions("block", F.col("ids").isNull())
+    together = docs.repartition(max(1, -(-n_tokens // SUMMED)), "block").sortWithinPartitions("block", F.col("ids").isNull())
 
     def score(batches):
         block = None

@@ -559,3 +559,9 @@ def test_anchors_of_a_very_long_text_are_found_in_steps(monkeypatch):
     assert (covered == np.arange(50, 9000 - 399)).all()
     by_start = {p: (c, k) for a, b, c, k in zip(*(x.tolist() for x in whole[1:5]), strict=True) for p in range(a, b + 1)}
     assert all(by_start[a] == (c, k) == by_start[b] for a, b, c, k in zip(first.tolist(), last.tolist(), anchor.tolist(), key.tolist(), strict=True))
+
+
+def test_slices_of_the_tree_stay_large_at_six_gigabytes():
+    """Each block sends a slice to each shard; small slices cost more than their windows do."""
+    tokens = 6 * (1 << 30) // 4
+    assert lm.BLOCK // 4 * lm.SHARD // tokens >= 1000 and lm.HOT <= lm.SHARD
