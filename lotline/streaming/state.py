@@ -6,16 +6,20 @@ One pure function advances a state by fills in arrival order; the batch form and
 from __future__ import annotations
 
 import json
+from collections import deque
 from collections.abc import Iterator
 from decimal import Decimal
 
 import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-ZERO = Decimal(0)
+#: Output rows of the batch form that are handed on together.
+ROWS = 10_000
 #: One row for each application of a fill and each pair it forms.
 OUTPUT = "market_id string, source_trade_id string, kind string, pair_index int, up_trade_id string, down_trade_id string, paired_shares double, pair_cost double, lag_seconds bigint, reason string, up_inventory double, down_inventory double, paired_inventory double, residual_inventory double, imbalance double, cumulative_paired double, applied_fills int"
+ARROW = pa.schema([(n, {"string": pa.string(), "int": pa.int32(), "bigint": pa.int64(), "double": pa.float64()}[t]) for n, t in (c.split() for c in OUTPUT.split(", "))])
 INPUT = ["market_id", "source_trade_id", "oside", "side", "price", "shares", "epoch", "arrival"]
 
 
@@ -30,65 +34,100 @@ def snapshot(held: dict[str, Decimal], paired: Decimal, applied: int) -> tuple:
     return float(up), float(down), float(min(up, down)), float(abs(up - down)), float((up - down) / total) if total else 0.0, float(paired), applied
 
 
-def advance(state: dict, fills: list[tuple], keep_seen: int | None = None) -> tuple[dict, list[tuple]]:
-    """The state after the fills (market_id, id, oside, side, price, shares, epoch), and output rows.
+class Market:
+    """The running state of one market; `apply` takes one fill after the other and adds its output rows."""
 
-    A fill whose id was seen is a duplicate. A SELL beyond the inventory, or beyond the unpaired part of it, puts the
-    market into quarantine before anything changes; every later fill is blocked. keep_seen bounds the remembered ids;
-    by default all are kept.
-    """
-    held = {k: Decimal(v) for k, v in state["held"].items()}
-    lots = {k: [[Decimal(q), Decimal(p), i, e] for q, p, i, e in v] for k, v in state["lots"].items()}
-    order, seen = list(state["seen"]), set(state["seen"])
-    paired, applied, stop = Decimal(state["paired"]), state["applied"], state["quarantine"]
-    out: list[tuple] = []
+    def __init__(self, state: dict):
+        self.held = {k: Decimal(v) for k, v in state["held"].items()}
+        self.lots = {k: deque([Decimal(q), Decimal(p), i, e] for q, p, i, e in v) for k, v in state["lots"].items()}
+        self.paired, self.applied, self.stop = Decimal(state["paired"]), state["applied"], state["quarantine"]
+
+    def apply(self, fill: tuple, duplicate: bool, out: list[tuple]) -> bool:
+        """Whether the fill was applied."""
+        market, trade, oside, side, price, shares, epoch = fill
+
+        def emit(kind, index=None, up=None, down=None, q=None, cost=None, lag=None, reason=None):
+            out.append((market, trade, kind, index, up, down, q, cost, lag, reason, *snapshot(self.held, self.paired, self.applied)))
 
-    def emit(market, trade, kind, index=None, up=None, down=None, q=None, cost=None, lag=None, reason=None):
-        out.append((market, trade, kind, index, up, down, q, cost, lag, reason, *snapshot(held, paired, applied)))
-
-    for market, trade, oside, side, price, shares, epoch in fills:
-        price, shares = Decimal(price), Decimal(shares)
-        if trade in seen:
-            emit(market, trade, "duplicate")
-            continue
-        if stop:
-            emit(market, trade, "blocked_quarantined", reason=stop)
-            continue
-        own = lots[oside]
+        if duplicate:
+            emit("duplicate")
+            return False
+        if self.stop:
+            emit("blocked_quarantined", reason=self.stop)
+            return False
+        price, shares, held, own = Decimal(price), Decimal(shares), self.held, self.lots[oside]
         if side == "SELL":
-            free = sum((x[0] for x in own), ZERO)
-            stop = "sell_exceeds_observed_inventory" if shares > held[oside] else "sell_would_unwind_paired_inventory" if shares > free else None
-            if stop:
-                emit(market, trade, "quarantined", reason=stop)
-                continue
+            free = held[oside] - self.paired  # what the lots of this side hold
+            self.stop = "sell_exceeds_observed_inventory" if shares > held[oside] else "sell_would_unwind_paired_inventory" if shares > free else None
+            if self.stop:
+                emit("quarantined", reason=self.stop)
+                return False
             held[oside] -= shares
             while shares > 0:
                 take = min(shares, own[0][0])
                 own[0][0] -= take
                 shares -= take
                 if not own[0][0]:
-                    own.pop(0)
+                    own.popleft()
         else:
             held[oside] += shares
             own.append([shares, price, trade, epoch])
-        seen.add(trade)
-        order.append(trade)
-        applied += 1
-        index = 0
-        while lots["UP"] and lots["DOWN"]:
-            up, down = lots["UP"][0], lots["DOWN"][0]
+        self.applied += 1
+        index, ups, downs = 0, self.lots["UP"], self.lots["DOWN"]
+        while ups and downs:
+            up, down = ups[0], downs[0]
             q = min(up[0], down[0])
-            paired += q
-            emit(market, trade, "pair", index, up[2], down[2], float(q), float(up[1] + down[1]), abs(int(up[3]) - int(down[3])))
+            self.paired += q
+            emit("pair", index, up[2], down[2], float(q), float(up[1] + down[1]), abs(int(up[3]) - int(down[3])))
             index += 1
-            for lot, name in ((up, "UP"), (down, "DOWN")):
+            for lot, queue in ((up, ups), (down, downs)):
                 lot[0] -= q
                 if not lot[0]:
-                    lots[name].pop(0)
-        emit(market, trade, "applied")
+                    queue.popleft()
+        emit("applied")
+        return True
+
+
+def advance(state: dict, fills: list[tuple], keep_seen: int | None = None) -> tuple[dict, list[tuple]]:
+    """The state after the fills (market_id, id, oside, side, price, shares, epoch), and output rows.
+
+    A fill whose id was seen is a duplicate. A SELL beyond the inventory, or beyond the unpaired part of it, puts the
+    market into quarantine before anything changes; every later fill is blocked. keep_seen bounds the remembered ids;
+    by default all are kept.
+    """
+    market, order, seen = Market(state), list(state["seen"]), set(state["seen"])
+    out: list[tuple] = []
+    for fill in fills:
+        if market.apply(fill, fill[1] in seen, out):
+            seen.add(fill[1])
+            order.append(fill[1])
     if keep_seen is not None:
         order = order[-keep_seen:]
-    return {"held": {k: str(v) for k, v in held.items()}, "lots": {k: [[str(q), str(p), i, int(e)] for q, p, i, e in v] for k, v in lots.items()}, "seen": order, "paired": str(paired), "applied": applied, "quarantine": stop}, out
+    return {"held": {k: str(v) for k, v in market.held.items()}, "lots": {k: [[str(q), str(p), i, int(e)] for q, p, i, e in v] for k, v in market.lots.items()}, "seen": order, "paired": str(market.paired), "applied": market.applied, "quarantine": market.stop}, out
+
+
+def folded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Output rows of fills sorted by market and arrival. Held are one batch and the unpaired lots of one market; ids are not, as each fill
+    says whether its id came before and when first: it was applied then unless the market was in quarantine already."""
+    name, market, stopped = object(), None, None
+    for batch in batches:
+        out: list[tuple] = []
+        for *fill, arrival, first, again in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if fill[0] != name:
+                name, market, stopped = fill[0], Market(new_state()), None
+            duplicate = again and (stopped is None or (first, fill[1] or "") < stopped)
+            market.apply(fill, duplicate, out)
+            if market.stop and stopped is None:
+                stopped = arrival, fill[1] or ""
+            if len(out) >= ROWS:
+                yield _batch(out)
+                out = []
+        if out:
+            yield _batch(out)
+
+
+def _batch(rows: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), ARROW, strict=True)], schema=ARROW)
 
 
 def _rows(pdf: pd.DataFrame) -> list[tuple]:
@@ -101,8 +140,11 @@ def _frame(rows: list[tuple]) -> pd.DataFrame:
 
 
 def apply_batch(fills: DataFrame) -> DataFrame:
-    """All fills at once (replay of an arrival log): a market is a true fold, so each is one group."""
-    return fills.select(*INPUT).groupBy("market_id").applyInPandas(lambda pdf: _frame(advance(new_state(), _rows(pdf))[1]), OUTPUT)
+    """All fills at once (replay of an arrival log): a market is a true fold, so its fills stream through one task in order of arrival."""
+    of = Window.partitionBy("market_id", "source_trade_id")
+    # dealt by fill first: a partitioning by market would do, but its tasks hold whole markets
+    rows = fills.select(*INPUT).repartition("market_id", "source_trade_id").select(*INPUT, F.min("arrival").over(of).alias("first"), (F.row_number().over(of.orderBy("arrival")) > 1).alias("again"))
+    return rows.repartition("market_id").sortWithinPartitions("market_id", "arrival", "source_trade_id", "again").mapInArrow(folded, OUTPUT)
 
 
 def apply_stream(fills: DataFrame, keep_seen: int | None = None) -> DataFrame:

@@ -2,6 +2,7 @@
 
 import random
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -79,3 +80,23 @@ def test_only_predictions_that_can_bind_are_kept():
                 best = lambda some: max((p for p in some if p[0] < ms and p[1] < sequence), default=None)  # noqa: E731, B023
                 assert best(kept) == best(held)
     assert len(typed.Binding.useful(held, 200)) == 4
+
+
+def test_a_large_market_streams_through_the_batch_form(spark):
+    """Duplicates before and after a quarantine as `advance` has them; output comes before the whole market is read."""
+    rng = random.Random(7)
+    rows = [("m", f"t{rng.randrange(900)}", rng.choice(["UP", "DOWN"]), "SELL" if i > 700 and rng.random() < 0.02 else "BUY", f"0.{rng.randrange(10, 99)}", str(rng.randrange(1, 9)), i, i) for i in range(1200)]
+    schema = "market_id string, source_trade_id string, oside string, side string, price string, shares string, epoch bigint, arrival bigint"
+    key = lambda r: tuple(map(str, r))
+    want = states.advance(states.new_state(), [r[:-1] for r in rows])[1]
+    assert {r[2] for r in want} == {"applied", "pair", "duplicate", "quarantined", "blocked_quarantined"}
+    assert sorted(map(key, states.apply_batch(spark.createDataFrame(rows, schema)).collect())) == sorted(map(key, want))
+    read = []
+
+    def batches():
+        for i in range(0, 1200, 100):
+            read.append(i)
+            yield pa.RecordBatch.from_pylist([dict(zip((*states.INPUT, "first", "again"), (*r, r[-1], False), strict=True)) for r in rows[i : i + 100]])
+
+    next(states.folded(batches()))
+    assert read == [0]
