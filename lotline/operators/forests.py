@@ -69,21 +69,39 @@ class Tree:
     values: np.ndarray
 
 
-def place(bins: np.ndarray, tree: Tree, depth: int = DEPTH) -> np.ndarray:
-    """The node of each row at a depth, counted from the left."""
-    node = np.zeros(len(bins), np.int64)
-    rows = np.arange(len(bins))
-    for d in range(depth):
-        at = node + (1 << d) - 1
-        f = tree.inputs[at]
-        node = 2 * node + ((f >= 0) & (bins[rows, f] > tree.bins[at]))
-    return node
-
-
-def value(bins: np.ndarray, trees: list[Tree]) -> np.ndarray:
-    out = np.zeros(len(bins))
+#: Bit of each node of a tree in a row's code, and by code the place at each depth: a row's way follows from which nodes send it right.
+CODES = np.arange(1 << NODES, dtype=np.uint8)
+
+
+def _places() -> list[np.ndarray]:
+    at, out = np.zeros(1 << NODES, np.uint8), []
+    for d in range(DEPTH + 1):
+        out.append(at)
+        at = 2 * at + (CODES >> (at + (1 << d) - 1) & 1)
+    return out
+
+
+PLACES = _places()
+
+
+def codes(columns: np.ndarray, tree: Tree, depth: int = DEPTH) -> np.ndarray:
+    """Which of a tree's nodes above a depth would send each row right, a bit each. columns: inputs x rows, so that a node compares one run of bytes."""
+    out = np.zeros(columns.shape[1], np.uint8)
+    for node in range((1 << depth) - 1):
+        if tree.inputs[node] >= 0:
+            out |= (columns[tree.inputs[node]] > np.uint8(tree.bins[node])).view(np.uint8) << np.uint8(node)
+    return out
+
+
+def place(columns: np.ndarray, tree: Tree, depth: int = DEPTH) -> np.ndarray:
+    """The node of each row (column of inputs x rows) at a depth, counted from the left."""
+    return PLACES[depth][codes(columns, tree, depth)]
+
+
+def value(columns: np.ndarray, trees: list[Tree]) -> np.ndarray:
+    out = np.zeros(columns.shape[1])
     for tree in trees:
-        out += tree.values[place(bins, tree)]
+        out += tree.values[PLACES[DEPTH]][codes(columns, tree)]
     return out
 
 
@@ -94,13 +112,15 @@ def gradients(raw: np.ndarray, target: np.ndarray, weight: np.ndarray, logistic:
     return (p - target) * weight, p * (1 - p) * weight
 
 
-def histograms(bins: np.ndarray, node: np.ndarray, nodes: int, g: np.ndarray, h: np.ndarray) -> np.ndarray:
-    """nodes x inputs x bins x (gradient, curvature, rows)."""
-    inputs = bins.shape[1]
-    key = (bins + (np.arange(inputs) * (BINS + 1))[None, :] + (node * inputs * (BINS + 1))[:, None]).ravel()
-    size = nodes * inputs * (BINS + 1)
-    sums = [np.bincount(key, np.repeat(v, inputs), size) for v in (g, h)] + [np.bincount(key, minlength=size)]
-    return np.stack(sums, axis=-1).reshape(nodes, inputs, BINS + 1, 3)
+def histograms(columns: np.ndarray, node: np.ndarray, nodes: int, g: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """nodes x inputs x bins x (gradient, curvature, rows), an input after the other, so that what is counted stays near."""
+    out, size = np.empty((nodes, len(columns), BINS + 1, 3)), nodes * (BINS + 1)
+    first = node.astype(np.int64) * (BINS + 1)
+    for j, bins in enumerate(columns):
+        key = first + bins
+        for k, sums in enumerate((np.bincount(key, g, size), np.bincount(key, h, size), np.bincount(key, minlength=size))):
+            out[:, j, :, k] = sums.reshape(nodes, BINS + 1)
+    return out
 
 
 def best_bin(sums: np.ndarray, spec: Spec) -> tuple[float, int, np.ndarray, np.ndarray] | None:
@@ -155,8 +175,8 @@ class Growing:
 
 
 def grow_local(bins: np.ndarray, target: np.ndarray, weight: np.ndarray, spec: Spec, logistic: bool, base: float) -> list[Tree]:
-    """A forest over rows that are all here."""
-    raw, trees = np.full(len(bins), base), []
+    """A forest over rows (rows x inputs) that are all here."""
+    raw, trees, bins = np.full(len(bins), base), [], np.ascontiguousarray(bins.T)
     for _ in range(spec.rounds):
         g, h = gradients(raw, target, weight, logistic)
         growing = Growing(spec)
@@ -164,7 +184,7 @@ def grow_local(bins: np.ndarray, target: np.ndarray, weight: np.ndarray, spec: S
             found, depth = {}, growing.depth
             if growing.open:
                 sums = histograms(bins, place(bins, growing.tree, depth), 1 << depth, g, h)
-                found = {n: [(f, best_bin(sums[n, f], spec)) for f in range(bins.shape[1])] for n in growing.open}
+                found = {n: [(f, best_bin(sums[n, f], spec)) for f in range(len(bins))] for n in growing.open}
             growing.split(found, {0: np.array([g.sum(), h.sum(), len(g)])})
         trees.append(growing.tree)
         raw += growing.tree.values[place(bins, growing.tree)]
@@ -287,7 +307,7 @@ class Forests:
     def predict(self, x: np.ndarray, fold: int, name: str) -> tuple[np.ndarray, np.ndarray]:
         """Cost and probability of a favourable pair for rows of inputs (NaN: unknown)."""
         at = self.columns(name)
-        bins = binned(x[:, at], self.fill[fold][at], [self.edges[fold][j] for j in at])
+        bins = np.ascontiguousarray(binned(x[:, at], self.fill[fold][at], [self.edges[fold][j] for j in at]).T)
         raw = [self.base[fold, target] if target == COST or not self.specs[name].logistic else logit(self.base[fold, target]) for target in (COST, LABEL)]
         cost, label = (r + value(bins, self.trees[fold, name, target]) for r, target in zip(raw, (COST, LABEL), strict=True))
         return cost, 1 / (1 + np.exp(-np.clip(label, -700, 700))) if self.specs[name].logistic else np.clip(label, 0, 1)
@@ -429,7 +449,7 @@ def _advanced(state: DataFrame, spark, n: int, plan: list, recent: dict, width:
             raw = raw.copy()
             for (f, i), trees in shared.value.items():
                 own = fold == f
-                raw[own, i] += value(bins[own][:, plan[i][1]], trees)
+                raw[own, i] += value(np.ascontiguousarray(bins[own].T)[plan[i][1]], trees)
             lists = pa.ListArray.from_arrays(pa.array((np.arange(len(raw) + 1) * width).astype(np.int32)), pa.array(raw.ravel()))
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(5)), lists], batch.schema.names)
 
@@ -445,12 +465,15 @@ def _level(state: DataFrame, spark, n: int, plan: list, starts: dict, recent: di
         total: dict[tuple, np.ndarray] = {}
         for batch in batches:
             fold, y, b, w, bins, raw = _batch(batch, n, width)
-            for (f, i), (tree, depth, nodes) in asked.items():
-                own = fold == f
-                if not own.any():
+            last, every = None, bins.T
+            for (f, i), (tree, depth, nodes) in sorted(asked.items(), key=lambda x: x[0]):
+                if f != last:
+                    own, last = np.flatnonzero(fold == f), f
+                    inputs = np.ascontiguousarray(every[:, own])
+                if not len(own):
                     continue
                 spec, columns, target = plan[i]
-                some = bins[own][:, columns]
+                some = inputs[columns]
                 base, logistic = starts[f, i]
                 g, h = gradients(base + raw[own, i] + value(some, recent[f, i]), (y if target == COST else b)[own], w[own], logistic)
                 sums = histograms(some, place(some, tree, depth), 1 << depth, g, h)

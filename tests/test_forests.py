@@ -109,3 +109,18 @@ def test_forests_of_one_class_one_window_and_no_rows(spark):
             p.close()
             assert len(got) == len(SPECS) * len(some)
             assert all(math.isfinite(r["predicted"]) and 0 <= r["probability"] <= 1 for r in got)
+
+
+def test_rows_find_their_leaves_by_codes():
+    """Inputs x rows: a way down node by node and the codes of all nodes agree, with nodes that don't split."""
+    rng = np.random.default_rng(3)
+    columns = rng.integers(0, 256, (5, 400)).astype(np.uint8)
+    for _ in range(20):
+        tree = forests.Tree(rng.integers(-1, 5, forests.NODES), rng.integers(0, 255, forests.NODES), rng.random(forests.LEAVES))
+        for depth in range(forests.DEPTH + 1):
+            at = np.zeros(400, int)
+            for d in range(depth):
+                node = at + (1 << d) - 1
+                at = 2 * at + np.array([tree.inputs[k] >= 0 and columns[tree.inputs[k], i] > tree.bins[k] for i, k in enumerate(node)])
+            assert (forests.place(columns, tree, depth) == at).all()
+        assert (forests.value(columns, [tree, tree]) == 2 * tree.values[at]).all()
