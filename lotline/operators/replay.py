@@ -104,8 +104,10 @@ def known_state(log: DataFrame, fills: DataFrame, ticks: DataFrame) -> DataFrame
 def trailing(fills: DataFrame, ticks: DataFrame) -> DataFrame:
     """(event_id, fill_count_15s ... same_second_fill_count) of ticks that see a fill in their trailing windows."""
     longest = max(TRAILS)
-    buys = fills.where("found AND side = 'BUY'").select("market_id", "sequence", "oside", "shares", "epoch", "source_trade_id", "ingest_id", F.explode(F.sequence(F.col("epoch"), F.col("epoch") + longest)).alias("tick"))
-    seen = buys.join(ticks.select("event_id", "market_id", "tick", "as_of_sequence"), ["market_id", "tick"]).where(F.col("sequence") <= F.col("as_of_sequence"))
+    buys = fills.where("found AND side = 'BUY'").select("market_id", "sequence", "oside", "shares", "epoch", "source_trade_id", "ingest_id")
+    # the seconds of a tick are listed, not those of a fill: ticks are the fewer
+    asked = ticks.select("event_id", "market_id", "tick", "as_of_sequence", F.explode(F.sequence(F.col("tick") - longest, F.col("tick"))).alias("epoch"))
+    seen = buys.join(asked, ["market_id", "epoch"]).where(F.col("sequence") <= F.col("as_of_sequence"))
     order = Window.partitionBy("event_id").orderBy("epoch", "source_trade_id", "ingest_id")
     seen = seen.withColumn("change", (F.lag("oside").over(order) != F.col("oside")).cast("int"))
     within = lambda s, c: F.when(F.col("epoch") >= F.col("tick") - s, c)

@@ -221,3 +221,15 @@ def test_an_empty_log(spark):
     assert found == set() and rows == []
     with pytest.raises(ValueError):
         replay.replay(frame(spark, []), {}, -1.0)
+
+
+def test_trailing_lists_the_seconds_of_ticks_not_of_fills(spark):
+    """Fills are many and ticks few, so what is multiplied by the length of the window must be the ticks."""
+    fills = spark.createDataFrame([("m", i, "UP" if i % 3 else "DOWN", i / 2, i, f"t{i}", f"t{i}", True, "BUY") for i in range(200)], "market_id string, sequence bigint, oside string, shares double, epoch bigint, source_trade_id string, ingest_id string, found boolean, side string")
+    ticks = spark.createDataFrame([("a", "m", 100, 100), ("b", "m", 150, 130)], "event_id string, market_id string, tick bigint, as_of_sequence bigint")
+    out = replay.trailing(fills, ticks)
+    rows = {r["event_id"]: r for r in out.collect()}
+    assert rows["a"]["fill_count_15s"] == 16 and rows["a"]["fill_count_60s"] == 61 and rows["a"]["same_second_fill_count"] == 1
+    assert rows["b"]["fill_count_60s"] == 41 and rows["b"]["same_second_fill_count"] == 0
+    generate = [x for x in out._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Generate" in x]
+    assert len(generate) == 1 and "sequence(epoch" not in generate[0]
