@@ -386,8 +386,9 @@ def panel_coverage(spark, sf_dir):
 
 
 def _panel(spark, sf_dir) -> DataFrame:
+    """Pairs with window and label, written once: evaluations read them many times."""
     p = matching.fifo_pairs(buys(spark, sf_dir))
-    return p.withColumn("window_id", window_of(F.col("market_id"))).withColumn("favorable", F.col("pair_cost") < 1)
+    return written(p.withColumn("window_id", window_of(F.col("market_id"))).withColumn("favorable", F.col("pair_cost") < 1), "pairs")
 
 
 @query

@@ -129,3 +129,10 @@ def test_ranks_of_counted_values(spark):
     rows = spark.createDataFrame([(k, v) for k, n in (("a", 1), ("b", 4), ("c", 41)) for v in range(n)], "k string, v int")
     got = {r["k"]: (r["n"], r["median"], r["p95"]) for r in metrics.latency_summary(rows, "v", ["k"]).collect()}
     assert got == {"a": (1, 0.0, 0), "b": (4, 1.5, 3), "c": (41, 20.0, 38)}
+
+
+@pytest.mark.parametrize("name", ["permutation_deltas", "ridge_lowo", "external_validation_gate"])
+def test_evaluations_read_written_pairs_and_equal_sql(spark, name):
+    """The pairs are computed once, not in each branch of the plan: nothing but written files is scanned."""
+    test_query_equals_sql(spark, name)
+    assert all("/lotline/" in f for f in QUERIES[name](spark, SF).inputFiles())
