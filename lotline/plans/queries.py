@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from lotline.functions import scalars as S
 from lotline.operators import binding, claims, evaluation, features, folds, forests, inventory, ledger, live, markets, matching, metrics, normalize, permutation, windows
+from lotline.operators.ranges import numbered
 from lotline.sources import adapter, eventlog
 from lotline.sources.scratch import written
 from lotline.streaming import state
@@ -492,8 +493,8 @@ def _log(spark, sf_dir) -> DataFrame:
     """A synthetic log with a gap at every 97th event and a wrong id at every 101st."""
     e = adapter.events(spark, sf_dir)
     run = F.concat(F.lit("run"), (F.col("day") % 3).cast("string"))
-    n = F.row_number().over(Window.partitionBy((F.col("day") % 3)).orderBy("event_id")) - 1
-    rows = e.select(run.alias("run_id"), F.col("event_id").alias("line"), n.cast("bigint").alias("n"), "event_type", (F.col("epoch") * 1000).alias("created_ms"), F.concat(F.lit("source"), (F.col("k") % 4).cast("string")).alias("source"), F.when(F.col("k") % 10 == 0, "error").otherwise("ok").alias("status"))
+    rows = numbered(e.withColumn("r", F.col("day") % 3), "r", "event_id", "n").withColumn("n", F.col("n") - 1)
+    rows = rows.select(run.alias("run_id"), F.col("event_id").alias("line"), "n", "event_type", (F.col("epoch") * 1000).alias("created_ms"), F.concat(F.lit("source"), (F.col("k") % 4).cast("string")).alias("source"), F.when(F.col("k") % 10 == 0, "error").otherwise("ok").alias("status"))
     rows = rows.withColumn("sequence", F.col("n") + F.floor(F.col("n") / 97))
     return rows.withColumn("event_id", F.concat_ws(":", "run_id", F.when(F.col("n") % 101 == 100, F.lit("x")).otherwise(F.col("sequence").cast("string")))).drop("n")
 

@@ -6,6 +6,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from lotline.operators import live, ranges
+from lotline.plans import live as live_plans
+from lotline.plans import queries
 from lotline.sources import eventlog
 
 
@@ -24,6 +26,30 @@ def test_previous_rows_over_borders(spark, size):
     assert got.count() == len(rows)
 
 
+@pytest.mark.parametrize("size", [1, 7, 1 << 17])
+def test_numbers_over_borders(spark, size):
+    rng = random.Random(size)
+    rows = [(rng.choice(["a", "b", None]), i * 3) for i in range(200)] + [("a", None)]
+    got = ranges.numbered(spark.createDataFrame(rows, "g string, line bigint").repartition(4), "g", "line", "n", size)
+    assert got.columns == ["g", "line", "n"] and got.count() == len(rows)
+    for r in got.collect():
+        assert r["n"] == 1 + sum(x[0] == r["g"] and (-1 if x[1] is None else x[1]) < (-1 if r["line"] is None else r["line"]) for x in rows)
+
+
+@pytest.mark.parametrize("make", [queries._log, live_plans._monitored])
+def test_a_long_run_is_numbered_by_many_tasks(spark, monkeypatch, make):
+    """No task sorts a whole run: with small ranges the rows of the three runs lie in more than three partitions."""
+    monkeypatch.setattr(ranges, "RANGE", 1000)
+    log = make(spark, "/root/testdata/sf0.01")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "12")
+        assert log.select("sequence", F.spark_partition_id().alias("p")).where("sequence >= 0").select("p").distinct().count() > 3
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+
+
 def lines(spark, n):
     """A run with gaps, wrong ids and lines that are no records."""
     row = F.col("id")
