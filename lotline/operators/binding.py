@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lotline.functions import scalars as S
 from lotline.operators.metrics import calibration, weighted_mean
+from lotline.operators.ranges import span
 
 
 def eligible_predictions(predictions: DataFrame) -> DataFrame:
@@ -18,20 +19,24 @@ def bind_strictly_prior(pairs: DataFrame, predictions: DataFrame) -> DataFrame:
     """pairs + prediction columns and status: the last prediction created before the pair's second, with a lower sequence.
 
     pairs: (pair_id, market_id, formed_at_epoch, sequence, ...); predictions: (prediction_id, market_id, created_ms, sequence).
-    Markets agree without regard to case; of equal times the higher sequence binds. Both sides meet in one sort by market
-    and time (union and running maximum), so no pair of rows is formed. Sequences grow with time in an append-only log;
+    Markets agree without regard to case; of equal times the higher sequence binds. Both sides meet in one sort by time (union and
+    running maximum) in each span of seconds of a market, with the maximum before it carried over, so no pair of rows is formed. Sequences grow with time in an append-only log;
     where a candidate's sequence is not lower than the pair's, the nearest earlier candidate with a lower one is taken.
     """
-    p = eligible_predictions(predictions).select(F.lower("market_id").alias("m"), F.col("created_ms").alias("t"), F.lit(1).alias("kind"), F.struct(F.col("created_ms").alias("ms"), F.col("sequence").alias("seq"), F.col("prediction_id").alias("id")).alias("p"), F.lit(None).cast("string").alias("pair_id"), F.lit(None).cast("bigint").alias("s"))
-    q = pairs.select(F.lower("market_id").alias("m"), (F.col("formed_at_epoch") * 1000).alias("t"), F.lit(0).alias("kind"), F.lit(None).cast(p.schema["p"].dataType).alias("p"), F.col("pair_id").cast("string").alias("pair_id"), F.col("sequence").alias("s"))
+    p = eligible_predictions(predictions).select(F.lower("market_id").alias("m"), F.col("created_ms").alias("t"), F.lit(1).alias("kind"), F.struct(F.col("created_ms").alias("ms"), F.col("sequence").alias("seq"), F.col("prediction_id").alias("id")).alias("p"))
+    q = pairs.select(F.lower("market_id").alias("m"), (F.col("formed_at_epoch") * 1000).alias("t"), F.lit(0).alias("kind"), F.lit(None).cast(p.schema["p"].dataType).alias("p"), F.col("sequence").alias("s"), F.struct(*[pairs[c] for c in pairs.columns]).alias("row"))
+    rows = p.unionByName(q, allowMissingColumns=True).withColumn("second", F.floor(F.col("t") / 1000)).withColumn("span", span("second")).drop("second")
     # at the same moment pairs come first, so only strictly earlier predictions are in the frame
-    w = Window.partitionBy("m").orderBy("t", "kind").rowsBetween(Window.unboundedPreceding, -1)
-    seen = p.unionByName(q).withColumn("b", F.max("p").over(w)).where("kind = 0")
-    late = seen.where("b.seq >= s").select("pair_id", "m", "t", "s")
-    again = late.join(p.select("m", F.col("p").alias("p2")), "m").where("p2.ms < t AND p2.seq < s").groupBy("pair_id").agg(F.max("p2").alias("b2"))
-    found = seen.join(again, "pair_id", "left").select(F.col("pair_id").alias("__id"), F.when(F.col("b.seq") < F.col("s"), F.col("b")).otherwise(F.col("b2")).alias("b"))
-    out = pairs.join(found, pairs["pair_id"].cast("string") == found["__id"], "left")
-    return out.select(*[pairs[c] for c in pairs.columns], F.col("b.id").alias("prediction_id"), F.col("b.ms").alias("prediction_ms"), F.when(F.col("b").isNotNull(), "bound_strictly_prior_score").otherwise("unbound_no_strictly_prior_score").alias("status"))
+    inside = Window.partitionBy("m", "span").orderBy("t", "kind").rowsBetween(Window.unboundedPreceding, -1)
+    earlier = Window.partitionBy("__m").orderBy("__span").rowsBetween(Window.unboundedPreceding, -1)
+    ends = rows.where("m IS NOT NULL").groupBy(F.col("m").alias("__m"), F.col("span").alias("__span")).agg(F.max("p").alias("p")).select("__m", "__span", F.max("p").over(earlier).alias("carried"))
+    seen = rows.withColumn("b", F.max("p").over(inside)).where("kind = 0").join(ends, (F.col("m") == F.col("__m")) & (F.col("span") == F.col("__span")), "left")
+    seen = seen.withColumn("b", F.when(F.col("m").isNotNull(), F.greatest("b", "carried"))).select("row", "m", "t", "s", "b")
+    late = F.coalesce(F.col("b.seq") >= F.col("s"), F.lit(False))
+    again = seen.where(late).select(F.col("row.pair_id").alias("pair_id"), "m", "t", "s").join(p.select("m", F.col("p").alias("p2")), "m").where("p2.ms < t AND p2.seq < s").groupBy("pair_id").agg(F.max("p2").alias("b2"))
+    found = seen.where(~late).select("row", F.when(F.col("b.seq") < F.col("s"), F.col("b")).alias("b"))
+    found = found.unionByName(seen.where(late).withColumn("pair_id", F.col("row.pair_id")).join(again, "pair_id", "left").select("row", F.col("b2").alias("b")))
+    return found.select("row.*", F.col("b.id").alias("prediction_id"), F.col("b.ms").alias("prediction_ms"), F.when(F.col("b").isNotNull(), "bound_strictly_prior_score").otherwise("unbound_no_strictly_prior_score").alias("status"))
 
 
 def outcome_labels(pairs: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lotline.functions import scalars as S
+from lotline.operators.ranges import span
 
 
 def exclusion(known: Column, outcomes: Column, pair: Column) -> Column:
@@ -46,27 +47,32 @@ def global_sequence(rows: DataFrame, order: list[str], name: str = "fill_sequenc
 def canonical_ledger(fills: DataFrame, complete: DataFrame | None = None, numbered: bool = False) -> DataFrame:
     """Fills with epoch, normalised side, eligibility and the order within their market by (timestamp, source_trade_id).
 
-    numbered adds the global fill sequence, which only reports need; everything else orders within markets.
+    numbered adds the global fill sequence, which only reports need; everything else orders within markets. market_sold: the market has a SELL with a side.
     """
     rows = fills.where("market_id IS NOT NULL").withColumn("epoch", F.unix_seconds("timestamp")).withColumn("oside", S.outcome_side(F.col("outcome"))).withColumn("notional", F.col("price") * F.col("shares"))
-    # order and eligibility are windows over one shuffle by market; a market has a handful of outcomes
+    # a market is ordered in spans of seconds; a row a span tells the fills before it and, as a market has a handful of outcomes, its eligibility
+    rows = rows.withColumn("__span", span("epoch"))
+    made = rows.columns
+    side = lambda s: F.coalesce(F.max(F.col("oside") == s), F.lit(False))
+    sold = F.coalesce(F.max((F.col("side") == "SELL") & F.col("oside").isNotNull()), F.lit(False))
+    spans = rows.groupBy("market_id", "__span").agg(F.count("*").alias("__fills"), F.collect_set("outcome").alias("__outcomes"), side("UP").alias("__up"), side("DOWN").alias("__down"), sold.alias("__sells"))
     market = Window.partitionBy("market_id")
-    rows = rows.withColumn("seq", F.row_number().over(market.orderBy("timestamp", "source_trade_id")))
-    rows = rows.withColumn("__n", F.size(F.collect_set("outcome").over(market))).withColumn("__pair", F.coalesce(F.max(F.col("oside") == "UP").over(market), F.lit(False)) & F.coalesce(F.max(F.col("oside") == "DOWN").over(market), F.lit(False)))
+    before = market.orderBy("__span").rowsBetween(Window.unboundedPreceding, -1)
+    spans = spans.select("market_id", "__span", F.coalesce(F.sum("__fills").over(before), F.lit(0)).alias("__before"), F.size(F.array_distinct(F.flatten(F.collect_list("__outcomes").over(market)))).alias("__n"), (F.max("__up").over(market) & F.max("__down").over(market)).alias("__pair"), F.max("__sells").over(market).alias("market_sold"))
     if complete is None:
-        rows = rows.withColumn("__known", F.lit(True))
+        spans = spans.withColumn("__known", F.lit(True))
     else:
-        rows = rows.join(complete.select("market_id").distinct().withColumn("__known", F.lit(True)), "market_id", "left")
-    rows = rows.withColumn("market_exclusion_reason", exclusion(F.coalesce("__known", F.lit(False)), F.col("__n"), F.col("__pair")))
-    rows = rows.withColumn("eligible_binary_market", F.col("market_exclusion_reason").isNull()).drop("__n", "__pair", "__known")
+        spans = spans.join(complete.select("market_id").distinct().withColumn("__known", F.lit(True)), "market_id", "left")
+    spans = spans.withColumn("market_exclusion_reason", exclusion(F.coalesce("__known", F.lit(False)), F.col("__n"), F.col("__pair")))
+    rows = rows.withColumn("seq", F.row_number().over(Window.partitionBy("market_id", "__span").orderBy("timestamp", "source_trade_id")))
+    rows = rows.join(spans, ["market_id", "__span"]).withColumn("seq", (F.col("seq") + F.col("__before")).cast("int"))
+    rows = rows.select(*made, "seq", "market_exclusion_reason", F.col("market_exclusion_reason").isNull().alias("eligible_binary_market"), "market_sold").drop("__span")
     return global_sequence(rows, ["timestamp", "source_trade_id"]) if numbered else rows
 
 
 def buys_of_clean_markets(ledger: DataFrame) -> DataFrame:
-    """BUY fills with a side of eligible markets that have no SELL at all; the ledger's partitioning by market stays."""
-    sided = ledger.where("eligible_binary_market AND oside IS NOT NULL")
-    sold = F.max(F.col("side") == "SELL").over(Window.partitionBy("market_id"))
-    return sided.withColumn("__sold", sold).where("side = 'BUY' AND NOT __sold").drop("__sold")
+    """BUY fills with a side of eligible markets that have no SELL at all."""
+    return ledger.where("eligible_binary_market AND oside IS NOT NULL AND side = 'BUY' AND NOT market_sold").drop("market_sold")
 
 
 def contained_markets(fills: DataFrame, start: int, end: int) -> DataFrame:

@@ -1,16 +1,17 @@
 """Matching complementary lots: first in first out, last in first out, weighted average.
 
 FIFO needs no loop: the k-th share bought on one side always meets the k-th of the other, so pairs are
-the overlaps of both sides' cumulative intervals. All windows of a market share one shuffle on market_id.
+the overlaps of both sides' cumulative intervals. They meet in ranges of seconds and of levels.
 """
 
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lotline.functions import scalars as S
+from lotline.operators.ranges import span, with_sums_before
 
 PAIR = "market_id string, slug string, completing_seq int, lot_seq int, event_index int, paired_shares decimal(18,8), pair_cost decimal(12,8), lag_seconds bigint, formed_at_epoch bigint, elapsed_seconds bigint, completing_trade_id string, transaction_hash string"
 #: Orders within a second: as in the ledger, or by price up or down.
@@ -18,12 +19,19 @@ TIE_BREAKS = {"canonical": ("seq",), "price_asc": ("price", "seq"), "price_desc"
 
 #: Fills of a market that meet in a round of `lifo_pairs_by_levels`; a last round takes whole markets.
 LIFO_CHUNKS = (64, 4096)
+#: Shares of a side that one task takes when FIFO's intervals meet.
+LEVELS = 1 << 17
+
+
 
 def with_tie_break(buys: DataFrame, tie_break: str = "canonical") -> DataFrame:
     """seq renumbered within each market by (epoch, tie break)."""
     if tie_break == "canonical":
         return buys
-    return buys.withColumn("seq", F.row_number().over(Window.partitionBy("market_id").orderBy("epoch", *[F.expr(x) for x in TIE_BREAKS[tie_break]])))
+    rows = buys.withColumn("__span", span("epoch"))
+    own = F.row_number().over(Window.partitionBy("market_id", "__span").orderBy("epoch", *[F.expr(x) for x in TIE_BREAKS[tie_break]]))
+    rows = with_sums_before(rows.withColumn("seq", own), "market_id", "__span", {"__before": F.lit(1)})
+    return rows.withColumn("seq", (F.col("seq") + F.col("__before")).cast("int")).select(*buys.columns)
 
 
 def _finish(pairs: DataFrame) -> DataFrame:
@@ -35,16 +43,45 @@ def _finish(pairs: DataFrame) -> DataFrame:
     )
 
 
+def _cumulated(rows: DataFrame) -> DataFrame:
+    """rows + hi: the shares of the market's side up to and with the fill, in spans of seconds with the sums before them."""
+    rows = rows.withColumn("__span", span("epoch"))
+    sums = {f"__{s}": F.when(F.col("oside") == s, F.col("shares")).otherwise(F.lit(0)) for s in ("UP", "DOWN")}
+    own = F.sum("shares").over(Window.partitionBy("market_id", "__span", "oside").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0))
+    kind = rows.select(F.sum("shares").alias("s")).schema["s"].dataType
+    before = F.when(F.col("oside") == "UP", F.col("__UP")).otherwise(F.col("__DOWN"))
+    return with_sums_before(rows.withColumn("hi", own), "market_id", "__span", sums).withColumn("hi", (F.col("hi") + before).cast(kind))
+
+
+def _cut(points: DataFrame, by: list[str], u_above: Column, d_above: Column, lo_below: Column) -> DataFrame:
+    """points + lo, u, d: the next lower level, and of each side the fill that holds the shares below hi; what lies beyond the group is given."""
+    down = Window.partitionBy(*by).orderBy(F.desc("hi"))  # descending, so that "next at or above" is a running frame
+    held = down.rowsBetween(Window.unboundedPreceding, 0)
+    return points.withColumns({"lo": F.coalesce(F.lead("hi").over(down), lo_below), "u": F.coalesce(F.last("u", ignorenulls=True).over(held), u_above), "d": F.coalesce(F.last("d", ignorenulls=True).over(held), d_above)})
+
+
 def fifo_pairs(buys: DataFrame, tie_break: str = "canonical", by: tuple[str, ...] = ("market_id",)) -> DataFrame:
-    """One row for each pair of a completing fill and an earlier lot. `by`: what keeps its own queues (market, or transaction and market)."""
+    """One row for each pair of a completing fill and an earlier lot. `by`: what keeps its own queues (market, or transaction and market).
+
+    A market is dealt by seconds for the cumulated shares and by their levels for the overlaps; a row a span and a row a range of levels carry
+    over the borders, so no task holds a whole market. Queues of transactions are small and stay whole.
+    """
     rows = with_tie_break(buys, tie_break)
-    rows = rows if by == ("market_id",) else rows.repartition(*by)  # a ledger is dealt by market already; the windows below keep it so
     fill = F.struct("seq", "price", "epoch", "slug", "source_trade_id", "transaction_hash")
-    rows = rows.withColumn("hi", F.sum("shares").over(Window.partitionBy(*by, "oside").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)))
-    points = rows.groupBy(*by, "hi").agg(F.max(F.when(F.col("oside") == "UP", fill)).alias("u"), F.max(F.when(F.col("oside") == "DOWN", fill)).alias("d"))
-    down = Window.partitionBy(*by).orderBy(F.desc("hi"))  # descending, so that "next at or above" is a running frame
-    running = down.rowsBetween(Window.unboundedPreceding, 0)
-    cut = points.select(*by, "hi", F.lead("hi").over(down).alias("lo"), F.last("u", ignorenulls=True).over(running).alias("u"), F.last("d", ignorenulls=True).over(running).alias("d"))
+    sides = [F.max(F.when(F.col("oside") == s, F.col("fill"))).alias(n) for s, n in (("UP", "u"), ("DOWN", "d"))]
+    if by == ("market_id",):
+        at = ["market_id", "__levels"]
+        rows = _cumulated(rows).select("market_id", F.floor(F.col("hi") / LEVELS).cast("bigint").alias("__levels"), "hi", "oside", fill.alias("fill"))
+        points = rows.repartition(*at).groupBy(*at, "hi").agg(*sides)
+        ends = points.groupBy(*at).agg(*[F.min_by(c, F.when(F.col(c).isNotNull(), F.col("hi"))).alias(f"__{c}") for c in ("u", "d")], F.max("hi").alias("__top"))
+        down = Window.partitionBy("market_id").orderBy(F.desc("__levels"))
+        above = down.rowsBetween(Window.unboundedPreceding, -1)
+        ends = ends.select(*at, F.lead("__top").over(down).alias("__lo"), *[F.last(f"__{c}", ignorenulls=True).over(above).alias(f"__{c}") for c in ("u", "d")])
+        cut = _cut(points.join(ends, at), at, F.col("__u"), F.col("__d"), F.col("__lo"))
+    else:
+        rows = rows.repartition(*by).withColumn("hi", F.sum("shares").over(Window.partitionBy(*by, "oside").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)))
+        points = rows.withColumn("fill", fill).groupBy(*by, "hi").agg(*sides)
+        cut = _cut(points, list(by), F.lit(None), F.lit(None), F.lit(None))
     cut = cut.where("u IS NOT NULL AND d IS NOT NULL").withColumn("qty", F.col("hi") - F.coalesce("lo", F.lit(0)))
     later = F.col("u.seq") > F.col("d.seq")
     cut = cut.withColumn("c", F.when(later, F.col("u")).otherwise(F.col("d"))).withColumn("l", F.when(later, F.col("d")).otherwise(F.col("u")))

@@ -439,19 +439,20 @@ def advancement_gate(spark, sf_dir):
 
 
 def _predictions(spark, sf_dir) -> DataFrame:
-    """A synthetic prediction for each market and ten seconds with a fill; every eleventh is a reconstruction."""
+    """A synthetic prediction for each market and ten seconds with a fill; every eleventh is a reconstruction. Written once, as are the pairs: binding reads both many times."""
     b = buys(spark, sf_dir)
     t = (F.floor(F.col("epoch") / 10) * 10).alias("tick")
     rows = b.groupBy("market_id", t).agg(F.count("*").alias("n"), F.avg(F.col("price").cast("double")).alias("mean_price"))
     number = F.row_number().over(Window.partitionBy("market_id").orderBy("tick"))
     rows = rows.withColumn("number", number)
-    return rows.select(F.concat_ws(":", F.lit("p"), "market_id", F.col("tick").cast("string")).alias("prediction_id"), F.upper("market_id").alias("market_id"), (F.col("tick") * 1000 + F.col("n") % 7 * 100).alias("created_ms"), (F.col("tick") * 1000).alias("sequence"), F.lit(True).alias("candidate"), (F.col("number") % 11 == 0).alias("reconstructed"), (F.col("mean_price") * 2).alias("predicted_pair_cost"), F.least(F.lit(1.0), F.greatest(F.lit(0.0), 1.5 - F.col("mean_price"))).alias("probability"))
+    rows = rows.select(F.concat_ws(":", F.lit("p"), "market_id", F.col("tick").cast("string")).alias("prediction_id"), F.upper("market_id").alias("market_id"), (F.col("tick") * 1000 + F.col("n") % 7 * 100).alias("created_ms"), (F.col("tick") * 1000).alias("sequence"), F.lit(True).alias("candidate"), (F.col("number") % 11 == 0).alias("reconstructed"), (F.col("mean_price") * 2).alias("predicted_pair_cost"), F.least(F.lit(1.0), F.greatest(F.lit(0.0), 1.5 - F.col("mean_price"))).alias("probability"))
+    return written(rows, "predictions")
 
 
 def _log_pairs(spark, sf_dir) -> DataFrame:
     p = matching.fifo_pairs(buys(spark, sf_dir))
     pair_id = F.concat_ws(":", "market_id", F.col("completing_seq").cast("string"), F.col("event_index").cast("string"))
-    return p.select(pair_id.alias("pair_id"), "market_id", "formed_at_epoch", (F.col("formed_at_epoch") * 1000 + 500).alias("sequence"), "pair_cost", "paired_shares")
+    return written(p.select(pair_id.alias("pair_id"), "market_id", "formed_at_epoch", (F.col("formed_at_epoch") * 1000 + 500).alias("sequence"), "pair_cost", "paired_shares"), "log-pairs")
 
 
 @query
@@ -467,9 +468,9 @@ def binding_coverage(spark, sf_dir):
 
 
 def _scored(spark, sf_dir) -> DataFrame:
-    bound = binding.bind_strictly_prior(_log_pairs(spark, sf_dir), _predictions(spark, sf_dir)).where("status LIKE 'bound%'")
-    p = _predictions(spark, sf_dir).select("prediction_id", "predicted_pair_cost", "probability")
-    rows = bound.join(p, "prediction_id").withColumn("favorable", F.col("pair_cost") < 1)
+    made = _predictions(spark, sf_dir)
+    bound = binding.bind_strictly_prior(_log_pairs(spark, sf_dir), made).where("status LIKE 'bound%'")
+    rows = bound.join(made.select("prediction_id", "predicted_pair_cost", "probability"), "prediction_id").withColumn("favorable", F.col("pair_cost") < 1)
     return rows.withColumn("model", F.lit("linear")).unionByName(rows.withColumn("model", F.lit("flat")).withColumn("probability", F.lit(0.5)))
 
 
