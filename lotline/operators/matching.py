@@ -18,7 +18,7 @@ PAIR = "market_id string, slug string, completing_seq int, lot_seq int, event_in
 TIE_BREAKS = {"canonical": ("seq",), "price_asc": ("price", "seq"), "price_desc": ("-price", "seq")}
 
 #: Fills of a market that meet in a round of `lifo_pairs_by_levels`; a last round takes whole markets.
-LIFO_CHUNKS = (64, 4096)
+LIFO_CHUNKS = (64, 2048, 1 << 16, 1 << 21)
 #: Shares of a side that one task takes when FIFO's intervals meet.
 LEVELS = 1 << 17
 
@@ -149,6 +149,11 @@ def _meet(pieces: DataFrame) -> DataFrame:
     return met.groupBy("market_id", "chunk", "seq", "away", "completing_seq").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
 
 
+def _dealt(pieces: DataFrame) -> DataFrame:
+    """Chunks dealt to tasks apart; else the partitioning by market of the steps before would satisfy every round, and a task hold a market in all of them."""
+    return pieces.repartition("market_id", "chunk")
+
+
 def lifo_pairs_by_levels(buys: DataFrame, chunks: tuple[int, ...] = LIFO_CHUNKS) -> DataFrame:
     """Last in, first out without a fold or a Python worker, by level crossing: S = bought UP - bought DOWN, and a fill crosses the levels between S before and after it.
 
@@ -156,21 +161,28 @@ def lifo_pairs_by_levels(buys: DataFrame, chunks: tuple[int, ...] = LIFO_CHUNKS)
     what a chunk leaves open is a fall to its lowest level and a rise from it, so the next round sees few of its fills, and the last one, of
     whole markets, the fewest. Chunks are dealt to tasks apart, so a large market is shared. A fill takes the youngest lots first.
     """
-    by = Window.partitionBy("market_id").orderBy("seq")
+    by = Window.partitionBy("market_id", "__span").orderBy("seq")
     step = F.when(F.col("oside") == "UP", F.col("shares")).otherwise(-F.col("shares"))
-    rows = buys.select("market_id", F.col("seq").cast("int").alias("seq"), F.row_number().over(by).alias("n"), step.alias("step"), F.sum(step).over(by.rowsBetween(Window.unboundedPreceding, 0)).alias("s"))
-    rows = rows.withColumn("was", (F.col("s") - F.col("step")).cast(rows.schema["s"].dataType))
+    rows = buys.select("market_id", F.col("seq").cast("int").alias("seq"), span("epoch").alias("__span"), step.alias("step"))
+    kind = rows.select(F.sum("step").alias("s")).schema["s"].dataType
+    own = rows.select("*", F.row_number().over(by).alias("n"), F.sum("step").over(by.rowsBetween(Window.unboundedPreceding, 0)).alias("s"))
+    rows = with_sums_before(own, "market_id", "__span", {"__n": F.lit(1), "__s": F.col("step")})
+    rows = rows.select("market_id", "seq", (F.col("n") + F.col("__n")).alias("n"), "step", (F.col("s") + F.col("__s")).cast(kind).alias("s"))
+    rows = rows.withColumn("was", (F.col("s") - F.col("step")).cast(kind))
     zero = F.lit(0).cast(rows.schema["s"].dataType)
     side = lambda away, bound: F.struct(away.alias("away"), bound(F.least("s", "was"), zero).alias("lo"), bound(F.greatest("s", "was"), zero).alias("hi"))
     pieces = rows.select("market_id", "seq", "n", F.explode(F.array(side(F.col("s") > F.col("was"), F.greatest), side(F.col("s") < F.col("was"), F.least))).alias("p"))
     pieces = pieces.select("market_id", "seq", "p.*", F.lit(None).cast("int").alias("completing_seq"), F.floor((F.col("n") - 1) / chunks[0]).alias("chunk")).where("lo < hi")
     for size, larger in zip(chunks, (*chunks[1:], None), strict=True):
-        pieces = _meet(pieces).withColumn("chunk", F.floor(F.col("chunk") / (larger // size)) if larger else F.lit(0).cast("bigint"))
-    pairs = _meet(pieces).where("completing_seq IS NOT NULL").select("market_id", "completing_seq", F.col("seq").alias("lot_seq"), (F.col("hi") - F.col("lo")).alias("qty"))
+        wider = F.floor(F.col("chunk") / (larger // size)) if larger else F.lit(0).cast("bigint")
+        # what is paired stays in chunks of its own, below zero, and never gathers with the market
+        pieces = _meet(_dealt(pieces)).withColumn("chunk", F.when(F.col("completing_seq").isNull(), wider).when(F.col("chunk") < 0, F.col("chunk")).otherwise(-1 - F.col("chunk")))
+    pairs = _meet(_dealt(pieces)).where("completing_seq IS NOT NULL").select("market_id", "completing_seq", F.col("seq").alias("lot_seq"), (F.col("hi") - F.col("lo")).alias("qty"))
     pairs = pairs.withColumn("event_index", F.row_number().over(Window.partitionBy("market_id", "completing_seq").orderBy(F.desc("lot_seq"))) - 1)
     fill = F.struct("seq", "price", "epoch", "slug", "source_trade_id", "transaction_hash")
-    fills = buys.select("market_id", "seq", fill.alias("f"))
-    both = pairs.join(fills.select("market_id", F.col("seq").alias("completing_seq"), F.col("f").alias("c")), ["market_id", "completing_seq"]).join(fills.select("market_id", F.col("seq").alias("lot_seq"), F.col("f").alias("l")), ["market_id", "lot_seq"])
+    fills = buys.select("market_id", "seq", fill.alias("f")).repartition("market_id", "seq")
+    completing, lot = (fills.select("market_id", F.col("seq").alias(n), F.col("f").alias(f)) for n, f in (("completing_seq", "c"), ("lot_seq", "l")))
+    both = pairs.join(completing, ["market_id", "completing_seq"]).join(lot, ["market_id", "lot_seq"])
     return _finish(both)
 
 

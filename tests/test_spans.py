@@ -78,3 +78,13 @@ def test_binding_over_borders(wide, monkeypatch, seconds):
         want[name] = max(fits)[2] if fits else None
     assert {r["pair_id"]: r["prediction_id"] for r in got.collect()} == want and got.count() == len(asked)
     assert tasks(got.where("sequence >= 0"), "status") > 1
+
+
+def test_rounds_of_levels_are_dealt_apart(wide):
+    """Last in first out by levels equals the fold, and neither the last round's rows nor its result lie in one task."""
+    table, _ = fills(wide, 400)
+    buys = ledger.buys_of_clean_markets(ledger.canonical_ledger(table))
+    got, want = matching.lifo_pairs_by_levels(buys, (8, 64, 256)), matching.lifo_pairs(buys)
+    names = ["completing_seq", "lot_seq", "event_index", "paired_shares", "pair_cost", "lag_seconds"]
+    assert sorted(map(tuple, got.select(names).collect())) == sorted(map(tuple, want.select(names).collect()))
+    assert got._jdf.queryExecution().toString().count("REPARTITION_BY_COL") >= 4 and tasks(got, "paired_shares") > 1
