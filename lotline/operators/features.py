@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from lotline.functions import scalars as S
 from lotline.operators.matching import fifo_pairs
+from lotline.operators.ranges import span, with_sums_before
 
 TRAILS = (15, 30, 60)
 # Names and order of the model inputs.
@@ -114,10 +115,11 @@ def candle_features(moments: DataFrame, candles: DataFrame, interval: int = 60)
     )
 
 
-def with_candles(rows: DataFrame, candles: DataFrame, epoch: str = "formed_at_epoch", interval: int = 60) -> DataFrame:
-    """rows (with slug and an epoch column) + btc columns."""
+def with_candles(rows: DataFrame, candles: DataFrame, epoch: str = "formed_at_epoch", interval: int = 60, moments: DataFrame | None = None) -> DataFrame:
+    """rows (with slug and an epoch column) + btc columns. moments: (epoch, slug) that hold those of the rows and are cheaper to read."""
     rows = rows.withColumn("__start", S.market_start(F.col("slug")))
-    found = candle_features(rows.select(F.col(epoch).alias("event_epoch"), F.col("__start").alias("market_start")), candles, interval)
+    asked = rows.select(epoch, "slug") if moments is None else moments
+    found = candle_features(asked.select(F.col(asked.columns[0]).alias("event_epoch"), S.market_start(F.col("slug")).alias("market_start")), candles, interval)
     return rows.join(found, (F.col(epoch) == F.col("event_epoch")) & F.col("__start").eqNullSafe(F.col("market_start")), "left").drop("event_epoch", "market_start", "__start")
 
 
@@ -135,33 +137,39 @@ def pre_event_panel(buys: DataFrame, candles: DataFrame | None, window: Column)
 
 
 def second_states(buys: DataFrame) -> DataFrame:
-    """State at the end of each second of a market, the whole second included."""
-    rows = buys
-    order = Window.partitionBy("market_id").orderBy("seq")
-    rows = rows.withColumn("__change", (F.lag("oside").over(order) != F.col("oside")).cast("int"))
-    rows = rows.withColumn("__switches", F.coalesce(F.sum("__change").over(order.rowsBetween(Window.unboundedPreceding, 0)), F.lit(0)))
-    by_time = lambda s: Window.partitionBy("market_id").orderBy("epoch").rangeBetween(Window.unboundedPreceding if s is None else -s, 0)
+    """State at the end of each second of a market, the whole second included; seq goes with the seconds.
+
+    Fills become a row a second, and only these rows meet in a market's windows, however many fills it has.
+    """
     zero = F.lit(0).cast("decimal(28,8)")
     side = lambda s, x: F.when(F.col("oside") == s, x)
+    change = (F.lag("oside").over(Window.partitionBy("market_id", "epoch").orderBy("seq")) != F.col("oside")).cast("int")
+    both = [c for s in ("UP", "DOWN") for c in (F.sum(side(s, F.col("shares"))).alias(f"__q{s}"), F.sum(side(s, F.col("shares") * F.col("price"))).alias(f"__v{s}"), F.max(side(s, F.col("epoch"))).alias(f"__t{s}"))]
+    rows = buys.withColumn("__change", change).groupBy("market_id", "epoch").agg(F.count("*").alias("same_second_fill_count"), F.sum("shares").alias("__shares"), F.coalesce(F.sum("__change"), F.lit(0)).alias("__changes"), F.min_by("oside", "seq").alias("__first"), F.max_by("oside", "seq").alias("__last"), *both)
+    by_time = lambda s: Window.partitionBy("market_id").orderBy("epoch").rangeBetween(Window.unboundedPreceding if s is None else -s, 0)
+    # switches up to and with a second, and those up to its first fill
+    border = (F.lag("__last").over(Window.partitionBy("market_id").orderBy("epoch")) != F.col("__first")).cast("int")
+    rows = rows.withColumn("__border", F.coalesce(border, F.lit(0)))
+    rows = rows.withColumn("__to", F.sum(F.col("__border") + F.col("__changes")).over(by_time(None))).withColumn("__from", F.col("__to") - F.col("__changes"))
     for s in ("UP", "DOWN"):
-        rows = rows.withColumn(f"__q{s}", F.coalesce(F.sum(side(s, F.col("shares"))).over(by_time(None)), zero)).withColumn(f"__v{s}", F.sum(side(s, F.col("shares") * F.col("price"))).over(by_time(None))).withColumn(f"__t{s}", F.max(side(s, F.col("epoch"))).over(by_time(None)))
+        rows = rows.withColumns({f"__q{s}": F.coalesce(F.sum(f"__q{s}").over(by_time(None)).cast("decimal(28,8)"), zero), f"__v{s}": F.sum(f"__v{s}").over(by_time(None)), f"__t{s}": F.max(f"__t{s}").over(by_time(None))})
     for s in TRAILS:
-        rows = rows.withColumn(f"fill_count_{s}s", F.count("*").over(by_time(s))).withColumn(f"fill_qty_{s}s", F.sum("shares").over(by_time(s)))
-    rows = rows.withColumn("side_switches_60s", F.max("__switches").over(by_time(60)) - F.min("__switches").over(by_time(60))).withColumn("same_second_fill_count", F.count("*").over(Window.partitionBy("market_id", "epoch")))
-    last = rows.withColumn("__n", F.row_number().over(Window.partitionBy("market_id", "epoch").orderBy("seq"))).where("__n = 1")
+        rows = rows.withColumns({f"fill_count_{s}s": F.sum("same_second_fill_count").over(by_time(s)), f"fill_qty_{s}s": F.sum("__shares").over(by_time(s)).cast("decimal(28,8)")})
+    rows = rows.withColumn("side_switches_60s", F.max("__to").over(by_time(60)) - F.min("__from").over(by_time(60)))
     vwap = {s: S.ratio(F.col(f"__v{s}"), F.col(f"__q{s}")) for s in ("UP", "DOWN")}
     cols = _held(F.col("__qUP"), F.col("__qDOWN")) | {"cumulative_up_vwap": vwap["UP"], "cumulative_down_vwap": vwap["DOWN"], "implied_complete_set_cost": vwap["UP"] + vwap["DOWN"], "seconds_since_last_up_fill": S.seconds_since(F.col("epoch"), F.col("__tUP")), "seconds_since_last_down_fill": S.seconds_since(F.col("epoch"), F.col("__tDOWN"))}
-    return last.select("market_id", "epoch", *[c.alias(n) for n, c in cols.items()], *[f"fill_{k}_{s}s" for s in TRAILS for k in ("count", "qty")], "side_switches_60s", "same_second_fill_count")
+    return rows.select("market_id", "epoch", *[c.alias(n) for n, c in cols.items()], *[f"fill_{k}_{s}s" for s in TRAILS for k in ("count", "qty")], "side_switches_60s", "same_second_fill_count")
 
 
-def regime_panel(buys: DataFrame, candles: DataFrame | None = None) -> DataFrame:
-    """A row for each FIFO pair with the state at the end of its second; the paired quantity includes this fragment."""
-    pairs = fifo_pairs(buys)
-    running = Window.partitionBy("market_id").orderBy("formed_at_epoch", "completing_seq", "event_index").rowsBetween(Window.unboundedPreceding, 0)
-    pairs = pairs.withColumn("cumulative_paired_quantity", F.sum("paired_shares").over(running))
+def regime_panel(buys: DataFrame, candles: DataFrame | None = None, pairs: DataFrame | None = None) -> DataFrame:
+    """A row for each FIFO pair with the state at the end of its second; the paired quantity includes this fragment. pairs: those of the buys, if they are known."""
+    pairs = (fifo_pairs(buys) if pairs is None else pairs).withColumn("__span", span("formed_at_epoch"))
+    running = Window.partitionBy("market_id", "__span").orderBy("formed_at_epoch", "completing_seq", "event_index").rowsBetween(Window.unboundedPreceding, 0)
+    pairs = with_sums_before(pairs.withColumn("__own", F.sum("paired_shares").over(running)), "market_id", "__span", {"__before": F.col("paired_shares")})
+    pairs = pairs.withColumn("cumulative_paired_quantity", (F.col("__own") + F.col("__before")).cast("decimal(28,8)")).drop("__span", "__own", "__before")
     rows = pairs.join(second_states(buys).withColumnRenamed("epoch", "formed_at_epoch"), ["market_id", "formed_at_epoch"])
     rows = rows.withColumn("favorable", F.col("pair_cost") < 1).withColumn("strong_favorable", F.col("pair_cost") <= F.lit("0.98").cast("decimal(12,8)")).withColumn("seconds_remaining", 300 - F.col("elapsed_seconds"))
-    return with_candles(rows, candles) if candles is not None else rows
+    return with_candles(rows, candles, moments=buys.select("epoch", "slug")) if candles is not None else rows
 
 
 def leakage_audit(panel: DataFrame, most: int = 100) -> DataFrame:

@@ -18,13 +18,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lotline.operators.metrics import classification_metrics, regression_metrics
+from lotline.operators.metrics import classification_measures, regression_measures
 from lotline.sources.scratch import removed, written
 
 #: The fold that holds nothing out.
 ALL = -1
 #: Bits of a double's order that a pass of the selection settles.
 RADIX = 11
+#: Rows whose values are counted together by a pass of the selection.
+COUNTED = 1 << 17
 #: Penalties of the ridge and the logistic regression on standardised inputs.
 ALPHA, C = 1.0, 1.0
 #: A logistic fit has ended when no coefficient moves by more, or after so many passes.
@@ -33,7 +35,8 @@ TOLERANCE, MAX_STEPS = 1e-9, 60
 
 @dataclass
 class Panel:
-    """Rows as (window, y, b, w, x): number of the window, cost, favourable (0/1), weight and inputs (NaN: unknown), and key columns."""
+    """Rows as (window, y, b, w, x): number of the window, cost, favourable (0/1), weight and inputs (NaN: unknown; the bytes of their doubles, as
+    every pass over the rows reads them), and key columns."""
 
     rows: DataFrame
     windows: list[str]
@@ -54,16 +57,35 @@ def prepare(panel: DataFrame, features: tuple[str, ...], keys: tuple[str, ...] =
     """
     ok = F.col("window_id").isNotNull() & F.col("pair_cost").isNotNull() & F.col("favorable").isNotNull() & (F.col("paired_shares") > 0)
     value: Callable[[str], Column] = lambda c: F.coalesce(F.col(c).cast("double"), F.lit(float("nan")))
-    rows = panel.where(ok).select(*[F.col(k).alias(f"key_{k}") for k in keys], "window_id", F.col("pair_cost").cast("double").alias("y"), F.col("favorable").cast("int").cast("double").alias("b"), F.col("paired_shares").cast("double").alias("w"), F.array(*[value(c) for c in features]).alias("x"))
-    rows = written(rows, "panel")
+    rows = panel.where(ok).select(*[F.col(k).alias(f"key_{k}") for k in keys], "window_id", F.col("pair_cost").cast("double").alias("y"), F.col("favorable").cast("int").cast("double").alias("b"), F.col("paired_shares").cast("double").alias("w"), *[value(c).alias(f"x{i}") for i, c in enumerate(features)])
+    kept = rows.columns[: len(rows.columns) - len(features)]
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[: len(kept)])
+    rows = written(rows.mapInArrow(lambda batches: _packed(batches, len(kept)), f"{schema}, x binary"), "panel")
     names = windows or [r[0] for r in rows.select("window_id").distinct().orderBy("window_id").collect()]
     number = F.array_position(F.lit(names) if names else F.array(F.lit("")), F.col("window_id")).cast("int") - 1
     return Panel(rows.withColumn("window", number).drop("window_id"), names, tuple(features), tuple(keys))
 
 
+def _packed(batches: Iterator[pa.RecordBatch], kept: int) -> Iterator[pa.RecordBatch]:
+    """The first columns of each batch and the bytes of its other ones, doubles, row by row."""
+    for batch in batches:
+        n = batch.num_columns - kept
+        x = np.empty((len(batch), n))
+        for i in range(n):
+            x[:, i] = batch.column(kept + i).to_numpy(zero_copy_only=False)
+        ends = np.arange(len(batch) + 1, dtype=np.int32) * np.int32(8 * n)
+        yield pa.RecordBatch.from_arrays([*batch.columns[:kept], pa.Array.from_buffers(pa.binary(), len(batch), [None, pa.py_buffer(ends), pa.py_buffer(x)])], [*batch.schema.names[:kept], "x"])
+
+
 def arrays(batch: pa.RecordBatch, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """window, y, b, w and the rows x n inputs of a batch of (window, y, b, w, x)."""
-    x = batch.column(4).flatten().to_numpy(zero_copy_only=False).reshape(len(batch), n)
+    packed = batch.column(4)
+    if len(batch) and n:
+        _, ends, data = packed.buffers()
+        ends = np.frombuffer(ends, np.int64 if pa.types.is_large_binary(packed.type) else np.int32)
+        x = np.frombuffer(data, np.float64, len(batch) * n, int(ends[packed.offset])).reshape(len(batch), n)
+    else:
+        x = np.empty((len(batch), n))
     return *(batch.column(i).to_numpy() for i in range(4)), x
 
 
@@ -100,6 +122,29 @@ def from_bits(u: int) -> float:
     return float(np.array([u ^ (1 << 63) if u >> 63 else u ^ ((1 << 64) - 1)], np.uint64).view(np.float64)[0])
 
 
+def _chunks(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(window, inputs) of COUNTED rows or so at a time."""
+    held, size = [], 0
+    for batch in batches:
+        window, _, _, _, x = arrays(batch, n)
+        held.append((window, x))
+        size += len(batch)
+        if size >= COUNTED:
+            yield tuple(np.concatenate(c) for c in zip(*held, strict=True))
+            held, size = [], 0
+    if size:
+        yield tuple(np.concatenate(c) for c in zip(*held, strict=True))
+
+
+def _counted(keys: np.ndarray, bound: int) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct keys below the bound in order, and how often each occurs."""
+    if bound > 4 * COUNTED:
+        return np.unique(keys, return_counts=True)
+    counts = np.bincount(keys, minlength=1)
+    some = np.flatnonzero(counts)
+    return some, counts[some]
+
+
 def fold_medians(panel: Panel) -> dict[int, np.ndarray]:
     """The interpolated median of each input over each fold's training rows that know it; 0 where none does.
 
@@ -117,8 +162,7 @@ def fold_medians(panel: Panel) -> dict[int, np.ndarray]:
         first = not targets
 
         def run(batches, bits=bits, left=left, active=active, first=first):
-            for batch in batches:
-                window, _, _, _, x = arrays(batch, n)
+            for window, x in _chunks(batches, n):
                 for f in range(n):
                     known = ~np.isnan(x[:, f])
                     u, own = ordered_bits(x[known, f]), window[known].astype(np.int64)
@@ -130,7 +174,7 @@ def fold_medians(panel: Panel) -> dict[int, np.ndarray]:
                         hit = active[f][at] == prefix if len(active[f]) else np.zeros(len(u), bool)
                         u, own, at = u[hit], own[hit], at[hit]
                     digit = ((u >> np.uint64(left)) & np.uint64((1 << bits) - 1)).astype(np.int64)
-                    keys, counts = np.unique((at * w + own << bits) | digit, return_counts=True)
+                    keys, counts = _counted((at * w + own << bits) | digit, max(1, len(active[f])) * w << bits)
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), f, np.int32)), pa.array((keys >> bits) // w), pa.array(((keys >> bits) % w).astype(np.int32)), pa.array((keys & ((1 << bits) - 1)).astype(np.int32)), pa.array(counts)], ["f", "at", "window", "digit", "n"])
 
         counts: dict[tuple[int, int], np.ndarray] = {}
@@ -264,31 +308,41 @@ def newton(panel: Panel, model: LinearFolds, todo: dict[tuple[int, str], dict],
     n = len(panel.features)
     names = list(model.sets)
     columns = {name: model.columns(name) for name in names}
+    at = [np.array([0, *(j + 1 for j in columns[name])]) for name in names]
     data = panel.rows.select("window", "y", "b", "w", "x")
     open_ = set(todo)
     for _ in range(MAX_STEPS):
         if not open_:
             return
-        asked = [(fold, names.index(name), todo[fold, name]["beta"]) for fold, name in sorted(open_)]
+        asked: dict[int, list[tuple[int, np.ndarray]]] = {}
+        for fold, name in sorted(open_):
+            beta = np.zeros(n + 1)
+            beta[at[names.index(name)]] = todo[fold, name]["beta"]
+            asked.setdefault(fold, []).append((names.index(name), beta))
 
         def run(batches, asked=asked):
             total: dict[tuple[int, int], np.ndarray] = {}
             for batch in batches:
                 window, _, b, w, x = arrays(batch, n)
-                unknown, last = np.isnan(x), None
-                for fold, s, beta in asked:
-                    if fold != last:
-                        fill, mean, spread = scale[fold]
-                        use = window != fold
-                        z = (np.where(unknown[use], fill, x[use] - centre) - mean) / spread
-                        label, weight, last = b[use], w[use], fold
-                    q = np.column_stack((np.ones(len(z)), z[:, columns[names[s]]]))
-                    margin = q @ beta
-                    p = 1 / (1 + np.exp(-np.clip(margin, -700, 700)))
-                    loss = weight @ (np.logaddexp(0, margin) - label * margin)
-                    hessian = (q * (weight * p * (1 - p))[:, None]).T @ q
-                    part = np.concatenate(([loss], q.T @ (weight * (p - label)), hessian.ravel()))
-                    total[fold, s] = total.get((fold, s), 0) + part
+                x = (x - centre).T.copy()
+                unknown = np.isnan(x)
+                for fold, fits in asked.items():
+                    fill, mean, spread = (c[:, None] for c in scale[fold])
+                    use = window != fold
+                    if not use.any():
+                        continue
+                    own, label, weight = (x, b, w) if use.all() else (x[:, use], b[use], w[use])
+                    z = np.ones((n + 1, len(label)))
+                    z[1:] = (np.where(unknown if use.all() else unknown[:, use], fill, own) - mean) / spread
+                    margin = np.array([beta for _, beta in fits]) @ z  # a row a set: inputs that aren't in it have the coefficient 0
+                    small = np.exp(-np.abs(margin))
+                    p = np.where(margin >= 0, 1.0, small) / (1 + small)
+                    loss = (np.maximum(margin, 0) + np.log(1 + small) - label * margin) @ weight
+                    gradient, curve = (weight * (p - label)) @ z.T, weight * p * (1 - p)
+                    for j, (s, _) in enumerate(fits):
+                        q = z[at[s]]
+                        part = np.concatenate(([loss[j]], gradient[j, at[s]], ((q * curve[j]) @ q.T).ravel()))
+                        total[fold, s] = total.get((fold, s), 0) + part
             yield from total.items()
 
         size = lambda key: (k := len(columns[names[key[1]]]) + 1) * (k + 1) + 1
@@ -329,7 +383,7 @@ def scored(panel: Panel, models: dict[str, Callable[[np.ndarray, int], tuple[np.
                 kept = batch.take(pa.array(own))
                 for name, predict in models.items():
                     cost, probability = predict(x[own], i if fold is None else fold)
-                    text = lambda s: pa.array([s] * len(own), pa.string())  # noqa: E731, B023
+                    text = lambda s: pa.repeat(pa.scalar(s, pa.string()), len(own))  # noqa: E731, B023
                     yield pa.RecordBatch.from_arrays([*(kept.column(5 + j) for j in range(len(keys))), text(names[i]), text(name), pa.array(y[own]), pa.array(b[own]), pa.array(w[own]), pa.array(cost), pa.array(probability)], fields)
 
     return rows.mapInArrow(run, schema)
@@ -337,9 +391,7 @@ def scored(panel: Panel, models: dict[str, Callable[[np.ndarray, int], tuple[np.
 
 def fold_metrics(rows: DataFrame, by: tuple[str, ...] = ("model", "window_id")) -> DataFrame:
     """A row of errors for each model and window: rows, weight, weighted_mae, mae, weighted_bias, weighted_brier, weighted_log_loss."""
-    by = list(by)
-    weight = rows.groupBy(*by).agg(F.sum("paired_shares").alias("weight"))
-    return regression_metrics(rows, by).join(classification_metrics(rows, by), by).join(weight, by)
+    return rows.groupBy(*by).agg(*regression_measures(), *classification_measures(), F.sum("paired_shares").alias("weight"))
 
 
 def held_out_linear(panel: DataFrame, sets: dict[str, tuple[str, ...]]) -> DataFrame:

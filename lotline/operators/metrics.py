@@ -159,20 +159,28 @@ def hypothesis_summary(rows: DataFrame) -> DataFrame:
 # ---------------------------------------------------------------- predictions
 
 
-def regression_metrics(rows: DataFrame, by: list[str], predicted: str = "predicted", actual: str = "pair_cost", weight: str = "paired_shares") -> DataFrame:
+def regression_measures(predicted: str = "predicted", actual: str = "pair_cost", weight: str = "paired_shares") -> list[Column]:
     e = F.col(predicted).cast("double") - F.col(actual).cast("double")
-    return rows.groupBy(*by).agg(F.count("*").alias("rows"), weighted_mean(F.abs(e), F.col(weight)).alias("weighted_mae"), F.avg(F.abs(e)).alias("mae"), weighted_mean(e, F.col(weight)).alias("weighted_bias"))
+    return [F.count("*").alias("rows"), weighted_mean(F.abs(e), F.col(weight)).alias("weighted_mae"), F.avg(F.abs(e)).alias("mae"), weighted_mean(e, F.col(weight)).alias("weighted_bias")]
+
+
+def regression_metrics(rows: DataFrame, by: list[str], predicted: str = "predicted", actual: str = "pair_cost", weight: str = "paired_shares") -> DataFrame:
+    return rows.groupBy(*by).agg(*regression_measures(predicted, actual, weight))
 
 
 def clipped(p: Column) -> Column:
     return F.least(F.lit(1 - EPSILON), F.greatest(F.lit(EPSILON), p))
 
 
-def classification_metrics(rows: DataFrame, by: list[str], probability: str = "probability", actual: str = "favorable", weight: str = "paired_shares") -> DataFrame:
-    """Weighted Brier score and log loss, both on the clipped probability."""
+def classification_measures(probability: str = "probability", actual: str = "favorable", weight: str = "paired_shares") -> list[Column]:
     p, y = clipped(F.col(probability)), F.col(actual).cast("int")
     loss = -(y * F.ln(p) + (1 - y) * F.ln(1 - p))
-    return rows.groupBy(*by).agg(weighted_mean((p - y) * (p - y), F.col(weight)).alias("weighted_brier"), weighted_mean(loss, F.col(weight)).alias("weighted_log_loss"))
+    return [weighted_mean((p - y) * (p - y), F.col(weight)).alias("weighted_brier"), weighted_mean(loss, F.col(weight)).alias("weighted_log_loss")]
+
+
+def classification_metrics(rows: DataFrame, by: list[str], probability: str = "probability", actual: str = "favorable", weight: str = "paired_shares") -> DataFrame:
+    """Weighted Brier score and log loss, both on the clipped probability."""
+    return rows.groupBy(*by).agg(*classification_measures(probability, actual, weight))
 
 
 def plain_scores(rows: DataFrame, by: list[str], probability: str = "probability", actual: str = "favorable") -> DataFrame:

@@ -583,7 +583,10 @@ def online_pairs(spark, sf_dir):
 
 def _model_rows(spark, sf_dir) -> DataFrame:
     """Pairs with the state at the end of their second and reference candles: all inputs of the models."""
-    rows = features.regime_panel(buys(spark, sf_dir), adapter.candles(spark, sf_dir))
+    # fills, buys, pairs and candles are each read by several branches, so they are written once; the models read no transactions
+    kept = written(fills(spark, sf_dir).select("market_id", "slug", "timestamp", "source_trade_id", F.lit(None).cast("string").alias("transaction_hash"), "outcome", "side", "price", "shares"), "fills")
+    bought = written(ledger.buys_of_clean_markets(ledger.canonical_ledger(kept)).select("market_id", "slug", "epoch", "seq", "oside", "price", "shares", F.lit(None).cast("string").alias("source_trade_id"), "transaction_hash"), "buys")
+    rows = features.regime_panel(bought, written(adapter.candles(spark, sf_dir), "candles"), written(matching.fifo_pairs(bought), "pairs"))
     return rows.withColumn("window_id", window_of(F.col("market_id")))
 
 
