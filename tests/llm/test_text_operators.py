@@ -278,6 +278,36 @@ def test_repeated_passages_equal_brute_force(spark, monkeypatch, crowd, keep_fir
     assert got == brute_repeats(rows, 64, keep_first) and sum(r[2] for r in got)
 
 
+def test_a_crowded_anchor_is_cut_in_several_tasks(spark, monkeypatch):
+    """All texts share one passage with its anchor and differ beside it: their segments are banded where they lie, not in the anchor's task."""
+    rng = random.Random(3)
+    shared = "".join(rng.choice("abcdefgh") for _ in range(80))
+    rows = [(i, "".join(rng.choice("ijklmnop") for _ in range(20)) + shared + "".join(rng.choice("ijklmnop") for _ in range(20)), "x") for i in range(400)]
+    tasks, real = [], suffix.materialise
+
+    def spy(df, name):
+        out = real(df.withColumn("task", F.spark_partition_id()) if name == "bands" else df, name)
+        if name == "bands":
+            k = out.groupBy("h").agg(F.min("task").alias("task"))
+            tasks.append(k.select("task").distinct().count())
+            out = out.drop("task")
+        return out
+
+    monkeypatch.setattr(suffix, "materialise", spy)
+    monkeypatch.setattr(suffix, "CROWD", 50)
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, fp string")
+    large = {"spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1"}  # as on tables that are not small
+    for name, value in large.items():
+        spark.conf.set(name, value)
+    try:
+        got = sorted(tuple(r) for r in suffix.find_repeats(df, ["doc_id"], "doc_id", length=64).collect())
+    finally:
+        for name in large:
+            spark.conf.unset(name)
+    assert got == brute_repeats(rows, 64, False) and all(r[2] >= 80 for r in got)
+    assert tasks and tasks[0] > 1
+
+
 def test_kept_text_is_what_the_digest_says(spark):
     rows, df = corpus(spark, 4)
     out = suffix.find_repeats(df, ["doc_id"], "doc_id", length=64, want_text=True).collect()
