@@ -200,8 +200,10 @@ def calibration(rows: DataFrame, by: list[str], bins: int = 10, probability: str
 
 def fold_summary(folds: DataFrame, metrics: list[str], baseline: str, by: str = "model", fold: str = "window_id") -> DataFrame:
     """Mean over folds of each metric, its delta to the baseline model, and in how many folds it is strictly better."""
-    base = folds.where(F.col(by) == baseline).select(fold, *[F.col(m).alias(f"__{m}") for m in metrics])
-    rows = folds.join(base, fold, "left")
+    # no join of folds with itself: its sums of doubles would be computed twice, in another order, and a model could win over itself
+    own = Window.partitionBy(fold)
+    of_baseline = lambda m: F.max(F.when(F.col(by) == baseline, F.col(m))).over(own)
+    rows = folds.withColumns({f"__{m}": F.when(F.col(fold).isNotNull(), of_baseline(m)) for m in metrics})
     out = rows.groupBy(by).agg(F.count("*").alias("folds"), *[F.avg(m).alias(f"mean_{m}") for m in metrics], *[F.avg(F.col(m) - F.col(f"__{m}")).alias(f"delta_{m}") for m in metrics], *[F.count_if(F.col(m) < F.col(f"__{m}")).alias(f"wins_{m}") for m in metrics])
     return out
 

@@ -5,8 +5,9 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from lotline.operators import folds
+from lotline.operators import folds, metrics
 
 SETS = {"one": ("a",), "two": ("b", "c"), "all": ("a", "b", "c", "d")}
 FEATURES = ("a", "b", "c", "d")
@@ -113,3 +114,12 @@ def test_one_class_one_window_and_no_rows(spark):
         assert len(got) == 3 * len(some) and all(math.isfinite(r["predicted"]) and 0 <= r["probability"] <= 1 for r in got)
     constant = {r["id"]: r["probability"] for r in got}
     assert constant == {}
+
+
+def test_a_model_has_no_wins_over_its_own_scores(spark):
+    """Scores may differ in their last bits each time that they are computed, as sums of doubles arrive in another order."""
+    noise = F.udf(lambda: random.SystemRandom().random() * 1e-16, "double").asNondeterministic()
+    rows = spark.createDataFrame([(m, f"w{i}", e) for i in range(40) for m, e in (("base", 0.125), ("better", 0.0625))] + [("base", None, 0.125)], "model string, window_id string, mae double")
+    got = {r["model"]: r for r in metrics.fold_summary(rows.withColumn("mae", F.col("mae") + noise()), ["mae"], "base").collect()}
+    assert (got["base"]["folds"], got["base"]["delta_mae"], got["base"]["wins_mae"]) == (41, 0.0, 0)
+    assert (got["better"]["folds"], got["better"]["wins_mae"]) == (40, 40) and abs(got["better"]["delta_mae"] + 0.0625) < 1e-12
