@@ -122,12 +122,11 @@ def from_bits(u: int) -> float:
     return float(np.array([u ^ (1 << 63) if u >> 63 else u ^ ((1 << 64) - 1)], np.uint64).view(np.float64)[0])
 
 
-def _chunks(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(window, inputs) of COUNTED rows or so at a time."""
+def chunks(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[tuple[np.ndarray, ...]]:
+    """window, y, b, w and inputs of COUNTED rows or so at a time."""
     held, size = [], 0
     for batch in batches:
-        window, _, _, _, x = arrays(batch, n)
-        held.append((window, x))
+        held.append(arrays(batch, n))
         size += len(batch)
         if size >= COUNTED:
             yield tuple(np.concatenate(c) for c in zip(*held, strict=True))
@@ -162,7 +161,7 @@ def fold_medians(panel: Panel) -> dict[int, np.ndarray]:
         first = not targets
 
         def run(batches, bits=bits, left=left, active=active, first=first):
-            for window, x in _chunks(batches, n):
+            for window, _, _, _, x in chunks(batches, n):
                 for f in range(n):
                     known = ~np.isnan(x[:, f])
                     u, own = ordered_bits(x[known, f]), window[known].astype(np.int64)

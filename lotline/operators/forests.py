@@ -5,10 +5,13 @@ limited depth on sums of gradients, curvatures and rows by bin: a leaf's value i
 least `least` rows on either side and the largest gain G * G / (H + l2) above its parent's. A single tree is one round at rate 1
 without penalty (with 0/1 labels its splits are those of Gini impurity).
 
-The rows are binned once. A level of the trees of all folds, feature sets and targets is one pass: tasks add up
+The rows are binned once. Training rows of a fold that share the bins of all inputs take the same way through every tree, so they
+are added up beforehand: what a tree asks of them are their number, weight and weighted sums of cost and label. Inputs are states at
+the end of a second, so the work grows with the distinct states, not with the fills of a second; without equal rows nothing is lost.
+A level of the trees of all folds, feature sets and targets is one pass: tasks add up
 histograms, these are dealt out by fold, forest, node and input and summed as they stream in, and only the best split of each
 input returns to the driver, so what it holds grows with the numbers of folds and inputs, not with the rows. Folds of at most
-LOCAL_ROWS training rows, counted beforehand, are grown by the same steps inside one task for each forest instead, as 300 passes
+LOCAL_ROWS distinct states, counted beforehand, are grown by the same steps inside one task for each forest instead, as 300 passes
 over little data are all overhead.
 """
 
@@ -23,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lotline.operators.folds import ALL, Panel, arrays, fold_medians
+from lotline.operators.folds import ALL, Panel, arrays, chunks, fold_medians
 from lotline.sources.scratch import removed, written
 
 BINS = 255
@@ -31,7 +34,7 @@ BINS = 255
 POINTS = 4096
 #: Summaries of an input and window that a task of the first merge sees, as a share of all: one of so many.
 SALTS = 32
-#: Training rows of a fold that one task holds (some 30 bytes each).
+#: Distinct states of a fold that one task holds (some 100 bytes each).
 LOCAL_ROWS = 1_000_000
 #: Rounds whose trees are evaluated anew in each pass before the sums are written.
 STATE_ROUNDS = 10
@@ -106,19 +109,20 @@ def value(columns: np.ndarray, trees: list[Tree]) -> np.ndarray:
 
 
 def gradients(raw: np.ndarray, target: np.ndarray, weight: np.ndarray, logistic: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Sums of gradients and curvatures of rows with the same raw value; target: their weighted sum of the target."""
     if not logistic:
-        return (raw - target) * weight, weight
+        return raw * weight - target, weight
     p = 1 / (1 + np.exp(-np.clip(raw, -700, 700)))
-    return (p - target) * weight, p * (1 - p) * weight
+    return p * weight - target, p * (1 - p) * weight
 
 
-def histograms(columns: np.ndarray, node: np.ndarray, nodes: int, g: np.ndarray, h: np.ndarray) -> np.ndarray:
+def histograms(columns: np.ndarray, node: np.ndarray, nodes: int, g: np.ndarray, h: np.ndarray, rows: np.ndarray) -> np.ndarray:
     """nodes x inputs x bins x (gradient, curvature, rows), an input after the other, so that what is counted stays near."""
     out, size = np.empty((nodes, len(columns), BINS + 1, 3)), nodes * (BINS + 1)
     first = node.astype(np.int64) * (BINS + 1)
     for j, bins in enumerate(columns):
         key = first + bins
-        for k, sums in enumerate((np.bincount(key, g, size), np.bincount(key, h, size), np.bincount(key, minlength=size))):
+        for k, sums in enumerate((np.bincount(key, g, size), np.bincount(key, h, size), np.bincount(key, rows, size))):
             out[:, j, :, k] = sums.reshape(nodes, BINS + 1)
     return out
 
@@ -174,8 +178,8 @@ class Growing:
         return self.depth == DEPTH
 
 
-def grow_local(bins: np.ndarray, target: np.ndarray, weight: np.ndarray, spec: Spec, logistic: bool, base: float) -> list[Tree]:
-    """A forest over rows (rows x inputs) that are all here."""
+def grow_local(bins: np.ndarray, rows: np.ndarray, target: np.ndarray, weight: np.ndarray, spec: Spec, logistic: bool, base: float) -> list[Tree]:
+    """A forest over states (states x inputs) that are all here, each of so many rows."""
     raw, trees, bins = np.full(len(bins), base), [], np.ascontiguousarray(bins.T)
     for _ in range(spec.rounds):
         g, h = gradients(raw, target, weight, logistic)
@@ -183,9 +187,9 @@ def grow_local(bins: np.ndarray, target: np.ndarray, weight: np.ndarray, spec: S
         while not growing.done():
             found, depth = {}, growing.depth
             if growing.open:
-                sums = histograms(bins, place(bins, growing.tree, depth), 1 << depth, g, h)
+                sums = histograms(bins, place(bins, growing.tree, depth), 1 << depth, g, h, rows)
                 found = {n: [(f, best_bin(sums[n, f], spec)) for f in range(len(bins))] for n in growing.open}
-            growing.split(found, {0: np.array([g.sum(), h.sum(), len(g)])})
+            growing.split(found, {0: np.array([g.sum(), h.sum(), rows.sum()])})
         trees.append(growing.tree)
         raw += growing.tree.values[place(bins, growing.tree)]
     return trees
@@ -321,21 +325,32 @@ def forest_models(fitted: Forests) -> dict[str, Callable[[np.ndarray, int], tupl
     return {name: (lambda x, fold, name=name: fitted.predict(x, fold, name)) for name in fitted.specs}
 
 
-def training_rows(panel: Panel, fill: dict[int, np.ndarray], edges: dict[int, list[np.ndarray]], folds: list[int]) -> DataFrame:
-    """(fold, y, b, w, bins): each row once for each fold that trains on it."""
+def alike(bins: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct rows of bytes, and which of them each row is."""
+    if not bins.shape[1]:
+        return bins[:1], np.zeros(len(bins), np.int64)
+    _, first, at = np.unique(np.ascontiguousarray(bins).view(np.dtype((np.void, bins.shape[1]))).ravel(), return_index=True, return_inverse=True)
+    return bins[first], at
+
+
+def training_states(panel: Panel, fill: dict[int, np.ndarray], edges: dict[int, list[np.ndarray]], folds: list[int]) -> DataFrame:
+    """(fold, n, y, b, w, bins): the training rows of each fold that share all bins as one: their number, weighted sums of cost and label, and weight."""
     n = len(panel.features)
 
     def run(batches):
-        for batch in batches:
-            window, y, b, w, x = arrays(batch, n)
+        for window, y, b, w, x in chunks(batches, n):
             for fold in folds:
                 own = window != fold
-                bins = binned(x[own], fill[fold], edges[fold])
-                offsets = pa.py_buffer((np.arange(len(bins) + 1) * n).astype(np.int32))
-                packed = pa.Array.from_buffers(pa.binary(), len(bins), [None, offsets, pa.py_buffer(np.ascontiguousarray(bins))])
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(bins), fold, np.int32)), pa.array(y[own]), pa.array(b[own]), pa.array(w[own]), packed], ["fold", "y", "b", "w", "bins"])
+                if not own.any():
+                    continue
+                states, at = alike(binned(x[own], fill[fold], edges[fold]))
+                sums = [np.bincount(at, v, len(states)) for v in (np.ones(len(at)), (w * y)[own], (w * b)[own], w[own])]
+                offsets = pa.py_buffer((np.arange(len(states) + 1) * n).astype(np.int32))
+                packed = pa.Array.from_buffers(pa.binary(), len(states), [None, offsets, pa.py_buffer(np.ascontiguousarray(states))])
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(states), fold, np.int32)), *(pa.array(v) for v in sums), packed], ["fold", "n", "y", "b", "w", "bins"])
 
-    return panel.rows.select("window", "y", "b", "w", "x").mapInArrow(run, "fold int, y double, b double, w double, bins binary")
+    parts = panel.rows.select("window", "y", "b", "w", "x").mapInArrow(run, "fold int, n double, y double, b double, w double, bins binary")
+    return parts.groupBy("fold", "bins").agg(*[F.sum(c).alias(c) for c in ("n", "y", "b", "w")]).select("fold", "n", "y", "b", "w", "bins")
 
 
 def unpacked(column: pa.Array, n: int) -> np.ndarray:
@@ -356,18 +371,21 @@ def fit_forests(panel: Panel, specs: dict[str, Spec], folds: list[int] | None =
     fill = fold_medians(panel)
     edges = fold_edges(panel, fill)
     sums = {r["window"]: np.array([r["n"], r["w"], r["y"], r["b"]], float) for r in panel.rows.groupBy("window").agg(F.count("*").alias("n"), F.sum("w").alias("w"), F.sum(F.col("w") * F.col("y")).alias("y"), F.sum(F.col("w") * F.col("b")).alias("b")).collect()}
-    base, rows = {}, {}
+    base = {}
     for fold in folds:
         n, w, y, b = sum((s for i, s in sums.items() if i != fold), np.zeros(4))
-        base[fold, COST], base[fold, LABEL], rows[fold] = (y / w, b / w, n) if n else (0.0, 0.5, 0)
+        base[fold, COST], base[fold, LABEL] = (y / w, b / w) if n else (0.0, 0.5)
     out = Forests(panel.features, specs, fill, edges, base, {})
     forests = [(name, target) for name in specs for target in (COST, LABEL)]
-    small = [f for f in folds if rows[f] <= local_rows]
-    large = [f for f in folds if rows[f] > local_rows]
+    states = written(training_states(panel, fill, edges, folds), "states")
+    held = {r["fold"]: r["count"] for r in states.groupBy("fold").count().collect()}
+    small = [f for f in folds if held.get(f, 0) <= local_rows]
+    large = [f for f in folds if held.get(f, 0) > local_rows]
     if small:
-        _fit_small(panel, out, forests, small)
+        _fit_small(states.where(F.col("fold").isin(small)), out, forests, small)
     if large:
-        _fit_large(panel, out, forests, large)
+        _fit_large(states.where(F.col("fold").isin(large)), out, forests, large)
+    removed(states)
     return out
 
 
@@ -383,38 +401,43 @@ def _trees(rows: list, model: Forests, forests: list[tuple[str, str]]) -> None:
         model.trees.setdefault((r["fold"], *forests[r["forest"]]), []).append(tree)
 
 
-def _fit_small(panel: Panel, model: Forests, forests: list[tuple[str, str]], folds: list[int]) -> None:
-    """One task for each forest; only trees return."""
-    n = len(panel.features)
+def _fit_small(states: DataFrame, model: Forests, forests: list[tuple[str, str]], folds: list[int]) -> None:
+    """One task for each forest of a fold; only trees return."""
+    n = len(model.features)
     plan = [(model.specs[name], model.columns(name), target) for name, target in forests]
     starts = {(fold, i): _start(model, fold, *f) for fold in folds for i, f in enumerate(forests)}
+    types = pa.schema([("fold", pa.int32()), ("forest", pa.int32()), ("round", pa.int32()), ("inputs", pa.list_(pa.int32())), ("bins", pa.list_(pa.int32())), ("values", pa.list_(pa.float64()))])
 
-    def run(key, table):
-        fold, forest = (k.as_py() for k in key)
-        spec, columns, target = plan[forest]
-        table = table.combine_chunks()
-        y, w = table["y" if target == COST else "b"].to_numpy(), table["w"].to_numpy()
-        bins = unpacked(table["bins"].combine_chunks(), n)
-        order = np.lexsort((*bins.T[::-1], w, y))  # sums don't depend on the order in which rows arrive
-        base, logistic = starts[fold, forest]
-        trees = grow_local(bins[order][:, columns], y[order], w[order], spec, logistic, base)
-        return pa.table({"fold": [fold] * len(trees), "forest": [forest] * len(trees), "round": list(range(len(trees))), "inputs": [t.inputs.tolist() for t in trees], "bins": [t.bins.tolist() for t in trees], "values": [t.values.tolist() for t in trees]}).cast(pa.schema([("fold", pa.int32()), ("forest", pa.int32()), ("round", pa.int32()), ("inputs", pa.list_(pa.int32())), ("bins", pa.list_(pa.int32())), ("values", pa.list_(pa.float64()))]))
-
-    rows = training_rows(panel, model.fill, model.edges, folds).withColumn("forest", F.explode(F.lit(list(range(len(forests))))))
-    rows = rows.repartition(len(folds) * len(forests), "fold", "forest")
-    _trees(rows.groupBy("fold", "forest").applyInArrow(run, TREE).collect(), model, forests)
+    def run(batches):
+        held = [b for b in batches if len(b)]
+        if not held:
+            return
+        table = pa.Table.from_batches(held).combine_chunks()
+        every, columns = unpacked(table["bins"].combine_chunks(), n), {c: table[c].to_numpy() for c in ("fold", "forest", "n", "y", "b", "w")}
+        for fold, forest in sorted(set(zip(columns["fold"].tolist(), columns["forest"].tolist(), strict=True))):
+            spec, inputs, target = plan[forest]
+            own = np.flatnonzero((columns["fold"] == fold) & (columns["forest"] == forest))
+            own = own[np.lexsort(every[own].T[::-1])] if n else own  # sums don't depend on the order in which states arrive
+            base, logistic = starts[fold, forest]
+            trees = grow_local(every[own][:, inputs], columns["n"][own], columns["y" if target == COST else "b"][own], columns["w"][own], spec, logistic, base)
+            rows = [{"fold": fold, "forest": forest, "round": r, "inputs": t.inputs.tolist(), "bins": t.bins.tolist(), "values": t.values.tolist()} for r, t in enumerate(trees)]
+            yield from pa.Table.from_pylist(rows, types).to_batches()
+
+    number = (F.array_position(F.lit(folds), F.col("fold")) - 1) * len(forests) + F.col("forest")
+    rows = states.withColumn("forest", F.explode(F.lit(list(range(len(forests)))))).repartitionById(len(folds) * len(forests), number.cast("int"))
+    _trees(rows.mapInArrow(run, TREE).collect(), model, forests)
     for fold in folds:
         for name, target in forests:
             model.trees.setdefault((fold, name, target), [])
 
 
-def _fit_large(panel: Panel, model: Forests, forests: list[tuple[str, str]], folds: list[int]) -> None:
+def _fit_large(states: DataFrame, model: Forests, forests: list[tuple[str, str]], folds: list[int]) -> None:
     """Level by level, a pass for all folds and forests together."""
-    n, spark = len(panel.features), panel.rows.sparkSession
+    n, spark = len(model.features), states.sparkSession
     plan = [(model.specs[name], model.columns(name), target) for name, target in forests]
     starts = {(fold, i): _start(model, fold, *f) for fold in folds for i, f in enumerate(forests)}
     width = len(forests)
-    state = written(training_rows(panel, model.fill, model.edges, folds).withColumn("raw", F.array_repeat(F.lit(0.0), width)), "state")
+    state = written(states.withColumn("raw", F.array_repeat(F.lit(0.0), width)), "state")
     recent: dict[tuple[int, int], list[Tree]] = {k: [] for k in starts}
     for r in range(max(spec.rounds for spec, _, _ in plan)):
         active = [k for k in starts if r < plan[k[1]][0].rounds]
@@ -435,8 +458,8 @@ def _fit_large(panel: Panel, model: Forests, forests: list[tuple[str, str]], fol
 
 
 def _batch(batch: pa.RecordBatch, n: int, width: int) -> tuple:
-    raw = batch.column(5).flatten().to_numpy().reshape(len(batch), width)
-    return *(batch.column(i).to_numpy() for i in range(4)), unpacked(batch.column(4), n), raw
+    raw = batch.column(6).flatten().to_numpy().reshape(len(batch), width)
+    return *(batch.column(i).to_numpy() for i in range(5)), unpacked(batch.column(5), n), raw
 
 
 def _advanced(state: DataFrame, spark, n: int, plan: list, recent: dict, width: int) -> DataFrame:
@@ -445,13 +468,13 @@ def _advanced(state: DataFrame, spark, n: int, plan: list, recent: dict, width:
 
     def run(batches):
         for batch in batches:
-            fold, _, _, _, bins, raw = _batch(batch, n, width)
+            fold, *_, bins, raw = _batch(batch, n, width)
             raw = raw.copy()
             for (f, i), trees in shared.value.items():
                 own = fold == f
                 raw[own, i] += value(np.ascontiguousarray(bins[own].T)[plan[i][1]], trees)
             lists = pa.ListArray.from_arrays(pa.array((np.arange(len(raw) + 1) * width).astype(np.int32)), pa.array(raw.ravel()))
-            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(5)), lists], batch.schema.names)
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(6)), lists], batch.schema.names)
 
     return state.mapInArrow(run, state.schema)
 
@@ -464,7 +487,7 @@ def _level(state: DataFrame, spark, n: int, plan: list, starts: dict, recent: di
         starts, recent, asked = shared.value
         total: dict[tuple, np.ndarray] = {}
         for batch in batches:
-            fold, y, b, w, bins, raw = _batch(batch, n, width)
+            fold, rows, y, b, w, bins, raw = _batch(batch, n, width)
             last, every = None, bins.T
             for (f, i), (tree, depth, nodes) in sorted(asked.items(), key=lambda x: x[0]):
                 if f != last:
@@ -476,7 +499,7 @@ def _level(state: DataFrame, spark, n: int, plan: list, starts: dict, recent: di
                 some = inputs[columns]
                 base, logistic = starts[f, i]
                 g, h = gradients(base + raw[own, i] + value(some, recent[f, i]), (y if target == COST else b)[own], w[own], logistic)
-                sums = histograms(some, place(some, tree, depth), 1 << depth, g, h)
+                sums = histograms(some, place(some, tree, depth), 1 << depth, g, h, rows[own])
                 for node in nodes:
                     total[f, i, node] = total.get((f, i, node), 0) + sums[node]
         for (f, i, node), sums in total.items():

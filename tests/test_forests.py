@@ -124,3 +124,23 @@ def test_rows_find_their_leaves_by_codes():
                 at = 2 * at + np.array([tree.inputs[k] >= 0 and columns[tree.inputs[k], i] > tree.bins[k] for i, k in enumerate(node)])
             assert (forests.place(columns, tree, depth) == at).all()
         assert (forests.value(columns, [tree, tree]) == 2 * tree.values[at]).all()
+
+
+def test_rows_of_equal_bins_are_grown_as_one(spark, monkeypatch):
+    """Forests over many rows of few states need no more than the states: each fold has 3000 rows and at most 120 states."""
+    held = []
+    for name in ("_fit_small", "_fit_large"):
+        monkeypatch.setattr(forests, name, lambda states, *rest, f=getattr(forests, name): held.append(states.count()) or f(states, *rest))
+    rng = np.random.default_rng(7)
+    at = [(float(i % 3), i // 3 % 10, i // 30 % 12) for i in range(4500)]
+    rows = [(f"k{i}", f"w{u:.0f}", float(a), float(b), None, None, 1 + 0.1 * a + rng.normal(), bool(rng.random() < 0.3 + 0.04 * b), float(rng.integers(1, 9)) / 4) for i, (u, a, b) in enumerate(at)]
+    specs = {"boosted": forests.Spec(FEATURES, rounds=3, rate=0.3, least=40)}
+    p = folds.prepare(table(spark, rows).repartition(3), FEATURES, keys=("id",))
+    for local_rows in (200, 0):
+        fitted = forests.fit_forests(p, specs, folds=[0, 1, 2], local_rows=local_rows)
+        got = {r["id"]: r for r in folds.scored(p, forests.forest_models(fitted)).collect()}
+        for held_out in ("w0", "w2"):
+            for key, (cost, probability) in refit(rows, held_out, specs["boosted"]).items():
+                assert math.isclose(got[key]["predicted"], cost, abs_tol=1e-9) and math.isclose(got[key]["probability"], probability, abs_tol=1e-9)
+    p.close()
+    assert len(held) == 2 and max(held) <= 3 * 120
