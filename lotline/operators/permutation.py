@@ -9,9 +9,12 @@ from pyspark.sql import functions as F
 
 from lotline.operators.folds import fold_metrics, prepare, scored
 from lotline.operators.forests import Spec, fit_forests, permutation_models
+from lotline.operators.ranges import with_sums_before
 from lotline.sources.scratch import removed, written
 
 SEED = 1000
+#: Digits of a hash that tell ranges of a group apart: 4096 ranges.
+DIGITS = 3
 
 
 def ranked(rows: DataFrame, group: str, order: list[Column], name: str) -> DataFrame:
@@ -28,6 +31,15 @@ def ranked(rows: DataFrame, group: str, order: list[Column], name: str) -> DataF
     return out
 
 
+def ranked_by_hash(rows: DataFrame, group: str, hashed: str, order: list[Column], name: str) -> DataFrame:
+    """rows + their place within the group, from 1, by a hexadecimal hash and then `order`. The hash's first digits are ranges of even size, so
+    no pass looks for their borders and nothing is written."""
+    rows = rows.withColumn("__range", F.substring(hashed, 1, DIGITS))
+    own = F.row_number().over(Window.partitionBy(group, "__range").orderBy(hashed, *order))
+    rows = with_sums_before(rows.withColumn(name, own), group, "__range", {"__before": F.lit(1)})
+    return rows.withColumn(name, F.col(name) + F.col("__before")).drop("__range", "__before")
+
+
 def exchanged(rows: DataFrame, keys: list[str], groups: dict[str, tuple[str, ...]], windows: list[str], seed: int = SEED, window: str = "window_id") -> DataFrame:
     """rows + for each group its columns as `<group>:<column>`, exchanged jointly between the rows of a window.
 
@@ -38,22 +50,22 @@ def exchanged(rows: DataFrame, keys: list[str], groups: dict[str, tuple[str, ...
     by_key = [F.col(k) for k in keys]
     base = ranked(named, window, by_key, "__r")
     number = F.array_position(F.lit(windows) if windows else F.array(F.lit("")), F.col(window)) - 1
-    parts, out = [base], base
+    out = base
     for i, (group, columns) in enumerate(groups.items()):
         text = F.concat_ws(":", (F.lit(seed + i) + 100 * number).cast("string"), *[F.col(k).cast("string") for k in keys])
-        source = ranked(named.select(window, *keys, *[F.col(c).alias(f"{group}:{c}") for c in columns]), window, [F.md5(text.cast("binary")), *by_key], "__s")
-        parts.append(source)
-        given = source.select(F.col(window).alias("__w"), "__s", *[F.col(f"`{group}:{c}`") for c in columns])
+        source = named.select(window, *by_key, F.md5(text.cast("binary")).alias("__h"), *[F.col(c).alias(f"{group}:{c}") for c in columns])
+        given = ranked_by_hash(source, window, "__h", by_key, "__s").select(F.col(window).alias("__w"), "__s", *[F.col(f"`{group}:{c}`") for c in columns])
         out = out.join(given, (F.col(window) == F.col("__w")) & (F.col("__r") == F.col("__s"))).drop("__w", "__s")
     result = written(out.drop("__r"), "exchanged")
-    for part in parts:
-        removed(part)
+    removed(base)
     return result
 
 
 def held_out_permutations(panel: DataFrame, spec: Spec, groups: dict[str, tuple[str, ...]], keys: list[str], seed: int = SEED) -> DataFrame:
     """(window_id, permutation, weighted_mae_delta, weighted_brier_delta): by how much the errors of each window, scored by the forest of
     the others, grow when a group of its inputs is exchanged. One fit and one pass of scores serve all groups."""
+    columns = dict.fromkeys([*keys, "window_id", "pair_cost", "favorable", "paired_shares", *spec.inputs, *(c for g in groups.values() for c in g)])
+    panel = written(panel.select(*columns), "rows")  # each group's ranks and the fit read it
     fit_on = prepare(panel, spec.inputs)
     fitted = fit_forests(fit_on, {"model": spec}, folds=list(range(len(fit_on.windows))))
     rows = exchanged(panel, keys, groups, fit_on.windows, seed)
@@ -68,6 +80,7 @@ def held_out_permutations(panel: DataFrame, spec: Spec, groups: dict[str, tuple[
     for p in (fit_on, score_on):
         p.close()
     removed(rows)
+    removed(panel)
     plain = errors.where("model = ''").select("window_id", F.col("weighted_mae").alias("__m"), F.col("weighted_brier").alias("__b"))
     return errors.where("model <> ''").join(plain, "window_id").select("window_id", F.col("model").alias("permutation"), (F.col("weighted_mae") - F.col("__m")).alias("weighted_mae_delta"), (F.col("weighted_brier") - F.col("__b")).alias("weighted_brier_delta"))
 

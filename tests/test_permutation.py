@@ -58,3 +58,22 @@ def test_ranks_of_a_window_over_many_ranges(spark):
 
 def test_no_rows(spark):
     assert permutation.held_out_permutations(table(spark, []), SPEC, GROUPS, ["id"]).count() == 0
+
+
+def test_ranks_by_hash_equal_those_over_sorted_ranges_and_a_panel_is_read_once(spark, monkeypatch):
+    rows = spark.range(3000).selectExpr("IF(id % 3 = 0, 'x', 'y') AS g", "id", "md5(CAST(id % 700 AS STRING)) AS h").repartition(7)
+    got = permutation.ranked_by_hash(rows, "g", "h", [rows["id"]], "place").collect()
+    for g in ("x", "y"):
+        own = sorted((r for r in got if r["g"] == g), key=lambda r: (r["h"], r["id"]))
+        assert [r["place"] for r in own] == list(range(1, 1001 if g == "x" else 2001))
+    reads = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            reads.add(batch.num_rows)
+            yield batch
+
+    panel = table(spark, usable(rounded_rows(4)))
+    n = panel.count()
+    permutation.held_out_permutations(panel.mapInArrow(counted, panel.schema), SPEC, GROUPS, ["id"]).collect()
+    assert reads.value == n  # not once more for the fit and for every group
